@@ -275,13 +275,14 @@ def sql(body: str, **extra: str) -> str:
     """Prefix a query with the common table expressions it uses, directly or through others."""
     known = {**CTES, **extra}
     wanted: list[str] = []
+    seen: set[str] = set()
 
     def need(text: str) -> None:
         for name, query in known.items():
-            if name not in wanted and re.search(rf"\b(FROM|JOIN)\s+\(*{name}\b", text):
+            if name not in seen and re.search(rf"(\bFROM|\bJOIN|,)\s+\(*{name}\b", text):
+                seen.add(name)
                 need(query)
-                if name not in wanted:
-                    wanted.append(name)
+                wanted.append(name)
 
     need(body)
     if not wanted:

@@ -1,0 +1,189 @@
+"""From pings to stays: gaps, runs, stop detection, local time and person statistics."""
+
+from __future__ import annotations
+
+from pyspark.sql import Column, DataFrame, Window, functions as F
+
+from copresence.functions.distance import haversine, planar
+from copresence.operators import components, ordered, quantiles
+from copresence.session import cut
+
+HOUR = 3600
+
+
+def with_slot(df: DataFrame, t: str = "timestamp", seconds: int = HOUR) -> DataFrame:
+    return df.withColumn("slot", F.floor(F.col(t) / seconds))
+
+
+def deltas(pings: DataFrame, order: list[str]) -> DataFrame:
+    """Differences to the device's previous ping in x, y and time, and the distance moved."""
+    p = ordered.previous(with_slot(pings), ["device_aid"], "slot", order, ["x", "y", "timestamp"])
+    return p.withColumns({
+        "xDelta": F.col("x") - F.col("prev_x"), "yDelta": F.col("y") - F.col("prev_y"),
+        "tDelta": F.col("timestamp") - F.col("prev_timestamp"),
+        "displacement": planar(F.col("x"), F.col("y"), F.col("prev_x"), F.col("prev_y")),
+    }).drop("prev_x", "prev_y", "prev_timestamp", "slot")
+
+
+def densify(pings: DataFrame, order: list[str], t_max: int) -> DataFrame:
+    """Assume no move in silence: repeat a ping every t_max-1 s until the next one, for at most t_max."""
+    p = ordered.following(with_slot(pings), ["device_aid"], "slot", order, ["timestamp"])
+    until = F.least(F.coalesce("next_timestamp", F.col("timestamp") + 1), F.col("timestamp") + t_max)
+    times = F.when(until > F.col("timestamp"), F.sequence(F.col("timestamp"), until - 1, F.lit(t_max - 1).cast("long")))
+    return p.withColumn("timestamp", F.explode(times)).drop("next_timestamp", "slot")
+
+
+def runs(df: DataFrame, by: list[str], order: list[str], breaks: Column, carry: list[str], name: str = "interval"):
+    """Number the runs of a key; `breaks` says when a row starts a new run, from its `prev_` columns."""
+    p = ordered.previous(with_slot(df), by, "slot", order, carry)
+    new = F.coalesce(breaks, F.lit(True)).cast("long")
+    return ordered.running_sum(p, by, "slot", order, new, name).drop(*[f"prev_{c}" for c in carry], "slot")
+
+
+def run_id(points: DataFrame, order: list[str], t_max: int) -> DataFrame:
+    """A new run starts where the location changes or the gap reaches t_max."""
+    change = (F.col("loc") != F.col("prev_loc")) | (F.col("timestamp") - F.col("prev_timestamp") >= t_max)
+    return runs(points, ["device_aid"], order, change, ["loc", "timestamp"])
+
+
+def clean_pings(pings: DataFrame) -> DataFrame:
+    from copresence.operators.cleaning import valid_coords
+    return valid_coords(pings).dropna().dropDuplicates(["device_aid", "latitude", "longitude", "timestamp"])
+
+
+def detect_stops(pings: DataFrame, order: list[str], r1: float = 30, r2: float = 30, min_stay: int = 900,
+                 t_max: int = 3 * HOUR, min_size: int = 2) -> DataFrame:
+    """Stop points of each device with place label and place coordinates.
+
+    Step 1: consecutive points stay together while each lies within r1 metres and t_max seconds of the one
+    before; a group is a stop when it lasts min_stay and has min_size points. Step 2: stop medians of a device
+    within r2 metres of each other are linked, and linked stops are one place. Both steps are joins and
+    aggregates, so a device with very many points is spread over tasks.
+    """
+    moved = haversine(F.col("prev_longitude"), F.col("prev_latitude"), F.col("longitude"), F.col("latitude")) * 1000
+    gap = F.col("timestamp") - F.col("prev_timestamp")
+    points = cut(runs(pings, ["device_aid"], order, (moved > r1) | (gap > t_max),
+                      ["latitude", "longitude", "timestamp"], "run"))
+    key = ["device_aid", "run"]
+    size = points.groupBy(*key).agg(
+        F.count(F.lit(1)).alias("size"), (F.max("timestamp") - F.min("timestamp")).alias("length"))
+    kept = size.where((F.col("size") >= min_size) & (F.col("length") >= min_stay)).select(*key)
+    points = cut(points.join(kept, key, "left_semi"))  # read many times below
+    stops = cut(
+        quantiles.median(points, key, "latitude", "lat").join(quantiles.median(points, key, "longitude", "lng"), key)
+        .withColumnRenamed("run", "node")
+    )
+    labels = components.link_within(stops, ["device_aid"], "node", "lat", "lng", r2)
+    places = stops.join(labels, ["device_aid", "node"])
+    centre = quantiles.median(places, ["device_aid", "loc"], "lat", "stop_latitude").join(
+        quantiles.median(places, ["device_aid", "loc"], "lng", "stop_longitude"), ["device_aid", "loc"])
+    return (
+        points.join(labels.withColumnRenamed("node", "run"), key).join(centre, ["device_aid", "loc"])
+        .withColumnRenamed("run", "interval")
+    )
+
+
+def stays_from_points(points: DataFrame) -> DataFrame:
+    """One row per run of stop points."""
+    first = F.min_by(F.struct("loc", "stop_latitude", "stop_longitude"), F.col("timestamp"))
+    return (
+        points.groupBy("device_aid", "interval")
+        .agg(first.alias("f"), F.min("timestamp").alias("start"), F.max("timestamp").alias("end"), F.count(F.lit(1)).alias("size"))
+        .select("device_aid", "interval", "f.loc", "start", "end", F.col("f.stop_latitude").alias("latitude"),
+                F.col("f.stop_longitude").alias("longitude"), "size")
+    )
+
+
+def stay_stats(stays: DataFrame, by: list[str], dur: str = "dur", over: float = 720) -> DataFrame:
+    """Range, median and share of long stays, per parameter setting."""
+    base = stays.groupBy(*by).agg(
+        F.min(dur).alias("dur_min"), F.max(dur).alias("dur_max"), F.count(F.lit(1)).alias("n"),
+        F.avg((F.col(dur) > over).cast("int")).alias("share_long"))
+    return base.join(quantiles.median(stays, by, dur, "dur_median"), by)
+
+
+def stay_times(stays: DataFrame) -> DataFrame:
+    """Timestamps and duration in minutes from epoch seconds."""
+    return stays.withColumns({
+        "datetime": F.timestamp_seconds("start"), "leaving_datetime": F.timestamp_seconds("end"),
+        "dur": (F.col("end") - F.col("start")) / 60})
+
+
+def zone_names(stays: DataFrame, box: dict[str, float], home_zone: str, polygons: DataFrame | None = None) -> DataFrame:
+    """Time zone name of a point: the home zone inside its box, a polygon lookup elsewhere, dropped if unknown."""
+    inside = F.col("lat").between(box["south"], box["north"]) & F.col("lng").between(box["west"], box["east"])
+    local = stays.where(inside).withColumn("tzname", F.lit(home_zone))
+    if polygons is None:
+        return local
+    from copresence.operators.spatial import pip_join
+    away = pip_join(stays.where(~inside), polygons, "lng", "lat", "tzname", cell=1.0)
+    return local.unionByName(away)
+
+
+def to_local(df: DataFrame, utc: str, tz: str, name: str) -> DataFrame:
+    """Wall-clock time in each row's own zone."""
+    return df.withColumn(name, F.from_utc_timestamp(F.col(utc).cast("timestamp"), F.col(tz)).cast("timestamp_ntz"))
+
+
+def enrich_time(df: DataFrame, seasons: list[tuple[str, str | None]], start: str = "localtime",
+                end: str = "leaving_localtime") -> DataFrame:
+    """Decimal start hour, season flags and weekday flags at both ends; season bounds are strict."""
+
+    def holiday(c: str) -> Column:
+        flag = F.lit(False)
+        for lo, hi in seasons:
+            inside = F.col(c) > F.lit(lo).cast("timestamp_ntz")
+            if hi is not None:
+                inside = inside & (F.col(c) < F.lit(hi).cast("timestamp_ntz"))
+            flag = flag | inside
+        return flag.cast("int")
+
+    def weekday(c: str) -> Column:
+        return (~F.dayofweek(c).isin(1, 7)).cast("int")
+
+    return df.withColumns({
+        "h_s": F.hour(start) + F.minute(start) / 60, "holiday_s": holiday(start), "holiday_e": holiday(end),
+        "weekday_s": weekday(start), "weekday_e": weekday(end)})
+
+
+def add_dates(df: DataFrame, start: str = "localtime", end: str = "leaving_localtime") -> DataFrame:
+    d0, d1 = F.to_date(start), F.to_date(end)
+    return df.withColumns({"date": d0, "date_e": d1, "month": F.month(start), "cross_day": (d0 != d1).cast("int")})
+
+
+def add_seq(stops: DataFrame, slot: str, order: list[str]) -> DataFrame:
+    return ordered.number(stops, ["uid"], slot, order, "seq")
+
+
+def user_stats(stops: DataFrame, start: str = "localtime", end: str = "leaving_localtime") -> DataFrame:
+    """Distinct places, active days (start and end dates), stays and median stay of each person."""
+    dated = stops.select("uid", "loc", "dur", F.to_date(start).alias("d0"), F.to_date(end).alias("d1"))
+    days = (
+        dated.select("uid", F.explode(F.array_distinct(F.array("d0", "d1"))).alias("d")).distinct()
+        .groupBy("uid").agg(F.count(F.lit(1)).alias("num_days"))
+    )
+    counts = dated.groupBy("uid", "loc").agg(F.count(F.lit(1)).alias("n")).groupBy("uid").agg(
+        F.count(F.lit(1)).alias("num_loc"), F.sum("n").alias("num_stays"))
+    return counts.join(days, "uid").join(quantiles.median(dated, ["uid"], "dur", "dur_median"), "uid")
+
+
+def monthly(stops: DataFrame) -> DataFrame:
+    people = stops.select(F.month("localtime").alias("month"), "uid").groupBy("month", "uid").agg(F.count(F.lit(1)).alias("n"))
+    return people.groupBy("month").agg(F.sum("n").alias("stays"), F.count(F.lit(1)).alias("devices"))
+
+
+def label_pings(pings: DataFrame, stays: DataFrame, t: str = "timestamp", slot_s: int = 6 * HOUR) -> DataFrame:
+    """Attach to each ping the stay of the same person that contains it.
+
+    Stays are listed under every time slot they touch, so the range join becomes an equi join on (person, slot).
+    """
+    touched = F.sequence(F.floor(F.col("start") / slot_s), F.floor(F.col("end") / slot_s))
+    spread = stays.withColumn("_slot", F.explode(touched))
+    p = pings.withColumn("_slot", F.floor(F.col(t) / slot_s))
+    return p.join(spread, ["device_aid", "_slot"]).where(F.col(t).between(F.col("start"), F.col("end"))).drop("_slot")
+
+
+def flag_home(stops: DataFrame, home: DataFrame) -> DataFrame:
+    """1 where the stay is at the person's home coordinates."""
+    h = home.select("uid", F.col("home_lat").alias("lat"), F.col("home_lng").alias("lng"), F.lit(1).alias("home"))
+    return stops.join(h, ["uid", "lat", "lng"], "left").withColumn("home", F.coalesce("home", F.lit(0)))
