@@ -180,6 +180,17 @@ class Tables:
         z = self.zones.select("deso", ice.alias("ice_r"))
         return self.weights.join(z, "deso").withColumn("grp_r", labels.group_r(F.col("ice_r"), 0.35, 0.45))
 
+    @cached_property
+    def cases(self) -> DataFrame:
+        """One row per line item: two measures, an integer weight and three categories."""
+        price = F.col("l_extendedprice") / 1000
+        return self.read("lineitem").select(
+            F.col("l_orderkey").alias("oid"), F.col("l_linenumber").alias("line"), F.col("l_partkey").alias("pid"),
+            F.col("l_returnflag").alias("grp"),
+            F.col("l_linestatus").alias("status"), price.alias("x"), (price * (1 - F.col("l_discount"))).alias("y"),
+            F.col("l_quantity").alias("w"), F.col("l_discount").alias("disc"), F.col("l_tax").alias("tax"),
+            (F.col("l_suppkey") % 25).cast("int").alias("zone"), (F.col("l_partkey") % 2).cast("int").alias("g"))
+
     @cached_property
     def links(self) -> DataFrame:
         return self.bins.groupBy("uid", F.col("loc").alias("zone")).agg(F.sum("wt_total").alias("weight"))
@@ -265,6 +276,9 @@ CTES: dict[str, str] = {
         CAST(o_orderdate AS DATE) AS date FROM lineitem JOIN orders ON l_orderkey = o_orderkey""",
     "groups": """SELECT *, CASE WHEN ice_r > 0.45e0 THEN 'D' WHEN ice_r < 0.35e0 THEN 'F' ELSE 'N' END AS grp_r FROM (
         SELECT w.uid, w.deso, w.wt_p, (z.birth_se - z.birth_other)*1.0e0/z.pop AS ice_r FROM weights w JOIN zones z USING (deso))""",
+    "cases": """SELECT l_orderkey AS oid, l_linenumber AS line, l_partkey AS pid, l_returnflag AS grp, l_linestatus AS status,
+        l_extendedprice/1000 AS x, l_extendedprice/1000*(1-l_discount) AS y, l_quantity AS w, l_discount AS disc, l_tax AS tax,
+        CAST(l_suppkey%25 AS INTEGER) AS zone, CAST(l_partkey%2 AS INTEGER) AS g FROM lineitem""",
     "links": "SELECT uid, loc AS zone, sum(wt_total) AS weight FROM bins GROUP BY 1, 2",
 }
 CTES["bins"] = """SELECT * EXCLUDE (b64), CAST(b64 AS INTEGER) AS time_seq FROM (SELECT v.*, unnest(CASE WHEN whi IS NULL
