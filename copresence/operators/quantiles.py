@@ -32,7 +32,7 @@ def _located(df: DataFrame, by: list[str], x: str, w: str, probs: list[float], c
         .agg(F.sum("_w").alias("_s"), F.min(first).alias("_first"), F.max(last).alias("_last"))
         .withColumn("_hi", F.sum("_s").over(ordered.rowsBetween(Window.unboundedPreceding, 0)))
         .withColumn("_lo", F.coalesce(F.sum("_s").over(ordered.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0.0)))
-        .withColumn("_all", F.sum("_s").over(group))
+        .withColumn("_all", F.max("_hi").over(group))
         .withColumn("_prev", F.lag("_last").over(ordered))
         .withColumn("_next", F.lead("_first").over(ordered))
         .withColumn("prob", F.explode(F.array(*[F.lit(float(p)) for p in probs])))
@@ -50,7 +50,8 @@ def _inside(rows: DataFrame, targets: DataFrame, by: list[str]) -> DataFrame:
     win = Window.partitionBy(*keys, "prob").orderBy("_x")
     return (
         picked.withColumn("_at", F.col("_lo") + F.sum("_s1").over(win.rowsBetween(Window.unboundedPreceding, 0)))
-        .withColumn("_after", F.coalesce(F.lead("_x").over(win), F.col("_next")["_x"]))
+        .withColumn("_later", F.lead("_x").over(win))
+        .withColumn("_after", F.coalesce("_later", F.col("_next")["_x"]))
     )
 
 
@@ -58,8 +59,10 @@ def wquantile_ecdf(df: DataFrame, by: list[str], x: str, w: str, probs: list[flo
     """Smallest value whose cumulative weight reaches p*W; on equality the mean of it and the next value."""
     cuts = split_points(df, x) if cuts is None else cuts
     rows, pieces = _located(df, by, x, w, probs, cuts)
-    targets = pieces.where((F.col("_lo") < F.col("_t")) & (F.col("_t") <= F.col("_hi")))
-    hit = _inside(rows, targets, by).where(F.col("_at") >= F.col("_t"))
+    starts = (F.col("_lo") < F.col("_t")) | F.col("_prev").isNull()
+    targets = pieces.where(starts & (F.col("_t") <= F.col("_hi")))
+    # the last value of the piece always counts: its running sum may miss the piece total by rounding
+    hit = _inside(rows, targets, by).where((F.col("_at") >= F.col("_t")) | F.col("_later").isNull())
     value = F.when((F.col("_at") == F.col("_t")) & F.col("_after").isNotNull(),
                    (F.col("_x") + F.col("_after")) / 2).otherwise(F.col("_x"))
     return hit.groupBy(*by, "prob").agg(F.min_by(value, F.col("_x")).alias("value"))
@@ -95,7 +98,10 @@ def wquantile_interp(df: DataFrame, by: list[str], x: str, w: str, probs: list[f
         .withColumn("_l", F.col("_at") - F.col("_wl") / 2)
         .withColumn("_xb", F.lead("_x").over(win))
         .withColumn("_fb", F.lead("_f").over(win))
-        .where((F.col("_f") <= F.col("_t")) & (F.col("_xb").isNull() | (F.col("_t") < F.col("_fb"))))
+        .withColumn("_xa", F.lag("_x").over(win))
+        # the first value of the piece always counts: its knot may miss the piece's by rounding
+        .where(((F.col("_f") <= F.col("_t")) | F.col("_xa").isNull())
+               & (F.col("_xb").isNull() | (F.col("_t") < F.col("_fb"))))
     )
     part = (F.col("_t") - F.col("_l")) / (F.col("_fb") - F.col("_l"))
     value = F.when(F.col("_t") <= F.col("_l"), F.col("_x")) \
