@@ -11,6 +11,7 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from copresence.functions import draws, indices
 from copresence.functions.distance import planar
+from copresence.functions.labels import tag_tier
 
 Picker = Callable[[list[Column]], Column]
 
@@ -43,8 +44,9 @@ def _spots(pois: DataFrame, cols: list[str]) -> DataFrame:
 
 def _lowest_tier(pairs: DataFrame, key: list[str], what: list[str]) -> DataFrame:
     """Per key the candidates of the lowest tier present, with the number of places behind each."""
-    best = pairs.groupBy(*key, *what, "px", "py", "ptag").agg(F.min("tier").alias("tier"), F.first("places").alias("places"))
-    units = best.groupBy(*key, "tier", *what).agg(F.sum("places").alias("places"))
+    # a pair may share several classes; it counts once, at its lowest tier
+    once = pairs.where(F.col("tier") == tag_tier(F.col("tag"), F.col("ptag")))
+    units = once.groupBy(*key, "tier", *what).agg(F.sum("places").alias("places"))
     low = units.groupBy(*key).agg(F.min("tier").alias("tier"))
     return units.join(low, [*key, "tier"])
 

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, functions as F
 
 from copresence.functions import indices
 from copresence.operators import ordered, quantiles
+from copresence.session import cut
 
 TIME = ["weekday", "holiday"]
 
@@ -41,7 +42,7 @@ def _sums(people: DataFrame, cell: list[str], share_a, share_b) -> DataFrame:
 def place_metrics(bins: DataFrame, persons: DataFrame, unit: str, attrs: list[str], share_a=None, share_b=None) -> DataFrame:
     """`zone_indices` plus the interpolated weighted median of each visitor attribute."""
     cell = [*TIME, unit, "time_seq"]
-    people = presence(bins, unit).join(persons, "uid")
+    people = cut(presence(bins, unit).join(persons, "uid"))  # read by the sums and by the medians
     base = _sums(people, cell, share_a, share_b)
     # attributes belong to persons: one value per person, so visits only contribute weights
     stacked = F.explode(F.array(*[F.struct(F.lit(a).alias("attr"), F.col(a).cast("double").alias("v")) for a in attrs]))

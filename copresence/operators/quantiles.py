@@ -11,104 +11,92 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 from copresence.operators.ordered import piece_of, split_points
 
 
-def _located(df: DataFrame, by: list[str], x: str, w: str, probs: list[float], cuts: list[float],
-             w_min: str | None = None, w_max: str | None = None):
-    """Rows with their piece, and per (group, piece, probability) the running weights and the edge rows.
+def _group(by: list[str]):
+    return Window.partitionBy(*by) if by else Window.partitionBy(F.lit(0))
 
-    A row may stand for several rows of one value: `w` is then their sum, `w_min`/`w_max` their extremes.
-    """
-    rows = (
-        df.select(*by, F.col(x).cast("double").alias("_x"), F.col(w).cast("double").alias("_w"),
-                  F.col(w_min or w).cast("double").alias("_wmin"), F.col(w_max or w).cast("double").alias("_wmax"))
+
+def _weighted(df: DataFrame, by: list[str], x: str, w: str, *more: str) -> DataFrame:
+    named = {"_x": x, "_w": w, **dict(zip(("_wmin", "_wmax"), more))}
+    return (
+        df.select(*by, *[F.col(c).cast("double").alias(n) for n, c in named.items()])
         .where(F.col("_x").isNotNull() & ~F.isnan("_x") & (F.col("_w") > 0))
-        .withColumn("_piece", piece_of(F.col("_x"), cuts))
     )
-    group = Window.partitionBy(*by) if by else Window.partitionBy(F.lit(0))
-    ordered = group.orderBy("_piece")
-    first = F.struct("_x", F.col("_wmin").alias("_w"))
-    last = F.struct("_x", F.col("_wmax").alias("_w"))
-    pieces = (
-        rows.groupBy(*by, "_piece")
-        .agg(F.sum("_w").alias("_s"), F.min(first).alias("_first"), F.max(last).alias("_last"))
-        .withColumn("_hi", F.sum("_s").over(ordered.rowsBetween(Window.unboundedPreceding, 0)))
+
+
+def _located(pieces: DataFrame, by: list[str], probs: list[float]) -> DataFrame:
+    """Running weight around each piece and the wanted weight of each probability."""
+    ordered = _group(by).orderBy("_piece")
+    return (
+        pieces.withColumn("_hi", F.sum("_s").over(ordered.rowsBetween(Window.unboundedPreceding, 0)))
         .withColumn("_lo", F.coalesce(F.sum("_s").over(ordered.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0.0)))
-        .withColumn("_all", F.max("_hi").over(group))
-        .withColumn("_prev", F.lag("_last").over(ordered))
-        .withColumn("_next", F.lead("_first").over(ordered))
+        .withColumn("_all", F.max("_hi").over(_group(by)))
+        .withColumn("_px", F.lag("_last").over(ordered)).withColumn("_nx", F.lead("_first").over(ordered))
         .withColumn("prob", F.explode(F.array(*[F.lit(float(p)) for p in probs])))
         .withColumn("_t", F.col("prob") * F.col("_all"))
     )
-    return rows, pieces
 
 
-def _inside(rows: DataFrame, targets: DataFrame, by: list[str]) -> DataFrame:
-    """Distinct values of the wanted pieces with running weight."""
+def wquantile_ecdf(df: DataFrame, by: list[str], x: str, w: str, probs: list[float], cuts: list[float] | None = None):
+    """Smallest value whose cumulative weight reaches p*W; on equality the mean of it and the next value."""
+    cuts = split_points(df, x) if cuts is None else cuts
     keys = [*by, "_piece"]
-    values = rows.groupBy(*keys, "_x").agg(
-        F.sum("_w").alias("_s1"), F.min("_wmin").alias("_wf"), F.max("_wmax").alias("_wl"))
-    picked = values.join(targets.select(*keys, "prob", "_t", "_lo", "_prev", "_next"), keys)
+    values = _weighted(df, by, x, w).withColumn("_piece", piece_of(F.col("_x"), cuts)).groupBy(*keys, "_x").agg(F.sum("_w").alias("_s1"))
+    pieces = _located(values.groupBy(*keys).agg(F.sum("_s1").alias("_s"), F.min("_x").alias("_first"), F.max("_x").alias("_last")), by, probs)
+    starts = (F.col("_lo") < F.col("_t")) | F.col("_px").isNull()
+    targets = pieces.where(starts & (F.col("_t") <= F.col("_hi"))).select(*keys, "prob", "_t", "_lo", "_nx")
     win = Window.partitionBy(*keys, "prob").orderBy("_x")
-    return (
-        picked.withColumn("_at", F.col("_lo") + F.sum("_s1").over(win.rowsBetween(Window.unboundedPreceding, 0)))
+    hit = (
+        values.join(targets, keys)
+        .withColumn("_at", F.col("_lo") + F.sum("_s1").over(win.rowsBetween(Window.unboundedPreceding, 0)))
         .withColumn("_later", F.lead("_x").over(win))
-        .withColumn("_after", F.coalesce("_later", F.col("_next")["_x"]))
+        # the last value of the piece always counts: its running sum may miss the piece total by rounding
+        .where((F.col("_at") >= F.col("_t")) | F.col("_later").isNull())
     )
-
-
-def wquantile_ecdf(df: DataFrame, by: list[str], x: str, w: str, probs: list[float], cuts: list[float] | None = None):
-    """Smallest value whose cumulative weight reaches p*W; on equality the mean of it and the next value."""
-    cuts = split_points(df, x) if cuts is None else cuts
-    rows, pieces = _located(df, by, x, w, probs, cuts)
-    starts = (F.col("_lo") < F.col("_t")) | F.col("_prev").isNull()
-    targets = pieces.where(starts & (F.col("_t") <= F.col("_hi")))
-    # the last value of the piece always counts: its running sum may miss the piece total by rounding
-    hit = _inside(rows, targets, by).where((F.col("_at") >= F.col("_t")) | F.col("_later").isNull())
-    value = F.when((F.col("_at") == F.col("_t")) & F.col("_after").isNotNull(),
-                   (F.col("_x") + F.col("_after")) / 2).otherwise(F.col("_x"))
-    return hit.groupBy(*by, "prob").agg(F.min_by(value, F.col("_x")).alias("value"))
+    after = F.coalesce("_later", "_nx")
+    value = F.when((F.col("_at") == F.col("_t")) & after.isNotNull(), (F.col("_x") + after) / 2).otherwise(F.col("_x"))
+    return hit.withColumn("_v", value).groupBy(*by, "prob").agg(F.min_by("_v", "_x").alias("value"))
 
 
 def wquantile_interp(df: DataFrame, by: list[str], x: str, w: str, probs: list[float], cuts: list[float] | None = None,
                      w_min: str | None = None, w_max: str | None = None):
     """Linear interpolation over knots (cumulative weight minus half the own weight)/W, clamped at the ends.
 
-    Rows with equal values are ordered by weight, so only the first and last row of a value set knots.
+    Rows with equal values are ordered by weight, so only the first and last row of a value set knots. A row may
+    itself stand for several rows of one value: `w` is then their sum, `w_min` and `w_max` their extremes.
     """
     cuts = split_points(df, x) if cuts is None else cuts
-    rows, pieces = _located(df, by, x, w, probs, cuts, w_min, w_max)
-    first_knot = F.col("_lo") + F.col("_first")["_w"] / 2
-    last_knot = F.col("_hi") - F.col("_last")["_w"] / 2
-    prev_knot = F.col("_lo") - F.col("_prev")["_w"] / 2
-    pieces = pieces.withColumns({"_kf": first_knot, "_kl": last_knot, "_kp": prev_knot})
-    between = pieces.where(
-        (F.col("_t") < F.col("_kf")) & (F.col("_prev").isNull() | (F.col("_t") > F.col("_kp")))
-        | ((F.col("_t") > F.col("_kl")) & F.col("_next").isNull())
-    )
-    step = (F.col("_t") - F.col("_kp")) / (F.col("_kf") - F.col("_kp"))
-    direct = F.when(F.col("_t") > F.col("_kl"), F.col("_last")["_x"]) \
-        .when(F.col("_prev").isNull(), F.col("_first")["_x"]) \
-        .otherwise(F.col("_prev")["_x"] + step * (F.col("_first")["_x"] - F.col("_prev")["_x"]))
-    outside = between.select(*by, "prob", direct.alias("value"))
-
-    targets = pieces.where((F.col("_kf") <= F.col("_t")) & (F.col("_t") <= F.col("_kl")))
-    win = Window.partitionBy(*by, "_piece", "prob").orderBy("_x")
+    keys = [*by, "_piece"]
+    rows = _weighted(df, by, x, w, w_min or w, w_max or w).withColumn("_piece", piece_of(F.col("_x"), cuts))
+    values = rows.groupBy(*keys, "_x").agg(F.sum("_w").alias("_s1"), F.min("_wmin").alias("_wf"), F.max("_wmax").alias("_wl"))
+    pieces = _located(values.groupBy(*keys).agg(
+        F.sum("_s1").alias("_s"), F.min("_x").alias("_first"), F.max("_x").alias("_last"),
+        F.min_by("_wf", "_x").alias("_w0"), F.max_by("_wl", "_x").alias("_w1")), by, probs)
+    before = F.lag("_w1").over(Window.partitionBy(*by, "prob").orderBy("_piece"))
+    pieces = pieces.withColumns({"_kf": F.col("_lo") + F.col("_w0") / 2, "_kl": F.col("_hi") - F.col("_w1") / 2, "_kp": F.col("_lo") - before / 2})
+    t = F.col("_t")
+    below = (t < F.col("_kf")) & (F.col("_px").isNull() | (t > F.col("_kp")))
+    above = (t > F.col("_kl")) & F.col("_nx").isNull()
+    inside = (F.col("_kf") <= t) & (t <= F.col("_kl"))
+    step = (t - F.col("_kp")) / (F.col("_kf") - F.col("_kp"))
+    # between two pieces, or outside all knots, the edges of the pieces are enough
+    direct = F.when(above, F.col("_last")).when(below & F.col("_px").isNull(), F.col("_first")).when(
+        below, F.col("_px") + step * (F.col("_first") - F.col("_px")))
+    look = F.when(direct.isNull(), F.col("_piece"))  # null keys find nothing
+    wanted = pieces.where(below | above | inside).select(*by, look.alias("_look"), "prob", "_t", "_lo", direct.alias("_direct"))
+    win = Window.partitionBy(*by, "_look", "prob").orderBy("_x")
     knots = (
-        _inside(rows, targets, by)
-        .withColumn("_f", F.col("_at") - F.col("_s1") + F.col("_wf") / 2)
-        .withColumn("_l", F.col("_at") - F.col("_wl") / 2)
-        .withColumn("_xb", F.lead("_x").over(win))
-        .withColumn("_fb", F.lead("_f").over(win))
-        .withColumn("_xa", F.lag("_x").over(win))
+        wanted.join(values.withColumnRenamed("_piece", "_look"), [*by, "_look"], "left")
+        .withColumn("_at", F.col("_lo") + F.sum("_s1").over(win.rowsBetween(Window.unboundedPreceding, 0)))
+        .withColumn("_f", F.col("_at") - F.col("_s1") + F.col("_wf") / 2).withColumn("_l", F.col("_at") - F.col("_wl") / 2)
+        .withColumn("_xb", F.lead("_x").over(win)).withColumn("_fb", F.lead("_f").over(win)).withColumn("_xa", F.lag("_x").over(win))
         # the first value of the piece always counts: its knot may miss the piece's by rounding
-        .where(((F.col("_f") <= F.col("_t")) | F.col("_xa").isNull())
-               & (F.col("_xb").isNull() | (F.col("_t") < F.col("_fb"))))
+        .where(F.col("_direct").isNotNull() | ((F.col("_f") <= t) | F.col("_xa").isNull()) & (F.col("_xb").isNull() | (t < F.col("_fb"))))
     )
-    part = (F.col("_t") - F.col("_l")) / (F.col("_fb") - F.col("_l"))
-    value = F.when(F.col("_t") <= F.col("_l"), F.col("_x")) \
-        .when(F.col("_xb").isNull(), F.col("_x")) \
-        .otherwise(F.col("_x") + part * (F.col("_xb") - F.col("_x")))
-    inside = knots.groupBy(*by, "prob").agg(F.min_by(value, F.col("_x")).alias("value"))
-    return outside.unionByName(inside)
+    part = (t - F.col("_l")) / (F.col("_fb") - F.col("_l"))
+    value = F.when(F.col("_direct").isNotNull(), F.col("_direct")).when((t <= F.col("_l")) | F.col("_xb").isNull(), F.col("_x")).otherwise(
+        F.col("_x") + part * (F.col("_xb") - F.col("_x")))
+    rank = F.coalesce("_x", F.lit(0.0))  # a direct result is a single row without a value row
+    return knots.select(*by, "prob", value.alias("_v"), rank.alias("_x")).groupBy(*by, "prob").agg(F.min_by("_v", "_x").alias("value"))
 
 
 def wmedian_of_sums(df: DataFrame, by: list[str], x: str, cuts: list[float]) -> DataFrame:
@@ -158,6 +146,14 @@ def median(df: DataFrame, by: list[str], x: str, name: str, cuts: list[float] |
     return quantiles(df, by, x, [0.5], cuts).select(*by, F.col("value").alias(name))
 
 
+def medians(df: DataFrame, by: list[str], cols: list[str]) -> DataFrame:
+    """Plain medians of several columns in one pass."""
+    stacked = F.explode(F.array(*[F.struct(F.lit(c).alias("_col"), F.col(c).cast("double").alias("_val")) for c in cols]))
+    long = df.select(*by, stacked.alias("_s")).select(*by, "_s.*")
+    q = quantiles(long, [*by, "_col"], "_val", [0.5], split_points(long, "_val", 32 * len(cols)))
+    return q.groupBy(*by).agg(*[F.max(F.when(F.col("_col") == c, F.col("value"))).alias(c) for c in cols])
+
+
 def group_stats(df: DataFrame, by: list[str], x: str, w: str, cuts: list[float] | None = None) -> DataFrame:
     """Weighted quartiles and mean by group."""
     q = wide(wquantile_ecdf(df, by, x, w, [0.25, 0.5, 0.75], cuts), by, {0.25: "q25", 0.5: "q50", 0.75: "q75"})

@@ -70,13 +70,12 @@ def detect_stops(pings: DataFrame, order: list[str], r1: float = 30, r2: float =
     kept = size.where((F.col("size") >= min_size) & (F.col("length") >= min_stay)).select(*key)
     points = cut(points.join(kept, key, "left_semi"))  # read many times below
     stops = cut(
-        quantiles.median(points, key, "latitude", "lat").join(quantiles.median(points, key, "longitude", "lng"), key)
-        .withColumnRenamed("run", "node")
+        quantiles.medians(points, key, ["latitude", "longitude"])
+        .withColumnsRenamed({"run": "node", "latitude": "lat", "longitude": "lng"})
     )
     labels = components.link_within(stops, ["device_aid"], "node", "lat", "lng", r2)
-    places = stops.join(labels, ["device_aid", "node"])
-    centre = quantiles.median(places, ["device_aid", "loc"], "lat", "stop_latitude").join(
-        quantiles.median(places, ["device_aid", "loc"], "lng", "stop_longitude"), ["device_aid", "loc"])
+    centre = quantiles.medians(stops.join(labels, ["device_aid", "node"]), ["device_aid", "loc"], ["lat", "lng"]).withColumnsRenamed(
+        {"lat": "stop_latitude", "lng": "stop_longitude"})
     return (
         points.join(labels.withColumnRenamed("node", "run"), key).join(centre, ["device_aid", "loc"])
         .withColumnRenamed("run", "interval")

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, functions as F
 
 from copresence.operators import ordered
+from copresence.session import cut
 
 
 def parse_clock(date: Column, hhmm: Column) -> Column:
@@ -46,19 +47,18 @@ def trips_to_activities(trips: DataFrame, slot: str, order: list[str]) -> DataFr
     cols = ["dep", "arr", "purpose", "origin", "desti", "date"]
     chained = ordered.following(trips.select("sub_id", *cols, *dict.fromkeys(c for c in [slot, *order] if c not in cols)),
                                 ["sub_id"], slot, order, ["dep"])
-    row = F.struct(*cols)
-    ends = trips.groupBy("sub_id").agg(F.min_by(row, F.struct(*order)).alias("a"), F.max_by(row, F.struct(*order)).alias("b"))
-    d_end = F.to_date("b.arr")
-    same = F.col("a.date") == d_end
+    first_row, last_row = F.min_by(F.struct("date", "dep"), F.struct(*order)), F.max_by("arr", F.struct(*order))
+    ends = trips.groupBy("sub_id").agg(F.min(F.struct(*order)).alias("_o"), first_row.alias("a"), F.to_date(last_row).alias("_d"))
+    same = F.col("a.date") == F.col("_d")
     ends = ends.select(
-        "sub_id", "a", F.when(same, F.col("a.date")).otherwise(F.date_sub(d_end, 1)).cast("timestamp_ntz").alias("t0"),
-        F.when(same, F.date_add(d_end, 1)).otherwise(d_end).cast("timestamp_ntz").alias("t1"))
-    first = ends.select("sub_id", F.col("t0").alias("act_start"), F.col("a.dep").alias("act_end"), F.lit(0).alias("purpose"),
-                        F.col("a.origin").alias("zone"))
-    rest = chained.join(ends.select("sub_id", "t1"), "sub_id").select(
-        "sub_id", F.col("arr").alias("act_start"), F.coalesce("next_dep", "t1").alias("act_end"),
-        F.when(F.col("next_dep").isNull(), 0).otherwise(F.col("purpose")).alias("purpose"), F.col("desti").alias("zone"))
-    acts = first.unionByName(rest).withColumn("dur", F.timestamp_diff("SECOND", F.col("act_start"), F.col("act_end")) / 60)
+        "sub_id", "_o", F.when(same, F.col("a.date")).otherwise(F.date_sub("_d", 1)).cast("timestamp_ntz").alias("t0"),
+        F.when(same, F.date_add("_d", 1)).otherwise(F.col("_d")).cast("timestamp_ntz").alias("t1"))
+    act = lambda a, b, p, z: F.struct(a.alias("act_start"), b.alias("act_end"), p.alias("purpose"), z.alias("zone"))
+    after = act(F.col("arr"), F.coalesce("next_dep", "t1"), F.when(F.col("next_dep").isNull(), 0).otherwise(F.col("purpose")), F.col("desti"))
+    before = act(F.col("t0"), F.col("dep"), F.lit(0), F.col("origin"))
+    rows = chained.join(ends, "sub_id")
+    acts = rows.select("sub_id", F.inline(F.when(F.struct(*order) == F.col("_o"), F.array(before, after)).otherwise(F.array(after))))
+    acts = cut(acts.withColumn("dur", F.timestamp_diff("SECOND", F.col("act_start"), F.col("act_end")) / 60))  # read twice below
     bad = acts.where(F.col("dur") <= 0).select("sub_id").distinct()
     label = F.when(F.col("purpose") == 0, "Home").when(F.col("purpose") == 2, "Work").when(F.col("purpose") == 3, "School").otherwise("Other")
     minute = lambda c: F.hour(c) * 60 + F.minute(c)
