@@ -92,3 +92,14 @@ def _(t: Tables):
 @query("record_weights", "E8", f"SELECT sid, {rd('wt')} AS wt, {rd('wt_total')} AS wt_total FROM visits")
 def _(t: Tables):
     return t.visits.select("sid", r6("wt").alias("wt"), r6("wt_total").alias("wt_total"))
+
+
+@query("zone_model_table", "J20 E33", f"""SELECT unit AS deso, m.weekday, m.holiday, count(*) AS half_hours, {rd('sum(ice_birth*num_visits_wt)/sum(num_visits_wt)')} AS ice_e,
+    {rd('any_value(z.birth_se)*1.0e0/any_value(z.pop)')} AS native, any_value(a.cum_jobs) AS cum_jobs, {rd('any_value(a.car_ownership)')} AS car_ownership
+    FROM metrics m JOIN zones z ON z.deso = unit JOIN access a ON a.deso = unit GROUP BY 1, 2, 3""", cells=cells_sql("deso"), metrics=METRICS)
+def _(t: Tables):
+    w = F.col("num_visits_wt")
+    per_zone = metrics(t).groupBy("deso", "weekday", "holiday").agg(
+        F.count(F.lit(1)).alias("half_hours"), (F.sum(F.col("ice_birth") * w) / F.sum(w)).alias("ice_e"))
+    side = t.zones.select("deso", (F.col("birth_se") / F.col("pop")).alias("native")).join(t.access.select("deso", "cum_jobs", "car_ownership"), "deso")
+    return rounded(per_zone.join(side, "deso"), "ice_e", "native", "car_ownership")

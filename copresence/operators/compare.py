@@ -406,5 +406,5 @@ def type_tempo(bins: DataFrame, kind: str, w: str) -> DataFrame:
 
 def type_stats(person_types: DataFrame, kind: str, x: str, w: str, by: list[str]) -> DataFrame:
     """Median of a person per type (and replicate), then weighted quartiles per group and type."""
-    person = person_types.groupBy("uid", kind, w, *by).agg(F.median(x).alias(x))  # half hours of one person
+    person = quantiles.median(person_types, ["uid", kind, w, *by], x, x)
     return quantiles.group_stats(person, [kind, *by], x, w)

@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
 from copresence.functions.distance import haversine
+from copresence.operators import ordered
 from copresence.session import cut
 
 METRES_PER_DEGREE = 111_195.0  # of latitude on a sphere of 6371 km
@@ -41,8 +42,8 @@ def link_within(points: DataFrame, by: list[str], node: str, lat: str, lng: str,
         .join(cells.withColumnRenamed("v", "a"), [*by, "cy", "cx"]).select(*by, "a", "b")
     )
     comp = components(cells.select(*by, "v"), edges, by)
-    order = Window.partitionBy(*by).orderBy("root")  # one row per place of a key
-    roots = comp.select(*by, "root").distinct().withColumn(name, F.row_number().over(order))
+    places = comp.select(*by, "root").distinct().withColumn("_slot", F.floor(F.col("root") / 10000))
+    roots = ordered.number(places, by, "_slot", ["root"], name).select(*by, "root", F.col(name).cast("int").alias(name))
     labelled = cells.join(comp.join(roots, [*by, "root"]), [*by, "v"]).select(*by, "cy", "cx", name)
     placed = points.withColumn("cy", F.floor(F.col(lat) / step)).withColumn("cx", F.floor(F.col(lng) / width(F.col("cy"))))
     return placed.join(labelled, [*by, "cy", "cx"]).select(*by, node, name)

@@ -78,30 +78,43 @@ def graph_stats(edges: DataFrame) -> DataFrame:
     return d
 
 
-def walks(edges: DataFrame, n: int = 10, length: int = 20, p: float = 1.0, q: float = 1.0, seed: int = 0) -> DataFrame:
+def step_index(out_edges: DataFrame) -> DataFrame:
+    """Edges laid out for drawing: each node's weight range is cut into as many equal shelves as it has edges, and an
+    edge is listed on every shelf it touches. A draw then meets about two edges, however large the node is."""
+    cum = _laid_out(out_edges)
+    shelf = F.col("total") / F.col("degree")
+    top = F.col("degree") - 1
+    on = lambda x: F.least(F.greatest(F.floor(x / shelf), F.lit(0)), top)
+    return cum.withColumn("shelf", F.explode(F.sequence(on(F.col("lo")), on(F.col("hi")))))
+
+
+def walks(edges: DataFrame, n: int = 10, length: int = 20, p: float = 1.0, q: float = 1.0, seed: int = 0, tries: int = 8) -> DataFrame:
     """Biased second-order random walks from every node: (start, walk, step, node).
 
-    All walkers advance together, one join per step. A step is drawn by the smallest exponential -log(u)/weight over the
-    neighbours, an aggregate that combines before the shuffle: no neighbour list is built, hot nodes included. With
-    p = q = 1 the bias is 1 and the look-up of the previous node's neighbours is left out.
+    All walkers advance together. A step proposes a neighbour in proportion to edge weight through `step_index`, and
+    takes it with probability bias / largest bias; walkers whose proposals all fail propose again. The result is an
+    exact draw, and a step costs a few rows per walker whatever the degree. With p = q = 1 every proposal is taken.
     """
     out_edges = cut(both_ways(edges).groupBy("u", "v").agg(F.sum("weight").alias("weight")))
-    starts = out_edges.select(F.col("u").alias("start")).distinct().withColumn("walk", F.explode(F.sequence(F.lit(1), F.lit(n))))
-    now = starts.select("start", "walk", F.lit(0).alias("step"), F.col("start").alias("node"), F.lit(None).cast(out_edges.schema["u"].dataType).alias("last"))
+    index = cut(step_index(out_edges))
+    totals = cut(index.groupBy("u").agg(F.max("total").alias("total"), F.max("degree").alias("degree")))
+    node = out_edges.schema["u"].dataType
+    plain = p == 1.0 and q == 1.0
+    now = totals.select(F.col("u").alias("start"), F.explode(F.sequence(F.lit(1), F.lit(n))).alias("walk")).select(
+        "start", "walk", F.lit(0).alias("step"), F.col("start").alias("node"), F.lit(None).cast(node).alias("last"))
     steps = [now]
     for i in range(1, length):
-        reach = now.select("start", "walk", "last", F.col("node").alias("u")).join(out_edges, "u")
-        if p == 1.0 and q == 1.0:
-            bias = F.lit(1.0)
-        else:
-            near = out_edges.select(F.col("u").alias("last"), "v", F.lit(True).alias("_near"))
-            reach = reach.join(near, ["last", "v"], "left")
-            bias = F.when(F.col("last").isNull(), 1.0).when(F.col("v") == F.col("last"), 1.0 / p).when(F.col("_near"), 1.0).otherwise(1.0 / q)
-        u = draws.uniform([F.col("start"), F.col("walk"), F.col("v")], seed * 1009 + i)
-        clock = -F.log(u) / (F.col("weight") * bias)
-        now = cut(reach.groupBy("start", "walk").agg(
-            F.min_by(F.struct("v", "u"), F.struct(clock, F.col("v"))).alias("m")).select(
-            "start", "walk", F.lit(i).alias("step"), F.col("m.v").alias("node"), F.col("m.u").alias("last")))
+        moved, waiting, tried = None, now.select("start", "walk", "last", F.col("node").alias("u")), 0
+        while True:
+            got = cut(_proposals(waiting, index, totals, out_edges, plain, p, q, 1 if plain else tries, tried, seed * 1009 + i))
+            moved = got if moved is None else moved.unionByName(got)
+            if plain:
+                break
+            tried += tries
+            waiting = cut(waiting.join(got, ["start", "walk"], "left_anti"))
+            if not waiting.take(1):
+                break
+        now = moved.withColumn("step", F.lit(i))
         steps.append(now)
     out = steps[0]
     for s in steps[1:]:
@@ -109,6 +122,40 @@ def walks(edges: DataFrame, n: int = 10, length: int = 20, p: float = 1.0, q: fl
     return out.drop("last")
 
 
+def _laid_out(out_edges: DataFrame) -> DataFrame:
+    """Every edge with its weight range [lo, hi) inside its node, neighbours in order, hubs cut into pieces."""
+    pieces = out_edges.withColumn("_p", F.pmod(F.xxhash64("v"), F.lit(64)))
+    per_node = Window.partitionBy("u")
+    below = per_node.orderBy("_p").rowsBetween(Window.unboundedPreceding, -1)
+    sums = pieces.groupBy("u", "_p").agg(F.sum("weight").alias("_s"), F.count(F.lit(1)).alias("_n")).select(
+        "u", "_p", F.coalesce(F.sum("_s").over(below), F.lit(0.0)).alias("_below"),
+        F.sum("_s").over(per_node).alias("total"), F.sum("_n").over(per_node).alias("degree"))
+    near = F.sum("weight").over(Window.partitionBy("u", "_p").orderBy("v").rowsBetween(Window.unboundedPreceding, 0))
+    out = pieces.withColumn("_near", near).join(sums, ["u", "_p"])
+    hi = F.col("_below") + F.col("_near")
+    return out.select("u", "v", "total", "degree", (hi - F.col("weight")).alias("lo"), hi.alias("hi"))
+
+
+def _proposals(waiting: DataFrame, index: DataFrame, totals: DataFrame, out_edges: DataFrame, plain: bool, p: float, q: float,
+               tries: int, first: int, seed: int) -> DataFrame:
+    """The first accepted proposal of each waiting walker, if it has one."""
+    keys = [F.col("start"), F.col("walk"), F.col("try")]
+    drawn = waiting.withColumn("try", F.explode(F.sequence(F.lit(first), F.lit(first + tries - 1)))).join(totals, "u").withColumn(
+        "t", draws.uniform(keys, seed) * F.col("total")).withColumn(
+        "shelf", F.least(F.floor(F.col("t") / (F.col("total") / F.col("degree"))), F.col("degree") - 1))
+    met = drawn.join(index.select("u", "v", "lo", "hi", "shelf"), ["u", "shelf"])
+    # rounding may leave a sliver between two ranges or make them overlap: the nearest range on the shelf is taken
+    gap = F.greatest(F.col("lo") - F.col("t"), F.col("t") - F.col("hi"), F.lit(0.0))
+    one = met.groupBy("start", "walk", "try").agg(F.min_by(F.struct("v", "u", "last"), F.struct(gap, "lo")).alias("m")).select("start", "walk", "try", "m.*")
+    if not plain:
+        near = out_edges.select(F.col("u").alias("last"), "v", F.lit(True).alias("_near"))
+        one = one.join(near, ["last", "v"], "left")
+        bias = F.when(F.col("v") == F.col("last"), 1.0 / p).when(F.col("_near"), 1.0).otherwise(1.0 / q)
+        accept = F.col("last").isNull() | (draws.uniform(keys, seed + 7919) * max(1.0, 1.0 / p, 1.0 / q) <= bias)
+        one = one.where(accept).groupBy("start", "walk").agg(F.min_by(F.struct("v", "u"), "try").alias("m")).select("start", "walk", "m.*")
+    return one.select("start", "walk", F.col("v").alias("node"), F.col("u").alias("last"))
+
+
 def pair_counts(walked: DataFrame, window: int = 5) -> DataFrame:
     """How often two nodes stand within `window` steps of each other on a walk (skip-gram pairs)."""
     shift = F.explode(F.sequence(F.lit(1), F.lit(window)))

@@ -29,10 +29,8 @@ def mobility_metrics(stops: DataFrame, home: DataFrame, slot: str, order: list[s
         F.sqrt(F.sum(F.col("n") * spread * spread) / F.sum("n")).alias("radius_of_gyration"),
         F.first("number_of_locations").alias("number_of_locations"))
     to_home = haversine(F.col("home_lng"), F.col("home_lat"), F.col("lng"), F.col("lat"))
-    near = (
-        spots.join(home.select("uid", "home_lat", "home_lng"), "uid")
-        .groupBy("uid").agg(F.percentile(to_home, F.lit(0.5), F.col("n")).alias("median_distance_from_home"))
-    )
+    homeward = spots.join(home.select("uid", "home_lat", "home_lng"), "uid").select("uid", "n", to_home.alias("d"))
+    near = quantiles.quantiles(homeward, ["uid"], "d", [0.5], n="n").select("uid", F.col("value").alias("median_distance_from_home"))
     path = path_length(stops, slot, order).withColumn(
         "average_displacement", F.try_divide(F.col("distance"), F.col("number_of_visits") - 1)).drop("distance")
     return path.join(gyration, "uid").join(near, "uid")

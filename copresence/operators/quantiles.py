@@ -105,12 +105,17 @@ def wmedian_of_sums(df: DataFrame, by: list[str], x: str, cuts: list[float]) ->
     return out.select(*by, "value")
 
 
-def quantiles(df: DataFrame, by: list[str], x: str, probs: list[float], cuts: list[float] | None = None):
-    """Plain quantiles with linear interpolation between order statistics (position p*(n-1))."""
+def quantiles(df: DataFrame, by: list[str], x: str, probs: list[float], cuts: list[float] | None = None, n: str | None = None):
+    """Plain quantiles with linear interpolation between order statistics (position p*(n-1)).
+
+    With `n`, a row stands for that many equal values.
+    """
     cuts = split_points(df, x) if cuts is None else cuts
+    copies = F.lit(1) if n is None else F.col(n)
     counted = (
-        df.select(*by, F.col(x).cast("double").alias("_x")).where(F.col("_x").isNotNull() & ~F.isnan("_x"))
-        .groupBy(*by, "_x").agg(F.count(F.lit(1)).alias("_n")).withColumn("_piece", piece_of(F.col("_x"), cuts))
+        df.select(*by, F.col(x).cast("double").alias("_x"), copies.cast("long").alias("_c"))
+        .where(F.col("_x").isNotNull() & ~F.isnan("_x"))
+        .groupBy(*by, "_x").agg(F.sum("_c").alias("_n")).withColumn("_piece", piece_of(F.col("_x"), cuts))
     )
     group = Window.partitionBy(*by) if by else Window.partitionBy(F.lit(0))
     ordered = group.orderBy("_piece")
