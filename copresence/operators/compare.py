@@ -96,11 +96,11 @@ def normal_tail(z: pd.Series) -> pd.Series:
     return z.map(lambda v: None if v is None or math.isnan(v) else math.erfc(v / math.sqrt(2)) / 2).astype(float)
 
 
-def signed_rank(df: DataFrame, by: list[str], x: str, copies: str) -> DataFrame:
+def signed_rank(df: DataFrame, by: list[str], x: str, copies: str, cuts: list[float] | None = None) -> DataFrame:
     """Signed-rank sums of counted values, zeros left out, with the tie-corrected normal score."""
     v = df.where(F.col(x) != 0).withColumn("_a", F.abs(x))
     n_pos = F.sum(F.when(F.col(x) > 0, F.col(copies)).otherwise(0))
-    cum = ordered.cumulate(v, by, "_a", {"n": F.sum(copies), "pos": n_pos})
+    cum = ordered.cumulate(v, by, "_a", {"n": F.sum(copies), "pos": n_pos}, cuts)
     rank = F.col("n_lt") + (F.col("n") + 1) / 2
     n = F.col("_n").cast("double")
     out = cum.groupBy(*by).agg(
@@ -117,7 +117,8 @@ def boot_wilcoxon(df: DataFrame, by: list[str], x: str, w: str, baseline: float,
     total = df.groupBy(*by).agg(F.sum(w).alias("_w"), F.count(F.lit(1)).alias("_rows"))
     rated = _by(df.select(*dict.fromkeys([*by, x, w, *keys])), total, by)
     r = replicates(rated, keys, n, seed, F.col("_rows") * F.col(w) / F.col("_w")).withColumn("_v", F.col(x) - baseline)
-    test = signed_rank(r, [*by, "sim"], "_v", "copies")
+    cuts = ordered.split_points(df.select(F.abs(F.col(x) - baseline).alias("_a")), "_a")  # from the rows, not their copies
+    test = signed_rank(r, [*by, "sim"], "_v", "copies", cuts)
     z = {"greater": F.col("z"), "less": -F.col("z")}.get(side, F.abs("z"))
     p = normal_tail(z) * (1 if side in ("greater", "less") else 2)
     t_min = F.least("t_plus", F.col("n") * (F.col("n") + 1) / 2 - F.col("t_plus"))

@@ -29,9 +29,9 @@ def fill_bins(df: DataFrame, by: list[str], zero: dict[str, float], first: int =
     if by:
         keys = df.select(*by).distinct()
     else:
-        keys = df.sparkSession.range(1).select()
+        keys = df.sparkSession.range(1).select(F.lit(0).alias("_all"))
     frame = keys.withColumn(name, F.explode(F.sequence(F.lit(first), F.lit(first + BINS - 1))))
-    return frame.join(df, [*by, name], "left").fillna(zero)
+    return frame.join(df, [*by, name], "left").fillna(zero).drop("_all")
 
 
 def activity_profiles(stops: DataFrame) -> DataFrame:

@@ -41,3 +41,9 @@ def test_text_forms(spark):
     rows = df.select(time_bins.span_bins(text.parse_span(F.col("s"))).alias("b"), text.expand_counter(F.col("c")).alias("e")).collect()
     assert rows[0].b == [3, 4, 5] and sorted(rows[0].e) == ["z1", "z1", "z2"]
     assert rows[1].b == [1, 2, 47, 48] and rows[1].e == []
+
+
+def test_profile_of_everybody(spark):
+    df = spark.createDataFrame([(0.0, 29.0), (0.1, 29.0), (10.0, 20.0)], "h_s double, dur double")
+    t = {r.half_hour: r.freq for r in profiles.tempo(df, [], norm=True).collect()}
+    assert len(t) == 48 and t[0] == 1.0 and t[1] == 0.5 and t[20] == 0.5 and t[30] == 0.0
