@@ -2,10 +2,11 @@
 
 from pyspark.sql import functions as F
 
-from catalog.exposure_queries import MIX
+from catalog.compare_queries import stats_sql
 from catalog.fixtures import TAGS, Tables, r6, rd, rounded
 from catalog.place_queries import SHARES, home_counts, ice_sql, shares
 from catalog.registry import query
+from catalog.table_queries import PT
 from copresence.functions import labels
 from copresence.operators import compare, experienced, nullmodel, place, spatial
 
@@ -204,3 +205,13 @@ def _(t: Tables):
     means = s.groupBy("uid", "sim").agg(r6(F.avg("ice_birth")).alias("ice_e"))
     base = t.groups.select("uid", r6("ice_r").alias("ice_r"), "grp_r")
     return grp.join(means, ["uid", "sim"]).join(base, "uid", "left").dropna()
+
+
+@query("home_distance_by_type", "E57", f"""SELECT * FROM ({stats_sql('met', 'poi_type, grp_r', 'd2h', 'wt_p')}) JOIN (SELECT poi_type, grp_r, count(DISTINCT osm_id) AS places FROM met GROUP BY 1, 2) USING (poi_type, grp_r)""",
+       **NULLS, met=f"""SELECT {PT} AS poi_type, g.grp_r, s.osm_id, g.wt_p, sqrt((s.x-h.hx)*(s.x-h.hx)+(s.y-h.hy)*(s.y-h.hy)) AS d2h FROM mov s JOIN home_points h USING (uid) JOIN groups g ON g.uid = s.uid""")
+def _(t: Tables):
+    from copresence.functions.poi_types import POI_TYPES
+    from copresence.operators import cleaning, mobility
+    visits = cleaning.map_values(moving(t), "tag", POI_TYPES, "poi_type")
+    out = mobility.d2h_by_type(visits, t.home_points.select("uid", "hx", "hy"), t.groups.select("uid", "wt_p", "grp_r"))
+    return rounded(out, "q25", "q50", "q75", "avg")

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, functions as F
 
-from copresence.functions.distance import haversine
+from copresence.functions.distance import haversine, planar
 from copresence.operators import ordered, quantiles
 
 
@@ -49,3 +49,12 @@ def share_within(df: DataFrame, by: list[str], value: str, name: str) -> DataFra
         return df.withColumn(name, F.col(value) / df.agg(F.sum(value)).scalar())
     totals = df.groupBy(*by).agg(F.sum(value).alias("_total"))
     return df.join(totals, by).withColumn(name, F.try_divide(F.col(value).cast("double"), F.col("_total"))).drop("_total")
+
+
+def d2h_by_type(visits: DataFrame, homes: DataFrame, people: DataFrame, kind: str = "poi_type", place: str = "osm_id") -> DataFrame:
+    """Distance from home to visited places by place type and group: weighted quartiles, mean and distinct places."""
+    d = planar(F.col("x"), F.col("y"), F.col("hx"), F.col("hy"))
+    met = visits.where(F.col(kind).isNotNull()).join(homes, "uid").join(people, "uid").select(kind, "grp_r", place, "wt_p", d.alias("d2h"))
+    met = met.dropna(subset=["d2h"])
+    places = met.select(kind, "grp_r", place).distinct().groupBy(kind, "grp_r").agg(F.count(F.lit(1)).alias("places"))
+    return quantiles.group_stats(met, [kind, "grp_r"], "d2h", "wt_p").join(places, [kind, "grp_r"])
