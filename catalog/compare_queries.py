@@ -24,7 +24,7 @@ KNOT = """SELECT grp, status, x, w, sum(w) OVER o - w/2 AS k, sum(w) OVER (PARTI
 @query("interpolated_quantiles", "E15 K3", f"""SELECT grp, status, p AS prob, {rd('''max(CASE WHEN k2 IS NULL AND k <= p*tot THEN x
     WHEN rn = 1 AND k >= p*tot THEN x WHEN k <= p*tot AND k2 > p*tot THEN x + (p*tot-k)/(k2-k)*(x2-x) END)''')} AS value FROM (
     SELECT *, unnest([0.1e0, 0.5e0, 0.9e0]) AS p FROM (SELECT *, lead(x) OVER o AS x2, lead(k) OVER o AS k2, row_number() OVER o AS rn FROM knot
-    WINDOW o AS (PARTITION BY grp, status ORDER BY x, w))) GROUP BY 1, 2, 3""", knot=KNOT)
+    WINDOW o AS (PARTITION BY grp, status ORDER BY x, w, k))) GROUP BY 1, 2, 3""", knot=KNOT)
 def _(t: Tables):
     return rounded(quantiles.wquantile_interp(t.cases, ["grp", "status"], "x", "w", [0.1, 0.5, 0.9]), "value")
 

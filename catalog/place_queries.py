@@ -58,7 +58,7 @@ def _median_cte(a: str) -> str:
     return f"""(SELECT weekday, holiday, deso, time_seq, max(CASE WHEN k2 IS NULL AND k <= tot/2 THEN x
         WHEN first AND k >= tot/2 THEN x WHEN k <= tot/2 AND k2 > tot/2 THEN x + (tot/2-k)/(k2-k)*(x2-x) END) AS {a}
         FROM (SELECT *, lead(x) OVER o AS x2, lead(k) OVER o AS k2, row_number() OVER o = 1 AS first FROM ({KNOTS.format(a=a)})
-        WINDOW o AS (PARTITION BY weekday, holiday, deso, time_seq ORDER BY x, w)) GROUP BY 1,2,3,4)"""
+        WINDOW o AS (PARTITION BY weekday, holiday, deso, time_seq ORDER BY x, w, k)) GROUP BY 1,2,3,4)"""
 
 
 _JOINS = " ".join(f"JOIN {_median_cte(a)} m{i} USING (weekday, holiday, deso, time_seq)" for i, a in enumerate(ATTRS))

@@ -126,7 +126,7 @@ PB = "SELECT weekday, holiday, deso_t AS time_seq, home_deso AS deso, ice, wt_p
 
 @query("home_grid_features", "E34", f"""SELECT deso, weekday, holiday, {rd('median(n)')} AS ind_count_place, {rd('median(nw)')} AS ind_count_wt_place, {rd('median(m)')} AS ice_birth_place, count(*) AS time_seq_count_place FROM (
     SELECT weekday, holiday, deso, time_seq, max(CASE WHEN k2 IS NULL AND k <= tot/2 THEN x WHEN first AND k >= tot/2 THEN x WHEN k <= tot/2 AND k2 > tot/2 THEN x + (tot/2-k)/(k2-k)*(x2-x) END) AS m, count(*) AS n, any_value(tot) AS nw
-    FROM (SELECT *, lead(x) OVER o AS x2, lead(k) OVER o AS k2, row_number() OVER o = 1 AS first FROM ({KNOTS.format(a='ice')}) WINDOW o AS (PARTITION BY weekday, holiday, deso, time_seq ORDER BY x, w)) GROUP BY 1, 2, 3, 4) GROUP BY 1, 2, 3""", gridexp=GRIDEXP, pb=PB)
+    FROM (SELECT *, lead(x) OVER o AS x2, lead(k) OVER o AS k2, row_number() OVER o = 1 AS first FROM ({KNOTS.format(a='ice')}) WINDOW o AS (PARTITION BY weekday, holiday, deso, time_seq ORDER BY x, w, k)) GROUP BY 1, 2, 3, 4) GROUP BY 1, 2, 3""", gridexp=GRIDEXP, pb=PB)
 def _(t: Tables):
     value = F.pmod(F.col("loc") * 37, F.lit(100)) / 50.0 - 1
     e = t.bins.groupBy("uid", "weekday", "holiday", "time_seq").agg(F.median(value).alias("ice_birth")).join(t.weights, "uid")
