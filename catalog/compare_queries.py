@@ -2,7 +2,7 @@
 
 from pyspark.sql import functions as F
 
-from catalog.fixtures import Tables, r6, rd, rounded
+from catalog.fixtures import Tables, r6, rd, rd3, rounded
 from catalog.registry import query
 from copresence.functions import indices, labels
 from copresence.operators import cleaning, compare, quantiles
@@ -59,11 +59,11 @@ def _(t: Tables):
 QC = "(SELECT quantile_cont(x, [0.0, 0.25, 0.5, 0.75, 1.0]) AS e FROM cases)"
 
 
-@query("quantile_bins", "B14 B15", f"""SELECT bin, count(*) AS n, {rd('sum(x)')} AS total FROM (SELECT x, CASE WHEN x >= e[1] AND x <= e[2] THEN 1 WHEN x > e[2] AND x <= e[3] THEN 2
+@query("quantile_bins", "B14 B15", f"""SELECT bin, count(*) AS n, {rd3('sum(x)')} AS total FROM (SELECT x, CASE WHEN x >= e[1] AND x <= e[2] THEN 1 WHEN x > e[2] AND x <= e[3] THEN 2
     WHEN x > e[3] AND x <= e[4] THEN 3 WHEN x > e[4] AND x <= e[5] THEN 4 END AS bin FROM cases, {QC}) GROUP BY 1""")
 def _(t: Tables):
     out = cleaning.qcut(t.cases, "x", [0.0, 0.25, 0.5, 0.75, 1.0], "bin")
-    return out.groupBy("bin").agg(F.count(F.lit(1)).alias("n"), r6(F.sum("x")).alias("total"))
+    return out.groupBy("bin").agg(F.count(F.lit(1)).alias("n"), F.round(F.sum("x"), 3).alias("total"))
 
 
 @query("weighted_quantile_bins", "B16", f"""SELECT c.grp, CASE WHEN x <= q25 THEN 'low' WHEN x <= q75 THEN 'mid' ELSE 'high' END AS bin, count(*) AS n

@@ -2,7 +2,7 @@
 
 from pyspark.sql import functions as F
 
-from catalog.fixtures import Tables, r6, rd, rounded
+from catalog.fixtures import Tables, r6, rd, rd3, rounded
 from catalog.place_queries import METRICS, cells_sql, home_counts, metrics, shares
 from catalog.registry import query
 from copresence.operators import experienced, mobility, place, stays
@@ -123,16 +123,16 @@ def _(t: Tables):
     return rounded(mix(t), "f", "d", "n")
 
 
-@query("person_contacts", "E61", f"SELECT uid, {rd('f')} AS f, {rd('d')} AS d, {rd('n')} AS n FROM contact", mix=MIX, contact=CONTACT)
+@query("person_contacts", "E61", f"SELECT uid, {rd3('f')} AS f, {rd3('d')} AS d, {rd3('n')} AS n FROM contact", mix=MIX, contact=CONTACT)
 def _(t: Tables):
-    return rounded(contact(t), "f", "d", "n")
+    return rounded(contact(t), "f", "d", "n", digits=3)
 
 
-@query("weighted_contacts", "E61", f"""SELECT l.uid, {rd('sum(coalesce(f,0)*w)')} AS f, {rd('sum(coalesce(d,0)*w)')} AS d, {rd('sum(coalesce(n,0)*w)')} AS n FROM
+@query("weighted_contacts", "E61", f"""SELECT l.uid, {rd3('sum(coalesce(f,0)*w)')} AS f, {rd3('sum(coalesce(d,0)*w)')} AS d, {rd3('sum(coalesce(n,0)*w)')} AS n FROM
     (SELECT uid, loc, time_seq, sum(wt_total) AS w FROM bins GROUP BY 1, 2, 3) l LEFT JOIN mix m USING (loc, time_seq) GROUP BY 1""", mix=MIX)
 def _(t: Tables):
     out = experienced.person_contact(place.links(t.bins, "loc", ["time_seq"]), mix(t), ["loc", "time_seq"], by_weight=True)
-    return rounded(out, "f", "d", "n")
+    return rounded(out, "f", "d", "n", digits=3)
 
 
 @query("contact_shares", "E62", f"SELECT uid, {rd('f')} AS f, {rd('d')} AS d, {rd('n')} AS n FROM shared", mix=MIX, contact=CONTACT, shared=SHARES)
@@ -150,12 +150,12 @@ def _(t: Tables):
     return rounded(experienced.typed_pairs(people, base), "wt_p", "value")
 
 
-@query("contacts_without_self", "E61", f"""SELECT c.uid, {rd("f - CASE WHEN grp_r='F' THEN wt_p*k ELSE 0 END")} AS f, {rd("d - CASE WHEN grp_r='D' THEN wt_p*k ELSE 0 END")} AS d,
-    {rd("n - CASE WHEN grp_r='N' THEN wt_p*k ELSE 0 END")} AS n FROM contact c JOIN groups g USING (uid) JOIN (SELECT uid, count(DISTINCT (loc, time_seq)) AS k FROM bins GROUP BY 1) USING (uid)""",
+@query("contacts_without_self", "E61", f"""SELECT c.uid, {rd3("f - CASE WHEN grp_r='F' THEN wt_p*k ELSE 0 END")} AS f, {rd3("d - CASE WHEN grp_r='D' THEN wt_p*k ELSE 0 END")} AS d,
+    {rd3("n - CASE WHEN grp_r='N' THEN wt_p*k ELSE 0 END")} AS n FROM contact c JOIN groups g USING (uid) JOIN (SELECT uid, count(DISTINCT (loc, time_seq)) AS k FROM bins GROUP BY 1) USING (uid)""",
        mix=MIX, contact=CONTACT)
 def _(t: Tables):
     n = t.bins.select("uid", "loc", "time_seq").distinct().groupBy("uid").agg(F.count(F.lit(1)).alias("cells"))
-    return rounded(experienced.without_self(contact(t), t.groups, n), "f", "d", "n")
+    return rounded(experienced.without_self(contact(t), t.groups, n), "f", "d", "n", digits=3)
 
 
 @query("time_shares_by_group", "E71", f"""SELECT kind, {rd("coalesce(max(s) FILTER (grp_r='D'),0)")} AS D, {rd("coalesce(max(s) FILTER (grp_r='F'),0)")} AS F,

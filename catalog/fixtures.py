@@ -36,8 +36,9 @@ def r6(c: Column | str) -> Column:
     return F.round(F.col(c) if isinstance(c, str) else c, 6)
 
 
-def rounded(df: DataFrame, *cols: str) -> DataFrame:
-    return df.withColumns({c: r6(c) for c in cols})
+def rounded(df: DataFrame, *cols: str, digits: int = 6) -> DataFrame:
+    """Six places; sums in the tens of thousands and more are compared at three, which is still ten digits or so."""
+    return df.withColumns({c: F.round(c, digits) for c in cols})
 
 
 class Tables:
@@ -204,8 +205,12 @@ def hav(lng1, lat1, lng2, lat2) -> str:
     return HAV.format(lng1=lng1, lat1=lat1, lng2=lng2, lat2=lat2)
 
 
-def rd(expr: str) -> str:
-    return f"(round({expr}, 6) + 0.0e0)"
+def rd(expr: str, digits: int = 6) -> str:
+    return f"(round({expr}, {digits}) + 0.0e0)"
+
+
+def rd3(expr: str) -> str:
+    return rd(expr, 3)
 
 
 _TAG_CASE = "CASE p_type " + " ".join(f"WHEN '{k}' THEN '{v}'" for k, v in TAGS.items()) + " END"

@@ -3,7 +3,7 @@
 from pyspark.sql import functions as F
 
 from catalog.compare_queries import stats_sql
-from catalog.fixtures import TAGS, Tables, r6, rd, rounded
+from catalog.fixtures import TAGS, Tables, r6, rd, rd3, rounded
 from catalog.place_queries import SHARES, home_counts, ice_sql, shares
 from catalog.registry import query
 from catalog.table_queries import PT
@@ -187,14 +187,14 @@ def _(t: Tables):
     return rounded(experienced.sim_mean(per_sim), "ice_birth")
 
 
-@query("replicate_links", "E59 E60 E61", f"""SELECT l.uid, CAST(l.sim AS INTEGER) AS sim, {rd('sum(l.w*m.f)')} AS f, {rd('sum(l.w*m.d)')} AS d, {rd('sum(l.w*m.n)')} AS n FROM simlinks l JOIN (
+@query("replicate_links", "E59 E60 E61", f"""SELECT l.uid, CAST(l.sim AS INTEGER) AS sim, {rd3('sum(l.w*m.f)')} AS f, {rd3('sum(l.w*m.d)')} AS d, {rd3('sum(l.w*m.n)')} AS n FROM simlinks l JOIN (
     SELECT unit, time_seq, sim, coalesce(sum(wt_p) FILTER (grp_r='F'), 0) AS f, coalesce(sum(wt_p) FILTER (grp_r='D'), 0) AS d, coalesce(sum(wt_p) FILTER (grp_r='N'), 0) AS n FROM simlinks JOIN groups USING (uid) GROUP BY 1, 2, 3) m
     USING (unit, time_seq, sim) GROUP BY 1, 2""", **NULLS,
        simlinks="SELECT b.uid, coalesce(d.unit_s, d.unit) AS unit, b.time_seq, d.sim, sum(b.wt_total) AS w FROM bins b JOIN drawn d ON d.sid = b.sid GROUP BY 1, 2, 3, 4")
 def _(t: Tables):
     links = place.links(sim_bins(t), "unit", ["time_seq", "sim"])
     mix = place.place_mix(links.join(t.groups.select("uid", "grp_r", "wt_p"), "uid"), ["unit", "time_seq", "sim"])
-    return rounded(experienced.person_contact(links, mix, ["unit", "time_seq", "sim"], True, ["sim"]), "f", "d", "n")
+    return rounded(experienced.person_contact(links, mix, ["unit", "time_seq", "sim"], True, ["sim"]), "f", "d", "n", digits=3)
 
 
 @query("replicate_person_table", "E76 B5")

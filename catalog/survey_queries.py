@@ -2,7 +2,7 @@
 
 from pyspark.sql import functions as F
 
-from catalog.fixtures import ATTRS, Tables, r6, rd, rounded
+from catalog.fixtures import ATTRS, Tables, r6, rd, rd3, rounded
 from catalog.place_queries import SHARES, ice_sql, shares
 from catalog.registry import query
 from copresence.operators import embeddings, graph, models, survey
@@ -82,9 +82,9 @@ def _(t: Tables):
     return graph.project(t.links)
 
 
-@query("summed_projection", "J2", f"SELECT u, v, {rd('sum(wu+wv)')} AS weight FROM pairs GROUP BY 1, 2", pairs=PAIRS)
+@query("summed_projection", "J2", f"SELECT u, v, {rd3('sum(wu+wv)')} AS weight FROM pairs GROUP BY 1, 2", pairs=PAIRS)
 def _(t: Tables):
-    return rounded(graph.project_sum(t.links), "weight")
+    return rounded(graph.project_sum(t.links), "weight", digits=3)
 
 
 def ice_edges(t: Tables):
@@ -114,9 +114,9 @@ def _(t: Tables):
     return graph.prune_index(sparse_edges(t))[1]
 
 
-@query("graph_degrees", "J5", f"SELECT node, count(*) AS degree, {rd('sum(weight)')} AS strength FROM (SELECT u AS node, weight FROM sparse UNION ALL SELECT v, weight FROM sparse) GROUP BY 1", sparse=SPARSE)
+@query("graph_degrees", "J5", f"SELECT node, count(*) AS degree, {rd3('sum(weight)')} AS strength FROM (SELECT u AS node, weight FROM sparse UNION ALL SELECT v, weight FROM sparse) GROUP BY 1", sparse=SPARSE)
 def _(t: Tables):
-    return rounded(graph.degrees(sparse_edges(t)), "strength")
+    return rounded(graph.degrees(sparse_edges(t)), "strength", digits=3)
 
 
 @query("graph_counts", "J5", f"SELECT count(*) AS nodes, CAST(sum(c)/2 AS BIGINT) AS edges, {rd('avg(c)')} AS mean_degree FROM (SELECT node, count(*) AS c FROM (SELECT u AS node FROM sparse UNION ALL SELECT v FROM sparse) GROUP BY 1)", sparse=SPARSE)
