@@ -13,6 +13,7 @@ from pyspark.sql import SparkSession  # noqa: E402
 
 from catalog import QUERIES  # noqa: E402
 from catalog.fixtures import Tables  # noqa: E402
+from copresence.session import use_local_folder  # noqa: E402
 
 HEADLINE = [
     "zone_halfhour_segregation", "zone_visitor_profile", "mixed_unit_segregation", "experienced_segregation", "place_group_mix",
@@ -33,6 +34,7 @@ def main() -> None:
         .config("spark.ui.enabled", "false").config("spark.ui.showConsoleProgress", "false").getOrCreate()
     )
     spark.sparkContext.setLogLevel("ERROR")
+    use_local_folder(spark)
     spark.range(1000).selectExpr("sum(id)").collect()
     took = {}
     for name in names:

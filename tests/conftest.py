@@ -14,8 +14,8 @@ def spark():
          .config("spark.ui.showConsoleProgress", "false").config("spark.sql.session.timeZone", "UTC").config("spark.driver.memory", "4g")
          .config("spark.sql.warehouse.dir", tempfile.mkdtemp(prefix="warehouse-")).getOrCreate())
     s.sparkContext.setLogLevel("ERROR")
-    from copresence.session import prepare
-    return prepare(s)
+    from copresence.session import prepare, use_local_folder
+    return prepare(use_local_folder(s))
 
 
 SF = "/root/testdata/sf0.001"
