@@ -29,7 +29,8 @@ def components(links: DataFrame) -> DataFrame:
     before the shuffle, so a node may have any number of links.
     """
     now = saved(_downward(links.select(F.col("a").alias("u"), F.col("b").alias("v"))), "links")
-    while True:
+    seen = _print(now)
+    while seen[0]:
         both = now.unionByName(now.select(F.col("v").alias("u"), F.col("u").alias("v")))
         low = saved(both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m")), "lows")
         large = both.join(low, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v"))
@@ -37,10 +38,10 @@ def components(links: DataFrame) -> DataFrame:
         low = saved(large.groupBy("u").agg(F.min("v").alias("m")), "lows")
         small = large.join(low, "u").where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
         new = saved(_downward(small.unionByName(low.withColumnRenamed("m", "v"))), "links")
-        if _print(new) == _print(now):
-            return new.select(F.col("u").alias("node"), F.col("v").alias("root")).unionByName(
-                new.select(F.col("v").alias("node"), F.col("v").alias("root")).distinct())
-        now = new
+        before, now, seen = seen, new, _print(new)
+        if seen == before:
+            break
+    return now.select(F.col("u").alias("node"), F.col("v").alias("root")).unionByName(now.select(F.col("v").alias("node"), F.col("v").alias("root")).distinct())
 
 
 def _downward(links: DataFrame) -> DataFrame:

@@ -1,10 +1,10 @@
 """Embedding near-dedup with a forest of random-projection trees.
 
 Only vectors with equal labels (and lengths) are compared. Equal vectors are one point. The points of a label are spread over cells
-that one task can hold: a cell that is too large is split again and again at the median of a random projection, with an overlap, in
-several independent ways. In each cell a forest is grown: recursive random splits with spill overlap down to small leaves,
-over many trees. A point's candidates are the members of its leaves; each is verified by cosine in double precision. A node whose points lie closer together
-than links reach is not split, since every split would cut links; its points are compared as a whole.
+that one task can hold: a cell that is too large is split again and again along random projections, with an overlap, in several independent ways. In each cell a forest is grown: recursive random splits with spill overlap down to small leaves,
+over many trees. A point's candidates are the members of its leaves; each is verified by cosine in double precision. A split is placed
+where few points lie, so that it passes by groups of near copies; a node that is mostly one such group is not split, since
+every split would cut links, and is compared as a whole.
 
 A task gives the number of links of each of its points and one component label for each, not the pairs. Pairs that share several cells
 are counted in the first of them only. The component labels of all cells are united in the end.
@@ -23,7 +23,8 @@ from copresence.llm.common import components, saved
 COSINE = 0.93
 TREES = 10
 LEAF = 192
-SPILL = 0.08
+#: Splits are sought on this grid of shares; the points of one step on either side of a split go both ways.
+GRID = [round(0.05 * i, 2) for i in range(1, 20)]
 #: Points of one cell, and independent ways of spreading a label that does not fit one.
 CELL = 12_000
 SPREADS = 6
@@ -36,16 +37,18 @@ def _direction(dim: int, *key) -> np.ndarray:
     return d / np.linalg.norm(d)
 
 
-def _close(cosine: float, dim: int) -> float:
-    """The spread (central 90 %) of projections of points of which most are linked: random points of a sphere have 3.3/sqrt(dim)."""
-    return 3.3 / np.sqrt(dim) * np.sqrt(1 - cosine)
+def _close(cosine: float) -> float:
+    """The width of the central 70 % of projections of points of which most are linked, times the root of the dimension; random points of
+    a sphere have 2.07."""
+    return 2.07 * float(np.sqrt(1 - cosine))
 
 
 # ---------------------------------------------------------------- inside a cell
 
-def leaves(points: np.ndarray, tree: tuple, cosine: float, leaf: int = LEAF, spill: float = SPILL) -> list[np.ndarray]:
+def leaves(points: np.ndarray, tree: tuple, cosine: float, leaf: int = LEAF) -> list[np.ndarray]:
     """Members of the leaves of one tree over unit vectors."""
     done, dim = [], points.shape[1]
+    share = np.minimum(GRID, 1 - np.array(GRID))[1:-1]
     todo = [(np.arange(len(points)), 1)]
     while todo:
         rows, node = todo.pop()
@@ -53,20 +56,21 @@ def leaves(points: np.ndarray, tree: tuple, cosine: float, leaf: int = LEAF, spi
             done.append(rows)
             continue
         x = points[rows] @ _direction(dim, *tree, node)
-        low, under, over, high = np.quantile(x, [0.05, 0.5 - spill, 0.5 + spill, 0.95])
-        left, right = rows[x <= over], rows[x >= under]
-        if high - low <= _close(cosine, dim) or max(len(left), len(right)) == len(rows):
+        q = np.quantile(x, GRID)
+        at = 1 + int(((q[2:] - q[:-2]) * share).argmax())
+        left, right = rows[x <= q[at + 1]], rows[x >= q[at - 1]]
+        if (q[16] - q[2]) * np.sqrt(dim) <= _close(cosine) or max(len(left), len(right)) == len(rows):
             done.append(rows)
         else:
             todo += [(left, 2 * node), (right, 2 * node + 1)]
     return done
 
 
-def compare(points: np.ndarray, weights: np.ndarray, sides: np.ndarray, places: np.ndarray, spread: int, cosine: float, name: str, trees: int = TREES) -> tuple[np.ndarray, np.ndarray]:
+def compare(points: np.ndarray, weights: np.ndarray, sides: np.ndarray, places: np.ndarray, cosine: float, name: str, trees: int = TREES) -> tuple[np.ndarray, np.ndarray]:
     """Per point the weight of its links and the first point of its component in this cell.
 
-    sides: two blocks of a cell too large for one task (only pairs across count), or all 0. places: (point, spread, k) cells that a point is
-    in, -1 where there is none; pairs that share one of an earlier spread are counted there.
+    sides: two blocks of a cell too large for one task (only pairs across count), or all 0. places: (point, k) cells that come before this one
+    and that the point is in too, -1 where there is none; pairs that share one are counted there.
     """
     n = len(points)
     across = len(np.unique(sides)) > 1
@@ -87,10 +91,9 @@ def compare(points: np.ndarray, weights: np.ndarray, sides: np.ndarray, places:
         member[i] = []
         near = others[points[others] @ points[i] >= cosine]
         near = near[near != i]
-        if spread and len(near):
-            before = places[near, :spread, :]
-            shared = (before[:, :, :, None] == places[i, :spread, None, :][None]) & (before[:, :, :, None] >= 0)
-            near = near[~shared.any(axis=(1, 2, 3))]
+        if places.shape[1] and len(near):
+            mine = places[i][places[i] >= 0]
+            near = near[~np.isin(places[near], mine).any(axis=1)]
         if len(near):
             found[i] = weights[near].sum()
             known = np.unique(root[np.append(near, i)])
@@ -101,10 +104,10 @@ def compare(points: np.ndarray, weights: np.ndarray, sides: np.ndarray, places:
 
 # ---------------------------------------------------------------- over the cluster
 
-def _cells(points: DataFrame, cosine: float, cell: int, spreads: int, spill: float) -> DataFrame:
+def _cells(points: DataFrame, cosine: float, cell: int, spreads: int) -> DataFrame:
     """(node, unit, weight, key, spread, cell, crowd): every point of each cell; crowd: the points of the cell.
 
-    A label within `cell` points is one cell. Others are split by medians over all their points, level by level, once per spread.
+    A label within `cell` points is one cell. Others are split by quantiles over all their points, level by level, once per spread.
     """
     sizes = points.groupBy("key").agg(F.count("*").alias("crowd"))
     whole = points.join(sizes, "key")
@@ -129,15 +132,15 @@ def _cells(points: DataFrame, cosine: float, cell: int, spreads: int, spill: flo
 
         open_ = saved(open_.withColumn("x", projected("unit", "key", "spread", "cell")), "cells")
         at = ["key", "spread", "cell"]
-        cuts = saved(open_.groupBy(*at).agg(
-            F.percentile_approx("x", [0.05, 0.5 - spill, 0.5 + spill, 0.95], 2000).alias("q"), F.max(F.size("unit")).alias("dim")), "cuts")
-        wide = (F.col("q")[3] - F.col("q")[0]) > F.lit(3.3 * np.sqrt(1 - cosine)) / F.sqrt("dim")
+        cuts = open_.groupBy(*at).agg(F.percentile_approx("x", GRID, 2000).alias("q"), F.max(F.size("unit")).alias("dim"))
+        q = F.col("q")
+        steps = F.array(*[F.struct(((q[i + 1] - q[i - 1]) * min(GRID[i], 1 - GRID[i])).alias("gain"), q[i - 1].alias("low"), q[i + 1].alias("high")) for i in range(1, len(GRID) - 1)])
+        cuts = saved(cuts.select(*at, F.array_max(steps).alias("cut"), ((q[16] - q[2]) * F.sqrt("dim") > F.lit(_close(cosine))).alias("wide")), "cuts")
         open_ = open_.join(cuts, at)
-        dense = open_.where(~wide).select(columns)
-        done = done.unionByName(dense)
+        done = done.unionByName(open_.where(~F.col("wide")).select(columns))
         side = F.array_compact(F.array(
-            F.when(F.col("x") <= F.col("q")[2], F.concat("cell", F.lit("0"))), F.when(F.col("x") >= F.col("q")[1], F.concat("cell", F.lit("1")))))
-        halves = open_.where(wide).withColumn("cell", F.explode(side)).drop("crowd")
+            F.when(F.col("x") <= F.col("cut.high"), F.concat("cell", F.lit("0"))), F.when(F.col("x") >= F.col("cut.low"), F.concat("cell", F.lit("1")))))
+        halves = open_.where("wide").withColumn("cell", F.explode(side)).drop("crowd")
         crowds = halves.groupBy(*at).agg(F.count("*").alias("crowd"))
         halves = saved(halves.join(crowds, at).select(columns), "cells")
         done = done.unionByName(halves.where(F.col("crowd") <= cell))
@@ -146,13 +149,12 @@ def _cells(points: DataFrame, cosine: float, cell: int, spreads: int, spill: flo
             return done
 
 
-def links(points: DataFrame, cosine: float = COSINE, cell: int = CELL, spreads: int = SPREADS, spill: float = SPILL, trees: int = TREES) -> DataFrame:
+def links(points: DataFrame, cosine: float = COSINE, cell: int = CELL, spreads: int = SPREADS, trees: int = TREES) -> DataFrame:
     """(node, links, root): per point of (node, unit, weight, key) the weight of its links and a point it is connected with, per cell."""
-    cells = saved(_cells(points, cosine, cell, spreads, spill), "all-cells")
-    places = (
-        cells.groupBy("node").agg(F.collect_set(F.struct("spread", F.xxhash64("key", "spread", "cell").bitwiseAND(F.lit(2**62 - 1)).alias("place"))).alias("places"))
-    )
-    placed = cells.join(saved(places, "places"), "node")
+    place = F.shiftleft(F.col("spread").cast("long"), 56) + F.xxhash64("key", "spread", "cell").bitwiseAND(F.lit(2**56 - 1))
+    cells = saved(_cells(points, cosine, cell, spreads).withColumn("place", place), "all-cells")
+    places = saved(cells.groupBy("node").agg(F.collect_set("place").alias("places")), "places")
+    placed = cells.join(places, "node").withColumn("places", F.filter("places", lambda p: p < F.col("place")))
     # a dense cell of any size: its points fall in blocks that one task can hold in twos
     blocks = F.ceil(F.col("crowd") / cell).cast("int")
     mine = F.pmod(F.xxhash64("node", F.lit(SEED)), blocks).cast("int")
@@ -164,17 +166,14 @@ def links(points: DataFrame, cosine: float = COSINE, cell: int = CELL, spreads:
         first = frame.iloc[0]
         frame = frame.sort_values("node", ignore_index=True)
         points = np.stack([np.asarray(u, float) for u in frame["unit"]])
-        most = max((sum(p["spread"] == s for p in places) for places in frame["places"] for s in range(first["spread"])), default=1)
-        held = np.full((len(frame), max(int(first["spread"]), 1), max(most, 1)), -1, np.int64)
+        held = np.full((len(frame), max(map(len, frame["places"]))), -1, np.int64)
         for i, places in enumerate(frame["places"]):
-            for s in range(first["spread"]):
-                own = [p["place"] for p in places if p["spread"] == s]
-                held[i, s, :len(own)] = own
+            held[i, :len(places)] = places
         same = first["one"] == first["two"]
         sides = np.zeros(len(frame), int) if same else frame["block"].to_numpy()
         if not same and len(np.unique(sides)) < 2:
             return pd.DataFrame({"node": [], "links": [], "root": []}).astype("int64")
-        found, root = compare(points, frame["weight"].to_numpy(np.int64), sides, held, int(first["spread"]), cosine, f"{first['key']}/{first['spread']}/{first['cell']}", trees)
+        found, root = compare(points, frame["weight"].to_numpy(np.int64), sides, held, cosine, f"{first['key']}/{first['spread']}/{first['cell']}", trees)
         nodes = frame["node"].to_numpy()
         return pd.DataFrame({"node": nodes, "links": found, "root": nodes[root]})
 
@@ -191,7 +190,7 @@ def _unit(vector: Column) -> Column:
 
 
 def near_groups(vectors: DataFrame, vec_id: str = "vec_id", vector: str = "embedding", label: str = "label", cosine: float = COSINE,
-                cell: int = CELL, spreads: int = SPREADS, spill: float = SPILL, trees: int = TREES) -> DataFrame:
+                cell: int = CELL, spreads: int = SPREADS, trees: int = TREES) -> DataFrame:
     """One row per vector: vec_id, n_links, component_id, kept.
 
     Vectors link at a cosine of `cosine` or more when their labels are equal and not null. Vectors that are null, empty, zero or hold null or
@@ -208,7 +207,7 @@ def near_groups(vectors: DataFrame, vec_id: str = "vec_id", vector: str = "embed
     groups = rows.where("sound").groupBy("label", "v").agg(F.count("*").alias("weight"), F.min("vec_id").alias("first"))
     groups = saved(groups.withColumn("node", F.monotonically_increasing_id()), "groups")
     points = saved(groups.select("node", "weight", F.concat_ws("/", F.size("v").cast("string"), "label").alias("key"), _unit(F.col("v")).alias("unit")), "points")
-    found = saved(links(points, cosine, cell, spreads, spill, trees), "found")
+    found = saved(links(points, cosine, cell, spreads, trees), "found")
     roots = saved(components(found.where("node <> root").select(F.col("node").alias("a"), F.col("root").alias("b"))), "roots")
     counts = found.groupBy("node").agg(F.sum("links").alias("links"))
     placed = groups.join(counts, "node").join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
