@@ -168,7 +168,7 @@ def windows_of(texts: list[bytes], size: int = WINDOW) -> tuple[np.ndarray, np.n
 def _codes(raw: np.ndarray, starts: np.ndarray, ends: np.ndarray, size: int) -> np.ndarray:
     at = starts + np.arange(size)[:, None]
     inside = at < ends
-    return np.where(inside, raw[np.minimum(at, len(raw) - 1)], _PAD).astype(np.intp)
+    return np.where(inside, raw[np.minimum(at, len(raw) - 1)].astype(np.intp), np.intp(_PAD))
 
 
 def predict(net: Network, texts: list[bytes], size: int = WINDOW) -> tuple[np.ndarray, np.ndarray]:
