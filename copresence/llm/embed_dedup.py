@@ -18,7 +18,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, functions as F
 
-from copresence.llm.common import components, saved
+from copresence.llm.common import components, counted, saved
 
 COSINE = 0.93
 TREES = 10
@@ -205,14 +205,14 @@ def near_groups(vectors: DataFrame, vec_id: str = "vec_id", vector: str = "embed
     )
     rows = rows.withColumn("sound", F.coalesce(sound, F.lit(False)))
     groups = rows.where("sound").groupBy("label", "v").agg(F.count("*").alias("weight"), F.min("vec_id").alias("first"))
-    groups = saved(groups.withColumn("node", F.monotonically_increasing_id()), "groups")
+    groups, seen = counted(groups.withColumn("node", F.monotonically_increasing_id()), "groups")
     points = saved(groups.select("node", "weight", F.concat_ws("/", F.size("v").cast("string"), "label").alias("key"), _unit(F.col("v")).alias("unit")), "points")
     found = saved(links(points, cosine, cell, spreads, trees), "found")
-    roots = saved(components(found.where("node <> root").select(F.col("node").alias("a"), F.col("root").alias("b"))), "roots")
+    roots = saved(components(found.where("node <> root").select(F.col("node").alias("a"), F.col("root").alias("b"))), "roots", seen["n"])
     counts = found.groupBy("node").agg(F.sum("links").alias("links"))
     placed = groups.join(counts, "node").join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
     low = placed.groupBy("root").agg(F.min("first").alias("component_id"))
-    named = saved(placed.join(low, "root").select("label", "v", (F.col("links") + F.col("weight") - 1).alias("n_links"), "component_id"), "named")
+    named = saved(placed.join(low, "root").select("label", "v", (F.col("links") + F.col("weight") - 1).alias("n_links"), "component_id"), "named", seen["n"])
     linked = rows.where("sound").join(named, ["label", "v"]).select("vec_id", "n_links", "component_id")
     alone = rows.where("not sound").select("vec_id", F.lit(0).cast("long").alias("n_links"), F.col("vec_id").alias("component_id"))
     return linked.unionByName(alone).withColumn("kept", F.col("vec_id").eqNullSafe(F.col("component_id")))

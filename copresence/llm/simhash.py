@@ -20,7 +20,7 @@ import pandas as pd
 import xxhash
 from pyspark.sql import Column, DataFrame, functions as F
 
-from copresence.llm.common import components, saved
+from copresence.llm.common import components, counted, saved
 
 SEED = 42
 WORDS = 3
@@ -79,8 +79,8 @@ def links(fps: DataFrame, max_bits: int = MAX_BITS, longest: int = LONGEST) -> D
     key = F.explode(F.array(*[
         F.struct(F.lit(n).alias("list"), F.shiftleft(_two(F.col("fp"), i), 16).bitwiseOR(_two(F.col("fp"), j)).alias("key"))
         for n, (i, j) in enumerate(_LISTS)])).alias("at")
-    filed = saved(fps.select("fp", key).select("fp", "at.*"), "postings")
-    sizes = saved(filed.groupBy("list", "key").agg(F.count("*").alias("n")).where("n > 1"), "list-sizes")
+    filed, seen = counted(fps.select("fp", key).select("fp", "at.*"), "postings")
+    sizes = saved(filed.groupBy("list", "key").agg(F.count("*").alias("n")).where("n > 1"), "list-sizes", seen["n"])
     short, long = (filed.join(sizes.where(c).drop("n"), ["list", "key"]) for c in (f"n <= {longest}", f"n > {longest}"))
     a, b = F.col("a"), F.col("b")
     pairs = (
@@ -98,8 +98,9 @@ def _by_neighbours(long: DataFrame, max_bits: int) -> DataFrame:
         masks = [_signed(1 << b) for b in bits] if max_bits else []
         free = F.when(F.col("list") == n, F.array(*[F.lit(m).cast("long") for m in [0, *masks]])).otherwise(free)
     near = long.select("fp", F.explode(free).alias("mask")).select("fp", fp.bitwiseXOR(F.col("mask")).alias("near"))
-    near = saved(near.distinct(), "neighbours")
-    least = saved(near.groupBy("near").agg(F.min("fp").alias("b"), F.count("*").alias("n")).where("n > 1").drop("n"), "centres")
+    near, seen = counted(near, "neighbours")
+    least = near.groupBy("near").agg(F.min("fp").alias("b"), F.max("fp").alias("other")).where("b < other").drop("other")
+    least = saved(least, "centres", seen["n"])
     met = near.join(least, "near").where("fp <> b").select(fp.alias("a"), "b")
     return met.where(differing(F.col("a"), F.col("b")) <= max_bits)
 
@@ -120,15 +121,15 @@ def near_groups(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", max
     rows = saved(
         docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text"))
         .mapInPandas(_fingerprints, "doc_id long, fp long"), "fingerprints")
-    fps = saved(rows.groupBy("fp").agg(F.min("doc_id").alias("first"), F.count("*").alias("n_same")), "distinct")
-    roots = saved(components(links(fps.select("fp"), max_bits, longest)), "roots")
+    fps, seen = counted(rows.groupBy("fp").agg(F.min("doc_id").alias("first"), F.count("*").alias("n_same")), "distinct")
+    roots = saved(components(links(fps.select("fp"), max_bits, longest)), "roots", seen["n"])
     placed = fps.join(roots.withColumnRenamed("node", "fp"), "fp", "left").withColumn("root", F.coalesce("root", "fp"))
     # only components of several fingerprints are summed up again
     linked = placed.join(roots.select(F.col("node").alias("fp")), "fp", "left_semi")
-    low = saved(linked.groupBy("root").agg(F.min("first").alias("low")), "component-ids")
+    low = saved(linked.groupBy("root").agg(F.min("first").alias("low")), "component-ids", seen["n"])
     named = saved(
         placed.join(low, "root", "left").select("fp", "n_same", F.when(F.col("low").isNotNull(), F.col("low")).otherwise(F.col("first")).alias("component_id")),
-        "named")
+        "named", seen["n"])
     return rows.join(named, "fp").select(
         "doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id", "n_same",
         F.coalesce(F.col("doc_id") == F.col("component_id"), F.col("component_id").isNull()).alias("kept"))
