@@ -1,5 +1,100 @@
-"""The same queries as SQL, where SQL can say them."""
+"""The same queries as SQL, where SQL can say them.
+
+XXH64 fingerprints, byte-pair merges, file round trips and trained models are not SQL: those queries are tested by brute force.
+"""
 
 from __future__ import annotations
 
-ORACLE: dict[str, str] = {}
+_SPACE = r"[\x20\x09-\x0D]"
+
+EMBEDDINGS = """
+WITH RECURSIVE sound AS (
+    SELECT vec_id, label, CAST(embedding AS DOUBLE[]) AS v FROM embeddings
+    WHERE vec_id IS NOT NULL AND label IS NOT NULL AND len(embedding) > 0 AND len(list_filter(embedding, x -> x IS NULL OR NOT isfinite(x))) = 0
+      AND len(list_filter(embedding, x -> x <> 0)) > 0
+), link AS (
+    SELECT a.vec_id AS a, b.vec_id AS b FROM sound a JOIN sound b ON a.label = b.label AND len(a.v) = len(b.v) AND a.vec_id <> b.vec_id
+    WHERE list_cosine_similarity(a.v, b.v) >= 0.93
+), reach(a, b) AS (
+    SELECT vec_id, vec_id FROM embeddings UNION SELECT reach.a, link.b FROM reach JOIN link ON reach.b = link.a
+), low AS (SELECT a, min(b) AS component_id FROM reach GROUP BY a),
+degree AS (SELECT a, count(*) AS n FROM link GROUP BY a)
+SELECT vec_id, CAST(coalesce(n, 0) AS BIGINT) AS n_links, component_id, vec_id = component_id AS kept
+FROM embeddings JOIN low ON low.a = vec_id LEFT JOIN degree ON degree.a = vec_id
+"""
+
+URLS = """
+WITH rule(verdict, host, path) AS (VALUES ('block', 'net', '/'), ('allow', 'example.net', '/en/'), ('block', 'example.com', '/de/'), ('allow', 'org', '/fr/')),
+page AS (
+    SELECT page_id, translate(coalesce(regexp_extract(url, '://([^/?#]*)', 1), ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS host,
+        coalesce(regexp_extract(url, '://[^/?#]*([^?#]*)', 1), '') AS path
+    FROM pages
+), fit AS (
+    SELECT page_id, max_by(rule.host || rule.path, length(rule.host || rule.path)) AS rule, max_by(rule.verdict, length(rule.host || rule.path)) AS verdict
+    FROM page JOIN rule ON (page.host = rule.host OR ends_with(page.host, '.' || rule.host)) AND starts_with(page.path, rule.path) GROUP BY page_id
+)
+SELECT page.page_id, page.host, page.path, fit.rule, coalesce(fit.verdict, 'allow') AS verdict FROM page LEFT JOIN fit USING (page_id)
+"""
+
+EXACT = f"""
+WITH doc AS (
+    SELECT doc_id, length(coalesce(text, '')) AS n, sha256(regexp_replace(coalesce(text, ''), '{_SPACE}+', '', 'g')) AS text_sha256 FROM documents
+)
+SELECT doc_id, first_value(doc_id) OVER best AS keep_id, count(*) OVER (PARTITION BY text_sha256) AS group_size, row_number() OVER best = 1 AS kept, text_sha256
+FROM doc WINDOW best AS (PARTITION BY text_sha256 ORDER BY n DESC, doc_id)
+"""
+
+
+def _allot(nodes: str, parent: list[str], name: str) -> str:
+    """Shares of the children in `nodes` (capacity, weight, budget)."""
+    by = ", ".join(parent) or "NULL"
+    before = f"OVER (PARTITION BY {by} ORDER BY capacity / weight, {name} NULLS FIRST ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)"
+    whole = f"OVER (PARTITION BY {by})"
+    columns = ", ".join([*parent, name])
+    return f"""
+    SELECT {columns}, CASE WHEN full_ THEN capacity ELSE (weight * max(left_budget) FILTER (WHERE NOT full_) {whole}) // max(left_weight) FILTER (WHERE NOT full_) {whole} END AS share
+    FROM (SELECT *, capacity * left_weight <= weight * left_budget AS full_ FROM (
+        SELECT *, budget - coalesce(sum(capacity) {before}, 0) AS left_budget, sum(weight) {whole} - coalesce(sum(weight) {before}, 0) AS left_weight
+        FROM {nodes} WHERE weight > 0))"""
+
+
+MIX = f"""
+WITH doc AS (
+    SELECT doc_id, lang, source, CASE WHEN source = 'src0' THEN 'hub'
+        WHEN CAST(coalesce(nullif(regexp_extract(coalesce(source, ''), '([0-9]{{1,9}})$', 1), ''), '0') AS INT) % 2 = 1 THEN 'odd' ELSE 'even' END AS domain,
+        CAST(len(regexp_extract_all(coalesce(text, ''), '[^\\x20\\x09-\\x0D]+')) AS BIGINT) AS tokens
+    FROM documents
+), leaf AS (SELECT domain, lang, source, CAST(sum(tokens) AS HUGEINT) AS tokens FROM doc GROUP BY ALL HAVING sum(tokens) > 0),
+weight_domain(domain, weight) AS (VALUES ('hub', 2), ('odd', 3), ('even', 3)),
+weight_lang(lang, weight) AS (VALUES ('en', 4), ('de', 3), ('fr', 2), ('es', 2)),
+nodes1 AS (
+    SELECT domain, sum(tokens) * 2 AS capacity, CAST(coalesce(any_value(weight), 1) AS HUGEINT) AS weight, (SELECT CAST(floor(sum(tokens) * 0.6::DOUBLE) AS HUGEINT) FROM leaf) AS budget
+    FROM leaf LEFT JOIN weight_domain USING (domain) GROUP BY domain
+), share1 AS ({_allot("nodes1", [], "domain")}),
+nodes2 AS (
+    SELECT leaf.domain, leaf.lang, sum(tokens) * 2 AS capacity, CAST(coalesce(any_value(weight), 1) AS HUGEINT) AS weight, any_value(share) AS budget
+    FROM leaf JOIN share1 ON leaf.domain IS NOT DISTINCT FROM share1.domain LEFT JOIN weight_lang ON leaf.lang = weight_lang.lang GROUP BY leaf.domain, leaf.lang
+), share2 AS ({_allot("nodes2", ["domain"], "lang")}),
+nodes3 AS (
+    SELECT leaf.domain, leaf.lang, leaf.source, tokens * 2 AS capacity, CAST(1 AS HUGEINT) AS weight, share AS budget
+    FROM leaf JOIN share2 ON leaf.domain IS NOT DISTINCT FROM share2.domain AND leaf.lang IS NOT DISTINCT FROM share2.lang
+), share3 AS ({_allot("nodes3", ["domain", "lang"], "source")}),
+placed AS (
+    SELECT doc.*, leaf.tokens AS all_tokens, share AS budget FROM doc
+    JOIN leaf ON doc.domain IS NOT DISTINCT FROM leaf.domain AND doc.lang IS NOT DISTINCT FROM leaf.lang AND doc.source IS NOT DISTINCT FROM leaf.source
+    JOIN share3 ON doc.domain IS NOT DISTINCT FROM share3.domain AND doc.lang IS NOT DISTINCT FROM share3.lang AND doc.source IS NOT DISTINCT FROM share3.source
+    WHERE doc.tokens > 0
+), epochs AS (SELECT placed.*, CAST(epoch AS INT) AS epoch FROM placed, range(0, 3) e(epoch) WHERE epoch * all_tokens < budget),
+line AS (
+    SELECT *, epoch * all_tokens + coalesce(sum(tokens) OVER (PARTITION BY domain, lang, source, epoch ORDER BY md5('7:' || epoch || ':' || coalesce(CAST(doc_id AS VARCHAR), '-')), doc_id
+        ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS before FROM epochs
+)
+SELECT doc_id, domain, lang, source, epoch, tokens AS n_tokens, CAST(least(tokens, budget - before) AS BIGINT) AS take_tokens FROM line WHERE before < budget
+"""
+
+ORACLE: dict[str, str] = {
+    "op1_embedding_near_dedup": EMBEDDINGS,
+    "op2_source_mixing": MIX,
+    "op3_url_filter": URLS,
+    "op5_exact_dedup": EXACT,
+}
