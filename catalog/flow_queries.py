@@ -7,7 +7,7 @@ from catalog.fixtures import Tables, rd, rounded
 from catalog.null_queries import NULLS, stop_pois, upois
 from catalog.place_queries import home_counts, shares
 from catalog.registry import query
-from catalog.stay_queries import BOX, DENSE, GAP, KEPT, PING_ORDER, RUNS, STAY_CTES, SCORES, PICKED
+from catalog.stay_queries import BOX, PICKED, PING_ORDER, SCORES, STAY_CTES, STAY_STEPS
 from copresence.plans import flows
 
 SEASONS = [("2024-01-08 00:00:00", "2024-01-15 00:00:00"), ("2024-01-28 00:00:00", None)]
@@ -17,7 +17,7 @@ SEASONS = [("2024-01-08 00:00:00", "2024-01-15 00:00:00"), ("2024-01-28 00:00:00
     CASE WHEN lt > TIMESTAMP '2024-01-08' AND lt < TIMESTAMP '2024-01-15' OR lt > TIMESTAMP '2024-01-28' THEN 1 ELSE 0 END AS holiday_s, CASE WHEN isodow(lt) >= 6 THEN 0 ELSE 1 END AS weekday_s,
     row_number() OVER (PARTITION BY uid ORDER BY s, run) AS seq FROM (
     SELECT *, device_aid AS uid, make_timestamp(s*1000000) + INTERVAL 1 HOUR AS lt, dense_rank() OVER (PARTITION BY device_aid ORDER BY first_run) AS loc FROM (SELECT *, min(run) OVER (PARTITION BY device_aid, k) AS first_run FROM kept))
-    WHERE NOT (lat, lng) IN (SELECT (home_lat, home_lng) FROM home_points WHERE uid < 3)""", gap=GAP, dense=DENSE, runs=RUNS, kept=KEPT)
+    WHERE NOT (lat, lng) IN (SELECT (home_lat, home_lng) FROM home_points WHERE uid < 3)""", **STAY_STEPS)
 def _(t: Tables):
     abnormal = t.home_points.where("uid < 3").select(F.col("home_lat").alias("lat"), F.col("home_lng").alias("lng"))
     out = flows.stays_from_pings(t.pings, PING_ORDER, BOX, "Europe/Stockholm", SEASONS, abnormal)

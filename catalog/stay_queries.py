@@ -43,8 +43,14 @@ RUNS = """SELECT *, sum(brk) OVER (PARTITION BY device_aid ORDER BY timestamp, p
     SELECT *, CASE WHEN k = lag(k) OVER w AND timestamp - lag(timestamp) OVER w <= 10800 THEN 0 ELSE 1 END AS brk
     FROM (SELECT d.device_aid, d.timestamp, d.pid, s.lat, s.lng, s.loc AS k FROM dense d JOIN stops s ON s.sid = d.pid)
     WINDOW w AS (PARTITION BY device_aid ORDER BY timestamp, pid))"""
-KEPT = """SELECT device_aid, run, any_value(k) AS k, any_value(lat) AS lat, any_value(lng) AS lng, min(timestamp) AS s,
-    max(timestamp) AS e, count(*) AS size FROM runs GROUP BY 1, 2 HAVING count(*) >= 2 AND max(timestamp) - min(timestamp) >= 900"""
+LABELLED = """SELECT *, CASE WHEN count(*) OVER w >= 2 AND max(timestamp) OVER w - min(timestamp) OVER w >= 900 THEN k ELSE -1 END AS label
+    FROM runs WINDOW w AS (PARTITION BY device_aid, run)"""
+INTERVALS = """SELECT *, sum(turn) OVER (PARTITION BY device_aid ORDER BY timestamp, pid ROWS UNBOUNDED PRECEDING) AS interval FROM (
+    SELECT *, CASE WHEN label = lag(label) OVER w AND timestamp - lag(timestamp) OVER w < 10800 THEN 0 ELSE 1 END AS turn
+    FROM labelled WINDOW w AS (PARTITION BY device_aid ORDER BY timestamp, pid))"""
+KEPT = """SELECT device_aid, interval AS run, any_value(k) AS k, any_value(lat) AS lat, any_value(lng) AS lng, min(timestamp) AS s,
+    max(timestamp) AS e, count(*) AS size FROM intervals WHERE label >= 0 GROUP BY 1, 2"""
+STAY_STEPS = {"gap": GAP, "dense": DENSE, "runs": RUNS, "labelled": LABELLED, "intervals": INTERVALS, "kept": KEPT}
 
 
 def stop_points(t: Tables):
@@ -56,7 +62,7 @@ def stop_points(t: Tables):
 @query("detected_stays", "W4 E1 A6", f"""SELECT device_aid, CAST(run AS BIGINT) AS interval,
     CAST(dense_rank() OVER (PARTITION BY device_aid ORDER BY first_run) AS INTEGER) AS loc, s AS start, e AS "end",
     {rd('lat')} AS latitude, {rd('lng')} AS longitude, size
-    FROM (SELECT *, min(run) OVER (PARTITION BY device_aid, k) AS first_run FROM kept)""", gap=GAP, dense=DENSE, runs=RUNS, kept=KEPT)
+    FROM (SELECT *, min(run) OVER (PARTITION BY device_aid, k) AS first_run FROM kept)""", **STAY_STEPS)
 def _(t: Tables):
     out = stays.stays_from_points(stop_points(t))
     return rounded(out, "latitude", "longitude")

@@ -2,13 +2,18 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window, functions as F
+import math
+from collections.abc import Iterator
+
+import pandas as pd
+from pyspark.sql import Column, DataFrame, Window, functions as F, types as T
 
 from copresence.functions.distance import haversine, planar
 from copresence.operators import components, ordered, quantiles
 from copresence.session import cut
 
 HOUR = 3600
+EARTH_METRES = 6_371_000.0
 
 
 def with_slot(df: DataFrame, t: str = "timestamp", seconds: int = HOUR) -> DataFrame:
@@ -46,40 +51,74 @@ def run_id(points: DataFrame, order: list[str], t_max: int) -> DataFrame:
     return runs(points, ["device_aid"], order, change, ["loc", "timestamp"])
 
 
+PLACE_AND_TIME = ["device_aid", "latitude", "longitude", "timestamp"]
+
+
 def clean_pings(pings: DataFrame) -> DataFrame:
     from copresence.operators.cleaning import valid_coords
-    return valid_coords(pings).dropna().dropDuplicates(["device_aid", "latitude", "longitude", "timestamp"])
+    kept = valid_coords(pings).dropna()
+    first = F.min(F.struct(*[c for c in kept.columns if c not in PLACE_AND_TIME])).alias("first")
+    # of duplicates the smallest row stays, so that a repeated task gives the same rows
+    return kept.groupBy(*PLACE_AND_TIME).agg(first).select(*PLACE_AND_TIME, "first.*").select(*kept.columns) if len(kept.columns) > 4 else kept.distinct()
+
+
+def open_groups(points: DataFrame, by: list[str], order: list[str], r1: float) -> DataFrame:
+    """Number the groups of each key in time order: a point joins the open group while it lies within r1 metres of the mean of
+    the group's points so far, else it opens the next one.
+
+    A task streams over sorted rows with the open group's count and sums as its only state, so a key may be of any length.
+    """
+    def number(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        key, group, n, lat_sum, lng_sum = None, 0, 0, 0.0, 0.0
+        for frame in frames:
+            out = []
+            for own, lat, lng in zip(zip(*[frame[c].tolist() for c in by]), frame["latitude"].tolist(), frame["longitude"].tolist()):
+                if own != key:
+                    key, group, n, lat_sum, lng_sum = own, 0, 0, 0.0, 0.0
+                elif metres(lng_sum / n, lat_sum / n, lng, lat) > r1:
+                    group, n, lat_sum, lng_sum = group + 1, 0, 0.0, 0.0
+                n, lat_sum, lng_sum = n + 1, lat_sum + lat, lng_sum + lng
+                out.append(group)
+            yield frame.assign(group=out)
+
+    def metres(lng_a: float, lat_a: float, lng_b: float, lat_b: float) -> float:
+        a, b = math.radians(lat_a), math.radians(lat_b)
+        h = math.sin((b - a) / 2) ** 2 + math.cos(a) * math.cos(b) * math.sin(math.radians(lng_b - lng_a) / 2) ** 2
+        return 2 * EARTH_METRES * math.asin(min(1.0, math.sqrt(h)))
+
+    ordered_points = points.repartition(*by).sortWithinPartitions(*by, *order)
+    schema = T.StructType([*points.schema.fields, T.StructField("group", T.LongType())])
+    return ordered_points.mapInPandas(number, schema)
 
 
 def detect_stops(pings: DataFrame, order: list[str], r1: float = 30, r2: float = 30, min_stay: int = 900,
                  t_max: int = 3 * HOUR, min_size: int = 2) -> DataFrame:
-    """Stop points of each device with place label and place coordinates.
+    """Stop points of each device with place label, place coordinates and the number of the stay.
 
-    Step 1: consecutive points stay together while each lies within r1 metres and t_max seconds of the one
-    before; a group is a stop when it lasts min_stay and has min_size points. Step 2: stop medians of a device
-    within r2 metres of each other are linked, and linked stops are one place. Both steps are joins and
-    aggregates, so a device with very many points is spread over tasks.
+    Step 1: in time order a point belongs to the open group while it lies within r1 metres of the group's running mean and
+    comes within t_max seconds; a group is a stop when it lasts min_stay and has min_size points. Two neighbours in a group are at
+    most 2 r1 apart, so a trace is first cut at longer steps, and the pieces are passed through separately. Step 2: stop
+    medians of a device within r2 metres of each other are linked, and linked stops are one place. A stay ends where the label
+    of all points, stops or not, changes or the gap reaches t_max.
     """
     moved = haversine(F.col("prev_longitude"), F.col("prev_latitude"), F.col("longitude"), F.col("latitude")) * 1000
     gap = F.col("timestamp") - F.col("prev_timestamp")
-    points = cut(runs(pings, ["device_aid"], order, (moved > r1) | (gap > t_max),
-                      ["latitude", "longitude", "timestamp"], "run"))
+    pieces = runs(pings, ["device_aid"], order, (moved > 2 * r1) | (gap > t_max), ["latitude", "longitude", "timestamp"], "piece")
+    points = open_groups(pieces, ["device_aid", "piece"], order, r1)
+    points = cut(points.withColumn("run", F.shiftleft("piece", 32) + F.col("group")).drop("piece", "group"))
     key = ["device_aid", "run"]
     size = points.groupBy(*key).agg(
         F.count(F.lit(1)).alias("size"), (F.max("timestamp") - F.min("timestamp")).alias("length"))
-    kept = size.where((F.col("size") >= min_size) & (F.col("length") >= min_stay)).select(*key)
-    points = cut(points.join(kept, key, "left_semi"))  # read many times below
+    kept = cut(size.where((F.col("size") >= min_size) & (F.col("length") >= min_stay)).select(*key))
     stops = cut(
-        quantiles.medians(points, key, ["latitude", "longitude"])
+        quantiles.medians(points.join(kept, key, "left_semi"), key, ["latitude", "longitude"])
         .withColumnsRenamed({"run": "node", "latitude": "lat", "longitude": "lng"})
     )
-    labels = components.link_within(stops, ["device_aid"], "node", "lat", "lng", r2)
+    labels = cut(components.link_within(stops, ["device_aid"], "node", "lat", "lng", r2))
     centre = quantiles.medians(stops.join(labels, ["device_aid", "node"]), ["device_aid", "loc"], ["lat", "lng"]).withColumnsRenamed(
         {"lat": "stop_latitude", "lng": "stop_longitude"})
-    return (
-        points.join(labels.withColumnRenamed("node", "run"), key).join(centre, ["device_aid", "loc"])
-        .withColumnRenamed("run", "interval")
-    )
+    labelled = points.join(labels.withColumnRenamed("node", "run"), key, "left").drop("run").fillna(-1, ["loc"])
+    return run_id(labelled, order, t_max).where("loc > 0").join(centre, ["device_aid", "loc"])
 
 
 def stays_from_points(points: DataFrame) -> DataFrame:
