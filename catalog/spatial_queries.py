@@ -107,9 +107,13 @@ def _(t: Tables):
     return spatial.make_units(units(t), "deso")
 
 
-@query("units_per_zone", "E78", "SELECT deso, count(*) AS n_units, count(DISTINCT hex_id) AS n_distinct FROM (SELECT DISTINCT deso, hex_id FROM hexed) GROUP BY 1", hexed=HEX)
+@query("units_per_zone", "E78", f"""SELECT deso, count(*) AS n_units, count(DISTINCT hex_id) AS n_distinct, {rd('median(area)')} AS median_area FROM (
+    SELECT DISTINCT deso, hex_id, CASE WHEN res = 999 THEN 4.0e6 ELSE 1.5e0*sqrt(3.0e0)*pow(4000.0e0/pow(sqrt(7.0e0), res-6), 2) END AS area FROM hexed) GROUP BY 1""", hexed=HEX)
 def _(t: Tables):
-    return spatial.unit_stats(spatial.make_units(units(t), "deso"), "deso")
+    made = spatial.make_units(units(t), "deso")
+    size = 4000.0 / F.pow(F.sqrt(F.lit(7.0)), F.split_part("hex_id", F.lit("@"), F.lit(2)).try_cast("int") - 6)
+    area = F.when(F.col("hex_id") == "0", 4e6).otherwise(1.5 * F.sqrt(F.lit(3.0)) * size * size)
+    return rounded(spatial.unit_stats(made.withColumn("area", area), "deso"), "median_area")
 
 
 @query("small_in_large_squares", "F6", """SELECT osm_id, floor(x/1000.0e0)*1000.0e0 AS large_x, floor(y/1000.0e0)*1000.0e0 AS large_y FROM pois""")

@@ -147,8 +147,29 @@ def _clip(subject: np.ndarray, clip: np.ndarray) -> float:
     return float(abs(np.dot(x, np.roll(y, -1)) - np.dot(y, np.roll(x, -1))) / 2)
 
 
+def _overlap(a: np.ndarray, b: np.ndarray) -> float:
+    """Area common to two polygons of any shape, holes and parts included: each is a signed sum of the triangles from its first
+    vertex to its edges, and triangles are clipped by each other."""
+    total = 0.0
+    for sign_a, one in _triangles(a):
+        for sign_b, other in _triangles(b):
+            if (one.min(axis=0) < other.max(axis=0)).all() and (other.min(axis=0) < one.max(axis=0)).all():
+                total += sign_a * sign_b * _clip(one, other)
+    return abs(total)
+
+
+def _triangles(ring: np.ndarray) -> list[tuple[int, np.ndarray]]:
+    """Counter-clockwise triangles with the sign of the turn."""
+    out = []
+    for p, q in zip(ring[1:], ring[2:]):
+        twice = (p[0] - ring[0][0]) * (q[1] - ring[0][1]) - (p[1] - ring[0][1]) * (q[0] - ring[0][0])
+        if twice:
+            out.append((1, np.array([ring[0], p, q])) if twice > 0 else (-1, np.array([ring[0], q, p])))
+    return out
+
+
 def ground_space(buildings: DataFrame, polygons: DataFrame, zone: str, cell: float = 1000.0) -> DataFrame:
-    """Built share of each (convex) zone: building area clipped to the zone over zone area."""
+    """Built share of each zone of any shape: building area inside the zone over zone area."""
     bx, by = _cover(F.col("ring"), cell)
     spread = lambda df, key: df.select(key, "ring", F.explode(bx).alias("cx"), by.alias("ys")).select(
         key, "ring", "cx", F.explode("ys").alias("cy"))
@@ -160,7 +181,7 @@ def ground_space(buildings: DataFrame, polygons: DataFrame, zone: str, cell: flo
     def areas(batches):
         for pdf in batches:
             pts = lambda ring: np.array([[p["x"], p["y"]] for p in ring], dtype=float)
-            got = [_clip(pts(a), pts(b)) for a, b in zip(pdf["ring"], pdf["zone_ring"])]
+            got = [_overlap(pts(a), pts(b)) for a, b in zip(pdf["ring"], pdf["zone_ring"])]
             yield pd.DataFrame({zone: pdf[zone], "built": got})
 
     kind = polygons.schema[zone].dataType.simpleString()
@@ -179,6 +200,7 @@ def od_candidates(homes: DataFrame, grids: DataFrame, buffer: float, key: str =
     return pairs.select(F.col(f"home_id.{key}").alias(key), "cell_id").distinct()
 
 
-def unit_stats(units: DataFrame, zone: str) -> DataFrame:
-    """Units per zone."""
-    return units.groupBy(zone).agg(F.count(F.lit(1)).alias("n_units"), F.count_distinct("hex_id").alias("n_distinct"))
+def unit_stats(units: DataFrame, zone: str, area: str = "area") -> DataFrame:
+    """Units per zone, distinct ones, and the median of their areas."""
+    return units.groupBy(zone).agg(
+        F.count(F.lit(1)).alias("n_units"), F.count_distinct("hex_id").alias("n_distinct"), F.percentile(area, F.lit(0.5)).alias("median_area"))

@@ -6,6 +6,8 @@ from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from copresence.sources import schemas
 
+BAD_LINE = "_bad_line"
+
 
 def read_pings(spark: SparkSession, path: str | list[str], cols: list[str] | None = None, schema: str = schemas.PINGS) -> DataFrame:
     """Tab-separated parts, gzipped or plain; only the asked columns are parsed."""
@@ -19,18 +21,30 @@ def read_landing(spark: SparkSession, root: str, month: int, day: int, cols: lis
 
 
 def read_raw(spark: SparkSession, path: str, schema: str, header: bool = True) -> DataFrame:
-    """CSV with malformed lines skipped and column names stripped."""
-    df = spark.read.schema(schema).option("header", header).option("mode", "DROPMALFORMED").csv(path)
-    return df.toDF(*[c.strip() for c in df.columns])
+    """CSV with column names stripped; malformed lines are left out and can be had from `malformed`."""
+    df = _with_bad_lines(spark, path, schema, header)
+    good = df.where(F.col(BAD_LINE).isNull()).drop(BAD_LINE)
+    return good.toDF(*[c.strip() for c in good.columns])
+
+
+def malformed(spark: SparkSession, path: str, schema: str, header: bool = True) -> DataFrame:
+    """The lines of a CSV that do not fit the schema, with their file and what could be read of them."""
+    df = _with_bad_lines(spark, path, schema, header).withColumn("file", F.input_file_name())
+    return df.where(F.col(BAD_LINE).isNotNull()).withColumnRenamed(BAD_LINE, "line")
+
+
+def _with_bad_lines(spark: SparkSession, path: str, schema: str, header: bool) -> DataFrame:
+    full = f"{schema}, {BAD_LINE} string"
+    return spark.read.schema(full).option("header", header).option("mode", "PERMISSIVE").option("columnNameOfCorruptRecord", BAD_LINE).csv(path)
 
 
 def read_csv(spark: SparkSession, path: str, schema: str, encoding: str = "ISO-8859-1") -> DataFrame:
     return spark.read.schema(schema).option("header", True).option("encoding", encoding).csv(path)
 
 
-def read_group(spark: SparkSession, paths: list[str], cols: list[str]) -> DataFrame:
-    """Several parquet paths at once; unreadable files are skipped."""
-    return spark.read.option("ignoreCorruptFiles", True).parquet(*paths).select(*cols)
+def read_group(spark: SparkSession, paths: list[str], cols: list[str], skip_unreadable: bool = False) -> DataFrame:
+    """Several parquet paths at once. An unreadable file is an error, unless the caller accepts an incomplete result."""
+    return spark.read.option("ignoreCorruptFiles", skip_unreadable).parquet(*paths).select(*cols)
 
 
 def write_tsv(df: DataFrame, path: str) -> None:
@@ -81,14 +95,43 @@ def write_features(df: DataFrame, path: str, ring: str = "ring") -> None:
 
 
 def read_features(spark: SparkSession, path: str, properties: str, collection: bool = False) -> DataFrame:
-    """GeoJSON polygons to properties and a ring; one feature per line, or whole feature collections."""
-    feature = f"struct<properties:struct<{properties}>,geometry:struct<type:string,coordinates:array<array<array<double>>>>>"
+    """GeoJSON polygons and multipolygons to properties and a ring; one feature per line, or whole feature collections.
+
+    The ring of a geometry with holes or several parts is one vertex array: it walks every part counter-clockwise and every hole
+    clockwise, going back to its first vertex after each. The ways there and back cancel out in areas, overlaps and
+    point tests. Other geometries are an error.
+    """
+    feature = f"struct<properties:struct<{properties}>,geometry:struct<type:string,coordinates:string>>"
     if collection:
         rows = spark.read.schema(f"features array<{feature}>").option("multiLine", True).json(path).select(F.inline("features"))
     else:
         rows = spark.read.schema(feature[len("struct<"):-1].replace("properties:", "properties ", 1).replace(",geometry:", ", geometry ", 1)).json(path)
-    points = F.transform(F.get(F.col("geometry.coordinates"), F.lit(0)), lambda p: F.struct(F.get(p, F.lit(0)).alias("x"), F.get(p, F.lit(1)).alias("y")))
-    return rows.select("properties.*", F.slice(points, 1, F.greatest(F.size(points) - 1, F.lit(0))).alias("ring"))
+    kind, text = F.col("geometry.type"), F.col("geometry.coordinates")
+    part = "array<array<array<double>>>"
+    parts = (
+        F.when(kind == "Polygon", F.array(F.from_json(text, part))).when(kind == "MultiPolygon", F.from_json(text, f"array<{part}>"))
+        .otherwise(F.raise_error(F.concat(F.lit("not a polygon: "), F.coalesce(kind, F.lit("null")))))
+    )
+    return rows.withColumn("_parts", parts).select("properties.*", one_ring(F.col("_parts")).alias("ring"))
+
+
+def one_ring(parts: Column) -> Column:
+    """One vertex array for parts of rings of [x, y] points, each ring closed; the first ring of a part is its outline."""
+    point = lambda p: F.struct(F.get(p, F.lit(0)).alias("x"), F.get(p, F.lit(1)).alias("y"))
+    turned = F.flatten(F.transform(parts, lambda rings: F.transform(rings, lambda ring, i: _turned(F.transform(ring, point), i == 0))))
+    first = lambda ring: F.slice(ring, 1, 1)
+    walked = F.transform(turned, lambda ring, i: F.when(i == 0, ring).otherwise(F.concat(ring, first(F.get(turned, F.lit(0))))))
+    # the last vertex is the first again
+    return F.transform(F.array(F.flatten(walked)), lambda line: F.slice(line, 1, F.greatest(F.size(line) - 1, F.lit(0))))[0]
+
+
+def _turned(ring: Column, outline: Column) -> Column:
+    """Outlines counter-clockwise, holes clockwise."""
+    n = F.size(ring)
+    twice = F.aggregate(
+        F.sequence(F.lit(1), F.greatest(n - 1, F.lit(1))), F.lit(0.0),
+        lambda s, i: s + F.coalesce(F.get(ring, i - 1)["x"] * F.get(ring, i)["y"] - F.get(ring, i)["x"] * F.get(ring, i - 1)["y"], F.lit(0.0)))
+    return F.when((twice >= 0) == outline, ring).otherwise(F.reverse(ring))
 
 
 def read_gtfs(spark: SparkSession, folder: str, names: list[str] | None = None) -> dict[str, DataFrame]:
