@@ -161,8 +161,8 @@ def _(t: Tables):
     return rounded(compare.ssi(od, "x", "y"), "ssi")
 
 
-@query("feature_screen", "E50 S6", f"""SELECT feature, {rd('vif')} AS vif, round(f, 1)+0 AS f, vif < 10 AS keep FROM (SELECT unnest(['x', 'disc']) AS feature, 1/(1-r*r) AS vif,
-    unnest([a*a/(1-a*a)*(n-2), b*b/(1-b*b)*(n-2)]) AS f FROM (SELECT corr(x, disc) AS r, corr(x, y) AS a, corr(disc, y) AS b, count(*) AS n FROM cases))""")
+@query("feature_screen", "E50 S6", f"""SELECT feature, {rd('vif')} AS vif, round(f, 1)+0 AS f, vif < 10 AS keep, CAST(row_number() OVER (ORDER BY f DESC, feature) AS INTEGER) AS rank FROM (SELECT unnest(['x', 'disc']) AS feature, 1/(1-r*r) AS vif,
+    unnest([a*a/(1-a*a)*(n-2), b*b/(1-b*b)*(n-2)]) AS f FROM (SELECT sum(x*disc)/sqrt(sum(x*x)*sum(disc*disc)) AS r, corr(x, y) AS a, corr(disc, y) AS b, count(*) AS n FROM cases))""")
 def _(t: Tables):
     out = compare.feature_screen(t.cases, ["x", "disc"], "y")
     return rounded(out, "vif").withColumn("f", F.round("f", 1))
@@ -203,11 +203,14 @@ def _(t: Tables):
     return rounded(out, "q25", "q50", "q75", "avg", "access_mean")
 
 
-@query("reduction_shares", "E64 E65 B21", f"""SELECT grp, status, {rd('sum(w) FILTER ((y-x)/abs(x) <= -0.05e0)/sum(w)*100')} AS share_dec, {rd('sum(w) FILTER (abs(y) < abs(x))/sum(w)*100')} AS share_reduced FROM cases GROUP BY 1, 2""")
+@query("reduction_shares", "E64 E65 B21", f"""SELECT grp, status, {rd('sum(w) FILTER ((y-x)/abs(x) <= -0.05e0)/sum(w)*100')} AS share_dec, {rd('sum(w) FILTER (abs(y) < abs(x))/sum(w)*100')} AS share_reduced, {rd("sum(CASE WHEN CASE WHEN x < 0 THEN x-y ELSE y-x END > 0 THEN w ELSE 0 END)/sum(w)*100")} AS share_inc FROM cases GROUP BY 1, 2""")
 def _(t: Tables):
     c = t.cases.withColumn("delta", indices.signed_change(F.col("x"), F.col("y")))
     a = compare.reduction_share(c, ["grp", "status"], "x", "delta", "w", -0.05)
-    return rounded(a.join(compare.reduced_share(c, ["grp", "status"], "y", "x", "w"), ["grp", "status"]), "share_dec", "share_reduced")
+    b = compare.reduced_share(c, ["grp", "status"], "y", "x", "w")
+    labelled = c.withColumn("change", indices.change_label(F.col("delta")))
+    more = compare.weighted_share(labelled, ["grp", "status"], F.col("change") == "inc", "w", "share_inc")
+    return rounded(a.join(b, ["grp", "status"]).join(more, ["grp", "status"]), "share_dec", "share_reduced", "share_inc")
 
 
 @query("grid_map", "E66", f"""SELECT zone, grp, status, g, {rd('sum(w)')} AS pop, {rd('sum(x*w)/sum(w)')} AS x, {rd('sum(disc*w)/sum(w)')} AS disc FROM cases GROUP BY 1, 2, 3, 4""")

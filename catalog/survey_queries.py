@@ -100,44 +100,43 @@ def _(t: Tables):
     return rounded(ice_edges(t), "weight")
 
 
-def sparse_edges(t: Tables):
-    """Edges of strong links only: places joined by people with a long stay at both."""
-    strong = t.links.where(F.col("weight") > 60)
-    return graph.project_sum(strong)
+def place_edges(t: Tables):
+    """Places joined by their common visitors, named by text."""
+    name = lambda c: F.concat(F.lit("zone-"), F.col(c).cast("string")).alias(c)
+    return graph.project_sum(t.links).select(name("u"), name("v"), "weight")
 
 
-SPARSE = "SELECT a.zone AS u, b.zone AS v, sum(a.weight+b.weight) AS weight FROM links a JOIN links b ON a.uid = b.uid AND a.zone < b.zone WHERE a.weight > 60 AND b.weight > 60 GROUP BY 1, 2"
+EDGES = "SELECT 'zone-' || a.zone AS u, 'zone-' || b.zone AS v, sum(a.weight+b.weight) AS weight FROM links a JOIN links b ON a.uid = b.uid AND a.zone < b.zone GROUP BY 1, 2"
 
 
-@query("graph_nodes", "J4 A16", "SELECT node, row_number() OVER (ORDER BY node) - 1 AS node_id FROM (SELECT u AS node FROM sparse UNION SELECT v FROM sparse)", sparse=SPARSE)
+@query("graph_nodes", "J4 A16", "SELECT node, row_number() OVER (ORDER BY node) - 1 AS node_id FROM (SELECT u AS node FROM edges UNION SELECT v FROM edges)", edges=EDGES)
 def _(t: Tables):
-    return graph.prune_index(sparse_edges(t))[1]
+    return graph.prune_index(place_edges(t))[1]
 
 
-@query("graph_degrees", "J5", f"SELECT node, count(*) AS degree, {rd3('sum(weight)')} AS strength FROM (SELECT u AS node, weight FROM sparse UNION ALL SELECT v, weight FROM sparse) GROUP BY 1", sparse=SPARSE)
+@query("graph_degrees", "J5", f"SELECT node, count(*) AS degree, {rd3('sum(weight)')} AS strength FROM (SELECT u AS node, weight FROM edges UNION ALL SELECT v, weight FROM edges) GROUP BY 1", edges=EDGES)
 def _(t: Tables):
-    return rounded(graph.degrees(sparse_edges(t)), "strength", digits=3)
+    return rounded(graph.degrees(place_edges(t)), "strength", digits=3)
 
 
-@query("graph_counts", "J5", f"SELECT count(*) AS nodes, CAST(sum(c)/2 AS BIGINT) AS edges, {rd('avg(c)')} AS mean_degree FROM (SELECT node, count(*) AS c FROM (SELECT u AS node FROM sparse UNION ALL SELECT v FROM sparse) GROUP BY 1)", sparse=SPARSE)
+@query("graph_counts", "J5", f"SELECT count(*) AS nodes, CAST(sum(c)/2 AS BIGINT) AS edges, {rd('avg(c)')} AS mean_degree FROM (SELECT node, count(*) AS c FROM (SELECT u AS node FROM edges UNION ALL SELECT v FROM edges) GROUP BY 1)", edges=EDGES)
 def _(t: Tables):
-    return rounded(graph.graph_stats(sparse_edges(t)), "mean_degree")
+    return rounded(graph.graph_stats(place_edges(t)), "mean_degree")
 
 
 @query("random_walks", "J6")
 def _(t: Tables):
-    return graph.walks(sparse_edges(t), n=2, length=5, p=0.5, q=2.0, seed=3)
+    return graph.walks(place_edges(t), n=10, length=20, p=0.5, q=2.0, seed=3)
 
 
 @query("walk_pair_counts", "J7")
 def _(t: Tables):
-    return graph.pair_counts(graph.walks(sparse_edges(t), n=2, length=5, seed=3), 2)
+    return graph.pair_counts(graph.walks(place_edges(t), n=10, length=20, seed=3), 20)
 
 
 @query("node_vectors", "J7")
 def _(t: Tables):
-    v = graph.embed(graph.walks(sparse_edges(t), n=2, length=5, seed=3), dim=16, window=2)
-    return v.select("node", F.size("embedding").alias("dims"))
+    return graph.embed(graph.walks(place_edges(t), n=10, length=20, seed=3), dim=64, window=20)
 
 
 # embeddings

@@ -22,35 +22,54 @@ def position(u: Column, size: Column) -> Column:
 
 
 def poisson_one(u: Column) -> Column:
-    """Poisson count with mean 1 by inversion."""
-    steps, total, p = [], 0.0, math.exp(-1)
-    for k in range(18):
+    """Poisson count with mean 1 by inversion; counts rarer than the resolution of `u` cannot occur."""
+    steps, total, p, k = [], 0.0, math.exp(-1), 0
+    while p > 1 / _SPAN:
         total += p
         steps.append(total)
-        p /= k + 1
-    out = F.lit(18)
-    for k in reversed(range(18)):
-        out = F.when(u <= steps[k], k).otherwise(out)
+        k += 1
+        p /= k
+    out = F.lit(k)
+    for i in reversed(range(k)):
+        out = F.when(u <= steps[i], i).otherwise(out)
     return out
 
 
+#: A draw of a larger mean is the sum of draws of at most this mean.
+_MEAN = 16.0
+
+
 @F.pandas_udf(T.IntegerType())
-def poisson(rate: pd.Series, u: pd.Series, v: pd.Series) -> pd.Series:
-    """Poisson count per row: by inversion up to a mean of 20, beyond that by the rounded normal."""
-    lam, q = rate.to_numpy(float), u.to_numpy(float)
-    count = np.zeros(len(lam), dtype=np.int64)
-    p = np.exp(-np.minimum(lam, 20))
-    cdf = p.copy()
-    live = (q > cdf) & (lam <= 20)
-    k = 0
-    while live.any() and k < 200:
+def poisson(rate: pd.Series, u: pd.Series) -> pd.Series:
+    """Poisson count per row and any mean: the sum of independent draws of bounded mean, each by inversion of a number hashed from
+    the row's uniform number and the draw's position."""
+    left, seed = rate.to_numpy(float).copy(), u.to_numpy(float).view(np.uint64)
+    count, nth = np.zeros(len(left), dtype=np.int64), 0
+    rows = np.flatnonzero(left > 0)
+    while len(rows):
+        count[rows] += _inverted(np.minimum(left[rows], _MEAN), _hashed(seed[rows], nth))
+        left[rows] -= _MEAN
+        rows, nth = rows[left[rows] > 0], nth + 1
+    return pd.Series(count.astype(np.int32))
+
+
+def _hashed(seed: np.ndarray, nth: int) -> np.ndarray:
+    """Numbers strictly between 0 and 1."""
+    with np.errstate(over="ignore"):
+        x = seed + np.uint64((nth + 1) * 0x9E3779B97F4A7C15 % 2**64)
+        x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
+        x = (x ^ (x >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
+    return ((x ^ (x >> np.uint64(31))) >> np.uint64(12)).astype(float) / _SPAN + 0.5 / _SPAN
+
+
+def _inverted(mean: np.ndarray, q: np.ndarray) -> np.ndarray:
+    count, p = np.zeros(len(mean), dtype=np.int64), np.exp(-mean)
+    total, k = p.copy(), 0
+    live = q > total
+    while live.any():
         k += 1
-        p = p * np.minimum(lam, 20) / k
+        p = p * mean / k
         count[live] += 1
-        cdf = cdf + p
-        live &= q > cdf
-    large = lam > 20
-    if large.any():
-        z = np.sqrt(-2 * np.log(q[large])) * np.cos(2 * np.pi * v.to_numpy(float)[large])
-        count[large] = np.maximum(0, np.rint(lam[large] + np.sqrt(lam[large]) * z)).astype(np.int64)
-    return pd.Series(count.astype(np.int32))
+        total = total + p
+        live &= (q > total) & ((k < mean) | (p > 0.1 / _SPAN))  # nothing rarer can be told apart
+    return count

@@ -35,3 +35,8 @@ def isolation_term(share: Column, pop: Column, total: Column, reverse: bool = Fa
 def signed_change(ice_r: Column, ice_e: Column) -> Column:
     """Change of exposure seen from the home side of the scale."""
     return F.when(ice_r < 0, ice_r - ice_e).otherwise(ice_e - ice_r)
+
+
+def change_label(delta: Column) -> Column:
+    """inc where the signed change is above zero, dec elsewhere; null stays null."""
+    return F.when(delta > 0, "inc").when(delta.isNotNull(), "dec")

@@ -54,8 +54,7 @@ def replicates(df: DataFrame, keys: list[str], n: int, seed: int, rate: Column |
     """
     sim = df.withColumn("sim", F.explode(F.sequence(F.lit(1), F.lit(n))))
     u = uniform([F.col(k) for k in keys] + [F.col("sim")], seed)
-    v = uniform([F.col(k) for k in keys] + [F.col("sim")], seed + 1)
-    return sim.withColumn("copies", poisson_one(u) if rate is None else poisson(rate, u, v)).where("copies > 0")
+    return sim.withColumn("copies", poisson_one(u) if rate is None else poisson(rate, u)).where("copies > 0")
 
 
 def wcorr_se(df: DataFrame, by: list[str], x: str, y: str, w: str, keys: list[str], n: int = 1000, seed: int = 1):
@@ -241,7 +240,7 @@ def _t_tail(t: float, df: int) -> float:
 
 
 def _signed_rank_tail(d: np.ndarray) -> float:
-    """P(T+ at least as large): exact without ties or zeros up to 50 values, else the normal score."""
+    """P(T+ at least as large): exact without ties or zeros, at any length; the normal score where ties or zeros leave no exact one."""
     nz = d[d != 0]
     n = len(nz)
     if n == 0:
@@ -249,12 +248,13 @@ def _signed_rank_tail(d: np.ndarray) -> float:
     mags, inv, cnt = np.unique(np.abs(nz), return_inverse=True, return_counts=True)
     ranks = (np.cumsum(cnt) - (cnt - 1) / 2)[inv]
     t_plus = float(ranks[nz > 0].sum())
-    if n == len(d) and len(mags) == n and n <= 50:
+    if n == len(d) and len(mags) == n:
         ways = np.zeros(n * (n + 1) // 2 + 1)
         ways[0] = 1.0
         for r in range(1, n + 1):
             ways[r:] = ways[r:] + ways[:-r].copy()
-        return float(ways[int(t_plus):].sum() / 2.0**n)
+            ways /= 2.0
+        return float(ways[int(t_plus):].sum())
     var = n * (n + 1) * (2 * n + 1) / 24 - float((cnt.astype(float) ** 3 - cnt).sum()) / 48
     return math.erfc((t_plus - n * (n + 1) / 4) / math.sqrt(var) / math.sqrt(2)) / 2
 
@@ -296,20 +296,29 @@ def ssi(od: DataFrame, x: str, y: str) -> DataFrame:
     return od.withColumns({"_tx": tx, "_ty": ty}).agg((2 * F.sum(F.least(sx, sy)) / (F.sum(sx) + F.sum(sy))).alias("ssi"))
 
 
-def feature_screen(df: DataFrame, cols: list[str], y: str, most: float = 10.0) -> DataFrame:
-    """Variance inflation and univariate F score per feature; only the k x k correlations reach the driver."""
-    spark = df.sparkSession
+def feature_screen(df: DataFrame, cols: list[str], y: str, most: float = 10.0, centred: bool = False) -> DataFrame:
+    """Variance inflation and univariate F score per feature, kept features, and the rank by F.
+
+    Inflation is that of the raw columns without a constant, or with `centred` that of the centred ones. One pass of moment sums; only
+    they, k x k numbers, reach the driver.
+    """
     names = [*cols, y]
-    pairs = [(a, b) for i, a in enumerate(names) for b in names[i + 1:]]
-    row = df.dropna(subset=names).agg(F.count(F.lit(1)).alias("n"), *[F.corr(a, b).alias(f"{a}|{b}") for a, b in pairs]).first()
+    pairs = [(a, b) for i, a in enumerate(names) for b in names[i:]]
+    sums = [F.count(F.lit(1)).alias("n"), *[F.corr(a, b).alias(f"c{i}") for i, (a, b) in enumerate(pairs)], *[F.sum(F.col(a) * F.col(b)).alias(f"m{i}") for i, (a, b) in enumerate(pairs)]]
+    row = df.dropna(subset=names).agg(*sums).first()
     k = len(names)
-    c = np.eye(k)
-    for a, b in pairs:
-        c[names.index(a), names.index(b)] = c[names.index(b), names.index(a)] = row[f"{a}|{b}"]
-    vif = np.diag(np.linalg.inv(c[:-1, :-1]))
-    f = [c[i, -1] ** 2 / (1 - c[i, -1] ** 2) * (row["n"] - 2) for i in range(k - 1)]
-    data = [(cols[i], float(vif[i]), float(f[i]), bool(vif[i] < most)) for i in range(k - 1)]
-    return spark.createDataFrame(data, "feature string, vif double, f double, keep boolean")
+    corr, raw = np.eye(k), np.eye(k)
+    for i, (a, b) in enumerate(pairs):
+        at, to = names.index(a), names.index(b)
+        raw[at, to] = raw[to, at] = row[f"m{i}"]
+        if at != to:
+            corr[at, to] = corr[to, at] = row[f"c{i}"]
+    length = np.sqrt(np.diag(raw))
+    vif = np.diag(np.linalg.inv((corr if centred else raw / np.outer(length, length))[:-1, :-1]))
+    f = [corr[i, -1] ** 2 / (1 - corr[i, -1] ** 2) * (row["n"] - 2) for i in range(k - 1)]
+    rank = {i: r + 1 for r, i in enumerate(sorted(range(k - 1), key=lambda i: (-f[i], cols[i])))}
+    data = [(cols[i], float(vif[i]), float(f[i]), bool(vif[i] < most), rank[i]) for i in range(k - 1)]
+    return df.sparkSession.createDataFrame(data, "feature string, vif double, f double, keep boolean, rank int")
 
 
 def ccdf(df: DataFrame, by: list[str], x: str) -> DataFrame:

@@ -49,14 +49,14 @@ def link_within(points: DataFrame, by: list[str], node: str, lat: str, lng: str,
     return placed.join(labelled, [*by, "cy", "cx"]).select(*by, node, name)
 
 
-def components(nodes: DataFrame, edges: DataFrame, by: list[str], most: int = 60) -> DataFrame:
+def components(nodes: DataFrame, edges: DataFrame, by: list[str]) -> DataFrame:
     """Smallest node of each component by label spreading with pointer jumping; lineage is cut in every round."""
     edges = cut(edges)
     labels = nodes.withColumn("root", F.col("v"))
     if not edges.take(1):
         return labels
     labels = cut(labels)
-    for _ in range(most):
+    while True:  # a label falls in every round but the last
         heard = (
             edges.join(labels.withColumnRenamed("v", "b"), [*by, "b"]).groupBy(*by, F.col("a").alias("v"))
             .agg(F.min("root").alias("heard"))
@@ -69,4 +69,3 @@ def components(nodes: DataFrame, edges: DataFrame, by: list[str], most: int = 60
         if not new.where(F.col("old") != F.col("root")).take(1):
             return new.drop("old")
         labels = new.drop("old")
-    raise RuntimeError(f"components still change after {most} rounds")

@@ -46,10 +46,9 @@ def home_or_place(bins: DataFrame, home_values: DataFrame, place_values: DataFra
     return out.withColumn("ice", F.when(F.col("home") == 1, F.col("ice_r")).otherwise(F.col("ice_birth")))
 
 
-def sim_mean(df: DataFrame, last: int = 50) -> DataFrame:
-    """Average over replicates, then over the half hours of a person."""
-    kept = df.where(F.col("sim").between(1, last))
-    per_bin = kept.groupBy("uid", *CELL).agg(F.avg("ice_birth").alias("ice_birth"))
+def sim_mean(df: DataFrame) -> DataFrame:
+    """Average over all replicates, then over the half hours of a person."""
+    per_bin = df.groupBy("uid", *CELL).agg(F.avg("ice_birth").alias("ice_birth"))
     return per_bin.groupBy("uid", "weekday", "holiday").agg(F.avg("ice_birth").alias("ice_birth"))
 
 

@@ -7,6 +7,8 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 from copresence.functions import draws, indices
 from copresence.session import cut
 
+WALKS_PER_TASK = 20_000
+
 
 def shared_pairs(links: DataFrame, cols: list[str], person: str = "uid", place: str = "zone", block: int = 256) -> DataFrame:
     """Pairs of places (u < v) with a common visitor, with both links' columns (`_u`, `_v`).
@@ -52,12 +54,10 @@ def prune_index(edges: DataFrame, w: str = "weight") -> tuple[DataFrame, DataFra
     return kept, dense_ids(nodes, "node", "node_id")
 
 
-def dense_ids(df: DataFrame, col: str, name: str, parts: int = 64) -> DataFrame:
-    """0-based ids in the order of the values: counted per range piece first, so no task sees all values."""
-    from copresence.operators.ordered import piece_of, split_points
-    piece = piece_of(F.col(col), split_points(df, col, parts))
-    tagged = df.withColumn("_p", piece)
-    before = Window.orderBy("_p").rowsBetween(Window.unboundedPreceding, -1)  # one row per piece
+def dense_ids(df: DataFrame, col: str, name: str) -> DataFrame:
+    """0-based ids in the order of the values, of any type: ranges of values are counted first, so no task sees all values."""
+    tagged = cut(df.repartitionByRange(col).withColumn("_p", F.spark_partition_id()))
+    before = Window.orderBy("_p").rowsBetween(Window.unboundedPreceding, -1)  # one row per range
     shift = tagged.groupBy("_p").agg(F.count(F.lit(1)).alias("_n")).select("_p", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_s"))
     inside = F.row_number().over(Window.partitionBy("_p").orderBy(col)) - 1
     return tagged.withColumn("_i", inside).join(shift, "_p").select(*df.columns, (F.col("_i") + F.col("_s")).cast("long").alias(name))
@@ -170,5 +170,7 @@ def embed(walked: DataFrame, dim: int = 64, window: int = 5, seed: int = 0) -> D
     from pyspark.ml.functions import vector_to_array
     sentences = walked.groupBy("start", "walk").agg(F.transform(
         F.array_sort(F.collect_list(F.struct("step", F.col("node").cast("string").alias("node")))), lambda s: s["node"]).alias("nodes"))
-    model = Word2Vec(vectorSize=dim, windowSize=window, minCount=0, seed=seed, inputCol="nodes", outputCol="v").fit(cut(sentences))
+    sentences = cut(sentences)
+    parts = 1 + sentences.count() // WALKS_PER_TASK
+    model = Word2Vec(vectorSize=dim, windowSize=window, minCount=0, seed=seed, numPartitions=parts, inputCol="nodes", outputCol="v").fit(sentences)
     return model.getVectors().select(F.col("word").alias("node"), vector_to_array("vector").alias("embedding"))

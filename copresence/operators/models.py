@@ -84,8 +84,11 @@ def additive_model(df: DataFrame, cols: list[str], y: str, bins: int = 8, pairs:
     """Additive model on binned features: importance table and effect per bin.
 
     Features enter as quantile bins; the fitted part of a bin is its effect. Importance is the mean absolute effect over
-    the rows. `pairs` adds products of the leading features.
+    the rows. `pairs` adds products of the features that lead by importance in the model without products.
     """
+    if pairs:
+        main = {r["feature"]: r["importance"] for r in additive_model(df, cols, y, bins, 0, seed)[0].collect()}
+        cols = sorted(cols, key=lambda c: (-main.get(c, 0.0), c))
     spark, data = df.sparkSession, cut(df.select(*cols, y).dropna())
     probs = [i / bins for i in range(1, bins)]
     edges = dict(zip(cols, data.approxQuantile(cols, probs, 0.001)))
@@ -96,7 +99,8 @@ def additive_model(df: DataFrame, cols: list[str], y: str, bins: int = 8, pairs:
             hi = cutpoints[i + 1] if i + 1 < len(cutpoints) else float("inf")
             names.append((c, i + 1, lo))
             exprs.append(((F.col(c) > lo) & (F.col(c) <= hi)).cast("double").alias(f"{c}__{i + 1}"))
-    lead = [(a, b) for i, a in enumerate(cols) for b in cols[i + 1:]][:pairs]
+    lead = sorted(((i + j, i, j) for i in range(len(cols)) for j in range(i + 1, len(cols))))[:pairs]
+    lead = [(cols[i], cols[j]) for _, i, j in lead]
     for a, b in lead:
         names.append((f"{a} x {b}", 0, 0.0))
         exprs.append((F.col(a) * F.col(b)).alias(f"{a}__x__{b}"))

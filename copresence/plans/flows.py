@@ -63,4 +63,4 @@ def null_from_visits(visits: DataFrame, pois: DataFrame, metrics: DataFrame, uni
     kept = visits.where(~((F.col("home") == 0) & F.col("tag").isNotNull()))
     shifted = nullmodel.merge_moved(kept, drawn, unit, n)
     met = experienced.experienced(explode_bins(shifted), metrics, unit, ["sim"])
-    return shifted, met, experienced.sim_mean(met, n)
+    return shifted, met, experienced.sim_mean(met)

@@ -1,3 +1,4 @@
+import json
 import math
 import random
 
@@ -6,8 +7,9 @@ import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
-from copresence.functions import distance, indices, labels
+from copresence.functions import distance, draws, indices, labels
 from copresence.operators import (cleaning, compare, components, embeddings, experienced, graph, home, nullmodel, spatial, stays, survey)
+from copresence.sources import io
 
 
 def one(spark, col):
@@ -101,6 +103,59 @@ def test_stops_of_a_simple_day(spark):
     assert math.isclose(got[0].latitude, got[2].latitude)
 
 
+def stops_of(spark, rows, **kw):
+    df = spark.createDataFrame(rows, "device_aid string, timestamp long, latitude double, longitude double")
+    return [(r.device_aid, r.loc, r.start, r.end, r.size) for r in stays.stays_from_points(stays.detect_stops(df, ["timestamp"], **kw)).orderBy("device_aid", "start").collect()]
+
+
+NORTH = 1 / 111_195  # degrees of a metre
+
+
+def test_a_slow_walk_is_no_stay(spark):
+    assert stops_of(spark, [("a", 10 * i, 59 + 14 * i * NORTH, 18.0) for i in range(120)]) == []
+
+
+def test_jitter_is_one_stay(spark):
+    rows = [("a", 60 * i, 59 + ((i * 7) % 11 - 5) * 4 * NORTH, 18.0) for i in range(60)]
+    assert stops_of(spark, rows) == [("a", 1, 0, 3540, 60)]
+
+
+def test_one_place_in_two_groups_is_one_stay(spark):
+    """A jump of 35 m closes the group; a third group between the two links them to one place, and the stay goes on."""
+    at = lambda start, metres: [("a", start + 60 * i, 59 + metres * NORTH, 18.0) for i in range(20)]
+    rows = at(0, 0) + at(1200, 35) + at(2400, 0) + at(20_000, 17.5)
+    assert stops_of(spark, rows) == [("a", 1, 0, 3540, 60), ("a", 1, 20_000, 21_140, 20)]
+    assert stops_of(spark, at(0, 0) + at(1200, 35)) == [("a", 1, 0, 1140, 20), ("a", 2, 1200, 2340, 20)]
+
+
+def test_stops_equal_a_sequential_pass(spark):
+    """A hot device and small ones against the plain loop."""
+    rng = np.random.default_rng(4)
+    rows, want = [], []
+    for dev, n in (("a", 1500), ("b", 40), ("c", 3)):
+        lat, lng, t = 59.0, 18.0, 0
+        trace = []
+        for _ in range(n):
+            step = rng.choice([0, 5, 25, 50, 500], p=[0.5, 0.3, 0.1, 0.07, 0.03])
+            lat, lng, t = lat + rng.normal() * step * NORTH, lng + rng.normal() * step * 2 * NORTH, t + int(rng.choice([30, 120, 600, 12_000], p=[0.5, 0.3, 0.19, 0.01]))
+            trace.append((dev, t, float(lat), float(lng)))
+        rows += trace
+        groups = []
+        for p in trace:
+            own = groups[-1] if groups else None
+            if own and p[1] - own[-1][1] <= 10_800:
+                la, ln = math.radians(np.mean([q[2] for q in own])), np.mean([q[3] for q in own])
+                h = math.sin((math.radians(p[2]) - la) / 2) ** 2 + math.cos(la) * math.cos(math.radians(p[2])) * math.sin(math.radians(p[3] - ln) / 2) ** 2
+                if 2 * 6_371_000 * math.asin(math.sqrt(h)) <= 30:
+                    own.append(p)
+                    continue
+            groups.append([p])
+        want += sorted(p for g in groups if len(g) >= 2 and g[-1][1] - g[0][1] >= 900 for p in g)
+    df = spark.createDataFrame(rows, "device_aid string, timestamp long, latitude double, longitude double")
+    got = sorted(tuple(r) for r in stays.detect_stops(df, ["timestamp"]).select("device_aid", "timestamp", "latitude", "longitude").collect())
+    assert got == sorted(want) and len(got) > 100
+
+
 def test_densify(spark):
     df = spark.createDataFrame([("a", 0), ("a", 100), ("a", 50000)], "device_aid string, timestamp long")
     got = sorted(r.timestamp for r in stays.densify(df, ["timestamp"], 10800).collect())
@@ -268,3 +323,47 @@ def test_distance_free_pool_matches_brute_force(spark, cell):
             if t == low:
                 want[(uid, u)] = (t, want.get((uid, u), (t, 0))[1] + 1)
     assert got == want
+
+
+def test_polygons_with_holes_and_parts(spark, tmp_path):
+    square = lambda x, y, a: [[x, y], [x + a, y], [x + a, y + a], [x, y + a], [x, y]]
+    shapes = [
+        (1, "Polygon", [square(0, 0, 4), square(1, 1, 1)]), (2, "Polygon", [square(10, 0, 4), square(11, 1, 1)[::-1]]),
+        (3, "MultiPolygon", [[square(20, 0, 2)], [square(30, 0, 3)[::-1], square(31, 1, 1)]]),
+        (4, "Polygon", [[[40, 0], [42, 0], [42, 1], [41, 1], [41, 2], [40, 2], [40, 0]]]),
+    ]
+    lines = [json.dumps({"properties": {"deso": k}, "geometry": {"type": t, "coordinates": c}}) for k, t, c in shapes]
+    (tmp_path / "zones.json").write_text("\n".join(lines))
+    zones = io.read_features(spark, str(tmp_path / "zones.json"), "deso:int")
+    assert dict(zones.select("deso", spatial.polygon_area(F.col("ring"))).collect()) == {1: 15.0, 2: 15.0, 3: 12.0, 4: 3.0}
+    at = [(0.5, 0.5, 1), (1.5, 1.5, None), (11.5, 1.5, None), (13.5, 3.5, 2), (21.0, 1.0, 3), (25.0, 1.0, None), (32.5, 0.5, 3), (31.5, 1.5, None), (41.5, 1.5, None), (40.5, 1.5, 4)]
+    points = spark.createDataFrame([(i, x, y) for i, (x, y, _) in enumerate(at)], "id int, x double, y double")
+    assert dict(spatial.pip_join(points, zones, "x", "y", "deso", 2.0).select("id", "deso").collect()) == {i: k for i, (_, _, k) in enumerate(at) if k}
+    houses = spark.createDataFrame([(1, 0.5, 0.5, 2.0), (2, 40.0, 0.0, 2.0), (3, 30.0, 0.0, 3.0)], "building_id int, x double, y double, a double")
+    corner = lambda dx, dy: F.struct((F.col("x") + dx * F.col("a")).alias("x"), (F.col("y") + dy * F.col("a")).alias("y"))
+    houses = houses.select("building_id", F.array(corner(0, 0), corner(1, 0), corner(1, 1), corner(0, 1)).alias("ring"))
+    got = dict(spatial.ground_space(houses, zones, "deso", 2.0).collect())
+    assert all(math.isclose(got[k], v, abs_tol=1e-12) for k, v in {1: 3 / 15, 2: 0.0, 3: 8 / 12, 4: 1.0}.items())
+    (tmp_path / "line.json").write_text('{"properties": {"deso": 1}, "geometry": {"type": "Point", "coordinates": [1, 2]}}')
+    with pytest.raises(Exception, match="not a polygon"):
+        io.read_features(spark, str(tmp_path / "line.json"), "deso:int").collect()
+
+
+def test_text_node_ids(spark):
+    edges = spark.createDataFrame([("0114B", "0114A", 1.0), ("0114A", "cell 9", 2.0), ("x", "y", 0.0)], "u string, v string, weight double")
+    kept, nodes = graph.prune_index(edges)
+    assert kept.count() == 2 and sorted(map(tuple, nodes.collect())) == [("0114A", 0), ("0114B", 1), ("cell 9", 2)]
+
+
+def test_poisson_of_any_mean(spark):
+    df = spark.range(20_000).withColumn("u", draws.uniform([F.col("id")], 3))
+    for mean in (0.3, 5.0, 16.0, 25.0, 130.0):
+        r = df.select(draws.poisson(F.lit(mean), F.col("u")).alias("k")).agg(F.avg("k"), F.var_samp("k"), F.min("k")).first()
+        assert abs(r[0] - mean) < 5 * math.sqrt(mean / 20_000) and abs(r[1] / mean - 1) < 0.06 and r[2] >= 0
+    assert df.select(draws.poisson(F.lit(0.0), F.col("u")).alias("k")).agg(F.max("k")).first()[0] == 0
+
+
+def test_bad_lines_are_kept_apart(spark, tmp_path):
+    (tmp_path / "a.csv").write_text("1,x\nno number,y\n3,z\n")
+    assert sorted(map(tuple, io.read_raw(spark, str(tmp_path), "id int, name string", header=False).collect())) == [(1, "x"), (3, "z")]
+    assert [r["line"] for r in io.malformed(spark, str(tmp_path), "id int, name string", header=False).collect()] == ["no number,y"]
