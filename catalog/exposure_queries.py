@@ -5,6 +5,7 @@ from pyspark.sql import functions as F
 from catalog.fixtures import Tables, r6, rd, rd3, rounded
 from catalog.place_queries import METRICS, cells_sql, home_counts, metrics, shares
 from catalog.registry import query
+from copresence.functions.constants import RANDOM_MIX
 from copresence.operators import experienced, mobility, place, stays
 
 CELL = "weekday, holiday, time_seq"
@@ -146,8 +147,7 @@ def _(t: Tables):
        mix=MIX, contact=CONTACT, shared=SHARES)
 def _(t: Tables):
     people = experienced.contact_shares(contact(t), ["uid"]).join(t.groups.select("uid", "wt_p", "grp_r"), "uid")
-    base = {"d": 42.3, "f": 17.6, "n": 40.1}  # fixed values: random-mix shares in percent
-    return rounded(experienced.typed_pairs(people, base), "wt_p", "value")
+    return rounded(experienced.typed_pairs(people, RANDOM_MIX), "wt_p", "value")
 
 
 @query("contacts_without_self", "E61", f"""SELECT c.uid, {rd3("f - CASE WHEN grp_r='F' THEN wt_p*k ELSE 0 END")} AS f, {rd3("d - CASE WHEN grp_r='D' THEN wt_p*k ELSE 0 END")} AS d,

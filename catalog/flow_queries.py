@@ -8,6 +8,7 @@ from catalog.null_queries import NULLS, stop_pois, upois
 from catalog.place_queries import home_counts, shares
 from catalog.registry import query
 from catalog.stay_queries import BOX, PICKED, PING_ORDER, SCORES, STAY_CTES, STAY_STEPS
+from copresence.functions.constants import HOME_TIME_ZONE
 from copresence.plans import flows
 
 SEASONS = [("2024-01-08 00:00:00", "2024-01-15 00:00:00"), ("2024-01-28 00:00:00", None)]
@@ -20,7 +21,7 @@ SEASONS = [("2024-01-08 00:00:00", "2024-01-15 00:00:00"), ("2024-01-28 00:00:00
     WHERE NOT (lat, lng) IN (SELECT (home_lat, home_lng) FROM home_points WHERE uid < 3)""", **STAY_STEPS)
 def _(t: Tables):
     abnormal = t.home_points.where("uid < 3").select(F.col("home_lat").alias("lat"), F.col("home_lng").alias("lng"))
-    out = flows.stays_from_pings(t.pings, PING_ORDER, BOX, "Europe/Stockholm", SEASONS, abnormal)
+    out = flows.stays_from_pings(t.pings, PING_ORDER, BOX, HOME_TIME_ZONE, SEASONS, abnormal)
     return out.select("uid", "interval", "loc", "dur", "localtime", "h_s", "holiday_s", "weekday_s", "seq")
 
 

@@ -168,15 +168,21 @@ def _(t: Tables):
     return rounded(out.select("uid", "sim", "Ds", "Fs", "Ns"), "Ds", "Fs", "Ns")
 
 
+MERGED = """SELECT sid, CAST(sim AS INTEGER) AS sim, coalesce(unit_s, unit) AS unit FROM drawn
+    UNION ALL SELECT sid, CAST(unnest(range(1, 6)) AS INTEGER), unit FROM stoppoi WHERE NOT (home = 0 AND tag IS NOT NULL)"""
+
+
 def sim_bins(t: Tables):
-    """Half hours of every replicate at the drawn unit."""
-    d = drawn(t).select("sid", "sim", F.coalesce("unit_s", "unit").alias("unit"))
+    """Half hours of all stops in every replicate: moved ones at the drawn unit, the others at their own."""
+    s = stop_pois(t)
+    kept = s.where(~((F.col("home") == 0) & F.col("tag").isNotNull()))
+    d = nullmodel.merge_moved(kept, drawn(t), "unit", 5).select("sid", "sim", "unit")
     return t.bins.select("sid", "uid", "weekday", "holiday", "time_seq", "wt_total").join(d, "sid")
 
 
 @query("experienced_under_null", "E30 E31", f"""SELECT uid, weekday, holiday, {rd('avg(v)')} AS ice_birth FROM (SELECT uid, weekday, holiday, time_seq, avg(ice) AS v FROM (
-    SELECT b.uid, b.weekday, b.holiday, b.time_seq, d.sim, median(m.v) AS ice FROM bins b JOIN drawn d ON d.sid = b.sid JOIN unitval m ON m.unit = coalesce(d.unit_s, d.unit) AND m.time_seq = b.time_seq
-    GROUP BY 1, 2, 3, 4, 5) GROUP BY 1, 2, 3, 4) GROUP BY 1, 2, 3""", **NULLS,
+    SELECT b.uid, b.weekday, b.holiday, b.time_seq, d.sim, median(m.v) AS ice FROM bins b JOIN merged d ON d.sid = b.sid JOIN unitval m ON m.unit = d.unit AND m.time_seq = b.time_seq
+    GROUP BY 1, 2, 3, 4, 5) GROUP BY 1, 2, 3, 4) GROUP BY 1, 2, 3""", **NULLS, merged=MERGED,
        unitval="SELECT unit, CAST(s AS INTEGER) AS time_seq, ((unit*37 + s*11) % 200 - 100)/97.0e0 AS v FROM (SELECT DISTINCT unit FROM upois), (SELECT unnest(range(1, 49)) AS s)")
 def _(t: Tables):
     units = upois(t).select("unit").distinct().withColumn("time_seq", F.explode(F.sequence(F.lit(1), F.lit(48))))
@@ -189,8 +195,8 @@ def _(t: Tables):
 
 @query("replicate_links", "E59 E60 E61", f"""SELECT l.uid, CAST(l.sim AS INTEGER) AS sim, {rd3('sum(l.w*m.f)')} AS f, {rd3('sum(l.w*m.d)')} AS d, {rd3('sum(l.w*m.n)')} AS n FROM simlinks l JOIN (
     SELECT unit, time_seq, sim, coalesce(sum(wt_p) FILTER (grp_r='F'), 0) AS f, coalesce(sum(wt_p) FILTER (grp_r='D'), 0) AS d, coalesce(sum(wt_p) FILTER (grp_r='N'), 0) AS n FROM simlinks JOIN groups USING (uid) GROUP BY 1, 2, 3) m
-    USING (unit, time_seq, sim) GROUP BY 1, 2""", **NULLS,
-       simlinks="SELECT b.uid, coalesce(d.unit_s, d.unit) AS unit, b.time_seq, d.sim, sum(b.wt_total) AS w FROM bins b JOIN drawn d ON d.sid = b.sid GROUP BY 1, 2, 3, 4")
+    USING (unit, time_seq, sim) GROUP BY 1, 2""", **NULLS, merged=MERGED,
+       simlinks="SELECT b.uid, d.unit, b.time_seq, d.sim, sum(b.wt_total) AS w FROM bins b JOIN merged d ON d.sid = b.sid GROUP BY 1, 2, 3, 4")
 def _(t: Tables):
     links = place.links(sim_bins(t), "unit", ["time_seq", "sim"])
     mix = place.place_mix(links.join(t.groups.select("uid", "grp_r", "wt_p"), "uid"), ["unit", "time_seq", "sim"])

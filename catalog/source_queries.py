@@ -4,6 +4,7 @@ from pyspark.sql import functions as F
 
 from catalog.fixtures import Tables, rounded
 from catalog.registry import query
+from copresence.operators import graph
 from copresence.session import scratch
 from copresence.sources import io, schemas, transit
 
@@ -27,8 +28,7 @@ def _(t: Tables):
 @query("landing_day", "A1", PING_ROWS + " WHERE timestamp // 86400 = 19737")
 def _(t: Tables):
     root = scratch(t.spark, "landing")
-    day = raw_pings(t).where(F.floor(F.col("timestamp") / 86400) == 19737)
-    io.write_tsv(day, f"{root}/01/15")
+    io.write_landing(raw_pings(t), root)
     return io.read_landing(t.spark, root, 1, 15, COLS)
 
 
@@ -74,22 +74,23 @@ def _(t: Tables):
     return io.scan(t.spark, name, ["uid", "loc", "dur"], "dur < 100 and weekday = 1")
 
 
-@query("stored_zones", "A11", "SELECT n_nationkey AS deso, n_nationkey%5*2000.0e0 AS x0, n_nationkey//5*2000.0e0 AS y0, CAST(4 AS INTEGER) AS corners FROM nation")
+CORNERS = """SELECT n_nationkey AS deso, n_regionkey AS county, c AS corner, n_nationkey%5*2000.0e0 + CASE WHEN c IN (1, 2) THEN 2000 ELSE 0 END AS x,
+    n_nationkey//5*2000.0e0 + CASE WHEN c >= 2 THEN 2000 ELSE 0 END AS y FROM nation, (SELECT CAST(unnest(range(0, 4)) AS INTEGER) AS c)"""
+
+
+@query("stored_zones", "A11", f"SELECT deso, corner, x, y FROM ({CORNERS})")
 def _(t: Tables):
     path = scratch(t.spark, "zones")
     io.save_zones(t.squares, path)
-    z = io.read_zones(t.spark, path)
-    first = F.get("ring", F.lit(0))
-    return z.select("deso", first["x"].alias("x0"), first["y"].alias("y0"), F.size("ring").alias("corners"))
+    return io.read_zones(t.spark, path).select("deso", F.posexplode("ring").alias("corner", "p")).select("deso", "corner", "p.x", "p.y")
 
 
-@query("geojson_zones", "A12", "SELECT n_nationkey AS deso, n_regionkey AS county, n_nationkey%5*2000.0e0 AS x0, n_nationkey//5*2000.0e0 AS y0, CAST(4 AS INTEGER) AS corners FROM nation")
+@query("geojson_zones", "A12", f"SELECT deso, county, corner, x, y FROM ({CORNERS})")
 def _(t: Tables):
     path = scratch(t.spark, "geojson")
     io.write_features(t.squares, path)
     z = io.read_features(t.spark, path, "deso:int,county:int")
-    first = F.get("ring", F.lit(0))
-    return z.select("deso", "county", first["x"].alias("x0"), first["y"].alias("y0"), F.size("ring").alias("corners"))
+    return z.select("deso", "county", F.posexplode("ring").alias("corner", "p")).select("deso", "county", "corner", "p.x", "p.y")
 
 
 def feed(t: Tables):
@@ -132,22 +133,24 @@ def _(t: Tables):
     return back.select("uid", "deso", "n_stops").unionByName(t.spark.read.parquet(b).select("uid", "deso", "n_stops"))
 
 
-@query("embedding_files", "A15", "SELECT vec_id AS node_id, concat('n', vec_id) AS node, CAST(64 AS INTEGER) AS dims, round(CAST(embedding[1] AS DOUBLE), 6)+0 AS d0 FROM embeddings")
+@query("embedding_files", "A15", """SELECT node_id, node, CAST(pos - 1 AS INTEGER) AS pos, round(CAST(v AS DOUBLE), 6)+0 AS v FROM (
+    SELECT vec_id AS node_id, concat('n', vec_id) AS node, unnest(embedding) AS v, unnest(range(1, len(embedding) + 1)) AS pos FROM embeddings)""")
 def _(t: Tables):
     path, names = scratch(t.spark, "vec"), scratch(t.spark, "names")
     e = t.read("embeddings").withColumnRenamed("vec_id", "node_id").withColumn("embedding", F.transform("embedding", lambda v: v.cast("double")))
     io.write_embeddings(e, path)
     e.select("node_id", F.concat(F.lit("n"), "node_id").alias("node")).write.option("header", True).csv(names)
     back = io.read_embeddings(t.spark, path, names)
-    return rounded(back.select("node_id", "node", F.size("embedding").alias("dims"), F.get("embedding", F.lit(0)).alias("d0")), "d0")
+    return rounded(back.select("node_id", "node", F.posexplode("embedding").alias("pos", "v")), "v")
 
 
-@query("stored_graph", "A16", "SELECT (SELECT count(DISTINCT loc) FROM stops) AS nodes, count(*) AS edges FROM (SELECT DISTINCT uid, loc FROM stops)")
+@query("stored_graph", "A16", "SELECT DISTINCT uid, loc, CAST(dense_rank() OVER (ORDER BY loc) - 1 AS BIGINT) AS node_id FROM stops")
 def _(t: Tables):
     path = scratch(t.spark, "graph")
-    io.save_graph(t.stops.select("loc").distinct(), t.stops.select("uid", "loc").distinct(), path)
+    nodes = graph.dense_ids(t.stops.select("loc").distinct(), "loc", "node_id")
+    io.save_graph(nodes, t.stops.select("uid", "loc").distinct(), path)
     nodes, edges = io.load_graph(t.spark, path)
-    return edges.agg(F.count(F.lit(1)).alias("edges")).withColumn("nodes", nodes.select(F.count(F.lit(1))).scalar())
+    return edges.join(nodes, "loc").select("uid", "loc", "node_id")
 
 
 @query("pooled_access", "E74 B8", "SELECT uid, deso, max(c_acctbal) AS cum_jobs FROM homes LEFT JOIN customer ON c_nationkey = deso GROUP BY 1, 2")

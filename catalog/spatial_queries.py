@@ -178,11 +178,11 @@ def _(t: Tables):
     return rounded(spatial.access_within(homes, jobs, "uid", "p_size", 1500.0), "access")
 
 
-@query("county_destinations", "F13", f"""SELECT county, count(*) AS cells FROM (SELECT DISTINCT n.n_regionkey AS county, p.osm_id FROM home_points h
-    JOIN nation n ON n.n_nationkey = h.uid % 25, pois p WHERE sqrt(pow(h.hx-p.x,2)+pow(h.hy-p.y,2)) <= 400) GROUP BY 1""")
+@query("county_destinations", "F13", """SELECT DISTINCT n.n_regionkey AS county, p.osm_id AS cell_id FROM home_points h
+    JOIN nation n ON n.n_nationkey = h.uid % 25, pois p WHERE sqrt(pow(h.hx-p.x,2)+pow(h.hy-p.y,2)) <= 400""")
 def _(t: Tables):
     county = t.squares.select(F.col("deso"), "county")
     homes = t.home_points.withColumn("deso", (F.col("uid") % 25).cast("int")).join(county, "deso").select(
         "county", F.col("hx").alias("x"), F.col("hy").alias("y"))
     grid = t.pois.select(F.col("osm_id").alias("cell_id"), "x", "y")
-    return spatial.od_candidates(homes, grid, 400.0).groupBy("county").agg(F.count(F.lit(1)).alias("cells"))
+    return spatial.od_candidates(homes, grid, 400.0).select("county", "cell_id")

@@ -4,6 +4,7 @@ from pyspark.sql import functions as F
 
 from catalog.fixtures import Tables, r6, rd, rounded
 from catalog.registry import query
+from copresence.functions.constants import HOME_BOX, HOME_TIME_ZONE, T_MAX
 from copresence.operators import cleaning, home, profiles, stays
 
 PING_ORDER = ["timestamp", "pid"]
@@ -26,7 +27,7 @@ DENSE = "SELECT device_aid, x, y, pid, unnest(range(timestamp, until, 10799)) AS
 
 @query("silent_period_fill", "W2", "SELECT device_aid, timestamp, pid, x, y FROM dense", gap=GAP, dense=DENSE)
 def _(t: Tables):
-    return stays.densify(t.pings, PING_ORDER, 3 * 3600).select("device_aid", "timestamp", "pid", "x", "y")
+    return stays.densify(t.pings, PING_ORDER, T_MAX).select("device_aid", "timestamp", "pid", "x", "y")
 
 
 @query("location_runs", "W3", """SELECT pid, CAST(sum(CASE WHEN same THEN 0 ELSE 1 END) OVER
@@ -55,7 +56,7 @@ STAY_STEPS = {"gap": GAP, "dense": DENSE, "runs": RUNS, "labelled": LABELLED, "i
 
 def stop_points(t: Tables):
     """Silences filled, then stops found on the denser trace."""
-    dense = stays.densify(stays.clean_pings(t.pings), PING_ORDER, 3 * 3600)
+    dense = stays.densify(stays.clean_pings(t.pings), PING_ORDER, T_MAX)
     return stays.detect_stops(dense, PING_ORDER)
 
 
@@ -107,7 +108,7 @@ def _(t: Tables):
     return stays.stay_times(s).select("sid", "start", "end", "dur", "month", "cross_day")
 
 
-BOX = {"south": 55.3617373725, "north": 69.1062472602, "west": 11.0273686052, "east": 23.9033785336}  # fixed values
+BOX = HOME_BOX
 
 
 @query("local_time_flags", "C7 C8 C9", """SELECT sid, tzname, lt AS localtime, hour(lt) + minute(lt)/60.0e0 AS h_s,
@@ -121,7 +122,7 @@ def _(t: Tables):
     east = t.spark.createDataFrame(
         [("Europe/Helsinki", [(15.95, 50.0), (40.0, 50.0), (40.0, 75.0), (15.95, 75.0)])],
         "tzname string, ring array<struct<x:double,y:double>>")
-    named = stays.zone_names(t.stops.withColumnRenamed("localtime", "utc"), box, "Europe/Stockholm", east)
+    named = stays.zone_names(t.stops.withColumnRenamed("localtime", "utc"), box, HOME_TIME_ZONE, east)
     local = stays.to_local(named, "utc", "tzname", "localtime").withColumn("leaving_localtime", F.col("localtime"))
     out = stays.enrich_time(local, [("2024-01-08 00:00:00", "2024-01-15 00:00:00"), ("2024-01-28 00:00:00", None)])
     return out.select("sid", "tzname", "localtime", "h_s", "holiday_s", "weekday_s")

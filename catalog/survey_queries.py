@@ -52,7 +52,7 @@ BOUNDS = f"""SELECT sub_id, o0, d0, CASE WHEN date = ld THEN CAST(date AS TIMEST
 
 
 @query("trip_activities", "W9 K4", f"""SELECT sub_id, purpose, zone, CASE purpose WHEN 0 THEN 'Home' WHEN 2 THEN 'Work' WHEN 3 THEN 'School' ELSE 'Other' END AS activity,
-    (epoch(a1)-epoch(a0))/60.0e0 AS dur, CAST(hour(a0)*60+minute(a0) AS INTEGER) AS h_s FROM acts WHERE sub_id NOT IN (SELECT sub_id FROM acts WHERE a1 <= a0)""",
+    (epoch(a1)-epoch(a0))/60.0e0 AS dur, CAST(hour(a0)*60+minute(a0) AS INTEGER) AS h_s FROM (SELECT *, bool_or(a1 <= a0) OVER (PARTITION BY sub_id) AS bad FROM acts) WHERE NOT coalesce(bad, false)""",
        trip_t=TRIPTIME, bounds=BOUNDS, acts=ACTS)
 def _(t: Tables):
     trips = timed_trips(t).withColumn("slot", F.to_date("dep"))
@@ -184,7 +184,7 @@ def _(t: Tables):
 
 @query("forest_cv_accuracy", "J18")
 def _(t: Tables):
-    return models.rf_cv(emb(t), "embedding", "cls", folds=3, trees=5)
+    return models.rf_cv(emb(t), "embedding", "cls")
 
 
 # models
@@ -217,12 +217,12 @@ def _(t: Tables):
 
 @query("boosted_baseline", "J14 S5")
 def _(t: Tables):
-    return models.gbt_baseline(t.cases, ["oid", "line", "pid"], ["disc", "tax", "w", "zone"], "x", iters=2)[1]
+    return models.gbt_baseline(t.cases, ["oid", "line", "pid"], ["disc", "tax", "w", "zone"], "x")[1]
 
 
 @query("boosted_baseline_pca", "J15")
 def _(t: Tables):
-    return models.gbt_baseline(t.cases, ["oid", "line", "pid"], ["disc", "tax", "w", "zone"], "x", pca=3, iters=2)[1]
+    return models.gbt_baseline(t.cases, ["oid", "line", "pid"], ["disc", "tax", "w", "zone"], "x", pca=3)[1]
 
 
 @query("feature_regression", "J16 J19")
@@ -243,4 +243,4 @@ def _(t: Tables):
 
 @query("person_clusters", "J13")
 def _(t: Tables):
-    return models.cluster(person_table(t), "uid", FEATURES, [2, 3], w="wt_p", pick=3)[1]
+    return models.cluster(person_table(t), "uid", FEATURES, list(range(2, 10)), w="wt_p", pick=7)[1]

@@ -1,15 +1,7 @@
 """Default parameters of the published study; every operator takes them as arguments."""
 
 # fixed values
-NATIONAL_SHARES = {"birth_se": 0.8044332515556147, "birth_other": 0.11067529894925136}
-ABNORMAL_POINTS = [(62.0, 15.0), (59.3333, 18.05), (59.3247, 18.056)]  # lat, lng
 HOME_BOX = {"west": 11.0273686052, "south": 55.3617373725, "east": 23.9033785336, "north": 69.1062472602}
 HOME_TIME_ZONE = "Europe/Stockholm"
-SEASONS = [("2019-06-23 00:00:00", "2019-08-11 00:00:00"), ("2019-12-22 00:00:00", None)]  # local time, strict bounds
 RANDOM_MIX = {"d": 42.3, "f": 17.6, "n": 40.1}  # percent
-STOP_PARAMETERS = {"r1": 30, "r2": 30, "min_stay": 900, "t_max": 10800, "min_size": 2}
-RING_METRES = (30.0, 1000.0)
-ICE_EDGES = [-1.0, -0.6, -0.2, 0.2, 0.6, 1.0]
-CAR_EDGES = [0.01, 0.35, 0.53, 1.72]
-LOW_INCOME_EDGES = [0.0, 0.25, 0.75, 1.0]
-ACCESS_GROUPS = {"all": 25, "F": 15, "D": 11}
+T_MAX = 10800  # seconds of silence that end a stay

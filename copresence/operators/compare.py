@@ -154,11 +154,6 @@ def wrank_test(df: DataFrame, by: list[str], x: str, g: str, w: str) -> DataFram
     return out.select(*by, "n", "estimate", t.alias("t"))
 
 
-def with_p(test: DataFrame, stat: str = "t") -> DataFrame:
-    """Two-sided p-value from the normal tail, for results of many rows."""
-    return test.withColumn("p", normal_tail(F.abs(stat)) * 2)
-
-
 def wks(df: DataFrame, by: list[str], x: str, g: str, w: str) -> DataFrame:
     """Largest gap between the weighted distribution functions of two samples; g is 0 or 1."""
     side = lambda v: F.sum(F.when(F.col(g) == v, F.col(w)).otherwise(0.0))

@@ -13,7 +13,6 @@ from pyspark.ml.tuning import CrossValidator, ParamGridBuilder
 from pyspark.sql import Column, DataFrame, functions as F
 
 from copresence.functions import draws
-from copresence.operators import cleaning
 from copresence.operators.compare import _by, wavg
 from copresence.session import cut
 
@@ -115,10 +114,10 @@ def additive_model(df: DataFrame, cols: list[str], y: str, bins: int = 8, pairs:
     return importance, table
 
 
-def rf_cv(df: DataFrame, vec: str, label: str, folds: int = 10, trees: int = 20, seed: int = 0) -> DataFrame:
+def rf_cv(df: DataFrame, vec: str, label: str, folds: int = 10, trees: int = 20, depth: int = 7, seed: int = 0) -> DataFrame:
     """Cross-validated accuracy of a random forest on vectors."""
     data = cut(df.select(array_to_vector(F.col(vec)).alias("x"), F.col(label).cast("string").alias("label")))
-    stages = [StringIndexer(inputCol="label", outputCol="y"), RandomForestClassifier(featuresCol="x", labelCol="y", numTrees=trees, seed=seed)]
+    stages = [StringIndexer(inputCol="label", outputCol="y"), RandomForestClassifier(featuresCol="x", labelCol="y", numTrees=trees, maxDepth=depth, seed=seed)]
     cv = CrossValidator(estimator=Pipeline(stages=stages), estimatorParamMaps=ParamGridBuilder().build(), numFolds=folds, seed=seed,
                         evaluator=MulticlassClassificationEvaluator(labelCol="y", metricName="accuracy"), parallelism=4)
     model = cv.fit(data)
@@ -145,17 +144,5 @@ def place_type_table(visits: DataFrame, place: str, kind: str, values: list[str]
     return visits.groupBy(place).pivot(kind, values).agg(F.count(F.lit(1))).fillna(0)
 
 
-def model_table(person: DataFrame, exposure: DataFrame, residence: DataFrame, access: DataFrame, groups: Column) -> DataFrame:
-    """Person table for models: mobility, exposure, home side, access and residential group; incomplete rows drop out."""
-    out = person.join(exposure, "uid").join(residence, "uid").join(access, "uid", "left")
-    return out.withColumn("grp_r", groups).dropna()
-
-
-def one_hot_flags(df: DataFrame, cols: dict[str, list]) -> DataFrame:
-    for c, values in cols.items():
-        df = cleaning.one_hot(df, c, values)
-    return df
-
-
 def vectors(df: DataFrame, col: str) -> Column:
     return vector_to_array(F.col(col))

@@ -102,11 +102,13 @@ def nearest_within(points: DataFrame, pois: DataFrame, r: float, poi: str = "osm
 def access_within(origins: DataFrame, chances: DataFrame, origin: str, value: str, r: float) -> DataFrame:
     """Chances within r of an origin with linear distance decay.
 
-    Chances are summed per location first, so many chances on one spot are one row of the join.
+    Chances are summed per location first, and origins on one spot are one row of the join.
     """
     spots = chances.groupBy("x", "y").agg(F.sum(value).alias("v")).withColumn("spot", F.struct("x", "y"))
-    pairs = within(origins, spots, origin, "spot", -1.0, r, ["v"])
-    return pairs.groupBy(origin).agg(F.sum(F.col("v") * (1 - F.col("d") / r)).alias("access"), F.sum("v").alias("reached"))
+    homes = origins.select("x", "y").distinct().withColumn("home", F.struct("x", "y"))
+    pairs = within(homes, spots, "home", "spot", -1.0, r, ["v"])
+    reached = pairs.groupBy("home").agg(F.sum(F.col("v") * (1 - F.col("d") / r)).alias("access"), F.sum("v").alias("reached"))
+    return origins.join(reached.select("home.x", "home.y", "access", "reached"), ["x", "y"]).select(origin, "access", "reached")
 
 
 def zone_density(points: DataFrame, polygons: DataFrame, zone: str, weight: Column | None = None, cell: float = 1000.0,

@@ -1,4 +1,4 @@
-"""The three chains of work, each one lazy plan over the operators."""
+"""The three chains of work over the operators; stop detection, quantile cuts and components run jobs while a chain is built."""
 
 from __future__ import annotations
 

@@ -15,9 +15,17 @@ def read_pings(spark: SparkSession, path: str | list[str], cols: list[str] | Non
     return df.select(*cols) if cols else df
 
 
+def write_landing(df: DataFrame, root: str, time: str = "timestamp") -> None:
+    """Tab-separated parts in one folder per month and day (UTC)."""
+    at = F.timestamp_seconds(time)
+    df.withColumns({"month": F.month(at), "day": F.dayofmonth(at)}).write.partitionBy("month", "day").option("sep", "\t").option(
+        "header", True).option("compression", "gzip").csv(root)
+
+
 def read_landing(spark: SparkSession, root: str, month: int, day: int, cols: list[str] | None = None) -> DataFrame:
-    """One day of a landing area with a folder per month and day."""
-    return read_pings(spark, f"{root.rstrip('/')}/{month:02d}/{day:02d}", cols)
+    """One day of a landing area; the other days' folders are not opened."""
+    of_day = read_pings(spark, root).where((F.col("month") == month) & (F.col("day") == day)).drop("month", "day")
+    return of_day.select(*cols) if cols else of_day
 
 
 def read_raw(spark: SparkSession, path: str, schema: str, header: bool = True) -> DataFrame:
