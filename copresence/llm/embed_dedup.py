@@ -16,7 +16,7 @@ import zlib
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import DataFrame, functions as F, types as T
 
 from copresence.llm.common import components, counted, saved
 
@@ -180,13 +180,15 @@ def links(points: DataFrame, cosine: float = COSINE, cell: int = CELL, spreads:
     return placed.groupBy("key", "spread", "cell", "one", "two").applyInPandas(run, "node long, links long, root long")
 
 
-def _unit(vector: Column) -> Column:
-    """The direction in double precision."""
-    v = F.transform(vector, lambda x: x.cast("double"))
-    top = F.array_max(F.transform(v, lambda x: F.abs(x)))
-    scaled = F.transform(v, lambda x: x / top)
-    norm = F.sqrt(F.aggregate(scaled, F.lit(0.0), lambda s, x: s + x * x))
-    return F.transform(scaled, lambda x: x / norm)
+@F.pandas_udf(T.ArrayType(T.DoubleType()))
+def _unit(vectors: pd.Series) -> pd.Series:
+    """Directions in double precision."""
+    def unit(v: np.ndarray) -> np.ndarray:
+        v = np.asarray(v, float)
+        v = v / np.abs(v).max()
+        return v / np.sqrt(v @ v)
+
+    return vectors.map(unit)
 
 
 def near_groups(vectors: DataFrame, vec_id: str = "vec_id", vector: str = "embedding", label: str = "label", cosine: float = COSINE,
