@@ -80,10 +80,10 @@ def _(t: Tables):
     return t.cases.groupBy(c.alias("class"), F.rint(F.log10("x")).cast("int").alias("log_class")).agg(F.count(F.lit(1)).alias("n"))
 
 
-@query("rank_correlation", "E39", f"""SELECT grp, {rd('corr(rx, ry)')} AS rho, count(*) AS n FROM (SELECT grp, rank() OVER a + (count(*) OVER (PARTITION BY grp, x) - 1)/2.0e0 AS rx,
-    rank() OVER b + (count(*) OVER (PARTITION BY grp, disc) - 1)/2.0e0 AS ry FROM cases WINDOW a AS (PARTITION BY grp ORDER BY x), b AS (PARTITION BY grp ORDER BY disc)) GROUP BY 1""")
+@query("rank_correlation", "E39", f"""SELECT grp, {rd('rho')} AS rho, n, {rd('rho*sqrt((n-2)/(1-rho*rho))')} AS t FROM (SELECT grp, corr(rx, ry) AS rho, count(*) AS n FROM (SELECT grp, rank() OVER a + (count(*) OVER (PARTITION BY grp, x) - 1)/2.0e0 AS rx,
+    rank() OVER b + (count(*) OVER (PARTITION BY grp, disc) - 1)/2.0e0 AS ry FROM cases WINDOW a AS (PARTITION BY grp ORDER BY x), b AS (PARTITION BY grp ORDER BY disc)) GROUP BY 1)""")
 def _(t: Tables):
-    return rounded(compare.spearman(t.cases, ["grp"], "x", "disc").drop("t"), "rho")
+    return rounded(compare.spearman(t.cases, ["grp"], "x", "disc"), "rho", "t")
 
 
 @query("weighted_correlation", "E40", f"""SELECT grp, {rd('sum(w*(x-mx)*(tax-mt))/sqrt(sum(w*pow(x-mx,2))*sum(w*pow(tax-mt,2)))')} AS r FROM cases JOIN
@@ -94,7 +94,7 @@ def _(t: Tables):
 
 @query("weighted_correlation_se", "E40 G7")
 def _(t: Tables):
-    return rounded(compare.wcorr_se(t.cases, ["grp"], "x", "tax", "w", KEY, n=20), "r", "se")
+    return rounded(compare.wcorr_se(t.cases, ["grp"], "x", "tax", "w", KEY), "r", "se")
 
 
 @query("bootstrap_median", "E41 G7")

@@ -250,6 +250,18 @@ def _(t: Tables):
     return rounded(home.coverage(t.homes, t.zones), "share")
 
 
+@query("coverage_summary", "E12 E39 E52", f"""SELECT count(*) AS zones, {rd('avg(share)')} AS mean, {rd('stddev_samp(share)')} AS std, {rd('min(share)')} AS low, {rd('quantile_cont(share, 0.25)')} AS q25,
+    {rd('median(share)')} AS q50, {rd('quantile_cont(share, 0.75)')} AS q75, {rd('max(share)')} AS high, {rd('corr(rp, rv)')} AS rho FROM (SELECT *,
+    rank() OVER (ORDER BY pop) + (count(*) OVER (PARTITION BY pop) - 1)/2.0e0 AS rp, rank() OVER (ORDER BY devices) + (count(*) OVER (PARTITION BY devices) - 1)/2.0e0 AS rv FROM covered)""",
+       covered="SELECT z.deso, z.pop, coalesce(h.n, 0) AS devices, coalesce(h.n, 0)*100.0e0/z.pop AS share FROM zones z LEFT JOIN (SELECT deso, count(*) AS n FROM homes GROUP BY 1) h USING (deso)")
+def _(t: Tables):
+    from copresence.operators import compare
+    covered = home.coverage(t.homes, t.zones).withColumn("country", F.lit(1))
+    out = compare.describe(covered, ["country"], "share").join(compare.spearman(covered, ["country"], "pop", "devices").select("country", "rho"), "country")
+    names = {"count": "zones", "min": "low", "max": "high"}
+    return rounded(out.withColumnsRenamed(names).select("zones", "mean", "std", "low", "q25", "q50", "q75", "high", "rho"), "mean", "std", "low", "q25", "q50", "q75", "high", "rho")
+
+
 @query("total_over_group", "W10 E35", f"""SELECT uid, loc, freq, {rd('freq*1.0e0/sum(freq) OVER (PARTITION BY uid)')} AS share
     FROM (SELECT uid, loc, count(*) AS freq FROM stops GROUP BY 1, 2)""")
 def _(t: Tables):

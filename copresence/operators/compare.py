@@ -58,9 +58,17 @@ def replicates(df: DataFrame, keys: list[str], n: int, seed: int, rate: Column |
 
 
 def wcorr_se(df: DataFrame, by: list[str], x: str, y: str, w: str, keys: list[str], n: int = 1000, seed: int = 1):
-    """Weighted correlation with its bootstrap standard error."""
-    r = replicates(df, keys, n, seed).withColumn("_bw", F.col("copies") * F.col(w))
-    se = wcorr(r, [*by, "sim"], x, y, "_bw").groupBy(*by).agg(F.stddev_samp("r").alias("se"))
+    """Weighted correlation with its bootstrap standard error.
+
+    A replicate is six sums per group, taken beside the rows: copies of rows are never shuffled. Values are centred first.
+    """
+    centred = _by(df, df.groupBy(*by).agg(F.avg(x).alias("_mx"), F.avg(y).alias("_my")), by)
+    dx, dy, c = F.col(x) - F.col("_mx"), F.col(y) - F.col("_my"), F.col("copies") * F.col(w)
+    parts = {"w": c, "x": c * dx, "y": c * dy, "xx": c * dx * dx, "yy": c * dy * dy, "xy": c * dx * dy}
+    sums = replicates(centred, keys, n, seed).groupBy(*by, "sim").agg(*[F.sum(v).alias(f"_{k}") for k, v in parts.items()])
+    s = {k: F.col(f"_{k}") for k in parts}
+    r = (s["w"] * s["xy"] - s["x"] * s["y"]) / F.sqrt((s["w"] * s["xx"] - s["x"] * s["x"]) * (s["w"] * s["yy"] - s["y"] * s["y"]))
+    se = sums.groupBy(*by).agg(F.stddev_samp(r).alias("se"))
     return _beside(wcorr(df, by, x, y, w), se, by)
 
 
