@@ -11,6 +11,7 @@ from copresence.functions import labels
 from copresence.operators import compare, experienced, nullmodel, place, spatial
 
 PRIME = 10007
+DRAWS, REPLICATES = 100, 50  # of destinations per stop; evaluated for exposure
 
 
 def arithmetic(keys):
@@ -37,7 +38,7 @@ POOLED = f"""SELECT o.x, o.y, o.tag, p.unit, p.osm_id, {TIER.format(a='o.tag', b
 POOL = """SELECT x, y, tag, tier, unit, count(*) AS places FROM (SELECT *, min(tier) OVER (PARTITION BY x, y, tag) AS low FROM pooled WHERE tier > 0) WHERE tier = low GROUP BY ALL"""
 CUM = """SELECT *, sum(places) OVER (PARTITION BY x, y, tag ORDER BY unit) AS upto, sum(places) OVER (PARTITION BY x, y, tag) AS size FROM pool"""
 DRAWN = f"""SELECT m.sid, m.uid, m.unit, m.dur, m.sim, c.size AS pool_size, min(c.unit) FILTER (c.upto >= least(floor(u*c.size)+1, c.size)) AS unit_s FROM (
-    SELECT *, {arith_sql('sid', 'sim')} AS u FROM (SELECT *, unnest(range(1, 6)) AS sim FROM mov)) m LEFT JOIN cum c ON c.x = m.x AND c.y = m.y AND c.tag = m.tag GROUP BY ALL"""
+    SELECT *, {arith_sql('sid', 'sim')} AS u FROM (SELECT *, unnest(range(1, {DRAWS + 1})) AS sim FROM mov)) m LEFT JOIN cum c ON c.x = m.x AND c.y = m.y AND c.tag = m.tag GROUP BY ALL"""
 NULLS = dict(upois=UPOIS, stoppoi=STOPPOI, mov=MOV, pooled=POOLED, pool=POOL, cum=CUM, drawn=DRAWN)
 
 
@@ -61,7 +62,7 @@ def pool(t: Tables):
     return nullmodel.candidate_pool(moving(t), upois(t), "unit")
 
 
-def drawn(t: Tables, n: int = 5, pick=arithmetic):
+def drawn(t: Tables, n: int = DRAWS, pick=arithmetic):
     return nullmodel.draw(moving(t), pool(t), ["x", "y", "tag"], "unit", ["sid"], n, pick)
 
 
@@ -100,11 +101,11 @@ def _(t: Tables):
 
 
 @query("merged_replicates", "N6 N7 U2 B24", f"""SELECT sim, unit, count(*) AS stops, {rd('sum(dur)')} AS dur FROM (SELECT sid, CAST(sim AS INTEGER) AS sim, coalesce(unit_s, unit) AS unit, dur FROM drawn
-    UNION ALL SELECT sid, CAST(unnest(range(1, 6)) AS INTEGER), unit, dur FROM stoppoi WHERE NOT (home = 0 AND tag IS NOT NULL)) GROUP BY 1, 2""", **NULLS)
+    UNION ALL SELECT sid, CAST(unnest(range(1, {DRAWS + 1})) AS INTEGER), unit, dur FROM stoppoi WHERE NOT (home = 0 AND tag IS NOT NULL)) GROUP BY 1, 2""", **NULLS)
 def _(t: Tables):
     s = stop_pois(t)
     kept = s.where(~((F.col("home") == 0) & F.col("tag").isNotNull()))
-    out = nullmodel.merge_moved(kept, drawn(t), "unit", 5)
+    out = nullmodel.merge_moved(kept, drawn(t), "unit", DRAWS)
     return out.groupBy("sim", "unit").agg(F.count(F.lit(1)).alias("stops"), r6(F.sum("dur")).alias("dur"))
 
 
@@ -143,7 +144,7 @@ def _(t: Tables):
 
 
 PEOPLE = """SELECT w.uid, w.wt_p, w.deso, z.birth_se*1.0e0/z.pop AS a, z.birth_other*1.0e0/z.pop AS b, z.birth_eu*1.0e0/z.pop AS o, g.grp_r FROM weights w JOIN zones z USING (deso) JOIN groups g ON g.uid = w.uid"""
-PLACED = f"""SELECT p.*, sim, CAST(least(floor({arith_sql('uid', 'sim')}*25)+1, 25) AS INTEGER) AS zone_no FROM (SELECT *, unnest(range(1, 11)) AS sim FROM people) p"""
+PLACED = f"""SELECT p.*, sim, CAST(least(floor({arith_sql('uid', 'sim')}*25)+1, 25) AS INTEGER) AS zone_no FROM (SELECT *, unnest(range(1, {DRAWS + 1})) AS sim FROM people) p"""
 
 
 def people(t: Tables):
@@ -157,26 +158,26 @@ def people(t: Tables):
 def _(t: Tables):
     sa, sb = shares(t)
     zones = nullmodel.numbered_zones(t.zones, "deso")
-    out = nullmodel.shuffle_home(people(t), zones, 10, arithmetic, sa, sb)
+    out = nullmodel.shuffle_home(people(t), zones, DRAWS, arithmetic, sa, sb)
     return out.select("uid", "sim", "zone_no", r6("ice_rs").alias("ice_rs"))
 
 
 @query("shuffled_groups", "N9", f"""SELECT p.uid, CAST(p.sim AS INTEGER) AS sim, {rd('ds')} AS Ds, {rd('fs')} AS Fs, {rd('ns')} AS Ns FROM placed p JOIN (SELECT sim, zone_no, coalesce(sum(wt_p) FILTER (grp_r='D'), 0)/sum(wt_p) AS ds,
     coalesce(sum(wt_p) FILTER (grp_r='F'), 0)/sum(wt_p) AS fs, coalesce(sum(wt_p) FILTER (grp_r='N'), 0)/sum(wt_p) AS ns FROM placed GROUP BY 1, 2) USING (sim, zone_no)""", people=PEOPLE, placed=PLACED)
 def _(t: Tables):
-    out = nullmodel.shuffle_groups(people(t), nullmodel.numbered_zones(t.zones, "deso"), 10, arithmetic)
+    out = nullmodel.shuffle_groups(people(t), nullmodel.numbered_zones(t.zones, "deso"), DRAWS, arithmetic)
     return rounded(out.select("uid", "sim", "Ds", "Fs", "Ns"), "Ds", "Fs", "Ns")
 
 
-MERGED = """SELECT sid, CAST(sim AS INTEGER) AS sim, coalesce(unit_s, unit) AS unit FROM drawn
-    UNION ALL SELECT sid, CAST(unnest(range(1, 6)) AS INTEGER), unit FROM stoppoi WHERE NOT (home = 0 AND tag IS NOT NULL)"""
+MERGED = f"""SELECT sid, CAST(sim AS INTEGER) AS sim, coalesce(unit_s, unit) AS unit FROM drawn WHERE sim <= {REPLICATES}
+    UNION ALL SELECT sid, CAST(unnest(range(1, {REPLICATES + 1})) AS INTEGER), unit FROM stoppoi WHERE NOT (home = 0 AND tag IS NOT NULL)"""
 
 
 def sim_bins(t: Tables):
     """Half hours of all stops in every replicate: moved ones at the drawn unit, the others at their own."""
     s = stop_pois(t)
     kept = s.where(~((F.col("home") == 0) & F.col("tag").isNotNull()))
-    d = nullmodel.merge_moved(kept, drawn(t), "unit", 5).select("sid", "sim", "unit")
+    d = nullmodel.merge_moved(kept, drawn(t, REPLICATES), "unit", REPLICATES).select("sid", "sim", "unit")
     return t.bins.select("sid", "uid", "weekday", "holiday", "time_seq", "wt_total").join(d, "sid")
 
 

@@ -68,26 +68,33 @@ def candidate_pool(origins: DataFrame, pois: DataFrame, unit: str, lo: float = 3
     return _lowest_tier(pairs, ["x", "y", "tag"], [unit])
 
 
-def pool_arrays(pool: DataFrame, key: list[str], unit: str) -> DataFrame:
-    """One row per key: the pool as cumulative place counts by unit, and its size.
+def pool_index(pool: DataFrame, key: list[str], unit: str) -> DataFrame:
+    """Pools laid out for drawing: (key, shelf, lo, hi, unit, pool_size, units).
 
-    The array has one entry per unit in reach, not one per place.
+    The places of a pool stand in a row, unit by unit; a unit holds the places lo+1 to hi. The row is cut into as many equal shelves as the
+    pool has units, and a unit is listed on every shelf it touches, so a draw meets about two rows, however large the pool is.
     """
-    listed = pool.groupBy(*key).agg(F.sort_array(F.collect_list(F.struct(F.col(unit).alias("unit"), "places"))).alias("_u"))
-    upto = F.aggregate(
-        "_u", F.array().cast(f"array<struct<unit:{pool.schema[unit].dataType.simpleString()},upto:bigint>>"),
-        lambda acc, e: F.concat(acc, F.array(F.struct(
-            e["unit"].alias("unit"), (F.coalesce(F.try_element_at(acc, F.lit(-1))["upto"], F.lit(0)) + e["places"]).alias("upto")))))
-    return listed.select(*key, upto.alias("pool")).withColumn("pool_size", F.element_at("pool", -1)["upto"])
+    per_key = Window.partitionBy(*key)
+    upto = F.sum("places").over(per_key.orderBy(unit).rowsBetween(Window.unboundedPreceding, 0))
+    laid = pool.select(*key, unit, "places").withColumns({
+        "hi": upto, "pool_size": F.sum("places").over(per_key), "units": F.count(F.lit(1)).over(per_key)}).withColumn("lo", F.col("hi") - F.col("places"))
+    return laid.withColumn("shelf", F.explode(F.sequence(_shelf(F.col("lo")), _shelf(F.col("hi") - 1)))).drop("places")
+
+
+def _shelf(place: Column) -> Column:
+    """The shelf of a place counted from 0."""
+    return F.floor(place * F.col("units") / F.col("pool_size"))
 
 
 def draw(stops: DataFrame, pool: DataFrame, key: list[str], unit: str, ids: list[str], n: int, pick: Picker) -> DataFrame:
     """n draws with replacement per stop: one row per (stop, sim) with the drawn unit; null where no pool exists."""
-    arrays = pool_arrays(pool, key, unit)
-    out = stops.join(arrays, key, "left").withColumn("sim", F.explode(F.sequence(F.lit(1), F.lit(n))))
-    at = draws.position(pick([*[F.col(c) for c in ids], F.col("sim")]), F.col("pool_size"))
-    hit = F.try_element_at(F.filter("pool", lambda e: e["upto"] >= at), F.lit(1))["unit"]
-    return out.withColumn(f"{unit}_s", hit).drop("pool")
+    sizes = pool.groupBy(*key).agg(F.sum("places").alias("pool_size"), F.count(F.lit(1)).alias("units"))
+    out = stops.join(sizes, key, "left").withColumn("sim", F.explode(F.sequence(F.lit(1), F.lit(n))))
+    out = out.withColumn("_at", draws.position(pick([*[F.col(c) for c in ids], F.col("sim")]), F.col("pool_size")))
+    out = out.withColumn("shelf", _shelf(F.col("_at") - 1)).drop("units")
+    listed = pool_index(pool, key, unit).select(*key, "shelf", "lo", "hi", F.col(unit).alias(f"{unit}_s"))
+    met = out.join(listed, [*key, "shelf"], "left").where(F.col("lo").isNull() | ((F.col("_at") > F.col("lo")) & (F.col("_at") <= F.col("hi"))))
+    return met.drop("_at", "shelf", "lo", "hi")
 
 
 def draw_counts(drawn: DataFrame, ids: list[str], unit: str) -> DataFrame:
