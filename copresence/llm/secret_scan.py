@@ -24,10 +24,12 @@ BASE = {
 }
 #: Weak kinds: a bare key-like string (both cases and a digit), an endpoint, the name of an account.
 WEAK = {
-    "key": (r"((?<![A-Za-z0-9+/])(?=[A-Za-z+/]*[0-9])(?=[a-z0-9+/]*[A-Z])(?=[A-Z0-9+/]*[a-z])[A-Za-z0-9+/]{20,}={0,2})", 20),
+    "key": (r"([A-Za-z0-9+/]{20,}={0,2})", 20),
     "endpoint": (r"((?i:https?|s3|jdbc:[a-z]+|postgres|postgresql|mysql|mongodb|redis|amqp)://[^\x20\x09-\x0D\"'<>]+)", 8),
     "account": (r"(?i:user|username|login|account|client_?id)[\"']?\x20*[:=]\x20*[\"']?([A-Za-z0-9_.@-]+)", 3),
 }
+#: What else the value of a kind must hold.
+HOLDS = {"key": ["[0-9]", "[A-Z]", "[a-z]"]}
 #: A weak part is reported when one kind of each group stands in its scope.
 NEEDS = {
     "key": [["access", "account"]],
@@ -39,7 +41,7 @@ _SPANS = "array<struct<start:int,kind:int,end:int>>"
 
 
 def found(text: Column, kind: str) -> Column:
-    """Array of (start, kind, end) of the leftmost non-overlapping matches whose group is long enough; a match that is too short
+    """Array of (start, kind, end) of the leftmost non-overlapping matches whose group is long enough and holds what it must; any other match
     still takes its characters. `\\G` makes each search start where the last match ended, so a text is read once."""
     pattern, least = (BASE | WEAK)[kind]
     whole = F.lit(r"(?s)\G(.*?)(" + pattern + ")")
@@ -50,7 +52,10 @@ def found(text: Column, kind: str) -> Column:
         start = done["at"] + F.length(m["gap"])
         end = start + F.length(m["match"])
         span = F.array(F.struct(start.alias("start"), F.lit(KINDS.index(kind)).alias("kind"), end.alias("end")))
-        return F.struct(end.alias("at"), F.when(F.length(m["value"]) >= least, F.concat(done["spans"], span)).otherwise(done["spans"]).alias("spans"))
+        good = F.length(m["value"]) >= least
+        for held in HOLDS.get(kind, []):
+            good = good & m["value"].rlike(held)
+        return F.struct(end.alias("at"), F.when(good, F.concat(done["spans"], span)).otherwise(done["spans"]).alias("spans"))
 
     spans = F.aggregate(cut, F.struct(F.lit(0).alias("at"), none.alias("spans")), placed, lambda done: done["spans"])
     return F.when(text.rlike(pattern), spans).otherwise(none)

@@ -5,6 +5,8 @@ XXH64 fingerprints, byte-pair merges, file round trips and trained models are no
 
 from __future__ import annotations
 
+from copresence.llm import secret_scan
+
 _SPACE = r"[\x20\x09-\x0D]"
 
 EMBEDDINGS = """
@@ -92,7 +94,43 @@ line AS (
 SELECT doc_id, domain, lang, source, epoch, tokens AS n_tokens, CAST(least(tokens, budget - before) AS BIGINT) AS take_tokens FROM line WHERE before < budget
 """
 
+def _found(kind: str, number: int) -> str:
+    """Spans (row, kind, s, e) of one kind: gaps and matches are cut out one after another, positions are sums of their lengths."""
+    pattern, least = (secret_scan.BASE | secret_scan.WEAK)[kind]
+    cut = lambda group: f"unnest(regexp_extract_all(text, '(?s)(.*?)(?:{pattern.replace(chr(39), chr(39) * 2)})', {group}))"
+    holds = "".join(f" AND regexp_matches(value, '{h}')" for h in secret_scan.HOLDS.get(kind, []))
+    return f"""SELECT row, {number} AS kind, CAST(upto - length(whole) + length(gap) AS BIGINT) AS s, CAST(upto AS BIGINT) AS e FROM (
+        SELECT *, sum(length(whole)) OVER (PARTITION BY row ORDER BY nth) AS upto FROM (
+            SELECT row, {cut(0)} AS whole, {cut(1)} AS gap, {cut(2)} AS value, {cut(0).replace("unnest(", "generate_subscripts(", 1)[:-1]}, 1) AS nth FROM doc))
+        WHERE length(value) >= {least}{holds}"""
+
+
+def _near(kinds: list[str], known: list[str]) -> str:
+    numbers = ", ".join(str(known.index(k)) for k in kinds)
+    return f"""EXISTS (SELECT 1 FROM part p WHERE p.row = w.row AND p.kind IN ({numbers}) AND greatest(p.s, w.s) <= CASE WHEN w.s <= p.s THEN w.e ELSE p.e END + {secret_scan.REACH})"""
+
+
+def _secrets() -> str:
+    kinds, bases = secret_scan.KINDS, len(secret_scan.BASE)
+    spans = " UNION ALL ".join(_found(k, i) for i, k in enumerate(kinds))
+    needs = " OR ".join(
+        f"(w.kind = {kinds.index(k)} AND {' AND '.join(_near([x for x in group if x != k], kinds) for group in groups)})" for k, groups in secret_scan.NEEDS.items())
+    name = "CASE kind " + " ".join(f"WHEN {i} THEN '{k}'" for i, k in enumerate(kinds)) + " END"
+    line = f"string_agg({name} || ':' || s || ':' || e, ',' ORDER BY s, kind)"
+    counts = ", ".join(f"count(*) FILTER (kind = {i}) AS n_{k}" for i, k in enumerate(secret_scan.BASE))
+    return f"""
+WITH doc AS MATERIALIZED (SELECT row_number() OVER () AS row, doc_id, coalesce(text, '') AS text FROM documents),
+span AS MATERIALIZED ({spans}),
+part AS MATERIALIZED (SELECT * FROM span w WHERE kind < {bases} OR NOT EXISTS (SELECT 1 FROM span b WHERE b.kind < {bases} AND b.row = w.row AND b.s < w.e AND w.s < b.e)),
+reported AS (SELECT * FROM part w WHERE kind < {bases} OR {needs}),
+summed AS (SELECT row, {counts}, count(*) FILTER (kind >= {bases}) AS n_linked, {line.replace("ORDER BY s, kind)", f"ORDER BY s, kind) FILTER (kind < {bases})")} AS base, {line} AS spans FROM reported GROUP BY row)
+SELECT doc_id, {", ".join(f"coalesce(n_{k}, 0) AS n_{k}" for k in secret_scan.BASE)}, sha256(coalesce(base, '')) AS base_sha256, coalesce(spans, '') AS spans, coalesce(n_linked, 0) AS n_linked
+FROM doc LEFT JOIN summed USING (row)
+"""
+
+
 ORACLE: dict[str, str] = {
+    "op7_secret_scan": _secrets(),
     "op1_embedding_near_dedup": EMBEDDINGS,
     "op2_source_mixing": MIX,
     "op3_url_filter": URLS,

@@ -194,7 +194,7 @@ def base_brute(text):
 def linked_brute(text, base, reach=secret_scan.REACH):
     weak = []
     for n, (kind, (pattern, least)) in enumerate(secret_scan.WEAK.items(), 3):
-        weak += [(m.start(), n, m.end(), kind) for m in re.finditer(pattern, text, re.S) if len(m.group(1)) >= least]
+        weak += [(m.start(), n, m.end(), kind) for m in re.finditer(pattern, text, re.S) if len(m.group(1)) >= least and all(re.search(h, m.group(1)) for h in secret_scan.HOLDS.get(kind, []))]
     weak = [w for w in weak if not any(b[0] < w[2] and w[0] < b[2] for b in base)]
     every = base + weak
     near = lambda w, kinds: any(e[3] in kinds and e[3] != w[3] and max(e[0], w[0]) <= (e[2] if e[0] <= w[0] else w[2]) + reach for e in every)
