@@ -232,15 +232,22 @@ def _(t: Tables):
 
 @query("additive_effects", "J17")
 def _(t: Tables):
-    return models.additive_model(t.cases, ["disc", "tax", "w"], "x", bins=4, pairs=1)[1]
+    importance, effects = models.additive_model(t.cases, ["disc", "tax", "w"], "x", bins=4, pairs=1)
+    return effects.join(importance, "feature")
+
+
+def scored(scores, labels):
+    """The labels with the silhouette of every k beside them."""
+    every = scores.agg(F.map_from_entries(F.sort_array(F.collect_list(F.struct("k", F.round("silhouette", 6)))))).scalar()
+    return labels.withColumn("silhouettes", F.to_json(every))
 
 
 @query("place_clusters", "J12")
 def _(t: Tables):
     table = models.place_type_table(t.stops, "loc", "kind", ["click", "error", "purchase", "signup", "view"])
-    return models.cluster(table, "loc", ["click", "error", "purchase", "signup", "view"], [2, 3, 4], pick=3)[1]
+    return scored(*models.cluster(table, "loc", ["click", "error", "purchase", "signup", "view"], list(range(2, 20)), pick=3))
 
 
 @query("person_clusters", "J13")
 def _(t: Tables):
-    return models.cluster(person_table(t), "uid", FEATURES, list(range(2, 10)), w="wt_p", pick=7)[1]
+    return scored(*models.cluster(person_table(t), "uid", FEATURES, list(range(2, 10)), w="wt_p", pick=7))
