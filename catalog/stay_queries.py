@@ -251,7 +251,7 @@ def _(t: Tables):
 
 
 @query("coverage_summary", "E12 E39 E52", f"""SELECT count(*) AS zones, {rd('avg(share)')} AS mean, {rd('stddev_samp(share)')} AS std, {rd('min(share)')} AS low, {rd('quantile_cont(share, 0.25)')} AS q25,
-    {rd('median(share)')} AS q50, {rd('quantile_cont(share, 0.75)')} AS q75, {rd('max(share)')} AS high, {rd('corr(rp, rv)')} AS rho FROM (SELECT *,
+    {rd('median(share)')} AS q50, {rd('quantile_cont(share, 0.75)')} AS q75, {rd('max(share)')} AS high, {rd('CASE WHEN min(rp) < max(rp) AND min(rv) < max(rv) THEN corr(rp, rv) END')} AS rho FROM (SELECT *,
     rank() OVER (ORDER BY pop) + (count(*) OVER (PARTITION BY pop) - 1)/2.0e0 AS rp, rank() OVER (ORDER BY devices) + (count(*) OVER (PARTITION BY devices) - 1)/2.0e0 AS rv FROM covered)""",
        covered="SELECT z.deso, z.pop, coalesce(h.n, 0) AS devices, coalesce(h.n, 0)*100.0e0/z.pop AS share FROM zones z LEFT JOIN (SELECT deso, count(*) AS n FROM homes GROUP BY 1) h USING (deso)")
 def _(t: Tables):

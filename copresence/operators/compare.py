@@ -89,11 +89,11 @@ def midranks(df: DataFrame, by: list[str], x: str, name: str) -> DataFrame:
 
 
 def spearman(df: DataFrame, by: list[str], x: str, y: str) -> DataFrame:
-    """Rank correlation with its t statistic and normal-tail p-value."""
+    """Rank correlation with its t statistic; null where a side does not vary."""
     both = df.where(F.col(x).isNotNull() & F.col(y).isNotNull()).select(*by, x, y)
     ranked = midranks(midranks(both, by, x, "_rx"), by, y, "_ry")
-    out = ranked.groupBy(*by).agg(F.corr("_rx", "_ry").alias("rho"), F.count(F.lit(1)).alias("n"))
-    t = F.col("rho") * F.sqrt((F.col("n") - 2) / (1 - F.col("rho") * F.col("rho")))
+    out = ranked.groupBy(*by).agg(F.try_divide(F.covar_pop("_rx", "_ry"), F.stddev_pop("_rx") * F.stddev_pop("_ry")).alias("rho"), F.count(F.lit(1)).alias("n"))
+    t = F.col("rho") * F.sqrt(F.try_divide(F.col("n") - 2, 1 - F.col("rho") * F.col("rho")))
     return out.withColumn("t", t)
 
 
