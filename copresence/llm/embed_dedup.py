@@ -1,10 +1,11 @@
 """Embedding near-dedup with a forest of random-projection trees.
 
 Only vectors with equal labels (and lengths) are compared. Equal vectors are one point. The points of a label are spread over cells
-that one task can hold: a cell that is too large is split again and again along random projections, with an overlap, in several independent ways. In each cell a forest is grown: recursive random splits with spill overlap down to small leaves,
-over many trees. A point's candidates are the members of its leaves; each is verified by cosine in double precision. A split is placed
-where few points lie, so that it passes by groups of near copies; a node that is mostly one such group is not split, since
-every split would cut links, and is compared as a whole.
+that one task can hold: a cell that is too large is split again and again along random projections, with an overlap, in several
+independent ways. In each cell a forest is grown: recursive random splits with spill overlap down to small leaves, over many trees. A
+point's candidates are the members of its leaves; each is verified by cosine in double precision. A split is placed where few
+points lie, so that it passes by groups of near copies; a node that is mostly one such group is not split, since every split
+would cut links, and is compared as a whole.
 
 A task gives the number of links of each of its points and one component label for each, not the pairs. Pairs that share several cells
 are counted in the first of them only. The component labels of all cells are united in the end.
