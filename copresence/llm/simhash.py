@@ -115,8 +115,8 @@ def near_groups(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", max
     component_id is the smallest id reachable over links, n_same the number of rows with the same fingerprint, kept is true
     where the id is the component's. Null, empty and blank texts have fingerprint zero and are linked like any other. A row with a null id
     takes part in the links but names no component: null where no row of the component has an id, and then one is not kept
-    over another (kept is true for all). Rows that share an id share its fate only where their texts do. An empty table gives
-    no rows. Other columns are not read.
+    over another (kept is true for all). Rows that share an id are judged one by one. An empty table gives no rows. Other
+    columns are not read.
     """
     rows = saved(
         docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text"))
@@ -136,6 +136,9 @@ def near_groups(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", max
 
 
 def keep_first(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", max_bits: int = MAX_BITS) -> DataFrame:
-    """The rows of `docs` whose id names their component, with all their columns; rows of a component without an id all stay."""
+    """The rows of `docs` whose id names their component, with all their columns; rows of a component without an id all stay.
+
+    An id stands for a document: rows that share a kept id all stay, so drop exact copies first.
+    """
     kept = saved(near_groups(docs, doc_id, text, max_bits).where("kept").select(F.col("doc_id").alias("_id")).distinct(), "kept")
     return docs.join(kept, F.col(doc_id).eqNullSafe(kept["_id"]), "left_semi")
