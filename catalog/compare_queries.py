@@ -2,7 +2,7 @@
 
 from pyspark.sql import functions as F
 
-from catalog.fixtures import Tables, r6, rd, rd3, rounded
+from catalog.fixtures import Tables, rd, rd3, rounded
 from catalog.registry import query
 from copresence.functions import indices, labels
 from copresence.operators import cleaning, compare, quantiles

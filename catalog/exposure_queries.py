@@ -3,7 +3,7 @@
 from pyspark.sql import functions as F
 
 from catalog.fixtures import Tables, r6, rd, rd3, rounded
-from catalog.place_queries import METRICS, cells_sql, home_counts, metrics, shares
+from catalog.place_queries import METRICS, cells_sql, metrics
 from catalog.registry import query
 from copresence.functions.constants import RANDOM_MIX
 from copresence.operators import experienced, mobility, place, stays

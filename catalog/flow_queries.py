@@ -4,7 +4,7 @@ from pyspark.sql import functions as F
 
 from catalog.exposure_queries import DESO, EXP
 from catalog.fixtures import Tables, rd, rounded
-from catalog.null_queries import NULLS, stop_pois, upois
+from catalog.null_queries import stop_pois, upois
 from catalog.place_queries import home_counts, shares
 from catalog.registry import query
 from catalog.stay_queries import BOX, PICKED, PING_ORDER, SCORES, STAY_CTES, STAY_STEPS

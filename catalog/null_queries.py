@@ -3,12 +3,12 @@
 from pyspark.sql import functions as F
 
 from catalog.compare_queries import stats_sql
-from catalog.fixtures import TAGS, Tables, r6, rd, rd3, rounded
-from catalog.place_queries import SHARES, home_counts, ice_sql, shares
+from catalog.fixtures import Tables, r6, rd, rd3, rounded
+from catalog.place_queries import SHARES, ice_sql, shares
 from catalog.registry import query
 from catalog.table_queries import PT
 from copresence.functions import labels
-from copresence.operators import compare, experienced, nullmodel, place, spatial
+from copresence.operators import compare, experienced, nullmodel, place
 
 PRIME = 10007
 DRAWS, REPLICATES = 100, 50  # of destinations per stop; evaluated for exposure

@@ -2,12 +2,12 @@
 
 from pyspark.sql import functions as F
 
-from catalog.fixtures import TAGS, Tables, r6, rd, rounded
+from catalog.fixtures import TAGS, Tables, rd, rounded
 from catalog.place_queries import KNOTS
 from catalog.registry import query
 from copresence.functions import indices, labels, poi_types, text
 from copresence.functions.time_bins import span_bins, stay_span
-from copresence.operators import cleaning, features, residential, survey
+from copresence.operators import cleaning, features, residential
 
 BAD_COORDS = "SELECT pid, latitude + pid%40 AS latitude, longitude*(pid%17) AS longitude FROM pings"
 
