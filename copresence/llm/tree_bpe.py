@@ -21,6 +21,7 @@ import re
 import unicodedata
 from collections.abc import Iterator
 
+import numpy as np
 import pandas as pd
 import regex
 import tiktoken
@@ -30,7 +31,9 @@ LOOK = 3
 LEAF = 2048
 _WINDOW = 64
 #: Matches remembered by each Python worker.
-_REMEMBERED = 600_000
+_REMEMBERED = 300_000
+#: Rows put out at once.
+_ROWS = 200
 
 
 def latin(pattern: str) -> str:
@@ -151,12 +154,12 @@ def encoded(docs: DataFrame, path: str, pattern: str, doc_id: str = "doc_id", te
     def encode_all(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         words = vocabulary(path, pattern)
         names = words.names
-        for frame in frames:
+        for frame in (whole.iloc[at:at + _ROWS] for whole in frames for at in range(0, len(whole), _ROWS)):
             out = []
             for value in frame["text"]:
                 ids = encode(words, value or "", leaf)
                 row = (len(ids), hashlib.sha256(",".join([names[i] for i in ids]).encode()).hexdigest(), hashlib.sha256(decode(words, ids)).hexdigest())
-                out.append((*row, ids) if with_ids else row)
+                out.append((*row, np.array(ids, np.int32)) if with_ids else row)
             yield pd.DataFrame(out, columns=["n_tokens", "ids_sha256", "decoded_sha256", *["ids"] * with_ids], index=frame.index).assign(
                 doc_id=frame["doc_id"].astype("Int64"))
 

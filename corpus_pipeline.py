@@ -13,8 +13,17 @@ from copresence.llm.common import saved
 from copresence.session import prepare
 
 
+#: Rows of one Arrow batch: whole texts are long, and a batch stands in memory several times.
+BATCH_ROWS = 1000
+
+
+def _modest(spark: SparkSession) -> None:
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", BATCH_ROWS)
+
+
 def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents without a recognised language go: null or no letter, or no language clear at all."""
+    _modest(spark)
     return language_id.keep_known(docs, language_id.fit(docs))
 
 
@@ -25,6 +34,7 @@ def drop_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of each group of linked fingerprints the document with the smallest id stays."""
+    _modest(spark)
     return simhash.keep_first(docs)
 
 
@@ -37,6 +47,7 @@ def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Ids of every document, with the digests of ids and of the decoded bytes."""
+    _modest(spark)
     return tree_bpe.encoded(docs, public_tokenizers.path(queries.BYTE_RANKS), public_tokenizers.PATTERN)
 
 
