@@ -145,7 +145,7 @@ def _(t: Tables):
 @query("person_series_class", "E47 K1")
 def _(t: Tables):
     from catalog.exposure_queries import exp
-    return compare.ice_group(exp(t).where("weekday = 1 and holiday = 0"), ["uid"], "ice_birth", 0.0)
+    return compare.ice_group(exp(t), ["uid", "weekday", "holiday"], "ice_birth", 0.0)
 
 
 @query("place_series_class", "E48")
