@@ -63,10 +63,14 @@ class WordEncoder:
     def __init__(self, path: str, dtype: str):
         from tokenizers import Tokenizer
 
-        self._tokenizer = Tokenizer.from_file(path)
-        self._tokenizer.encode_special_tokens = True  # their strings in a text are ordinary text
-        self._tokenizer.no_truncation()
-        self._tokenizer.no_padding()
+        # the second one, with the library's settings, is for texts that hold the string of a special token
+        self._tokenizer, self._special = Tokenizer.from_file(path), Tokenizer.from_file(path)
+        self._tokenizer.encode_special_tokens = True  # their strings in a word are ordinary text
+        for tokenizer in (self._tokenizer, self._special):
+            tokenizer.no_truncation()
+            tokenizer.no_padding()
+        strings = [token.content for token in self._special.get_added_tokens_decoder().values()]
+        self._strings = "|".join(map(re.escape, strings))
         vocabulary = self._tokenizer.get_vocab()
         self._ends = np.zeros(max(vocabulary.values()) + 1, bool)
         self._ends[[i for part, i in vocabulary.items() if part.endswith(self._WORD_END)]] = True
@@ -74,8 +78,32 @@ class WordEncoder:
         self._end = np.array([END], self.dtype).tobytes()
         self._known: dict[str, bytes] = {}
 
+    def encode_whole(self, texts: pa.Array) -> tuple[bytes, np.ndarray]:
+        """As `encode`, but a special token's string in a text is that token, as the library has it.
+
+        Texts that hold such a string go to the library whole: it cuts there before it lower-cases or drops blanks.
+        """
+        held = pc.match_substring_regex(texts.fill_null(""), self._strings).to_numpy(zero_copy_only=False) if self._strings else np.zeros(len(texts), bool)
+        if not held.any():
+            return self.encode(texts)
+        whole = self._special.encode_batch_fast(texts.filter(pa.array(held)).to_pylist(), add_special_tokens=False)
+        whole = iter([np.array(w.ids, self.dtype).tobytes() + self._end for w in whole])
+        line, counts = self.encode(texts.filter(pa.array(~held)))
+        lengths = np.zeros(len(texts), np.int64)
+        lengths[~held] = counts
+        out, at = [], 0
+        for i, special in enumerate(held.tolist()):
+            if special:
+                out.append(next(whole))
+                lengths[i] = len(out[-1]) // self.dtype.itemsize
+            else:
+                upto = at + int(lengths[i]) * self.dtype.itemsize
+                out.append(line[at:upto])
+                at = upto
+        return b"".join(out), lengths
+
     def encode(self, texts: pa.Array) -> tuple[bytes, np.ndarray]:
-        """The ids of all texts in a row, each with the end id, and the number of ids of each."""
+        """The ids of all texts in a row, each with the end id, and the number of ids of each; special tokens' strings are ordinary text."""
         if not len(texts):
             return b"", np.zeros(0, np.int64)
         words = pc.ascii_split_whitespace(pc.ascii_lower(texts.fill_null("")))
@@ -275,7 +303,7 @@ def write_store(docs: DataFrame, vocabulary: str, size: int, folder: str, doc_id
     wide = np.dtype(dtype).itemsize
 
     def write_shard(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encode, out, name, offset, seen = encoder(vocabulary, dtype).encode, None, f"shard-{uuid.uuid4().hex}.ids", 0, (object(), 0)
+        encode, out, name, offset, seen = encoder(vocabulary, dtype).encode_whole, None, f"shard-{uuid.uuid4().hex}.ids", 0, (object(), 0)
         try:
             for batch in batches:
                 for part in _slices(batch):
