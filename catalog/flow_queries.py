@@ -4,7 +4,7 @@ from pyspark.sql import functions as F
 
 from catalog.exposure_queries import DESO, EXP
 from catalog.fixtures import Tables, rd, rounded
-from catalog.null_queries import stop_pois, upois
+from catalog.null_queries import REPLICATES, stop_pois, upois
 from catalog.place_queries import home_counts, shares
 from catalog.registry import query
 from catalog.stay_queries import BOX, PICKED, PING_ORDER, SCORES, STAY_CTES, STAY_STEPS
@@ -47,4 +47,4 @@ def _(t: Tables):
     sa, sb = shares(t)
     visits = flows.visits_from_stays(t.stops, t.weights).drop("x", "y").join(stop_pois(t).select("sid", "x", "y", "tag", "unit", "home"), "sid")
     metrics = flows.segregation_from_visits(visits, home_counts(t), "unit", sa, sb)[0]
-    return rounded(flows.null_from_visits(visits, upois(t), metrics, "unit", ["sid"], 5, 11)[2], "ice_birth")
+    return rounded(flows.null_from_visits(visits, upois(t), metrics, "unit", ["sid"], REPLICATES, 11)[2], "ice_birth")
