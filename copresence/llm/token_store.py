@@ -63,13 +63,11 @@ class WordEncoder:
     def __init__(self, path: str, dtype: str):
         from tokenizers import Tokenizer
 
-        # the second one, with the library's settings, is for texts that hold the string of a special token
-        self._tokenizer, self._special = Tokenizer.from_file(path), Tokenizer.from_file(path)
+        self._tokenizer = Tokenizer.from_file(path)
         self._tokenizer.encode_special_tokens = True  # their strings in a word are ordinary text
-        for tokenizer in (self._tokenizer, self._special):
-            tokenizer.no_truncation()
-            tokenizer.no_padding()
-        strings = [token.content for token in self._special.get_added_tokens_decoder().values()]
+        self._tokenizer.no_truncation()
+        self._tokenizer.no_padding()
+        strings = [token.content for token in self._tokenizer.get_added_tokens_decoder().values()]
         self._strings = "|".join(map(re.escape, strings))
         vocabulary = self._tokenizer.get_vocab()
         self._ends = np.zeros(max(vocabulary.values()) + 1, bool)
@@ -86,7 +84,11 @@ class WordEncoder:
         held = pc.match_substring_regex(texts.fill_null(""), self._strings).to_numpy(zero_copy_only=False) if self._strings else np.zeros(len(texts), bool)
         if not held.any():
             return self.encode(texts)
-        whole = self._special.encode_batch_fast(texts.filter(pa.array(held)).to_pylist(), add_special_tokens=False)
+        self._tokenizer.encode_special_tokens = False
+        try:
+            whole = self._tokenizer.encode_batch_fast(texts.filter(pa.array(held)).to_pylist(), add_special_tokens=False)
+        finally:
+            self._tokenizer.encode_special_tokens = True
         whole = iter([np.array(w.ids, self.dtype).tobytes() + self._end for w in whole])
         line, counts = self.encode(texts.filter(pa.array(~held)))
         lengths = np.zeros(len(texts), np.int64)
