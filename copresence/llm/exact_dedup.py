@@ -47,9 +47,10 @@ def keep_first(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", supp
     """The rows of `docs` that stay, with all their columns.
 
     Rows that share an id are one document that came several times; where such rows carry a kept id, one of them stays.
+    Whole rows meet the ids that stay in a merge join at every size, so the stage costs one shuffle of its input, always.
     """
     kept = exact_groups(docs, doc_id, text, support).where("kept").select(F.col("doc_id").alias("_id"), F.col("text_sha256").alias("_sha"))
-    kept = saved(kept, "kept")
+    kept = saved(kept, "kept").hint("merge")
     mine = docs.join(kept, F.col(doc_id).eqNullSafe(kept["_id"]) & (digest(F.col(text)) == kept["_sha"]), "left_semi")
     again = docs.groupBy(doc_id).count().where("count > 1")
     if not again.take(1):

@@ -138,7 +138,8 @@ def near_groups(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", max
 def keep_first(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", max_bits: int = MAX_BITS) -> DataFrame:
     """The rows of `docs` whose id names their component, with all their columns; rows of a component without an id all stay.
 
-    An id stands for a document: rows that share a kept id all stay, so drop exact copies first.
+    An id stands for a document: rows that share a kept id all stay, so drop exact copies first. Whole rows meet the ids
+    that stay in a merge join at every size, so the stage costs one shuffle of its input, always.
     """
-    kept = saved(near_groups(docs, doc_id, text, max_bits).where("kept").select(F.col("doc_id").alias("_id")).distinct(), "kept")
+    kept = saved(near_groups(docs, doc_id, text, max_bits).where("kept").select(F.col("doc_id").alias("_id")).distinct(), "kept").hint("merge")
     return docs.join(kept, F.col(doc_id).eqNullSafe(kept["_id"]), "left_semi")
