@@ -28,25 +28,28 @@ def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 
 
 def drop_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of texts that are equal but for blanks the longest stays."""
+    """Of texts that are equal but for blanks the longest stays; of ties the smallest id, of repeated rows one. Null counts as empty."""
     return exact_dedup.keep_first(docs)
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group of linked fingerprints the document with the smallest id stays."""
+    """Of each group of linked fingerprints the document with the smallest id stays; null and empty texts link like any other."""
     _modest(spark)
     return simhash.keep_first(docs)
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The documents that the target weights take, whole and once each."""
+    """The documents that the target weights take, whole and once each; texts without words (null, empty) are never taken.
+
+    Whole rows meet the taken ids in a merge join at every size, so the stage costs one shuffle of its input, always.
+    """
     taken = mixing.mix(docs, queries.domain(), queries.MIX_SHARE, queries.mix_weights(spark), epochs=1)
-    ids = saved(taken.select(F.col("doc_id").alias("_id")).distinct(), "taken")
+    ids = saved(taken.select(F.col("doc_id").alias("_id")).distinct(), "taken").hint("merge")
     return docs.join(ids, F.col("doc_id").eqNullSafe(ids["_id"]), "left_semi")
 
 
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Ids of every document, with the digests of ids and of the decoded bytes."""
+    """Ids of every document, with the digests of ids and of the decoded bytes; a null text counts as empty, repeated rows stay."""
     _modest(spark)
     return tree_bpe.encoded(docs, public_tokenizers.path(queries.BYTE_RANKS), public_tokenizers.PATTERN)
 
