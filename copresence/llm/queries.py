@@ -5,8 +5,8 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
-from copresence.llm import (embed_dedup, exact_dedup, language_id, mixing, quality_rules, secret_scan, simhash, sql, token_store, tree_bpe,
-                            url_filter)
+from copresence.llm import (embed_dedup, exact_dedup, language_id, manifest, mixing, quality_rules, secret_scan, simhash, sql, token_store,
+                            tree_bpe, url_filter)
 from copresence.session import prepare
 
 #: verdict and rule, host before the first slash
@@ -18,6 +18,7 @@ BYTE_RANKS = "byte_bpe_multi_50k.tiktoken"
 DOMAIN_WEIGHTS = {"hub": 2, "odd": 3, "even": 3}
 LANG_WEIGHTS = {"en": 4, "de": 3, "fr": 2, "es": 2}
 MIX_SHARE = 0.6
+MANIFEST_FIELDS = ["doc_id", "source", "lang", "n_chars", "text"]
 MIX_EPOCHS = 2
 
 
@@ -82,5 +83,11 @@ def op10_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tree_bpe.encoded(_table(spark, sf_dir, "documents"), public_tokenizers.path(BYTE_RANKS), public_tokenizers.PATTERN, with_ids=False)
 
 
+def op11_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents")
+    claims = {"n_chars": manifest.tampered(F.col("n_chars"))}
+    return manifest.manifest(docs, MANIFEST_FIELDS, claims=claims).folded()
+
+
 QUERIES = {name: fn for name, fn in globals().items() if name.startswith("op")}
 ORACLE: dict[str, str] = sql.ORACLE

@@ -129,7 +129,49 @@ FROM doc LEFT JOIN summed USING (row)
 """
 
 
+def _field(value: str) -> str:
+    return f"CASE WHEN {value} IS NULL THEN '-' ELSE strlen(CAST({value} AS VARCHAR)) || ':' || {value} END"
+
+
+def _leaf(n_chars: str) -> str:
+    return "sha256(" + " || ".join(_field(c) for c in ("doc_id", "source", "lang", n_chars, "text")) + ")"
+
+
+# the checksum bit by bit, as there is no such function
+_CRC = """xor(4294967295, list_reduce([CAST(4294967295 AS BIGINT)] || list_transform(string_split(CAST(doc_id AS VARCHAR), ''), lambda c: CAST(ord(c) AS BIGINT)),
+    lambda crc, byte: list_reduce([xor(crc, byte), 0, 0, 0, 0, 0, 0, 0, 0], lambda x, b: xor(x // 2, CASE WHEN x % 2 = 1 THEN 3988292384 ELSE 0 END))))"""
+
+# trees level by level; `one` is the group, the second tree has one group of all subroots
+MANIFEST = f"""
+WITH RECURSIVE leaf AS MATERIALIZED (
+    SELECT doc_id, lang, {_leaf("n_chars")} AS leaf, {_leaf(f"(n_chars + CASE WHEN {_CRC} % 7 = 0 THEN 1 ELSE 0 END)")} AS claim FROM documents
+), placed AS MATERIALIZED (
+    SELECT *, row_number() OVER (PARTITION BY lang ORDER BY doc_id NULLS FIRST, leaf) - 1 AS idx, count(*) OVER (PARTITION BY lang) AS n FROM leaf
+), node(lang, level, idx, n, h) AS (
+    SELECT lang, 0, idx, n, leaf FROM placed
+    UNION ALL SELECT lang, level + 1, idx // 2, (n + 1) // 2, sha256(string_agg(h, '' ORDER BY idx)) FROM node WHERE n > 1 GROUP BY lang, level, idx // 2, n
+), subroot AS MATERIALIZED (SELECT lang, h, row_number() OVER (ORDER BY lang NULLS FIRST) - 1 AS idx, count(*) OVER () AS n FROM node WHERE n = 1),
+top(level, idx, n, h) AS (
+    SELECT 0, idx, n, h FROM subroot
+    UNION ALL SELECT level + 1, idx // 2, (n + 1) // 2, sha256(string_agg(h, '' ORDER BY idx)) FROM top WHERE n > 1 GROUP BY level, idx // 2, n
+), way(doc_id, lang, leaf, start, level, idx, n, folded, proof) AS (
+    SELECT doc_id, lang, leaf, idx, 0, idx, n, claim, '' FROM placed
+    UNION ALL SELECT doc_id, way.lang, leaf, start, way.level + 1, way.idx // 2, (way.n + 1) // 2,
+        sha256(CASE WHEN way.idx % 2 = 1 THEN h || folded ELSE folded || coalesce(h, '') END), proof || coalesce(h, '')
+    FROM way LEFT JOIN node ON node.lang IS NOT DISTINCT FROM way.lang AND node.level = way.level AND node.idx = xor(way.idx, 1) WHERE way.n > 1
+), onward(doc_id, lang, leaf, start, level, idx, n, folded, proof, subroot) AS (
+    SELECT doc_id, way.lang, leaf, start, 0, subroot.idx, subroot.n, folded, proof, h FROM way JOIN subroot ON subroot.lang IS NOT DISTINCT FROM way.lang WHERE way.n = 1
+    UNION ALL SELECT doc_id, lang, leaf, start, onward.level + 1, onward.idx // 2, (onward.n + 1) // 2,
+        sha256(CASE WHEN onward.idx % 2 = 1 THEN h || folded ELSE folded || coalesce(h, '') END), proof || coalesce(h, ''), subroot
+    FROM onward LEFT JOIN top ON top.level = onward.level AND top.idx = xor(onward.idx, 1) WHERE onward.n > 1
+)
+SELECT doc_id, leaf, subroot, h AS root, sha256(proof) AS proof_sha256, folded AS folded_root, folded = h AS verified
+FROM onward, (SELECT h FROM top WHERE n = 1) WHERE n = 1
+"""
+
+
 ORACLE: dict[str, str] = {
+    "op11_merkle_manifest": MANIFEST,
     "op7_secret_scan": _secrets(),
     "op1_embedding_near_dedup": EMBEDDINGS,
     "op2_source_mixing": MIX,

@@ -28,4 +28,4 @@ def test_equals_sql(spark, name):
 def test_names():
     found = entry.queries()
     assert {*queries.QUERIES, "pipeline"} <= set(found) and set(queries.ORACLE) <= set(entry.oracle_sql())
-    assert sorted(int(n[2:].split("_")[0]) for n in queries.QUERIES) == list(range(1, 11))
+    assert sorted(int(n[2:].split("_")[0]) for n in queries.QUERIES) == list(range(1, 14))
