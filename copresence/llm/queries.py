@@ -5,8 +5,8 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
-from copresence.llm import (embed_dedup, exact_dedup, language_id, manifest, mixing, quality_rules, secret_scan, simhash, sql, token_store,
-                            tree_bpe, url_filter)
+from copresence.llm import (embed_dedup, exact_dedup, hard_negatives, language_id, manifest, mixing, quality_rules, secret_scan, simhash, sql,
+                            token_store, tree_bpe, url_filter)
 from copresence.session import prepare
 
 #: verdict and rule, host before the first slash
@@ -89,5 +89,10 @@ def op11_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
     return manifest.manifest(docs, MANIFEST_FIELDS, claims=claims).folded()
 
 
+def op12_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    moved = "CASE WHEN vec_id % 7 = 0 THEN (CAST(label AS BIGINT) + 1) % 10 ELSE label END"
+    return hard_negatives.mine(_table(spark, sf_dir, "embeddings"), "vec_id % 50 = 0", moved)
+
+
 QUERIES = {name: fn for name, fn in globals().items() if name.startswith("op")}
 ORACLE: dict[str, str] = sql.ORACLE

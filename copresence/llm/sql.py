@@ -169,8 +169,26 @@ SELECT doc_id, leaf, subroot, h AS root, sha256(proof) AS proof_sha256, folded A
 FROM onward, (SELECT h FROM top WHERE n = 1) WHERE n = 1
 """
 
+NEGATIVES = """
+WITH sound AS MATERIALIZED (
+    SELECT row_number() OVER () AS row, vec_id, CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END AS label,
+        list_transform(embedding, lambda x: floor(256 * CAST(x AS DOUBLE))) AS v
+    FROM embeddings WHERE vec_id IS NOT NULL AND label IS NOT NULL AND embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0
+), scored AS MATERIALIZED (
+    SELECT a.row AS anchor_row, a.vec_id AS anchor_id, b.row, b.vec_id, a.label = b.label AS alike, CAST(list_dot_product(a.v, b.v) AS BIGINT) AS score
+    FROM sound a JOIN sound b ON a.row <> b.row WHERE a.vec_id % 50 = 0
+), positive AS (
+    SELECT *, row_number() OVER (PARTITION BY anchor_row ORDER BY score DESC, vec_id, row) AS nth FROM scored WHERE alike QUALIFY nth <= 5
+)
+SELECT p.anchor_id, p.vec_id AS positive_id, CAST(row_number() OVER (PARTITION BY p.anchor_row, p.nth ORDER BY n.score DESC, n.vec_id, n.row) AS INTEGER) AS rank,
+    n.vec_id AS negative_id, p.score AS positive_score, n.score AS negative_score
+FROM positive p JOIN scored n ON n.anchor_row = p.anchor_row AND NOT n.alike AND 50 * p.score <= 100 * n.score AND 100 * n.score <= 95 * p.score
+QUALIFY rank <= 3
+"""
+
 
 ORACLE: dict[str, str] = {
+    "op12_hard_negatives": NEGATIVES,
     "op11_merkle_manifest": MANIFEST,
     "op7_secret_scan": _secrets(),
     "op1_embedding_near_dedup": EMBEDDINGS,
