@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from copresence.llm import (embed_dedup, exact_dedup, hard_negatives, language_id, manifest, mixing, quality_rules, secret_scan, simhash, sql,
-                            token_store, tree_bpe, url_filter)
+                            substring_dedup, token_store, tree_bpe, url_filter)
 from copresence.session import prepare
 
 #: verdict and rule, host before the first slash
@@ -94,5 +94,9 @@ def op12_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
     return hard_negatives.mine(_table(spark, sf_dir, "embeddings"), "vec_id % 50 = 0", moved)
 
 
+def op13_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return substring_dedup.drop_repeats(_table(spark, sf_dir, "documents"))
+
+
 QUERIES = {name: fn for name, fn in globals().items() if name.startswith("op")}
 ORACLE: dict[str, str] = sql.ORACLE

@@ -186,8 +186,22 @@ FROM positive p JOIN scored n ON n.anchor_row = p.anchor_row AND NOT n.alike AND
 QUALIFY rank <= 3
 """
 
+REPEATS = f"""
+WITH doc AS MATERIALIZED (
+    SELECT row_number() OVER () AS row, doc_id, list_filter(string_split_regex(coalesce(text, ''), '{_SPACE}+'), lambda w: w <> '') AS words FROM documents
+), place AS MATERIALIZED (SELECT row, i, md5(array_to_string(words[i:i + 34], ' ')) AS h FROM (SELECT row, words, unnest(range(1, len(words) - 33)) AS i FROM doc)),
+gone AS MATERIALIZED (
+    SELECT DISTINCT row, unnest(range(i, i + 35)) AS i FROM place SEMI JOIN (SELECT h FROM place GROUP BY h HAVING count(*) > 1) again USING (h)
+), kept AS (
+    SELECT row, string_agg(word, ' ' ORDER BY i) AS line, count(*) AS n
+    FROM (SELECT row, unnest(words) AS word, unnest(range(1, len(words) + 1)) AS i FROM doc) ANTI JOIN gone USING (row, i) GROUP BY row
+)
+SELECT doc_id, len(words) AS n_words, len(words) - coalesce(n, 0) AS n_removed, sha256(coalesce(line, '')) AS kept_sha256 FROM doc LEFT JOIN kept USING (row)
+"""
+
 
 ORACLE: dict[str, str] = {
+    "op13_substring_dedup": REPEATS,
     "op12_hard_negatives": NEGATIVES,
     "op11_merkle_manifest": MANIFEST,
     "op7_secret_scan": _secrets(),
