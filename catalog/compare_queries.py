@@ -1,14 +1,14 @@
 """Statistics by group, tests and summary tables."""
 
+import numpy as np
 from pyspark.sql import functions as F
 
 from catalog.fixtures import Tables, rd, rd3, rounded
 from catalog.registry import query
 from copresence.functions import indices, labels
+from copresence.functions.draws import poisson_quantile
 from copresence.operators import cleaning, compare, quantiles
 
-KEY = ["oid", "line", "pid"]
-
 
 @query("weighted_moments", "E13 E14", f"""SELECT grp, {rd('tw')} AS weight, {rd('m')} AS mean, {rd('sqrt(ss/(tw-1))')} AS std FROM (
     SELECT c.grp, any_value(t.tw) AS tw, any_value(t.m) AS m, sum(w*pow(x-t.m,2)) AS ss FROM cases c
@@ -92,19 +92,78 @@ def _(t: Tables):
     return rounded(compare.wcorr(t.cases, ["grp"], "x", "tax", "w"), "r")
 
 
-@query("weighted_correlation_se", "E40 G7")
+# Poisson counts by inversion of an arithmetic number, so that SQL can repeat a bootstrap: a cell is a set of equal rows, `m` its mean
+RATES = """SELECT m, list(share ORDER BY j) AS shares FROM (SELECT m, j, sum(exp(j*ln(m) - m - lgamma(j + 1))) OVER (PARTITION BY m ORDER BY j) AS share FROM (
+    SELECT m, unnest(range(0, CAST(m + 12*sqrt(m) + 30 AS BIGINT))) AS j FROM (SELECT DISTINCT m FROM cells))) GROUP BY 1"""
+COPIES = """SELECT c.* EXCLUDE (m), sim, len(list_filter(shares, lambda s: s < (((key*7919 + sim*104729) % 10007) + 0.5e0)/10007)) AS copies
+    FROM (SELECT *, unnest(range(1, 1001)) AS sim FROM cells) c JOIN rates USING (m)"""
+DRAWN = dict(rates=RATES, copies=COPIES)
+
+
+def arithmetic_counts(keys, means, n):
+    """((7919*key + 104729*sim) mod 10007 + 0.5)/10007, turned into Poisson counts."""
+    mixed = (7919 * keys)[:, None] + (104729 * np.arange(1, n + 1))[None, :]
+    return poisson_quantile(means, (mixed % 10007 + 0.5) / 10007)
+
+
+def whole_cases(t: Tables):
+    """Cases in whole units, with a small weight: few distinct values."""
+    return t.cases.withColumns({"x": F.floor("x").cast("double"), "w5": 1 + F.col("w") % 5})
+
+
+def _group_key(*parts):
+    """A whole number for a cell; parts are columns below 1000."""
+    key = F.ascii("grp").cast("long")
+    for p in parts:
+        key = key * 1000 + p.cast("long")
+    return key
+
+
+@query("weighted_correlation_se", "E40 G7", f"""SELECT grp, {rd('r')} AS r, {rd('stddev_samp(rs)')} AS se FROM (SELECT grp, sim,
+        (sum(c)*sum(c*dx*dt) - sum(c*dx)*sum(c*dt))/sqrt((sum(c)*sum(c*dx*dx) - pow(sum(c*dx), 2))*(sum(c)*sum(c*dt*dt) - pow(sum(c*dt), 2))) AS rs
+        FROM (SELECT grp, sim, copies*w5 AS c, disc - md AS dx, tax - mt AS dt FROM copies JOIN (SELECT grp, avg(disc) AS md, avg(tax) AS mt FROM cases GROUP BY 1) USING (grp)) GROUP BY 1, 2)
+    JOIN (SELECT grp, sum(w5*(disc-md)*(tax-mt))/sqrt(sum(w5*pow(disc-md, 2))*sum(w5*pow(tax-mt, 2))) AS r FROM (SELECT grp, disc, tax, 1 + w%5 AS w5 FROM cases) JOIN (
+        SELECT grp, sum((1 + w%5)*disc)/sum(1 + w%5) AS md, sum((1 + w%5)*tax)/sum(1 + w%5) AS mt FROM cases GROUP BY 1) USING (grp) GROUP BY 1) USING (grp) GROUP BY grp, r""", **DRAWN,
+       cells="SELECT grp, disc, tax, 1 + w%5 AS w5, count(*)*1.0e0 AS m, CAST(((ascii(grp)*1000 + round(disc*100))*1000 + round(tax*100))*1000 + 1 + w%5 AS BIGINT) AS key FROM cases GROUP BY ALL")
 def _(t: Tables):
-    return rounded(compare.wcorr_se(t.cases, ["grp"], "x", "tax", "w", KEY), "r", "se")
+    key = _group_key(F.round(F.col("_x") * 100), F.round(F.col("_y") * 100), F.col("_w"))
+    return rounded(compare.wcorr_se(whole_cases(t), ["grp"], "disc", "tax", "w5", counts=arithmetic_counts, key=key), "r", "se")
+
+
+@query("bootstrap_median", "E41 G7", f"""SELECT grp, {rd('median(value)')} AS median, {rd('stddev_pop(value)')} AS se FROM (
+    SELECT grp, sim, min_by(CASE WHEN upto*2 = whole THEN (v + coalesce(after, v))/2 ELSE v END, v) AS value FROM (
+        SELECT *, sum(s) OVER (PARTITION BY grp, sim ORDER BY v) AS upto, sum(s) OVER (PARTITION BY grp, sim) AS whole, lead(v) OVER (PARTITION BY grp, sim ORDER BY v) AS after
+        FROM (SELECT grp, sim, v, sum(copies*w) AS s FROM copies GROUP BY 1, 2, 3 HAVING sum(copies) > 0)) WHERE upto*2 >= whole GROUP BY 1, 2) GROUP BY 1""", **DRAWN,
+       cells="SELECT grp, floor(x) AS v, w, count(*)*1.0e0 AS m, CAST((ascii(grp)*1000 + floor(x))*1000 + w AS BIGINT) AS key FROM cases GROUP BY ALL")
+def _(t: Tables):
+    key = _group_key(F.col("_x"), F.col("_w"))
+    return rounded(compare.boot_median(whole_cases(t), ["grp"], "x", "w", counts=arithmetic_counts, key=key), "median", "se")
+
+
+@query("bootstrap_median_of_prices", "E41 G7")
+def _(t: Tables):
+    return rounded(compare.boot_median(t.cases, ["grp"], "x", "w"), "median", "se")
+
+
+_Z = "greatest(abs(z), 1e-300)"
+TAIL = f"""CASE WHEN abs(z) < 2.5 THEN 0.5 - exp(-z*z/2)/sqrt(2*pi())*list_sum(list_transform(range(0, 61), lambda k: exp((2*k + 1)*ln({_Z}) - lgamma(2*k + 2) + k*ln(2) + lgamma(k + 1))))
+    ELSE exp(-z*z/2)/sqrt(2*pi())/list_reduce([abs(z)] || list_transform(range(100, 0, -1), lambda k: k*1.0e0), lambda below, k: abs(z) + k/below) END"""
 
 
-@query("bootstrap_median", "E41 G7")
+@query("bootstrap_signed_rank", "E42 G7", f"""SELECT grp, {rd('avg(p)')} AS p_mean, {rd('stddev_pop(p)')} AS p_sd, {rd3('avg(t_plus)')} AS stat_mean, {rd3('stddev_pop(t_plus)')} AS stat_sd FROM (
+    SELECT *, CASE WHEN z >= 0 THEN {TAIL} ELSE 1 - ({TAIL}) END AS p FROM (SELECT *, (t_plus - n*(n + 1)/4)/sqrt(n*(n + 1)*(2*n + 1)/24 - ties/48) AS z FROM (
+        SELECT grp, sim, sum(pos*(lt + (c + 1)/2)) AS t_plus, sum(c) AS n, sum(c*c*c - c) AS ties FROM (SELECT *, sum(c) OVER (PARTITION BY grp, sim ORDER BY a) - c AS lt FROM (
+            SELECT grp, sim, abs(v) AS a, sum(copies)*1.0e0 AS c, sum(CASE WHEN v > 0 THEN copies ELSE 0 END)*1.0e0 AS pos FROM copies GROUP BY 1, 2, 3)) GROUP BY 1, 2))) GROUP BY 1""", **DRAWN,
+       cells="""SELECT grp, floor(x) - 50 AS v, sum(w/whole*n) AS m, CAST(ascii(grp)*1000 + floor(x) AS BIGINT) AS key FROM cases JOIN (SELECT grp, sum(w) AS whole, count(*) AS n FROM cases GROUP BY 1) USING (grp)
+           WHERE floor(x) <> 50 GROUP BY ALL""")
 def _(t: Tables):
-    return rounded(compare.boot_median(t.cases, ["grp"], "x", "w", KEY, n=20), "median", "se")
+    out = compare.boot_wilcoxon(whole_cases(t), ["grp"], "x", "w", 50.0, "greater", counts=arithmetic_counts, key=_group_key(F.col("_v") + 50))
+    return rounded(rounded(out, "p_mean", "p_sd"), "stat_mean", "stat_sd", digits=3)
 
 
-@query("bootstrap_signed_rank", "E42 G7")
+@query("bootstrap_signed_rank_of_prices", "E42 G7")
 def _(t: Tables):
-    return rounded(compare.boot_wilcoxon(t.cases, ["grp"], "x", "w", 26.0, "greater", KEY, n=10), "p_mean", "p_sd", "stat_mean", "stat_sd")
+    return rounded(rounded(compare.boot_wilcoxon(t.cases, ["grp"], "x", "w", 50.0, "greater"), "p_mean", "p_sd"), "stat_mean", "stat_sd", digits=3)
 
 
 @query("signed_rank_sums", "E42", f"""SELECT grp, {rd('sum(CASE WHEN v > 0 THEN c*(lt+(tot+1)/2.0e0) END)')} AS t_plus, CAST(sum(c) AS BIGINT) AS n FROM (

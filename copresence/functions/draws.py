@@ -73,3 +73,38 @@ def _inverted(mean: np.ndarray, q: np.ndarray) -> np.ndarray:
         total = total + p
         live &= (q > total) & ((k < mean) | (p > 0.1 / _SPAN))  # nothing rarer can be told apart
     return count
+
+
+def hashed_uniform(keys: np.ndarray, n: int, seed: int) -> np.ndarray:
+    """Numbers strictly between 0 and 1, a row of n for each key, from key, place and seed only."""
+    with np.errstate(over="ignore"):
+        base = _mixed(keys.astype(np.int64).view(np.uint64) + np.uint64(seed * 0x9E3779B97F4A7C15 % 2**64))
+        x = _mixed(base[:, None] + (np.arange(1, n + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15))[None, :])
+    return (x >> np.uint64(12)).astype(float) / _SPAN + 0.5 / _SPAN
+
+
+def _mixed(x: np.ndarray) -> np.ndarray:
+    x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
+    x = (x ^ (x >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
+    return x ^ (x >> np.uint64(31))
+
+
+def poisson_quantile(means: np.ndarray, u: np.ndarray) -> np.ndarray:
+    """Poisson counts of any mean by inversion: a row of counts for each mean. One table of running shares serves all rows of a mean."""
+    out = np.zeros(u.shape, np.int64)
+    values, which = np.unique(means, return_inverse=True)
+    for i, mean in enumerate(values.tolist()):
+        if mean > 0:
+            rows = np.flatnonzero(which == i)
+            low, shares = _poisson_table(mean)
+            out[rows] = low + np.searchsorted(shares, u[rows])
+    return out
+
+
+def _poisson_table(mean: float) -> tuple[int, np.ndarray]:
+    """The first count worth telling apart, and the running shares from it on."""
+    reach = 12 * math.sqrt(mean) + 30
+    low = max(0, int(mean - reach))
+    k = np.arange(low, int(mean + reach) + 1)
+    logs = np.concatenate([[0.0], np.cumsum(np.log(k[1:]))]) + math.lgamma(low + 1)
+    return low, np.cumsum(np.exp(k * math.log(mean) - mean - logs))

@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame, functions as F, types as T
 
 from copresence.functions import labels
 from copresence.functions.draws import poisson, poisson_one, uniform
-from copresence.operators import cleaning, ordered, quantiles
+from copresence.operators import bootstrap, cleaning, ordered, quantiles
 from copresence.operators.mobility import share_within
 
 
@@ -57,28 +57,14 @@ def replicates(df: DataFrame, keys: list[str], n: int, seed: int, rate: Column |
     return sim.withColumn("copies", poisson_one(u) if rate is None else poisson(rate, u)).where("copies > 0")
 
 
-def wcorr_se(df: DataFrame, by: list[str], x: str, y: str, w: str, keys: list[str], n: int = 1000, seed: int = 1):
-    """Weighted correlation with its bootstrap standard error.
-
-    A replicate is six sums per group, taken beside the rows: copies of rows are never shuffled. Values are centred first.
-    """
-    centred = _by(df, df.groupBy(*by).agg(F.avg(x).alias("_mx"), F.avg(y).alias("_my")), by)
-    dx, dy, c = F.col(x) - F.col("_mx"), F.col(y) - F.col("_my"), F.col("copies") * F.col(w)
-    parts = {"w": c, "x": c * dx, "y": c * dy, "xx": c * dx * dx, "yy": c * dy * dy, "xy": c * dx * dy}
-    sums = replicates(centred, keys, n, seed).groupBy(*by, "sim").agg(*[F.sum(v).alias(f"_{k}") for k, v in parts.items()])
-    s = {k: F.col(f"_{k}") for k in parts}
-    r = (s["w"] * s["xy"] - s["x"] * s["y"]) / F.sqrt((s["w"] * s["xx"] - s["x"] * s["x"]) * (s["w"] * s["yy"] - s["y"] * s["y"]))
-    se = sums.groupBy(*by).agg(F.stddev_samp(r).alias("se"))
-    return _beside(wcorr(df, by, x, y, w), se, by)
+def wcorr_se(df: DataFrame, by: list[str], x: str, y: str, w: str, n: int = 1000, **draws) -> DataFrame:
+    """Weighted correlation with its bootstrap standard error."""
+    return _beside(wcorr(df, by, x, y, w), bootstrap.correlation_error(df, by, x, y, w, n, **draws), by)
 
 
-def boot_median(df: DataFrame, by: list[str], x: str, w: str, keys: list[str], n: int = 1000, seed: int = 1) -> DataFrame:
+def boot_median(df: DataFrame, by: list[str], x: str, w: str, n: int = 1000, **draws) -> DataFrame:
     """Median and standard deviation of the weighted medians of resampled rows."""
-    cuts = ordered.split_points(df, x)
-    r = replicates(df.select(*dict.fromkeys([*by, x, w, *keys])), keys, n, seed).withColumn("_bw", F.col("copies") * F.col(w))
-    meds = quantiles.wquantile_ecdf(r, [*by, "sim"], x, "_bw", [0.5], cuts)
-    return meds.groupBy(*by).agg(  # n medians per group
-        F.median("value").alias("median"), F.stddev_pop("value").alias("se"))
+    return bootstrap.median(df, by, x, w, n, **draws)
 
 
 def midranks(df: DataFrame, by: list[str], x: str, name: str) -> DataFrame:
@@ -97,12 +83,6 @@ def spearman(df: DataFrame, by: list[str], x: str, y: str) -> DataFrame:
     return out.withColumn("t", t)
 
 
-@F.pandas_udf(T.DoubleType())
-def normal_tail(z: pd.Series) -> pd.Series:
-    """P(Z > z); used on result rows only."""
-    return z.map(lambda v: None if v is None or math.isnan(v) else math.erfc(v / math.sqrt(2)) / 2).astype(float)
-
-
 def signed_rank(df: DataFrame, by: list[str], x: str, copies: str, cuts: list[float] | None = None) -> DataFrame:
     """Signed-rank sums of counted values, zeros left out, with the tie-corrected normal score."""
     v = df.where(F.col(x) != 0).withColumn("_a", F.abs(x))
@@ -118,27 +98,15 @@ def signed_rank(df: DataFrame, by: list[str], x: str, copies: str, cuts: list[fl
     return out.select(*by, "t_plus", F.col("_n").alias("n"), ((F.col("t_plus") - mean) / sd).alias("z"))
 
 
-def boot_wilcoxon(df: DataFrame, by: list[str], x: str, w: str, baseline: float, side: str, keys: list[str],
-                  n: int = 1000, seed: int = 1) -> DataFrame:
+def boot_wilcoxon(df: DataFrame, by: list[str], x: str, w: str, baseline: float, side: str, n: int = 1000, **draws) -> DataFrame:
     """Signed-rank test of x - baseline on resamples drawn in proportion to weight; mean and sd over replicates."""
-    total = df.groupBy(*by).agg(F.sum(w).alias("_w"), F.count(F.lit(1)).alias("_rows"))
-    rated = _by(df.select(*dict.fromkeys([*by, x, w, *keys])), total, by)
-    r = replicates(rated, keys, n, seed, F.col("_rows") * F.col(w) / F.col("_w")).withColumn("_v", F.col(x) - baseline)
-    cuts = ordered.split_points(df.select(F.abs(F.col(x) - baseline).alias("_a")), "_a")  # from the rows, not their copies
-    test = signed_rank(r, [*by, "sim"], "_v", "copies", cuts)
-    z = {"greater": F.col("z"), "less": -F.col("z")}.get(side, F.abs("z"))
-    p = normal_tail(z) * (1 if side in ("greater", "less") else 2)
-    t_min = F.least("t_plus", F.col("n") * (F.col("n") + 1) / 2 - F.col("t_plus"))
-    test = test.select(*by, p.alias("p"), (F.col("t_plus") if side in ("greater", "less") else t_min).alias("s"))
-    return test.groupBy(*by).agg(F.avg("p").alias("p_mean"), F.stddev_pop("p").alias("p_sd"),
-                                 F.avg("s").alias("stat_mean"), F.stddev_pop("s").alias("stat_sd"))
-
-
-def segregated(df: DataFrame, by: list[str], x: str, w: str, keys: list[str], band: float = 0.2, level: float = 0.001,
-               n: int = 1000, seed: int = 1) -> DataFrame:
+    return bootstrap.wilcoxon(df, by, x, w, baseline, side, n, **draws)
+
+
+def segregated(df: DataFrame, by: list[str], x: str, w: str, band: float = 0.2, level: float = 0.001, n: int = 1000, **draws) -> DataFrame:
     """1 where a group's index lies outside the band by either one-sided test, else 0."""
-    up = boot_wilcoxon(df, by, x, w, band, "greater", keys, n, seed).select(*by, F.col("p_mean").alias("p_greater"))
-    low = boot_wilcoxon(df, by, x, w, -band, "less", keys, n, seed).select(*by, F.col("p_mean").alias("p_less"))
+    up = boot_wilcoxon(df, by, x, w, band, "greater", n, **draws).select(*by, F.col("p_mean").alias("p_greater"))
+    low = boot_wilcoxon(df, by, x, w, -band, "less", n, **draws).select(*by, F.col("p_mean").alias("p_less"))
     inside = (F.col("p_greater") > level) & (F.col("p_less") > level)
     return _beside(up, low, by).withColumn("seg", F.when(inside, 0).otherwise(1))
 
