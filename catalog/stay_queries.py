@@ -5,7 +5,7 @@ from pyspark.sql import functions as F
 from catalog.fixtures import Tables, rd, rounded
 from catalog.registry import query
 from copresence.functions.constants import HOME_BOX, HOME_TIME_ZONE, T_MAX
-from copresence.operators import cleaning, home, profiles, stays
+from copresence.operators import cleaning, home, profiles, stays, stop_sweep
 
 PING_ORDER = ["timestamp", "pid"]
 STOP_ORDER = ["localtime", "sid"]
@@ -69,12 +69,30 @@ def _(t: Tables):
     return rounded(out, "latitude", "longitude")
 
 
-@query("stay_stats_by_gap", "E2", f"""SELECT t_max, min(dur) AS dur_min, max(dur) AS dur_max, count(*) AS n,
-    {rd('avg(CASE WHEN dur > 240 THEN 1 ELSE 0 END)')} AS share_long, {rd('median(dur)')} AS dur_median
-    FROM (SELECT *, unnest([60, 120, 240]) AS t_max FROM stops) WHERE dur <= t_max * 2 GROUP BY 1""")
+# the same steps for every longest silence of 1 to 12 hours
+SWEEP = {
+    "sgap": """SELECT *, least(coalesce(lead(timestamp) OVER (PARTITION BY t, device_aid ORDER BY timestamp, pid), timestamp + 1), timestamp + t) AS until
+        FROM pings, (SELECT unnest(range(1, 13))*3600 AS t)""",
+    "sdense": "SELECT t, device_aid, pid, unnest(range(timestamp, until, t - 1)) AS timestamp FROM sgap",
+    "sruns": """SELECT *, sum(brk) OVER (PARTITION BY t, device_aid ORDER BY timestamp, pid ROWS UNBOUNDED PRECEDING) AS run FROM (
+        SELECT *, CASE WHEN k = lag(k) OVER w AND timestamp - lag(timestamp) OVER w <= t THEN 0 ELSE 1 END AS brk
+        FROM (SELECT d.*, s.loc AS k FROM sdense d JOIN stops s ON s.sid = d.pid) WINDOW w AS (PARTITION BY t, device_aid ORDER BY timestamp, pid))""",
+    "slabel": """SELECT *, CASE WHEN count(*) OVER w >= 2 AND max(timestamp) OVER w - min(timestamp) OVER w >= 900 THEN k ELSE -1 END AS label
+        FROM sruns WINDOW w AS (PARTITION BY t, device_aid, run)""",
+    "sinterval": """SELECT *, sum(turn) OVER (PARTITION BY t, device_aid ORDER BY timestamp, pid ROWS UNBOUNDED PRECEDING) AS interval FROM (
+        SELECT *, CASE WHEN label = lag(label) OVER w AND timestamp - lag(timestamp) OVER w < t THEN 0 ELSE 1 END AS turn
+        FROM slabel WINDOW w AS (PARTITION BY t, device_aid ORDER BY timestamp, pid))""",
+    "sstay": """SELECT t, dur, CASE WHEN dur > 0 THEN size/(dur/60) ELSE 'inf'::DOUBLE END AS sfre FROM (
+        SELECT t, (max(timestamp) - min(timestamp))/60.0e0 AS dur, count(*) AS size FROM sinterval WHERE label >= 0 GROUP BY t, device_aid, interval)""",
+}
+
+
+@query("stay_stats_by_gap", "E2", f"""SELECT CAST(t/3600 AS INTEGER) AS hours, count(*) AS stays, {rd('min(dur)')} AS dur_min, {rd('max(dur)')} AS dur_max, {rd('median(dur)')} AS dur_med,
+    {rd('avg(CASE WHEN dur >= t/60 THEN 1 ELSE 0 END)')} AS dur_thre, {rd('min(sfre)')} AS sfre_min, {rd('max(sfre)')} AS sfre_max, {rd('median(sfre)')} AS sfre_med,
+    {rd('avg(CASE WHEN sfre >= 1 THEN 1 ELSE 0 END)')} AS sfre_one FROM sstay GROUP BY t""", **SWEEP)
 def _(t: Tables):
-    swept = t.stops.withColumn("t_max", F.explode(F.array(*[F.lit(v) for v in (60, 120, 240)]))).where(F.col("dur") <= F.col("t_max") * 2)
-    return rounded(stays.stay_stats(swept, ["t_max"], "dur", 240), "share_long", "dur_median")
+    swept = stop_sweep.sweep(stays.clean_pings(t.pings), PING_ORDER, [h * 3600 for h in range(1, 13)])
+    return rounded(stop_sweep.sweep_stats(swept), "dur_min", "dur_max", "dur_med", "dur_thre", "sfre_min", "sfre_max", "sfre_med", "sfre_one")
 
 
 LEAVING = "localtime + to_microseconds(CAST(round(dur*60000000) AS BIGINT))"
