@@ -111,8 +111,31 @@ def _(t: Tables):
 
 DECAY = f"""SELECT d, w/sum(w) OVER () AS fd FROM (SELECT CAST(ceil(km) AS INTEGER) AS d, sum(wt_p) AS w FROM (
     SELECT sqrt(pow(x-hx,2)+pow(y-hy,2))/1000 AS km, wt_p FROM stops JOIN home_points USING (uid) JOIN weights USING (uid)) WHERE km > 0 GROUP BY 1)"""
-WANTED = f"""SELECT DISTINCT uid, tag, hx, hy, tno, CAST(coalesce((SELECT min(c.d) FROM curve c WHERE c.upto >= u - 1e-12), 0) AS INTEGER) AS d FROM (
-    SELECT *, {arith_sql('uid', 'tno', 'dr')} AS u FROM (SELECT *, unnest(range(1, 21)) AS dr FROM (SELECT DISTINCT m.uid, m.tag, CAST(ascii(m.tag) AS BIGINT) AS tno, h.hx, h.hy FROM mov m JOIN home_points h USING (uid))))"""
+LEVELS = 4  # of the tree over whole kilometres: the field is 10 km wide, so there are 15 at most
+
+
+def _tree() -> dict[str, str]:
+    """1000 draws split between the halves of the distances, level by level, by inverted binomial counts."""
+    ctes = {
+        "curve": "SELECT d, CAST(row_number() OVER (ORDER BY d) AS INTEGER) AS i, sum(fd) OVER (ORDER BY d) AS upto FROM decay",
+        "ends": "SELECT 0 AS i, 0.0e0 AS upto UNION ALL SELECT i, upto FROM curve",
+        "lev0": """SELECT DISTINCT m.uid, m.tag, CAST(ascii(m.tag) AS BIGINT) AS tno, h.hx, h.hy, 1 AS node, 0 AS lo, CAST((SELECT max(i) FROM curve) AS INTEGER) AS hi, 1000 AS n
+            FROM mov m JOIN home_points h USING (uid)""",
+    }
+    for k in range(LEVELS):
+        ctes[f"share{k}"] = f"""SELECT n, lo, hi, list(share ORDER BY j) AS shares FROM (
+            SELECT n, lo, hi, j, sum(exp(lgamma(n + 1) - lgamma(j + 1) - lgamma(n - j + 1) + j*ln(p) + (n - j)*ln(1 - p))) OVER (PARTITION BY n, lo, hi ORDER BY j) AS share FROM (
+                SELECT q.n, q.lo, q.hi, (b.upto - a.upto)/(c.upto - a.upto) AS p, unnest(range(0, q.n + 1)) AS j FROM (SELECT DISTINCT n, lo, hi FROM lev{k} WHERE hi - lo > 1) q
+                JOIN ends a ON a.i = lo JOIN ends b ON b.i = (lo + hi)//2 JOIN ends c ON c.i = hi)) GROUP BY 1, 2, 3"""
+        ctes[f"cut{k}"] = f"""SELECT l.*, least(len(list_filter(shares, lambda s: s < {arith_sql('uid', 'tno', 'node')})), n) AS k FROM lev{k} l JOIN share{k} USING (n, lo, hi)"""
+        keep = "uid, tag, tno, hx, hy"
+        ctes[f"lev{k + 1}"] = f"""SELECT {keep}, node, lo, hi, n FROM lev{k} WHERE hi - lo = 1 UNION ALL SELECT {keep}, 2*node, lo, (lo + hi)//2, k FROM cut{k} WHERE k > 0
+            UNION ALL SELECT {keep}, 2*node + 1, (lo + hi)//2, hi, n - k FROM cut{k} WHERE n > k"""
+    return ctes
+
+
+WANTED = f"SELECT uid, tag, tno, hx, hy, CAST(d AS INTEGER) AS d, n AS draws FROM lev{LEVELS} JOIN curve ON i = lo + 1"
+FREE = dict(decay=DECAY, **_tree(), wanted=WANTED)
 
 
 def decay_curve(t: Tables):
@@ -122,25 +145,42 @@ def decay_curve(t: Tables):
     return distance_decay(t.stops.join(t.home_points, "uid").join(t.weights, "uid").withColumn("km", km), "km", "wt_p", [])
 
 
-def wanted(t: Tables, n: int = 20):
+def arithmetic_nodes(keys, node):
+    return ((keys + 1299709 * node) % PRIME + 0.5) / PRIME
+
+
+def wanted(t: Tables, n: int = 1000):
     homes = t.home_points.select("uid", F.col("hx").alias("x"), F.col("hy").alias("y"))
     persons = moving(t).select("uid", "tag").distinct().join(homes, "uid").withColumn("tno", F.ascii("tag").cast("long"))
-    return nullmodel.drawn_distances(persons, decay_curve(t), ["uid", "tno"], n, arithmetic)
+    key = F.col("uid").cast("long") * 7919 + F.col("tno") * 104729
+    return nullmodel.drawn_distances(persons, decay_curve(t), key, n, arithmetic_nodes)
+
+
+@query("drawn_distances", "N5 U4", "SELECT uid, tag, d, CAST(draws AS BIGINT) AS draws FROM wanted", **NULLS, **FREE)
+def _(t: Tables):
+    return wanted(t).select("uid", "tag", "d", "draws")
+
+
+def free_pool(t: Tables):
+    return nullmodel.decay_pool(wanted(t), upois(t), "unit", ["uid", "tag"], 1000.0, cell=2)
+
+
+FREE_POOL = f"""SELECT uid, tag, tier, unit, CAST(count(DISTINCT osm_id) AS BIGINT) AS places FROM (SELECT *, min(tier) OVER (PARTITION BY uid, tag) AS low FROM (
+    SELECT w.uid, w.tag, p.unit, p.osm_id, {TIER.format(a='w.tag', b='p.tag')} AS tier FROM wanted w, upois p WHERE round_even(sqrt(pow(w.hx-p.x,2)+pow(w.hy-p.y,2))/1000, 0) = w.d) WHERE tier > 0) WHERE tier = low GROUP BY ALL"""
 
 
-@query("distance_free_pool", "N5 U4", f"""SELECT uid, tag, tier, unit, CAST(count(DISTINCT osm_id) AS BIGINT) AS places FROM (SELECT *, min(tier) OVER (PARTITION BY uid, tag) AS low FROM (
-    SELECT w.uid, w.tag, p.unit, p.osm_id, {TIER.format(a='w.tag', b='p.tag')} AS tier FROM wanted w, upois p WHERE round_even(sqrt(pow(w.hx-p.x,2)+pow(w.hy-p.y,2))/1000, 0) = w.d) WHERE tier > 0) WHERE tier = low GROUP BY ALL""",
-       **NULLS, decay=DECAY, curve="SELECT d, sum(fd) OVER (ORDER BY d) AS upto FROM decay", wanted=WANTED)
+@query("distance_free_pool", "N5 U4", "SELECT uid, tag, tier, unit, places FROM freepool", **NULLS, **FREE, freepool=FREE_POOL)
 def _(t: Tables):
-    out = nullmodel.decay_pool(wanted(t), upois(t), "unit", ["uid", "tag"], 1000.0, cell=2)
-    return out.select("uid", "tag", "tier", "unit", "places")
+    return free_pool(t).select("uid", "tag", "tier", "unit", "places")
 
 
-@query("distance_free_draws", "N5")
+@query("distance_free_draws", "N5", f"""SELECT uid, tag, unit_s, count(*) AS n FROM (SELECT p.uid, p.tag, sim, min(c.unit) FILTER (c.upto >= least(floor(u*c.size) + 1, c.size)) AS unit_s FROM (
+        SELECT *, {arith_sql('uid', 'tno', 'sim')} AS u FROM (SELECT *, unnest(range(1, {DRAWS + 1})) AS sim FROM (SELECT DISTINCT uid, tag, CAST(ascii(tag) AS BIGINT) AS tno FROM mov))) p
+    LEFT JOIN (SELECT *, sum(places) OVER (PARTITION BY uid, tag ORDER BY unit) AS upto, sum(places) OVER (PARTITION BY uid, tag) AS size FROM freepool) c ON c.uid = p.uid AND c.tag = p.tag
+    GROUP BY 1, 2, 3) GROUP BY 1, 2, 3""", **NULLS, **FREE, freepool=FREE_POOL)
 def _(t: Tables):
-    p = nullmodel.decay_pool(wanted(t), upois(t), "unit", ["uid", "tag"], 1000.0, cell=2)
-    people = moving(t).select("uid", "tag").distinct()
-    return nullmodel.draw(people, p, ["uid", "tag"], "unit", ["uid", "tag"], 100, nullmodel.hashed(7)).groupBy("uid", "tag", "unit_s").agg(F.count(F.lit(1)).alias("n"))
+    people = moving(t).select("uid", "tag", F.ascii("tag").cast("long").alias("tno")).distinct()
+    return nullmodel.draw(people, free_pool(t), ["uid", "tag"], "unit", ["uid", "tno"], DRAWS, arithmetic).groupBy("uid", "tag", "unit_s").agg(F.count(F.lit(1)).alias("n"))
 
 
 PEOPLE = """SELECT w.uid, w.wt_p, w.deso, z.birth_se*1.0e0/z.pop AS a, z.birth_other*1.0e0/z.pop AS b, z.birth_eu*1.0e0/z.pop AS o, g.grp_r FROM weights w JOIN zones z USING (deso) JOIN groups g ON g.uid = w.uid"""

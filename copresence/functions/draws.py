@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import math
+from collections.abc import Callable
 
 import numpy as np
 import pandas as pd
@@ -108,3 +109,40 @@ def _poisson_table(mean: float) -> tuple[int, np.ndarray]:
     k = np.arange(low, int(mean + reach) + 1)
     logs = np.concatenate([[0.0], np.cumsum(np.log(k[1:]))]) + math.lgamma(low + 1)
     return low, np.cumsum(np.exp(k * math.log(mean) - mean - logs))
+
+
+def binomial_quantile(n: np.ndarray, p: float, u: np.ndarray) -> np.ndarray:
+    """Counts of hits among n tries by inversion, for one chance p strictly between 0 and 1; one table serves all rows of an n."""
+    out = np.zeros(len(n), np.int64)
+    values, which = np.unique(n, return_inverse=True)
+    logs = np.concatenate([[0.0], np.cumsum(np.log(np.arange(1, int(values.max(initial=0)) + 1)))])
+    for i, tries in enumerate(values.tolist()):
+        reach = 12 * math.sqrt(tries * p * (1 - p)) + 30
+        low = max(0, int(tries * p - reach))
+        k = np.arange(low, min(tries, int(tries * p + reach)) + 1)
+        shares = np.cumsum(np.exp(logs[tries] - logs[k] - logs[tries - k] + k * math.log(p) + (tries - k) * math.log1p(-p)))
+        rows = np.flatnonzero(which == i)
+        out[rows] = np.minimum(low + np.searchsorted(shares, u[rows]), tries)
+    return out
+
+
+def multinomial_tree(n: int, shares: np.ndarray, uniforms: Callable[[np.ndarray, int], np.ndarray], keys: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """n draws for each key, as counts: (row, bin, count) of all bins that were drawn.
+
+    The draws of a node of the tree over bins are split between its halves by one binomial count, so a key costs the number of
+    bins and not of draws. Nodes are numbered from 1 as in a heap; `uniforms` gives a row's number of a node.
+    """
+    upto = np.concatenate([[0.0], np.cumsum(shares)])
+    todo = [(1, 0, len(shares), np.arange(len(keys)), np.full(len(keys), n, np.int64))]
+    found = []
+    while todo:
+        node, lo, hi, rows, count = todo.pop()
+        if hi - lo == 1:
+            found.append((rows, np.full(len(rows), lo), count))
+            continue
+        mid = (lo + hi) // 2
+        left = binomial_quantile(count, (upto[mid] - upto[lo]) / (upto[hi] - upto[lo]), uniforms(keys[rows], node))
+        for child, a, b, part in ((2 * node, lo, mid, left), (2 * node + 1, mid, hi, count - left)):
+            if (part > 0).any():
+                todo.append((child, a, b, rows[part > 0], part[part > 0]))
+    return tuple(np.concatenate(c) for c in zip(*found)) if found else (np.zeros(0, np.int64),) * 3

@@ -5,9 +5,11 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 
-from pyspark.sql import Column, DataFrame, Window, functions as F
+import numpy as np
+import pandas as pd
+from pyspark.sql import Column, DataFrame, Window, functions as F, types as T
 
 from copresence.functions import draws, indices
 from copresence.functions.distance import planar
@@ -123,21 +125,34 @@ def merge_moved(kept: DataFrame, drawn: DataFrame, unit: str, n: int, drop: bool
     return moved.select(*cols).unionByName(still.select(*cols))
 
 
-def drawn_distances(persons: DataFrame, decay: DataFrame, ids: list[str], n: int, pick: Picker) -> DataFrame:
-    """Distinct whole distances among n draws per person from the decay curve (inverse cumulative share).
+#: (keys, node of the tree) to a number between 0 and 1 for each key.
+Uniforms = Callable[[np.ndarray, int], np.ndarray]
 
-    The curve has one row per whole distance and travels as one sorted array.
+
+def seeded_nodes(seed: int) -> Uniforms:
+    """Numbers hashed from key, node and seed."""
+    return lambda keys, node: draws.hashed_uniform(keys, 1, seed * 1_000_003 + node)[:, 0]
+
+
+def drawn_distances(persons: DataFrame, decay: DataFrame, key: Column, n: int = 1000, uniforms: Uniforms | None = None) -> DataFrame:
+    """Whole distances among n draws per person from the decay curve, with how often each was drawn: `d`, `draws`.
+
+    `key` is a whole number that names a person for the draws. The counts are split down a tree of the curve's distances. The
+    curve has one row per whole kilometre, on Earth 20,038 at most, and travels with the tasks. Distances must have a share above 0.
     """
-    curve = decay.agg(F.sort_array(F.collect_list(F.struct("d", "fd"))).alias("_c")).select(F.aggregate(
-        "_c", F.array().cast("array<struct<d:int,upto:double>>"),
-        lambda acc, e: F.concat(acc, F.array(F.struct(
-            e["d"].cast("int").alias("d"),
-            (F.coalesce(F.try_element_at(acc, F.lit(-1))["upto"], F.lit(0.0)) + e["fd"]).alias("upto")))))).scalar()
-    rows = persons.withColumn("_curve", curve).withColumn("draw", F.explode(F.sequence(F.lit(1), F.lit(n))))
-    u = pick([*[F.col(c) for c in ids], F.col("draw")])
-    last = F.element_at("_curve", -1)["d"]
-    d = F.coalesce(F.try_element_at(F.filter("_curve", lambda e: e["upto"] >= u), F.lit(1))["d"], last)
-    return rows.withColumn("d", d).select(*persons.columns, "d").distinct()
+    uniforms = uniforms or seeded_nodes(1)
+    curve = decay.where("fd > 0").select(F.col("d").cast("int").alias("d"), F.col("fd").cast("double").alias("fd")).orderBy("d").collect()
+    at, shares = np.array([r["d"] for r in curve], np.int32), np.array([r["fd"] for r in curve])
+
+    def split(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for frame in frames:
+            row, where, count = draws.multinomial_tree(n, shares, uniforms, frame["_key"].to_numpy(np.int64))
+            yield frame.iloc[row].drop(columns="_key").assign(d=at[where], draws=count)
+
+    schema = T.StructType([*persons.schema.fields, T.StructField("d", T.IntegerType()), T.StructField("draws", T.LongType())])
+    if not curve:
+        return persons.withColumns({"d": F.lit(None).cast("int"), "draws": F.lit(0).cast("long")}).limit(0)
+    return persons.withColumn("_key", key.cast("long")).mapInPandas(split, schema)
 
 
 def decay_pool(wanted: DataFrame, pois: DataFrame, unit: str, key: list[str], step: float, cell: int = 10) -> DataFrame:

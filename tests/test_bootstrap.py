@@ -140,3 +140,40 @@ def test_poisson_quantile():
     assert (draws.poisson_quantile(np.array([0.0, 1.0]), np.full((2, 3), 0.36))[0] == 0).all()
     once = draws.hashed_uniform(np.array([5, -7, 5]), 1000, 3)
     assert (once[0] == once[2]).all() and abs(once.mean() - 0.5) < 0.02 and 0 < once.min() and once.max() < 1
+
+
+def test_multinomial_tree():
+    """Counts add up, follow the shares in mean and spread, and do not depend on the rows around them."""
+    shares = np.array([0.5, 0.2, 0.1, 0.1, 0.06, 0.03, 0.01])
+    keys = np.arange(4000) * 7919
+
+    def uniforms(own, node):
+        return draws.hashed_uniform(own, 1, node)[:, 0]
+
+    row, where, count = draws.multinomial_tree(1000, shares, uniforms, keys)
+    table = np.zeros((len(keys), len(shares)))
+    table[row, where] = count
+    assert (table.sum(axis=1) == 1000).all() and (count > 0).all()
+    assert np.abs(table.mean(axis=0) / (1000 * shares) - 1).max() < 0.02
+    assert np.abs(table.var(axis=0) / (1000 * shares * (1 - shares)) - 1).max() < 0.12
+    some = draws.multinomial_tree(1000, shares, uniforms, keys[5:6])
+    assert dict(zip(some[1].tolist(), some[2].tolist())) == {i: int(c) for i, c in enumerate(table[5]) if c}
+
+
+def test_binomial_quantile():
+    u = (np.arange(100_000) + 0.5) / 100_000
+    for n, p in ((1, 0.3), (10, 0.05), (1000, 0.5), (1000, 0.97), (50_000, 0.001)):
+        k = draws.binomial_quantile(np.full(len(u), n), p, u)
+        assert abs(k.mean() - n * p) < 0.01 * max(n * p, 1) and abs(k.var() / (n * p * (1 - p)) - 1) < 0.02 and 0 <= k.min() and k.max() <= n
+    assert draws.binomial_quantile(np.array([0, 3]), 0.5, np.array([0.9, 0.99])).tolist() == [0, 3]
+
+
+def test_drawn_distances(spark):
+    from copresence.operators import nullmodel
+    decay = spark.createDataFrame([(i, f) for i, f in enumerate([0.0, 0.4, 0.3, 0.2, 0.1])], "d int, fd double")
+    people = spark.createDataFrame([(i, "Shop") for i in range(300)], "uid long, tag string")
+    a, b = (sorted(map(tuple, nullmodel.drawn_distances(p, decay, F.xxhash64("uid", "tag")).collect())) for p in (people, people.repartition(5)))
+    assert a == b and {r[2] for r in a} == {1, 2, 3, 4}
+    total = {d: sum(r[3] for r in a if r[2] == d) / 300_000 for d in range(1, 5)}
+    assert all(abs(total[d] - f) < 0.01 for d, f in zip(total, [0.4, 0.3, 0.2, 0.1]))
+    assert nullmodel.drawn_distances(people, decay.limit(0), F.col("uid")).count() == 0
