@@ -5,7 +5,7 @@ from pyspark.sql import functions as F
 from catalog.fixtures import Tables, hav, r6, rd, rd3, rounded
 from catalog.registry import query
 from copresence.functions import distance
-from copresence.operators import spatial
+from copresence.operators import hull, spatial
 
 ZONE_OF = "CAST(floor({x}/2000.0e0) + 5*floor({y}/2000.0e0) AS INTEGER)"
 
@@ -178,7 +178,36 @@ def _(t: Tables):
     return rounded(spatial.access_within(homes, jobs, "uid", "p_size", 1500.0), "access")
 
 
-@query("county_destinations", "F13", """SELECT DISTINCT n.n_regionkey AS county, p.osm_id AS cell_id FROM home_points h
+# grid squares of two sizes, with jobs; hull edges by testing every pair of corners
+GRID = """SELECT osm_id AS cell_id, x, y, CASE WHEN osm_id % 4 = 0 THEN 1000.0e0 ELSE 250.0e0 END AS size, greatest(p_size - 10, 0) AS job FROM pois JOIN part ON p_partkey = osm_id"""
+CORNER = """SELECT DISTINCT n_regionkey AS county, size, 2000.0e0*(n_nationkey%5 + i) + j*size/2 AS vx, 2000.0e0*(n_nationkey//5 + k) + l*size/2 AS vy
+    FROM nation, (SELECT unnest([250.0e0, 1000.0e0]) AS size), (SELECT unnest([0, 1]) AS i), (SELECT unnest([-1, 1]) AS j), (SELECT unnest([0, 1]) AS k), (SELECT unnest([-1, 1]) AS l)"""
+EDGE = """SELECT a.county, a.size, a.vx AS ax, a.vy AS ay, b.vx - a.vx AS dx, b.vy - a.vy AS dy FROM corner a JOIN corner b ON a.county = b.county AND a.size = b.size AND (a.vx <> b.vx OR a.vy <> b.vy)
+    WHERE NOT EXISTS (SELECT 1 FROM corner c WHERE c.county = a.county AND c.size = a.size AND (b.vx-a.vx)*(c.vy-a.vy) - (b.vy-a.vy)*(c.vx-a.vx) < 0)"""
+
+
+def grid_squares(t: Tables):
+    jobs = t.read("part").select(F.col("p_partkey").alias("osm_id"), F.greatest(F.col("p_size") - 10, F.lit(0)).alias("job"))
+    return t.pois.join(jobs, "osm_id").select(F.col("osm_id").alias("cell_id"), "x", "y", F.when(F.col("osm_id") % 4 == 0, 1000.0).otherwise(250.0).alias("size"), "job")
+
+
+@query("county_destinations", "F13", """SELECT county, cell_id, job FROM (SELECT e.county, g.cell_id, g.job, min(dx*(g.y-ay) - dy*(g.x-ax)) >= 0 AS inside,
+    min(sqrt(pow(g.x-ax-dx*f, 2) + pow(g.y-ay-dy*f, 2))) AS away FROM (SELECT *, least(greatest(((g.x-ax)*dx + (g.y-ay)*dy)/(dx*dx + dy*dy), 0), 1) AS f FROM grid g JOIN edge USING (size) WHERE job > 0) e
+    JOIN grid g USING (cell_id) GROUP BY 1, 2, 3) WHERE inside OR away <= 400""", grid=GRID, corner=CORNER, edge=EDGE)
+def _(t: Tables):
+    return hull.county_destinations(t.squares, grid_squares(t), 400.0, [250.0, 1000.0], cell=500.0).select("county", "cell_id", "job")
+
+
+@query("county_origins", "F13", """SELECT min(n_regionkey) AS county, cell_id FROM (SELECT uid, 1 + uid % (SELECT count(*) FROM part) AS cell_id FROM homes) h JOIN nation ON n_nationkey = uid % 25
+    JOIN pois ON osm_id = cell_id GROUP BY 2""")
+def _(t: Tables):
+    n = t.read("part").select(F.count(F.lit(1))).scalar()
+    county = t.squares.select(F.col("deso"), "county")
+    homes = t.homes.select("uid", (F.col("uid") % 25).cast("int").alias("deso")).join(county, "deso").withColumn("_n", n)
+    return hull.county_origins(homes.withColumn("cell_id", 1 + F.col("uid") % F.col("_n")), grid_squares(t)).select("county", "cell_id")
+
+
+@query("home_surroundings", "F11", """SELECT DISTINCT n.n_regionkey AS county, p.osm_id AS cell_id FROM home_points h
     JOIN nation n ON n.n_nationkey = h.uid % 25, pois p WHERE sqrt(pow(h.hx-p.x,2)+pow(h.hy-p.y,2)) <= 400""")
 def _(t: Tables):
     county = t.squares.select(F.col("deso"), "county")
