@@ -3,11 +3,13 @@
 import numpy as np
 from pyspark.sql import functions as F
 
+from catalog.exposure_queries import DESO, EXP
 from catalog.fixtures import Tables, rd, rd3, rounded
+from catalog.place_queries import METRICS, _median_cte, cells_sql
 from catalog.registry import query
 from copresence.functions import indices, labels
 from copresence.functions.draws import poisson_quantile
-from copresence.operators import cleaning, compare, quantiles
+from copresence.operators import cleaning, compare, place, quantiles, series
 
 
 @query("weighted_moments", "E13 E14", f"""SELECT grp, {rd('tw')} AS weight, {rd('m')} AS mean, {rd('sqrt(ss/(tw-1))')} AS std FROM (
@@ -201,16 +203,64 @@ def _(t: Tables):
     return rounded(compare.wmean_ci(t.cases, ["grp"], "x", "w"), "mean", "lower", "upper")
 
 
+SERIES_KEY = "uid, weekday, holiday"
+# both one-sided tests against a band of 0.1; the exact signed-rank distribution is convolved rank by rank, the t tail integrated
+SERIES = dict(
+    series=f"SELECT {SERIES_KEY}, {rd('ice_birth')} AS v FROM exped WHERE ice_birth IS NOT NULL",
+    moments=f"SELECT {SERIES_KEY}, count(*) AS whole, avg(v) AS mean, stddev_samp(v) AS sd FROM series GROUP BY ALL",
+    sides=f"SELECT {SERIES_KEY}, 'greater' AS side, v - 0.1e0 AS d FROM series UNION ALL SELECT {SERIES_KEY}, 'less', -(v + 0.1e0) FROM series",
+    placed=f"""SELECT *, rank() OVER (PARTITION BY {SERIES_KEY}, side ORDER BY abs(d)) + (t - 1)/2 AS place FROM (
+        SELECT *, count(*) OVER (PARTITION BY {SERIES_KEY}, side, abs(d))*1.0e0 AS t FROM sides WHERE d <> 0)""",
+    summed=f"SELECT {SERIES_KEY}, side, coalesce(sum(place) FILTER (d > 0), 0) AS plus, count(*)*1.0e0 AS n, sum(t*t - 1) AS ties FROM placed GROUP BY ALL",
+    exact="""SELECT whole, list_reduce([[1.0e0]] || list_transform(range(1, whole + 1), lambda r: [r*1.0e0]), lambda acc, x: list_transform(range(1, CAST(len(acc) + x[1] + 1 AS BIGINT)),
+        lambda k: (coalesce(acc[k], 0) + CASE WHEN k > x[1] THEN coalesce(acc[CAST(k - x[1] AS BIGINT)], 0) ELSE 0 END)/2)) AS share FROM (SELECT DISTINCT whole FROM moments WHERE whole <= 50)""",
+    scored=f"""SELECT m.*, s.side, s.plus, s.n, s.ties, e.share, CASE s.side WHEN 'greater' THEN mean - 0.1e0 ELSE -(mean + 0.1e0) END/(sd/sqrt(whole)) AS t, (plus - n*(n + 1)/4)/nullif(sqrt(n*(n + 1)*(2*n + 1)/24 - ties/48), 0) AS z
+        FROM moments m JOIN summed s USING ({SERIES_KEY}) LEFT JOIN exact e USING (whole)""",
+)
+T_TAIL = """exp(lgamma(whole/2.0e0) - lgamma((whole - 1)/2.0e0))/sqrt(pi())*(pi()/2 - atan(t/sqrt(whole - 1)))/2000/3*list_sum(list_transform(range(0, 2001),
+    lambda i: CASE WHEN i = 0 OR i = 2000 THEN 1 WHEN i % 2 = 1 THEN 4 ELSE 2 END*pow(greatest(cos(atan(t/sqrt(whole - 1)) + i*(pi()/2 - atan(t/sqrt(whole - 1)))/2000), 0), whole - 2)))"""
+
+
+@query("series_tests", "E47", f"""SELECT {SERIES_KEY}, any_value(CAST(whole AS INTEGER)) AS n, any_value({rd('mean', 11)}) AS mean, {', '.join(
+    f"max({v}) FILTER (side = '{s}') AS {c}_{s}" for s in ('greater', 'less') for c, v in (('t', 'tp'), ('w', 'plus'), ('rank', 'rp')))}
+    FROM (SELECT *, {rd(f"CASE WHEN whole > 1 THEN {T_TAIL} END")} AS tp, {rd(f"CASE WHEN ties = 0 AND n = whole AND whole <= 50 THEN list_sum(share[CAST(plus AS BIGINT) + 1:]) WHEN z >= 0 THEN {TAIL} ELSE 1 - ({TAIL}) END")} AS rp
+        FROM scored) GROUP BY ALL""", **SERIES, exped=EXP, **DESO)
+def _(t: Tables):
+    from catalog.exposure_queries import exp
+    rows = rounded(exp(t), "ice_birth")
+    out = series.tests(rows, ["uid", "weekday", "holiday"], "ice_birth", 0.1).drop("normal_p")
+    return rounded(rounded(out, "t_greater", "t_less", "rank_greater", "rank_less"), "mean", digits=11)
+
+
 @query("person_series_class", "E47 K1")
 def _(t: Tables):
     from catalog.exposure_queries import exp
     return compare.ice_group(exp(t), ["uid", "weekday", "holiday"], "ice_birth", 0.0)
 
 
+VISITORS = ["lowest_income", "cum_jobs"]
+
+
+def place_series(t: Tables):
+    from catalog.place_queries import shares
+    sa, sb = shares(t)
+    people = t.persons.select("uid", "wt_p", "q1", "q2", "q3", "q4", "birth_se", "birth_eu", "birth_other", "pop", *VISITORS)
+    return place.place_metrics(t.bins, people, "loc", VISITORS, sa, sb).where("weekday = 1 and holiday = 0")
+
+
 @query("place_series_class", "E48")
 def _(t: Tables):
-    from catalog.place_queries import metrics
-    return compare.ice_group(metrics(t, "loc"), ["loc", "weekday", "holiday"], "ice_birth", 0.0, least=3)
+    out = series.place_classes(place_series(t), "loc", "ice_birth", VISITORS)
+    return rounded(out, "ice_birth", *VISITORS)
+
+
+@query("place_visitor_medians", "E48", f"""SELECT loc, {rd('median(ice_birth)')} AS ice_birth, {', '.join(f'{rd(f"median({a})")} AS {a}' for a in VISITORS)} FROM (SELECT * RENAME (unit AS loc) FROM metrics)
+    {' '.join(f"JOIN (SELECT * RENAME (deso AS loc) FROM {_median_cte(a)}) m{i} USING (weekday, holiday, loc, time_seq)" for i, a in enumerate(VISITORS))}
+    WHERE weekday = 1 AND holiday = 0 AND ice_birth IS NOT NULL GROUP BY 1""", cells=cells_sql("loc"), metrics=METRICS,
+       pb=f"SELECT b.weekday, b.holiday, b.loc AS deso, b.time_seq, b.wt_total, {', '.join(f'p.{a}*1.0e0 AS {a}' for a in VISITORS)} FROM bins b JOIN persons p ON b.uid = p.uid")
+def _(t: Tables):
+    out = series.place_classes(place_series(t), "loc", "ice_birth", VISITORS).drop("grp")
+    return rounded(out, "ice_birth", *VISITORS)
 
 
 @query("flow_similarity", "E49", f"""SELECT {rd('2*sum(least(a, b))/(sum(a)+sum(b))')} AS ssi FROM (SELECT x/sum(x) OVER () AS a, n/sum(n) OVER () AS b FROM (

@@ -2,15 +2,12 @@
 
 from __future__ import annotations
 
-import math
-
 import numpy as np
-import pandas as pd
-from pyspark.sql import Column, DataFrame, functions as F, types as T
+from pyspark.sql import Column, DataFrame, functions as F
 
 from copresence.functions import labels
 from copresence.functions.draws import poisson, poisson_one, uniform
-from copresence.operators import bootstrap, cleaning, ordered, quantiles
+from copresence.operators import bootstrap, cleaning, ordered, quantiles, series
 from copresence.operators.mobility import share_within
 
 
@@ -156,108 +153,9 @@ def wmean_ci(df: DataFrame, by: list[str], x: str, w: str, z: float = 1.95996398
     return m.select(*by, "mean", (F.col("mean") - z * se).alias("lower"), (F.col("mean") + z * se).alias("upper"))
 
 
-def _shapiro_p(x: np.ndarray) -> float:
-    """Normality p-value by the published polynomial approximation (3 <= n <= 5000)."""
-    n, x = len(x), np.sort(x)
-    if x[-1] - x[0] < 1e-12:
-        return 1.0
-    m = np.array([_normal_quantile((i - 0.375) / (n + 0.25)) for i in range(1, n + 1)])
-    ss, u = float(m @ m), 1 / math.sqrt(n)
-    a = np.empty(n)
-    if n == 3:
-        a[:] = [-math.sqrt(0.5), 0.0, math.sqrt(0.5)]
-    else:
-        last = m[-1] / math.sqrt(ss) + np.polyval([-2.706056, 4.434685, -2.071190, -0.147981, 0.221157, 0.0], u)
-        if n <= 5:
-            phi = (ss - 2 * m[-1] ** 2) / (1 - 2 * last**2)
-            a[:] = m / math.sqrt(phi)
-        else:
-            prior = m[-2] / math.sqrt(ss) + np.polyval([-3.582633, 5.682633, -1.752461, -0.293762, 0.042981, 0.0], u)
-            phi = (ss - 2 * m[-1] ** 2 - 2 * m[-2] ** 2) / (1 - 2 * last**2 - 2 * prior**2)
-            a[:] = m / math.sqrt(phi)
-            a[-2], a[1] = prior, -prior
-        a[-1], a[0] = last, -last
-    w = min(1.0, float(a @ x) ** 2 / float(((x - x.mean()) ** 2).sum()))
-    if n == 3:
-        return max(0.0, 6 / math.pi * (math.asin(math.sqrt(w)) - math.asin(math.sqrt(0.75))))
-    y, ln = math.log(max(1 - w, 1e-300)), math.log(n)
-    if n <= 11:
-        gamma = 0.459 * n - 2.273
-        if y >= gamma:
-            return 0.0
-        y = -math.log(gamma - y)
-        mu = np.polyval([-0.0006714, 0.025054, -0.39978, 0.5440], n)
-        sd = math.exp(np.polyval([-0.0020322, 0.062767, -0.77857, 1.3822], n))
-    else:
-        mu = np.polyval([0.0038915, -0.083751, -0.31082, -1.5861], ln)
-        sd = math.exp(np.polyval([0.0030302, -0.082676, -0.4803], ln))
-    return math.erfc((y - mu) / sd / math.sqrt(2)) / 2
-
-
-def _normal_quantile(p: float) -> float:
-    from statistics import NormalDist
-    return NormalDist().inv_cdf(p)
-
-
-def _t_tail(t: float, df: int) -> float:
-    """P(T > t) by Simpson's rule on the density after a tangent substitution."""
-    if math.isinf(t):
-        return 0.0 if t > 0 else 1.0
-    k = math.exp(math.lgamma((df + 1) / 2) - math.lgamma(df / 2)) / math.sqrt(math.pi)
-    theta = np.linspace(math.atan(t / math.sqrt(df)), math.pi / 2, 2001)
-    f = np.cos(theta) ** (df - 1)
-    h = theta[1] - theta[0]
-    return float(k * h / 3 * (f[0] + f[-1] + 4 * f[1:-1:2].sum() + 2 * f[2:-1:2].sum()))
-
-
-def _signed_rank_tail(d: np.ndarray) -> float:
-    """P(T+ at least as large): exact without ties or zeros, at any length; the normal score where ties or zeros leave no exact one."""
-    nz = d[d != 0]
-    n = len(nz)
-    if n == 0:
-        return 1.0
-    mags, inv, cnt = np.unique(np.abs(nz), return_inverse=True, return_counts=True)
-    ranks = (np.cumsum(cnt) - (cnt - 1) / 2)[inv]
-    t_plus = float(ranks[nz > 0].sum())
-    if n == len(d) and len(mags) == n:
-        ways = np.zeros(n * (n + 1) // 2 + 1)
-        ways[0] = 1.0
-        for r in range(1, n + 1):
-            ways[r:] = ways[r:] + ways[:-r].copy()
-            ways /= 2.0
-        return float(ways[int(t_plus):].sum())
-    var = n * (n + 1) * (2 * n + 1) / 24 - float((cnt.astype(float) ** 3 - cnt).sum()) / 48
-    return math.erfc((t_plus - n * (n + 1) / 4) / math.sqrt(var) / math.sqrt(2)) / 2
-
-
-def series_class(values: np.ndarray, threshold: float, least: int) -> str:
-    """D above the threshold, F below its negative, N between, NN for too few values; level .05."""
-    x = np.asarray(values, dtype=float)
-    x = x[~np.isnan(x)]
-    if len(x) < least:
-        return "NN"
-    if _shapiro_p(x) > 0.05:
-        n, sd = len(x), x.std(ddof=1)
-        tail = lambda v: _t_tail(v.mean() / (sd / math.sqrt(n)) if sd > 0 else math.copysign(math.inf, v.mean()), n - 1)
-    else:
-        tail = _signed_rank_tail
-    if tail(x - threshold) < 0.05:
-        return "D"
-    return "F" if tail(-(x + threshold)) < 0.05 else "N"
-
-
 def ice_group(df: DataFrame, by: list[str], x: str, threshold: float = 0.2, least: int = 4, name: str = "grp") -> DataFrame:
-    """Class of each key's series of half-hour values.
-
-    A key has one value per half hour of a day type, so a group is small by construction; the test itself needs
-    the whole series and runs as a grouped-map pandas function.
-    """
-    fields = ", ".join(f"{c} {df.schema[c].dataType.simpleString()}" for c in by)
-
-    def classify(key, pdf: pd.DataFrame) -> pd.DataFrame:
-        return pd.DataFrame([[*key, series_class(pdf[x].to_numpy(), threshold, least)]], columns=[*by, name])
-
-    return df.select(*by, x).groupBy(*by).applyInPandas(classify, f"{fields}, {name} string")
+    """Class of each key's series of half-hour values."""
+    return series.classes(df, by, x, threshold, least, name)
 
 
 def ssi(od: DataFrame, x: str, y: str) -> DataFrame:

@@ -186,31 +186,6 @@ def test_tag_classes_agree_with_tiers(spark):
     assert df.where(low != labels.tag_tier(F.col("a"), F.col("b"))).count() == 0
 
 
-def test_shapiro_published_example():
-    # eleven weights of the original paper on the test: W = 0.79, p < 0.01
-    x = np.array([148, 154, 158, 160, 161, 162, 166, 170, 182, 195, 236], float)
-    assert 0.005 < compare._shapiro_p(x) < 0.01
-    assert compare._shapiro_p(np.array([compare._normal_quantile((i + 0.5) / 40) for i in range(40)])) > 0.99
-
-
-def test_t_and_signed_rank_tables():
-    assert abs(compare._t_tail(2.228, 10) - 0.025) < 2e-5
-    assert abs(compare._t_tail(1.697, 30) - 0.05) < 5e-5
-    assert abs(compare._t_tail(-1.0, 1) - 0.75) < 1e-6
-    # exact upper tail for n = 5: T+ = 15 has probability 1/32
-    assert compare._signed_rank_tail(np.array([1.0, 2, 3, 4, 5])) == 1 / 32
-    assert compare._signed_rank_tail(np.array([-1.0, 2, 3, 4, 5])) == 2 / 32
-
-
-def test_series_class():
-    rng = np.random.default_rng(0)
-    assert compare.series_class(0.5 + 0.05 * rng.standard_normal(30), 0.2, 4) == "D"
-    assert compare.series_class(-0.5 + 0.05 * rng.standard_normal(30), 0.2, 4) == "F"
-    assert compare.series_class(0.05 * rng.standard_normal(30), 0.2, 4) == "N"
-    assert compare.series_class(np.r_[np.full(20, 0.9), np.full(3, 0.1)], 0.2, 4) == "D"
-    assert compare.series_class(np.array([0.5, 0.6, 0.7]), 0.2, 4) == "NN"
-
-
 def test_rank_test_equal_samples(spark):
     rows = [(float(v), g, 1.0) for v in range(20) for g in (0, 1)]
     r = compare.wrank_test(spark.createDataFrame(rows, "x double, g int, w double"), [], "x", "g", "w").first()
