@@ -82,10 +82,28 @@ def _(t: Tables):
     return t.cases.groupBy(c.alias("class"), F.rint(F.log10("x")).cast("int").alias("log_class")).agg(F.count(F.lit(1)).alias("n"))
 
 
-@query("rank_correlation", "E39", f"""SELECT grp, {rd('rho')} AS rho, n, {rd('rho*sqrt((n-2)/(1-rho*rho))')} AS t FROM (SELECT grp, corr(rx, ry) AS rho, count(*) AS n FROM (SELECT grp, rank() OVER a + (count(*) OVER (PARTITION BY grp, x) - 1)/2.0e0 AS rx,
-    rank() OVER b + (count(*) OVER (PARTITION BY grp, disc) - 1)/2.0e0 AS ry FROM cases WINDOW a AS (PARTITION BY grp ORDER BY x), b AS (PARTITION BY grp ORDER BY disc)) GROUP BY 1)""")
+def t_tail_sql(t: str, df: str) -> str:
+    """P(T > t) for t >= 0 by Simpson's rule after a tangent substitution; the upper end lies 60 deviations out."""
+    lo = f"atan({t}/sqrt({df}))"
+    step = f"((least(pi()/2, {lo} + 60/sqrt({df})) - {lo})/4000)"
+    return f"""(exp(lgamma(({df} + 1)/2.0e0) - lgamma({df}/2.0e0))/sqrt(pi())*{step}/3*list_sum(list_transform(range(0, 4001),
+        lambda i: CASE WHEN i = 0 OR i = 4000 THEN 1 WHEN i % 2 = 1 THEN 4 ELSE 2 END*pow(greatest(cos({lo} + i*{step}), 0), {df} - 1))))"""
+
+
+def spearman_sql(by: str, x: str, y: str) -> str:
+    return f"""SELECT *, 2*{t_tail_sql('abs(t)', '(n - 2)')} AS p FROM (SELECT *, rho*sqrt((n - 2)/(1 - rho*rho)) AS t FROM (SELECT {by}, corr(rx, ry) AS rho, count(*) AS n FROM (
+        SELECT {by}, rank() OVER a + (count(*) OVER (PARTITION BY {by}, {x}) - 1)/2.0e0 AS rx, rank() OVER b + (count(*) OVER (PARTITION BY {by}, {y}) - 1)/2.0e0 AS ry
+        FROM cases WINDOW a AS (PARTITION BY {by} ORDER BY {x}), b AS (PARTITION BY {by} ORDER BY {y})) GROUP BY ALL))"""
+
+
+@query("rank_correlation", "E39", f"SELECT grp, {rd('rho')} AS rho, n, {rd('t')} AS t, {rd('p')} AS p FROM sp", sp=spearman_sql("grp", "x", "disc"))
+def _(t: Tables):
+    return rounded(compare.spearman(t.cases, ["grp"], "x", "disc"), "rho", "t", "p")
+
+
+@query("significant_rank_correlations", "E39", f"SELECT grp, zone, g, {rd('rho')} AS rho, n, {rd('p')} AS p FROM sp WHERE p < 0.2", sp=spearman_sql("grp, zone, g", "y", "tax"))
 def _(t: Tables):
-    return rounded(compare.spearman(t.cases, ["grp"], "x", "disc"), "rho", "t")
+    return rounded(compare.spearman(t.cases, ["grp", "zone", "g"], "y", "tax", gate=0.2).drop("t"), "rho", "p")
 
 
 @query("weighted_correlation", "E40", f"""SELECT grp, {rd('sum(w*(x-mx)*(tax-mt))/sqrt(sum(w*pow(x-mx,2))*sum(w*pow(tax-mt,2)))')} AS r FROM cases JOIN

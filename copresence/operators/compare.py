@@ -7,6 +7,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from copresence.functions import labels
 from copresence.functions.draws import poisson, poisson_one, uniform
+from copresence.functions.tails import t_tail
 from copresence.operators import bootstrap, cleaning, ordered, quantiles, series
 from copresence.operators.mobility import share_within
 
@@ -71,13 +72,16 @@ def midranks(df: DataFrame, by: list[str], x: str, name: str) -> DataFrame:
     return df.join(rank, [*by, x])
 
 
-def spearman(df: DataFrame, by: list[str], x: str, y: str) -> DataFrame:
-    """Rank correlation with its t statistic; null where a side does not vary."""
+def spearman(df: DataFrame, by: list[str], x: str, y: str, gate: float | None = None) -> DataFrame:
+    """Rank correlation with its t statistic and two-sided p; null where a side does not vary. With a gate only rows with p below it stay."""
     both = df.where(F.col(x).isNotNull() & F.col(y).isNotNull()).select(*by, x, y)
     ranked = midranks(midranks(both, by, x, "_rx"), by, y, "_ry")
     out = ranked.groupBy(*by).agg(F.try_divide(F.covar_pop("_rx", "_ry"), F.stddev_pop("_rx") * F.stddev_pop("_ry")).alias("rho"), F.count(F.lit(1)).alias("n"))
-    t = F.col("rho") * F.sqrt(F.try_divide(F.col("n") - 2, 1 - F.col("rho") * F.col("rho")))
-    return out.withColumn("t", t)
+    left = 1 - F.col("rho") * F.col("rho")
+    perfect = (F.col("n") > 2) & (left < 1e-15)
+    t = F.when(perfect, F.signum("rho") * float("inf")).otherwise(F.col("rho") * F.sqrt(F.try_divide(F.col("n") - 2, left)))
+    out = out.withColumn("t", t).withColumn("p", 2 * t_tail(F.abs("t"), F.col("n") - 2))
+    return out if gate is None else out.where(F.col("p") < gate)
 
 
 def signed_rank(df: DataFrame, by: list[str], x: str, copies: str, cuts: list[float] | None = None) -> DataFrame:

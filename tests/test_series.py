@@ -106,3 +106,14 @@ def test_place_classes(spark):
 
 def test_exact_tails():
     assert series.signed_rank_tails(5)[15] == 1 / 32 and series.signed_rank_tails(5)[14] == 2 / 32 and abs(series.signed_rank_tails(48)[0] - 1) < 1e-12
+
+
+def test_rank_correlation_gate(spark):
+    from copresence.operators import compare
+    rows = [("up", i, i * i) for i in range(1, 9)] + [("none", i, (i * 5) % 7) for i in range(1, 8)] + [("flat", i, 1) for i in range(5)] + [("two", 1, 2), ("two", 2, 1)]
+    df = spark.createDataFrame(rows, "g string, x int, y int")
+    got = {r.g: r for r in compare.spearman(df, ["g"], "x", "y").collect()}
+    assert got["up"].rho == pytest.approx(1) and got["up"].p == 0.0 and got["flat"].rho is None and got["two"].p is None
+    t = got["none"].rho * math.sqrt(5 / (1 - got["none"].rho ** 2))
+    assert got["none"].p == pytest.approx(2 * t_tail(abs(t), 5), rel=1e-6)
+    assert {r.g for r in compare.spearman(df, ["g"], "x", "y", gate=0.05).collect()} == {"up"}
