@@ -1,7 +1,9 @@
-"""Byte-level BPE encoding as a reduction over a tree of text pieces, and decoding up the tree.
+"""Byte-level BPE encoding as a reduction over trees, and decoding up the tree.
 
-The pattern cuts a text into matches, and each match is encoded by itself. A text is encoded by halves: a leaf is matched as if
-it were a whole text, two neighbours are joined by matching a window around their border again. The join relies on two facts:
+The pattern cuts a text into matches, and each match is encoded by itself. Both steps go by halves.
+
+Matches. A leaf of a text is matched as if it were a whole text, two neighbours are joined by matching a window around their border
+again. The join relies on two facts:
 
 * A match is settled once the text reaches `LOOK` characters past its end: no alternative of the pattern looks further
   ahead than a contraction's two letters, or a run of blanks and one character.
@@ -9,7 +11,15 @@ it were a whole text, two neighbours are joined by matching a window around thei
   both go on alike.
 
 So the settled matches of the left piece stay, matching starts again behind them, and the window grows until one of its settled
-matches ends where a match of the right piece starts. The operation is associative; an empty piece is its neutral element.
+matches ends where a match of the right piece starts.
+
+Tokens. A leaf of a match is a few bytes, merged by rank. Two neighbours are joined by encoding a window again, the last tokens of the left and the first
+of the right, and the window grows on a side until its outermost token there is the one that stood there before. Then all tokens outside are
+final: token sequences are encodings exactly if each two neighbours are the encoding of their bytes, because merges inside a token do not
+depend on what stands around it until a merge crosses its border, and the first merge to cross a border is one that
+the two tokens beside it would make alone. Outside the window no two neighbours have changed, inside all were encoded together.
+
+Both operations are associative; an empty piece is their neutral element.
 """
 
 from __future__ import annotations
@@ -17,6 +27,7 @@ from __future__ import annotations
 import base64
 import functools
 import hashlib
+import heapq
 import re
 import unicodedata
 from collections.abc import Iterator
@@ -24,12 +35,15 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import regex
-import tiktoken
 from pyspark.sql import DataFrame, functions as F
 
 LOOK = 3
-LEAF = 2048
+#: Characters of a leaf of a text, bytes of a leaf of a match.
+LEAF = 256
+BYTES = 8
 _WINDOW = 64
+#: Up to so many bytes the next merge is looked for in all pairs, beyond in a heap.
+_FEW = 64
 #: Matches remembered by each Python worker.
 _REMEMBERED = 300_000
 #: Rows put out at once.
@@ -54,16 +68,15 @@ def latin(pattern: str) -> str:
 
 
 class Vocabulary:
-    """Ranks, and the ids of single matches as encoded by the tiktoken library."""
+    """Ranks, and the ids of single matches."""
 
     def __init__(self, path: str, pattern: str):
         with open(path, "rb") as lines:
-            ranks = {base64.b64decode(a): int(b) for a, b in (line.split() for line in lines if line.strip())}
+            self.ranks = {base64.b64decode(a): int(b) for a, b in (line.split() for line in lines if line.strip())}
         self._any = regex.compile(pattern).findall
         self._latin = re.compile(latin(pattern)).findall
-        self.names = [str(i) for i in range(max(ranks.values(), default=0) + 1)]
-        self.bytes_of = {i: b for b, i in ranks.items()}
-        self._encode = tiktoken.Encoding("ranks", pat_str=pattern, mergeable_ranks=ranks, special_tokens={})
+        self.names = [str(i) for i in range(max(self.ranks.values(), default=0) + 1)]
+        self.bytes_of = {i: b for b, i in self.ranks.items()}
         self._known: dict[str, tuple[int, ...]] = {}
 
     def matches(self, text: str) -> list[str]:
@@ -74,9 +87,12 @@ class Vocabulary:
         return self._latin(text)
 
     def ids(self, match: str) -> tuple[int, ...]:
+        """A match that is a token as a whole is that token, whether or not merges lead to it; others are reduced by halves."""
         known = self._known.get(match)
         if known is None:
-            known = tuple(self._encode.encode_ordinary(match))
+            data = match.encode()
+            whole = self.ranks.get(data)
+            known = (whole,) if whole is not None else tuple([self.ranks[t] for t in tree_tokens(self.ranks, data)])
             if len(match) <= 32:
                 if len(self._known) >= _REMEMBERED:
                     self._known.clear()
@@ -84,6 +100,70 @@ class Vocabulary:
         return known
 
 
+def merged(ranks: dict[bytes, int], data: bytes) -> list[bytes]:
+    """The tokens of some bytes: of all neighbours that make a token the ones of least rank merge first, ties from the left."""
+    parts = [data[i:i + 1] for i in range(len(data))]
+    if len(parts) > _FEW:
+        return _merged_by_heap(ranks, parts)
+    rank = ranks.get
+    pairs = [rank(a + b) for a, b in zip(parts, parts[1:])]
+    while True:
+        low = min((r for r in pairs if r is not None), default=None)
+        if low is None:
+            return parts
+        at = pairs.index(low)
+        parts[at:at + 2] = [parts[at] + parts[at + 1]]
+        del pairs[at]
+        if at:
+            pairs[at - 1] = rank(parts[at - 1] + parts[at])
+        if at < len(pairs):
+            pairs[at] = rank(parts[at] + parts[at + 1])
+
+
+def _merged_by_heap(ranks: dict[bytes, int], parts: list[bytes]) -> list[bytes]:
+    n = len(parts)
+    after, before = list(range(1, n + 1)), list(range(-1, n - 1))
+    heap = [(r, i, 2) for i in range(n - 1) if (r := ranks.get(parts[i] + parts[i + 1])) is not None]
+    heapq.heapify(heap)
+    while heap:
+        _, i, size = heapq.heappop(heap)
+        j = after[i] if parts[i] else n
+        if j >= n or len(parts[i]) + len(parts[j]) != size:
+            continue  # one of the two has merged meanwhile
+        parts[i] += parts[j]
+        parts[j] = b""
+        k = after[i] = after[j]
+        if k < n:
+            before[k] = i
+        for a, b in ((before[i], i), (i, k)):
+            if a >= 0 and b < n and (r := ranks.get(parts[a] + parts[b])) is not None:
+                heapq.heappush(heap, (r, a, len(parts[a]) + len(parts[b])))
+    return [p for p in parts if p]
+
+
+def join_tokens(ranks: dict[bytes, int], left: list[bytes], right: list[bytes]) -> list[bytes]:
+    """The tokens of two neighbouring pieces as one, from the tokens of each."""
+    if not left or not right:
+        return left or right
+    i = j = 1
+    while True:
+        i, j = min(i, len(left)), min(j, len(right))
+        window = merged(ranks, b"".join(left[len(left) - i:]) + b"".join(right[:j]))
+        left_done = i == len(left) or window[0] == left[-i]
+        right_done = j == len(right) or window[-1] == right[j - 1]
+        if left_done and right_done:
+            return left[:len(left) - i] + window + right[j:]
+        i, j = i if left_done else 2 * i, j if right_done else 2 * j
+
+
+def tree_tokens(ranks: dict[bytes, int], data: bytes, leaf: int = BYTES) -> list[bytes]:
+    """The tokens of some bytes, by halves."""
+    if len(data) <= max(leaf, 1):
+        return merged(ranks, data)
+    middle = len(data) // 2
+    return join_tokens(ranks, tree_tokens(ranks, data[:middle], leaf), tree_tokens(ranks, data[middle:], leaf))
+
+
 @functools.lru_cache(maxsize=2)
 def vocabulary(path: str, pattern: str) -> Vocabulary:
     return Vocabulary(path, pattern)

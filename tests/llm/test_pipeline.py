@@ -6,7 +6,7 @@ import public_tokenizers
 import pytest
 from odd_rows import ODD
 from test_dedup import exact_brute, groups_brute
-from test_text import mix_brute
+from test_text import mix_brute, tiktoken_of
 
 import corpus_pipeline
 from copresence.llm import common, language_id, queries, tree_bpe
@@ -64,7 +64,7 @@ def test_mix(kept):
 
 
 def test_encode(kept):
-    library = tree_bpe.vocabulary(public_tokenizers.path(queries.BYTE_RANKS), public_tokenizers.PATTERN)._encode
+    library = tiktoken_of(tree_bpe.vocabulary(public_tokenizers.path(queries.BYTE_RANKS), public_tokenizers.PATTERN))
     want = {}
     for r in kept[4].collect():
         ids = library.encode_ordinary(r["text"])

@@ -60,9 +60,62 @@ def test_long_run_across_the_border(words):
         assert tree_bpe.tree_matches(words.matches, text, 16) == words._any(text)
 
 
+def tiktoken_of(words):
+    import tiktoken
+    return tiktoken.Encoding("ranks", pat_str=public_tokenizers.PATTERN, mergeable_ranks=words.ranks, special_tokens={})
+
+
+def byte_runs(seed, n):
+    """Letters, syllables, blanks, emoji and noise without a break: matches of every length."""
+    rng = random.Random(seed)
+    sets = ["a", "ab", "abcdefghijklmnopqrstuvwxyz", "eéèàüß", "漢字", "😀🏽", "0123456789", "the and ing tion er", " "]
+    return ["".join(rng.choices(rng.choice(sets), k=rng.randint(1, 90))) for _ in range(n)]
+
+
+@pytest.mark.parametrize("leaf", [1, 3, 8])
+def test_tokens_of_matches(words, leaf):
+    """Every match, token reduction by halves beside the library, whole-match tokens aside."""
+    library = tiktoken_of(words)
+    for text in byte_runs(leaf, 700):
+        data = text.encode()
+        tokens = tree_bpe.tree_tokens(words.ranks, data, leaf)
+        assert b"".join(tokens) == data and tokens == tree_bpe.merged(words.ranks, data)
+    for text in byte_runs(leaf + 50, 700):
+        assert [i for m in words._any(text) for i in words.ids(m)] == library.encode_ordinary(text)
+
+
+def test_joins_are_associative(words):
+    rng = random.Random(4)
+    ranks = words.ranks
+    for text in byte_runs(9, 150):
+        data = text.encode()
+        cuts = sorted(rng.sample(range(len(data) + 1), min(4, len(data) + 1)))
+        pieces = [tree_bpe.merged(ranks, data[a:b]) for a, b in zip([0, *cuts], [*cuts, len(data)])]
+        while len(pieces) > 1:
+            i = rng.randrange(len(pieces) - 1)
+            pieces[i:i + 2] = [tree_bpe.join_tokens(ranks, pieces[i], pieces[i + 1])]
+        assert pieces[0] == tree_bpe.merged(ranks, data)
+
+
+def test_heap_and_scan_agree(words):
+    for text in byte_runs(21, 300):
+        data = text.encode()
+        assert tree_bpe._merged_by_heap(words.ranks, [data[i:i + 1] for i in range(len(data))]) == tree_bpe.merged(words.ranks, data[:64]) or len(data) > 64
+    for text in byte_runs(22, 60):
+        data = (text * 3).encode()[:64]
+        assert tree_bpe._merged_by_heap(words.ranks, [data[i:i + 1] for i in range(len(data))]) == tree_bpe.merged(words.ranks, data)
+
+
+@pytest.mark.parametrize("text", ["a" * 100_000, "".join(random.Random(1).choices("abcdefghij", k=100_000)), "ab" * 50_000, "antidisestablishmentarianism" * 3600],
+                         ids=["one letter", "random", "pairs", "one word"])
+def test_runs_of_letters(words, text):
+    """A match of 100,000 letters goes through all levels of the tree."""
+    assert list(words.ids(text)) == tiktoken_of(words).encode_ordinary(text)
+
+
 def test_encoded_equals_library(odd, table, documents, words):
     ranks, pattern = public_tokenizers.path(queries.BYTE_RANKS), public_tokenizers.PATTERN
-    library = words._encode
+    library = tiktoken_of(words)
 
     def row(doc_id, text):
         ids = library.encode_ordinary(text or "")
