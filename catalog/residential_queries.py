@@ -81,13 +81,13 @@ def _(t: Tables):
 
 
 @query("folded_cells", "E70", f"""SELECT id AS cell, CAST(max(size) AS INTEGER) AS size, CAST(sum(pop) AS BIGINT) AS pop, CAST(sum(rich) AS BIGINT) AS rich,
-    {rd('sum(pop*inc)/sum(pop)')} AS inc FROM (SELECT *, CASE WHEN size = 1000 THEN concat('L', cell) WHEN cell//16 < 3 THEN concat('L', cell//16) ELSE concat('S', cell) END AS id
-    FROM cells WHERE NOT (size = 1000 AND cell = 3)) GROUP BY 1""", cells=CELLS)
+    {rd('sum(pop*inc)/sum(pop)')} AS inc FROM (SELECT *, CASE WHEN size = 1000 THEN concat('L', cell) WHEN cell//8 < 4 THEN concat('L', cell//8) ELSE concat('S', cell) END AS id
+    FROM cells) GROUP BY 1""", cells=CELLS)
 def _(t: Tables):
     big = F.col("size") == 1000
-    c = cells(t).where(~(big & (F.col("cell") == 3)))
-    host = F.concat(F.lit("L"), F.when(big, F.col("cell")).otherwise(F.floor(F.col("cell") / 16)))
-    c = c.withColumn("host", host).withColumn("cell", F.when(big, F.col("host")).otherwise(F.concat(F.lit("S"), F.col("cell"))))
+    # small cells of 4 to 7 have no large one
+    host = F.concat(F.lit("L"), F.when(big, F.col("cell")).otherwise(F.floor(F.col("cell") / 8)))
+    c = cells(t).withColumn("host", host).withColumn("cell", F.when(big, F.col("host")).otherwise(F.concat(F.lit("S"), F.col("cell"))))
     return rounded(grids.fold_cells(c, "cell", "size", "host", ["pop", "rich"], 1000, "inc", "pop"), "inc")
 
 

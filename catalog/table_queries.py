@@ -105,12 +105,12 @@ def _(t: Tables):
     return out.select("sid", F.col("deso").alias("home_deso"), "pop", "cum_jobs")
 
 
-@query("outer_merged_measures", "D3 D4", """SELECT deso, coalesce(a.n, 0) AS suppliers, coalesce(b.n, 0) AS rich FROM (SELECT s_nationkey AS deso, count(*) AS n FROM supplier GROUP BY 1) a
-    FULL JOIN (SELECT c_nationkey AS deso, count(*) AS n FROM customer WHERE c_acctbal > 9900 GROUP BY 1) b USING (deso)""")
+@query("outer_merged_measures", "D3 D4", """SELECT cell, coalesce(a.n, 0) AS suppliers, coalesce(b.n, 0) AS customers FROM (SELECT 10 + s_suppkey % 40 AS cell, count(*) AS n FROM supplier GROUP BY 1) a
+    FULL JOIN (SELECT c_custkey % 40 AS cell, count(*) AS n FROM customer GROUP BY 1) b USING (cell)""")
 def _(t: Tables):
-    a = t.read("supplier").groupBy(F.col("s_nationkey").alias("deso")).agg(F.count(F.lit(1)).alias("suppliers"))
-    b = t.read("customer").where("c_acctbal > 9900").groupBy(F.col("c_nationkey").alias("deso")).agg(F.count(F.lit(1)).alias("rich"))
-    return features.align([a, b], "deso").fillna(0)
+    a = t.read("supplier").groupBy((10 + F.col("s_suppkey") % 40).alias("cell")).agg(F.count(F.lit(1)).alias("suppliers"))
+    b = t.read("customer").groupBy((F.col("c_custkey") % 40).alias("cell")).agg(F.count(F.lit(1)).alias("customers"))
+    return features.align([a, b], "cell").fillna(0)
 
 
 @query("backfilled_balance", "D14", f"SELECT c_custkey, {rd('coalesce(CASE WHEN c_acctbal > 0 THEN c_acctbal END, m)')} AS bal FROM customer LEFT JOIN (SELECT s_nationkey, avg(s_acctbal) AS m FROM supplier GROUP BY 1) ON s_nationkey = c_nationkey")
@@ -176,9 +176,9 @@ def _(t: Tables):
     return residential.stack({"phone": phone, "survey": trips}, "activity")
 
 
-@query("inner_joined_homes", "D1", "SELECT s.sid, h.deso AS home FROM stops s JOIN homes h USING (uid) WHERE h.n_stops > 60")
+@query("inner_joined_homes", "D1", "SELECT s.sid, h.deso AS home FROM stops s JOIN homes h USING (uid)")
 def _(t: Tables):
-    return t.stops.select("sid", "uid").join(t.homes.where("n_stops > 60").select("uid", F.col("deso").alias("home")), "uid").select("sid", "home")
+    return t.stops.select("sid", "uid").join(t.homes.select("uid", F.col("deso").alias("home")), "uid").select("sid", "home")
 
 
 @query("semi_and_anti", "D5 D6", "SELECT sid, uid IN (SELECT uid FROM homes WHERE n_stops > 70) AS frequent FROM stops")
