@@ -39,11 +39,15 @@ from pyspark.sql import DataFrame, functions as F
 
 LOOK = 3
 #: Characters of a leaf of a text, bytes of a leaf of a match.
-LEAF = 256
+LEAF = 512
 BYTES = 8
 _WINDOW = 64
 #: Up to so many bytes the next merge is looked for in all pairs, beyond in a heap.
 _FEW = 64
+#: Bytes of a piece whose tokens are remembered.
+_SHORT = 16
+#: No token.
+_NONE = 1 << 62
 #: Matches remembered by each Python worker.
 _REMEMBERED = 300_000
 #: Rows put out at once.
@@ -72,7 +76,7 @@ class Vocabulary:
 
     def __init__(self, path: str, pattern: str):
         with open(path, "rb") as lines:
-            self.ranks = {base64.b64decode(a): int(b) for a, b in (line.split() for line in lines if line.strip())}
+            self.ranks = Ranks((base64.b64decode(a), int(b)) for a, b in (line.split() for line in lines if line.strip()))
         self._any = regex.compile(pattern).findall
         self._latin = re.compile(latin(pattern)).findall
         self.names = [str(i) for i in range(max(self.ranks.values(), default=0) + 1)]
@@ -100,24 +104,42 @@ class Vocabulary:
         return known
 
 
+class Ranks(dict):
+    """Ranks of tokens, and the tokens of short pieces met before: the same syllables stand in many words."""
+
+    def __init__(self, *args):
+        super().__init__(*args)
+        self.pieces: dict[bytes, list[bytes]] = {}
+
+    def tokens(self, data: bytes) -> list[bytes]:
+        """`merged`, remembered for short pieces; the list is not to be changed."""
+        found = self.pieces.get(data)
+        if found is None:
+            found = merged(self, data)
+            if len(data) <= _SHORT:
+                if len(self.pieces) >= _REMEMBERED:
+                    self.pieces.clear()
+                self.pieces[data] = found
+        return found
+
+
 def merged(ranks: dict[bytes, int], data: bytes) -> list[bytes]:
     """The tokens of some bytes: of all neighbours that make a token the ones of least rank merge first, ties from the left."""
     parts = [data[i:i + 1] for i in range(len(data))]
     if len(parts) > _FEW:
         return _merged_by_heap(ranks, parts)
     rank = ranks.get
-    pairs = [rank(a + b) for a, b in zip(parts, parts[1:])]
-    while True:
-        low = min((r for r in pairs if r is not None), default=None)
-        if low is None:
-            return parts
+    pairs = [rank(a + b, _NONE) for a, b in zip(parts, parts[1:])]
+    while pairs and (low := min(pairs)) != _NONE:
         at = pairs.index(low)
-        parts[at:at + 2] = [parts[at] + parts[at + 1]]
+        whole = parts[at] + parts.pop(at + 1)
+        parts[at] = whole
         del pairs[at]
         if at:
-            pairs[at - 1] = rank(parts[at - 1] + parts[at])
+            pairs[at - 1] = rank(parts[at - 1] + whole, _NONE)
         if at < len(pairs):
-            pairs[at] = rank(parts[at] + parts[at + 1])
+            pairs[at] = rank(whole + parts[at + 1], _NONE)
+    return parts
 
 
 def _merged_by_heap(ranks: dict[bytes, int], parts: list[bytes]) -> list[bytes]:
@@ -141,25 +163,24 @@ def _merged_by_heap(ranks: dict[bytes, int], parts: list[bytes]) -> list[bytes]:
     return [p for p in parts if p]
 
 
-def join_tokens(ranks: dict[bytes, int], left: list[bytes], right: list[bytes]) -> list[bytes]:
+def join_tokens(ranks: Ranks, left: list[bytes], right: list[bytes]) -> list[bytes]:
     """The tokens of two neighbouring pieces as one, from the tokens of each."""
     if not left or not right:
         return left or right
-    i = j = 1
+    n, i, j = len(left), 1, 1
     while True:
-        i, j = min(i, len(left)), min(j, len(right))
-        window = merged(ranks, b"".join(left[len(left) - i:]) + b"".join(right[:j]))
-        left_done = i == len(left) or window[0] == left[-i]
+        window = ranks.tokens(left[-1] + right[0] if i == j == 1 else b"".join(left[n - i:] + right[:j]))
+        left_done = i == n or window[0] == left[n - i]
         right_done = j == len(right) or window[-1] == right[j - 1]
         if left_done and right_done:
-            return left[:len(left) - i] + window + right[j:]
-        i, j = i if left_done else 2 * i, j if right_done else 2 * j
+            return left[:n - i] + window + right[j:]
+        i, j = i if left_done else min(2 * i, n), j if right_done else min(2 * j, len(right))
 
 
-def tree_tokens(ranks: dict[bytes, int], data: bytes, leaf: int = BYTES) -> list[bytes]:
+def tree_tokens(ranks: Ranks, data: bytes, leaf: int = BYTES) -> list[bytes]:
     """The tokens of some bytes, by halves."""
     if len(data) <= max(leaf, 1):
-        return merged(ranks, data)
+        return ranks.tokens(data)
     middle = len(data) // 2
     return join_tokens(ranks, tree_tokens(ranks, data[:middle], leaf), tree_tokens(ranks, data[middle:], leaf))
 
