@@ -4,7 +4,7 @@ from pyspark.sql import functions as F
 
 from catalog.exposure_queries import DESO, EXP
 from catalog.fixtures import Tables, rd, rounded
-from catalog.null_queries import REPLICATES, stop_pois, upois
+from catalog.null_queries import NULLS, REPLICATES, UNDER, arithmetic, unit_visits, upois
 from catalog.place_queries import home_counts, shares
 from catalog.registry import query
 from catalog.stay_queries import BOX, PICKED, PING_ORDER, SCORES, STAY_CTES, STAY_STEPS
@@ -42,9 +42,8 @@ def _(t: Tables):
     return rounded(flows.segregation_from_visits(visits, home_counts(t), "deso", sa, sb)[2], "ice_e", "evenness_e")
 
 
-@query("exposure_under_null", "N1 N2 N4 N6 E30 E31")
+@query("exposure_under_null", "N1 N2 N4 N6 E30 E31", f"SELECT uid, weekday, holiday, {rd('avg(v)')} AS ice_birth FROM (SELECT uid, weekday, holiday, time_seq, avg(ice) AS v FROM under1 GROUP BY 1, 2, 3, 4) GROUP BY 1, 2, 3",
+       **NULLS, **UNDER)
 def _(t: Tables):
-    sa, sb = shares(t)
-    visits = flows.visits_from_stays(t.stops, t.weights).drop("x", "y").join(stop_pois(t).select("sid", "x", "y", "tag", "unit", "home"), "sid")
-    metrics = flows.segregation_from_visits(visits, home_counts(t), "unit", sa, sb)[0]
-    return rounded(flows.null_from_visits(visits, upois(t), metrics, "unit", ["sid"], REPLICATES, 11)[2], "ice_birth")
+    visits, metrics = unit_visits(t)
+    return rounded(flows.null_from_visits(visits, upois(t), metrics, "unit", ["sid"], REPLICATES, arithmetic)[2], "ice_birth")

@@ -4,11 +4,13 @@ from pyspark.sql import functions as F
 
 from catalog.compare_queries import stats_sql
 from catalog.fixtures import Tables, r6, rd, rd3, rounded
-from catalog.place_queries import SHARES, ice_sql, shares
+from catalog.place_queries import METRICS, SHARES, cells_sql, ice_sql, shares
 from catalog.registry import query
 from catalog.table_queries import PT
 from copresence.functions import labels
-from copresence.operators import compare, experienced, nullmodel, place
+from copresence.functions.time_bins import explode_bins
+from copresence.operators import compare, experienced, nullmodel, place, quantiles
+from copresence.session import cut
 
 PRIME = 10007
 DRAWS, REPLICATES = 100, 50  # of destinations per stop; evaluated for exposure
@@ -174,10 +176,13 @@ def _(t: Tables):
     return free_pool(t).select("uid", "tag", "tier", "unit", "places")
 
 
-@query("distance_free_draws", "N5", f"""SELECT uid, tag, unit_s, count(*) AS n FROM (SELECT p.uid, p.tag, sim, min(c.unit) FILTER (c.upto >= least(floor(u*c.size) + 1, c.size)) AS unit_s FROM (
+FREEDRAWN = f"""SELECT p.uid, p.tag, sim, min(c.unit) FILTER (c.upto >= least(floor(u*c.size) + 1, c.size)) AS unit_s FROM (
         SELECT *, {arith_sql('uid', 'tno', 'sim')} AS u FROM (SELECT *, unnest(range(1, {DRAWS + 1})) AS sim FROM (SELECT DISTINCT uid, tag, CAST(ascii(tag) AS BIGINT) AS tno FROM mov))) p
     LEFT JOIN (SELECT *, sum(places) OVER (PARTITION BY uid, tag ORDER BY unit) AS upto, sum(places) OVER (PARTITION BY uid, tag) AS size FROM freepool) c ON c.uid = p.uid AND c.tag = p.tag
-    GROUP BY 1, 2, 3) GROUP BY 1, 2, 3""", **NULLS, **FREE, freepool=FREE_POOL)
+    GROUP BY 1, 2, 3"""
+
+
+@query("distance_free_draws", "N5", f"SELECT uid, tag, unit_s, count(*) AS n FROM ({FREEDRAWN}) GROUP BY 1, 2, 3", **NULLS, **FREE, freepool=FREE_POOL)
 def _(t: Tables):
     people = moving(t).select("uid", "tag", F.ascii("tag").cast("long").alias("tno")).distinct()
     return nullmodel.draw(people, free_pool(t), ["uid", "tag"], "unit", ["uid", "tno"], DRAWS, arithmetic).groupBy("uid", "tag", "unit_s").agg(F.count(F.lit(1)).alias("n"))
@@ -211,6 +216,44 @@ def _(t: Tables):
 
 MERGED = f"""SELECT sid, CAST(sim AS INTEGER) AS sim, coalesce(unit_s, unit) AS unit FROM drawn WHERE sim <= {REPLICATES}
     UNION ALL SELECT sid, CAST(unnest(range(1, {REPLICATES + 1})) AS INTEGER), unit FROM stoppoi WHERE NOT (home = 0 AND tag IS NOT NULL)"""
+UBINS = "SELECT b.*, s.unit FROM bins b JOIN stoppoi s ON s.sid = b.sid"
+MERGED2 = f"""SELECT m.sid, CAST(sim AS INTEGER) AS sim, coalesce(unit_s, unit) AS unit FROM mov m JOIN freedrawn f ON f.uid = m.uid AND f.tag = m.tag WHERE sim <= {REPLICATES}
+    UNION ALL SELECT sid, CAST(unnest(range(1, {REPLICATES + 1})) AS INTEGER), unit FROM stoppoi WHERE NOT (home = 0 AND tag IS NOT NULL)"""
+
+
+def _met(merged: str, more: str = "", where: str = "") -> str:
+    return f"""SELECT b.uid, b.weekday, b.holiday, b.time_seq, d.sim{more}, median(m.ice_birth) AS ice FROM bins b JOIN {merged} d ON d.sid = b.sid
+        JOIN umetrics m ON m.unit = d.unit AND m.time_seq = b.time_seq AND m.weekday = b.weekday AND m.holiday = b.holiday {where} GROUP BY ALL"""
+
+
+#: Observed metrics of the units, both null models, and what people experience in each replicate.
+UNDER = dict(ubins=UBINS, ucells=cells_sql("unit").replace("FROM bins b", "FROM ubins b"), umetrics=METRICS.replace("FROM cells", "FROM ucells"),
+             **FREE, freepool=FREE_POOL, freedrawn=FREEDRAWN, merged=MERGED, merged2=MERGED2, under1=_met("merged"), under2=_met("merged2"))
+
+
+def unit_visits(t: Tables):
+    """Visits at units with their half hours as spans, and the observed metrics of the units."""
+    from copresence.plans import flows
+    from catalog.place_queries import home_counts
+    sa, sb = shares(t)
+    visits = flows.visits_from_stays(t.stops, t.weights).drop("x", "y").join(stop_pois(t).select("sid", "x", "y", "tag", "unit", "home"), "sid")
+    return visits, place.zone_indices(explode_bins(visits), home_counts(t), "unit", sa, sb)
+
+
+def free_replicates(t: Tables, visits, n: int = REPLICATES):
+    """The visits in every replicate of the distance-free model: a person's visits with one tag move to the unit drawn for it."""
+    people = moving(t).select("uid", "tag", F.ascii("tag").cast("long").alias("tno")).distinct()
+    d = nullmodel.draw(people, free_pool(t), ["uid", "tag"], "unit", ["uid", "tno"], n, arithmetic).select("uid", "tag", "sim", "unit_s")
+    kept = visits.where(~((F.col("home") == 0) & F.col("tag").isNotNull()))
+    return nullmodel.merge_moved(kept, nullmodel.movable(visits).join(d, ["uid", "tag"]), "unit", n)
+
+
+def near_replicates(t: Tables, visits, n: int = REPLICATES):
+    """The visits in every replicate of the model that keeps places near."""
+    found = nullmodel.movable(visits)
+    d = nullmodel.draw(found, nullmodel.candidate_pool(found, upois(t), "unit"), ["x", "y", "tag"], "unit", ["sid"], n, arithmetic)
+    kept = visits.where(~((F.col("home") == 0) & F.col("tag").isNotNull()))
+    return nullmodel.merge_moved(kept, d, "unit", n)
 
 
 def sim_bins(t: Tables):
@@ -221,17 +264,34 @@ def sim_bins(t: Tables):
     return t.bins.select("sid", "uid", "weekday", "holiday", "time_seq", "wt_total").join(d, "sid")
 
 
-@query("experienced_under_null", "E30 E31", f"""SELECT uid, weekday, holiday, {rd('avg(v)')} AS ice_birth FROM (SELECT uid, weekday, holiday, time_seq, avg(ice) AS v FROM (
-    SELECT b.uid, b.weekday, b.holiday, b.time_seq, d.sim, median(m.v) AS ice FROM bins b JOIN merged d ON d.sid = b.sid JOIN unitval m ON m.unit = d.unit AND m.time_seq = b.time_seq
-    GROUP BY 1, 2, 3, 4, 5) GROUP BY 1, 2, 3, 4) GROUP BY 1, 2, 3""", **NULLS, merged=MERGED,
-       unitval="SELECT unit, CAST(s AS INTEGER) AS time_seq, ((unit*37 + s*11) % 200 - 100)/97.0e0 AS v FROM (SELECT DISTINCT unit FROM upois), (SELECT unnest(range(1, 49)) AS s)")
+@query("experienced_under_null", "E30 E31", f"""SELECT uid, weekday, holiday, {rd('avg(v)')} AS ice_birth FROM (SELECT uid, weekday, holiday, time_seq, avg(ice) AS v FROM under2 GROUP BY 1, 2, 3, 4)
+    GROUP BY 1, 2, 3""", **NULLS, **UNDER)
 def _(t: Tables):
-    units = upois(t).select("unit").distinct().withColumn("time_seq", F.explode(F.sequence(F.lit(1), F.lit(48))))
-    value = (F.pmod(F.col("unit") * 37 + F.col("time_seq") * 11, F.lit(200)) - 100) / 97
-    day = F.explode(F.array(*[F.struct(F.lit(w).alias("weekday"), F.lit(h).alias("holiday")) for w in (0, 1) for h in (0, 1)]))
-    metric = units.withColumns({"ice_birth": value, "evenness_income": value, "num_unique_uid": F.lit(1)}).withColumn("d", day).select("*", "d.*").drop("d")
-    per_sim = experienced.experienced(sim_bins(t), metric, "unit", ["sim"])
-    return rounded(experienced.sim_mean(per_sim), "ice_birth")
+    visits, metrics = (cut(x) for x in unit_visits(t))
+    return rounded(experienced.sim_mean(experienced.experienced_spans(free_replicates(t, visits), metrics, "unit", ["sim"])), "ice_birth")
+
+
+BY_TYPE = dict(
+    typed1=_met("merged", ", s.poi_type", "JOIN typed s ON s.sid = b.sid WHERE b.weekday = 1 AND b.holiday = 0"),
+    typed2=_met("merged2", ", s.poi_type", "JOIN typed s ON s.sid = b.sid WHERE b.weekday = 1 AND b.holiday = 0"),
+    typed=f"SELECT s.sid, {PT} AS poi_type FROM mov s",
+    typemet="SELECT model, sim, poi_type, grp_r, ice, 1 + t.uid % 5 AS w5 FROM (SELECT 'near' AS model, * FROM typed1 UNION ALL SELECT 'free', * FROM typed2) t JOIN groups g ON g.uid = t.uid")
+
+
+@query("type_stats_under_null", "E75", stats_sql("typemet", "model, sim, poi_type, grp_r", "ice", "w5"), **NULLS, **UNDER, **BY_TYPE)
+def _(t: Tables):
+    from copresence.functions.poi_types import POI_TYPES
+    from copresence.operators import cleaning
+    visits, metrics = (cut(x.where("weekday = 1 and holiday = 0")) for x in unit_visits(t))
+    met = None
+    for model, replicates in (("near", near_replicates(t, visits)), ("free", free_replicates(t, visits))):
+        typed = cleaning.map_values(replicates.where((F.col("home") == 0) & F.col("tag").isNotNull()), "tag", POI_TYPES, "poi_type")
+        one = experienced.experienced_spans(typed, metrics, "unit", ["sim", "poi_type"]).withColumn("model", F.lit(model))
+        met = one if met is None else met.unionByName(one)
+    # whole weights, so that both sides agree where a running weight meets a quantile exactly
+    people = t.groups.select("uid", "grp_r", (1 + F.col("uid") % 5).alias("w5"))
+    rows = cut(met.join(people, "uid").select("model", "sim", "poi_type", "grp_r", "ice_birth", "w5"))
+    return rounded(quantiles.group_stats(rows, ["model", "sim", "poi_type", "grp_r"], "ice_birth", "w5"), "q25", "q50", "q75", "avg")
 
 
 @query("replicate_links", "E59 E60 E61", f"""SELECT l.uid, CAST(l.sim AS INTEGER) AS sim, {rd3('sum(l.w*m.f)')} AS f, {rd3('sum(l.w*m.d)')} AS d, {rd3('sum(l.w*m.n)')} AS n FROM simlinks l JOIN (
@@ -244,14 +304,30 @@ def _(t: Tables):
     return rounded(experienced.person_contact(links, mix, ["unit", "time_seq", "sim"], True, ["sim"]), "f", "d", "n", digits=3)
 
 
+def person_replicates(t: Tables):
+    """Values of a working day's half hours in every replicate: (uid, sim, time_seq, ice_birth) of both null models."""
+    visits, metrics = (cut(x.where("weekday = 1 and holiday = 0")) for x in unit_visits(t))
+    return [experienced.experienced_spans(r, metrics, "unit", ["sim"]) for r in (near_replicates(t, visits), free_replicates(t, visits))]
+
+
+@query("replicate_person_means", "E76 B5", f"""SELECT a.uid, a.sim, {rd('ice_e1')} AS ice_e1, {rd('ice_e2')} AS ice_e2, {rd('ice_r')} AS ice_r, grp_r FROM (SELECT uid, sim, avg(ice) AS ice_e1 FROM under1 WHERE weekday = 1 AND holiday = 0 GROUP BY 1, 2) a
+    JOIN (SELECT uid, sim, avg(ice) AS ice_e2 FROM under2 WHERE weekday = 1 AND holiday = 0 GROUP BY 1, 2) b ON b.uid = a.uid AND b.sim = a.sim JOIN groups g ON g.uid = a.uid WHERE ice_e1 IS NOT NULL AND ice_e2 IS NOT NULL""", **NULLS, **UNDER)
+def _(t: Tables):
+    base = t.groups.select("uid", "ice_r", "grp_r")
+    near, free = (m.groupBy("uid", "sim").agg(F.avg("ice_birth").alias(f"ice_e{i}")) for i, m in enumerate(person_replicates(t), start=1))
+    return rounded(near.join(free, ["uid", "sim"], "left").join(base, "uid", "left").dropna(), "ice_e1", "ice_e2", "ice_r")
+
+
 @query("replicate_person_table", "E76 B5")
 def _(t: Tables):
-    units = upois(t).groupBy("unit").agg(F.avg(F.col("osm_id") % 100 / 50 - 1).alias("v"))
-    s = sim_bins(t).join(units, "unit").groupBy("uid", "sim", "time_seq").agg(F.avg("v").alias("ice_birth"))
-    grp = compare.ice_group(s, ["uid", "sim"], "ice_birth", 0.0)
-    means = s.groupBy("uid", "sim").agg(r6(F.avg("ice_birth")).alias("ice_e"))
     base = t.groups.select("uid", r6("ice_r").alias("ice_r"), "grp_r")
-    return grp.join(means, ["uid", "sim"]).join(base, "uid", "left").dropna()
+    sides = []
+    for i, met in enumerate(person_replicates(t), start=1):
+        met = cut(met.select("uid", "sim", "ice_birth"))
+        grp = compare.ice_group(met, ["uid", "sim"], "ice_birth", 0.0, name=f"grp_e{i}")
+        sides.append(grp.join(met.groupBy("uid", "sim").agg(r6(F.avg("ice_birth")).alias(f"ice_e{i}")), ["uid", "sim"]))
+    out = sides[0].join(sides[1], ["uid", "sim"], "left").join(base, "uid", "left")
+    return out.where("grp_e1 <> 'NN' and grp_e2 <> 'NN'").dropna()
 
 
 @query("home_distance_by_type", "E57", f"""SELECT * FROM ({stats_sql('met', 'poi_type, grp_r', 'd2h', 'wt_p')}) JOIN (SELECT poi_type, grp_r, count(DISTINCT osm_id) AS places FROM met GROUP BY 1, 2) USING (poi_type, grp_r)""",

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, functions as F
 
+from copresence.functions.time_bins import explode_bins
 from copresence.operators import place
 
 CELL = ["weekday", "holiday", "time_seq"]
@@ -39,6 +40,25 @@ def experienced(bins: DataFrame, metrics: DataFrame, unit: str, by: list[str] |
         (F.sum(F.col("num_unique_uid") * n) / F.sum("n")).alias("num_coexistence"))
 
 
+def experienced_spans(visits: DataFrame, metrics: DataFrame, unit: str, by: list[str] | None = None) -> DataFrame:
+    """`experienced` for visits that still carry their half hours as a compact span, `time_span`.
+
+    Equal visits are counted first, a place's day stands as one row of at most 48 values, and half hours are taken apart beside the sums that
+    they go into: replicates cost a row per visit, not one per visit and half hour.
+    """
+    day = ["weekday", "holiday"]
+    keys = ["uid", *day, *(by or [])]
+    counted = visits.groupBy(*keys, unit, "time_span").agg(F.count(F.lit(1)).alias("n"))
+    values = F.struct("ice_birth", "evenness_income", "num_unique_uid")
+    days = metrics.groupBy(unit, *day).agg(F.map_from_entries(F.collect_list(F.struct("time_seq", values))).alias("values"))
+    halves = explode_bins(counted.join(days, [unit, *day])).withColumn("v", F.try_element_at("values", F.col("time_seq"))).where("v is not null")
+    n = F.col("n")
+    return halves.select(*keys, "time_seq", "n", "v.*").groupBy("uid", *CELL, *(by or [])).agg(
+        F.percentile("ice_birth", F.lit(0.5), n).alias("ice_birth"),
+        F.percentile("evenness_income", F.lit(0.5), n).alias("evenness_income"),
+        (F.sum(F.col("num_unique_uid") * n) / F.sum("n")).alias("num_coexistence"))
+
+
 def home_or_place(bins: DataFrame, home_values: DataFrame, place_values: DataFrame, unit: str) -> DataFrame:
     """Index met in a half hour: the residential value on home stays, the place's value elsewhere."""
     out = bins.join(home_values.select("uid", F.col("ice_r")), "uid", "left").join(

@@ -137,11 +137,12 @@ def tests(df: DataFrame, by: list[str], x: str, threshold: float) -> DataFrame:
         side = F.when(gap > 0, float("inf")).when(gap < 0, float("-inf"))
         return F.when(n > 1, F.when(F.col("flat"), F.when(F.abs(gap) >= 1e-12, side)).otherwise(gap / error))
 
-    return known.select(
+    # stored, as a filter on a class would otherwise be moved below all steps with their expressions written out in it
+    return cut(known.select(
         *by, "n", "mean", F.when(n >= 3, F.when(F.col("flat"), 1.0).otherwise(normal_p(F.col("w"), n))).alias("normal_p"),
         t_tail(t(F.col("mean") - threshold), n - 1).alias("t_greater"), t_tail(t(-(F.col("mean") + threshold)), n - 1).alias("t_less"),
         F.col("up.plus").alias("w_greater"), F.col("down.plus").alias("w_less"),
-        _rank_tail(F.col("up"), n, F.col("tails")).alias("rank_greater"), _rank_tail(F.col("down"), n, F.col("tails")).alias("rank_less"))
+        _rank_tail(F.col("up"), n, F.col("tails")).alias("rank_greater"), _rank_tail(F.col("down"), n, F.col("tails")).alias("rank_less")))
 
 
 def classes(df: DataFrame, by: list[str], x: str, threshold: float = 0.2, least: int = 4, name: str = "grp", level: float = 0.05) -> DataFrame:

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from copresence.functions.time_bins import explode_bins, stay_span
 from copresence.operators import cleaning, experienced, home, nullmodel, place, profiles, stays
+from copresence.session import cut
 
 
 def stays_from_pings(pings: DataFrame, order: list[str], box: dict[str, float], home_zone: str,
@@ -52,15 +53,17 @@ def segregation_from_visits(visits: DataFrame, home_counts: DataFrame, unit: str
     return metrics, met, experienced.person_mean(met)
 
 
-def null_from_visits(visits: DataFrame, pois: DataFrame, metrics: DataFrame, unit: str, ids: list[str], n: int, seed: int):
-    """Visits at tagged places to seeded replicates of their destinations, and the exposure in each replicate.
+def null_from_visits(visits: DataFrame, pois: DataFrame, metrics: DataFrame, unit: str, ids: list[str], n: int, pick):
+    """Visits at tagged places to n replicates of their destinations, and the exposure in each replicate.
 
-    Visits need x, y, tag, home and the unit; the metrics are those of the observed visits.
+    Visits need x, y, tag, home and the unit, and keep their half hours as a span; the metrics are those of the observed visits.
+    Both are stored once, as every replicate reads them.
     """
+    visits, metrics = cut(visits), cut(metrics)
     moving = nullmodel.movable(visits)
     pool = nullmodel.candidate_pool(moving, pois, unit)
-    drawn = nullmodel.draw(moving, pool, ["x", "y", "tag"], unit, ids, n, nullmodel.hashed(seed))
+    drawn = nullmodel.draw(moving, pool, ["x", "y", "tag"], unit, ids, n, pick)
     kept = visits.where(~((F.col("home") == 0) & F.col("tag").isNotNull()))
     shifted = nullmodel.merge_moved(kept, drawn, unit, n)
-    met = experienced.experienced(explode_bins(shifted), metrics, unit, ["sim"])
+    met = experienced.experienced_spans(shifted, metrics, unit, ["sim"])
     return shifted, met, experienced.sim_mean(met)
