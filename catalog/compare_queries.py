@@ -352,13 +352,19 @@ def _(t: Tables):
     return rounded(compare.seg_share(z, "county", "ice", 0.4), "segregated")
 
 
-LONG = """SELECT grp, w, unnest(['status', 'g']) AS cate_name, unnest([status, CAST(g AS VARCHAR)]) AS cate_level, x, y, disc FROM cases"""
-LONG2 = "SELECT grp, w, cate_name, cate_level, unnest(['x', 'y', 'disc']) AS var, unnest([x, y, disc]) AS val FROM long1"
+CATES = ["status", "g", "zone", "line", "ship", "size"]
+MEASURES = ["x", "y", "disc", "tax", "w", "net", "gross"]
+WIDE = "SELECT *, oid % 4 AS ship, CASE WHEN w > 25 THEN 'large' ELSE 'small' END AS size, x - tax AS net, x + disc AS gross FROM cases"
+LONG = f"""SELECT grp, w, unnest([{', '.join(f"'{c}'" for c in CATES)}]) AS cate_name, unnest([{', '.join(f'CAST({c} AS VARCHAR)' for c in CATES)}]) AS cate_level, {', '.join(f'{m} AS m_{m}' for m in MEASURES)} FROM wide"""
+LONG2 = f"SELECT grp, w, cate_name, cate_level, unnest([{', '.join(repr(m) for m in MEASURES)}]) AS var, unnest([{', '.join(f'm_{m}' for m in MEASURES)}]) AS val FROM long1"
 
 
-@query("heterogeneity_table", "E68", stats_sql("long2", "grp, cate_name, cate_level, var", "val", "w"), long1=LONG, long2=LONG2)
+@query("heterogeneity_table", "E68", stats_sql("long2", "grp, cate_name, cate_level, var", "val", "w"), wide=WIDE, long1=LONG, long2=LONG2)
 def _(t: Tables):
-    return rounded(compare.heterogeneity(t.cases, ["grp"], ["status", "g"], ["x", "y", "disc"], "w"), "q25", "q50", "q75", "avg")
+    wide = t.cases.withColumns({
+        "ship": F.col("oid") % 4, "size": F.when(F.col("w") > 25, "large").otherwise("small"),
+        "net": F.col("x") - F.col("tax"), "gross": F.col("x") + F.col("disc")})
+    return rounded(compare.heterogeneity(wide, ["grp"], CATES, MEASURES, "w"), "q25", "q50", "q75", "avg")
 
 
 IMP = "SELECT zone, s, row_number() OVER (ORDER BY s DESC, zone) AS rk FROM (SELECT zone, round(avg(x), 6) AS s FROM cases WHERE grp = '{g}' GROUP BY 1)"

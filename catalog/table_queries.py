@@ -120,18 +120,30 @@ def _(t: Tables):
     return rounded(features.backfill(c, coarse, "deso", ["bal"]).select("c_custkey", "bal"), "bal")
 
 
-GRIDEXP = "SELECT p.deso AS home_deso, e.weekday, e.holiday, e.time_seq AS deso_t, e.ice, p.wt_p FROM (SELECT uid, weekday, holiday, time_seq, median((loc*37%100)/50.0e0 - 1) AS ice FROM bins GROUP BY 1, 2, 3, 4) e JOIN weights p USING (uid)"
-PB = "SELECT weekday, holiday, deso_t AS time_seq, home_deso AS deso, ice, wt_p AS wt_total FROM gridexp"
-
-
-@query("home_grid_features", "E34", f"""SELECT deso, weekday, holiday, {rd('median(n)')} AS ind_count_place, {rd('median(nw)')} AS ind_count_wt_place, {rd('median(m)')} AS ice_birth_place, count(*) AS time_seq_count_place FROM (
-    SELECT weekday, holiday, deso, time_seq, max(CASE WHEN k2 IS NULL AND k <= tot/2 THEN x WHEN first AND k >= tot/2 THEN x WHEN k <= tot/2 AND k2 > tot/2 THEN x + (tot/2-k)/(k2-k)*(x2-x) END) AS m, count(*) AS n, any_value(tot) AS nw
-    FROM (SELECT *, lead(x) OVER o AS x2, lead(k) OVER o AS k2, row_number() OVER o = 1 AS first FROM ({KNOTS.format(a='ice')}) WINDOW o AS (PARTITION BY weekday, holiday, deso, time_seq ORDER BY x, w, k)) GROUP BY 1, 2, 3, 4) GROUP BY 1, 2, 3""", gridexp=GRIDEXP, pb=PB)
-def _(t: Tables):
-    value = F.pmod(F.col("loc") * 37, F.lit(100)) / 50.0 - 1
-    e = t.bins.groupBy("uid", "weekday", "holiday", "time_seq").agg(F.median(value).alias("ice_birth")).join(t.weights, "uid")
-    out = features.grid_features({"place": e}, "deso", "wt_p")
-    return rounded(out, "ind_count_place", "ind_count_wt_place", "ice_birth_place")
+# exposure at three resolutions of place: every place, zones of four places, counties of twenty
+LEVELS = {"place": 1, "zone": 4, "county": 20}
+
+
+def _grid_ctes() -> dict[str, str]:
+    out = {}
+    for name, size in LEVELS.items():
+        out[f"exp_{name}"] = f"""SELECT e.weekday, e.holiday, e.time_seq, p.deso, e.ice, p.wt_p AS wt_total FROM (
+            SELECT uid, weekday, holiday, time_seq, median((loc//{size}*37%100)/50.0e0 - 1) AS ice FROM bins GROUP BY 1, 2, 3, 4) e JOIN weights p USING (uid)"""
+        knots = KNOTS.format(a="ice").replace("FROM pb", f"FROM exp_{name}")
+        out[f"day_{name}"] = f"""SELECT deso, weekday, holiday, {rd('median(n)')} AS ind_count_{name}, {rd('median(nw)')} AS ind_count_wt_{name}, {rd('median(m)')} AS ice_birth_{name}, count(*) AS time_seq_count_{name} FROM (
+            SELECT weekday, holiday, deso, time_seq, max(CASE WHEN k2 IS NULL AND k <= tot/2 THEN x WHEN first AND k >= tot/2 THEN x WHEN k <= tot/2 AND k2 > tot/2 THEN x + (tot/2-k)/(k2-k)*(x2-x) END) AS m, count(*) AS n, any_value(tot) AS nw
+            FROM (SELECT *, lead(x) OVER o AS x2, lead(k) OVER o AS k2, row_number() OVER o = 1 AS first FROM ({knots}) WINDOW o AS (PARTITION BY weekday, holiday, deso, time_seq ORDER BY x, w, k)) GROUP BY 1, 2, 3, 4) GROUP BY 1, 2, 3"""
+    return out
+
+
+@query("home_grid_features", "E34", "SELECT * FROM day_place LEFT JOIN day_zone USING (deso, weekday, holiday) LEFT JOIN day_county USING (deso, weekday, holiday)", **_grid_ctes())
+def _(t: Tables):
+    levels = {}
+    for name, size in LEVELS.items():
+        value = F.pmod(F.floor(F.col("loc") / size) * 37, F.lit(100)) / 50.0 - 1
+        levels[name] = t.bins.groupBy("uid", "weekday", "holiday", "time_seq").agg(F.median(value).alias("ice_birth")).join(t.weights, "uid")
+    out = features.grid_features(levels, "deso", "wt_p")
+    return rounded(out, *[f"{c}_{name}" for name in LEVELS for c in ("ind_count", "ind_count_wt", "ice_birth")])
 
 
 @query("long_and_wide", "E38", "SELECT deso, birth_se, birth_eu, birth_other, birth_se + birth_eu + birth_other AS total FROM zones")
