@@ -39,8 +39,8 @@ from pyspark.sql import DataFrame, functions as F
 
 LOOK = 3
 #: Characters of a leaf of a text, bytes of a leaf of a match.
-LEAF = 512
-BYTES = 8
+LEAF = 1024
+BYTES = 12
 _WINDOW = 64
 #: Up to so many bytes the next merge is looked for in all pairs, beyond in a heap.
 _FEW = 64
@@ -109,15 +109,15 @@ class Ranks(dict):
 
     def __init__(self, *args):
         super().__init__(*args)
-        self.pieces: dict[bytes, list[bytes]] = {}
+        self.pieces: dict[bytes, tuple[bytes, ...]] = {}
 
-    def tokens(self, data: bytes) -> list[bytes]:
-        """`merged`, remembered for short pieces; the list is not to be changed."""
+    def tokens(self, data: bytes) -> tuple[bytes, ...]:
+        """`merged`, remembered for short pieces."""
         found = self.pieces.get(data)
         if found is None:
-            found = merged(self, data)
+            found = tuple(merged(self, data))
             if len(data) <= _SHORT:
-                if len(self.pieces) >= _REMEMBERED:
+                if len(self.pieces) >= 2 * _REMEMBERED:
                     self.pieces.clear()
                 self.pieces[data] = found
         return found
@@ -129,7 +129,7 @@ def merged(ranks: dict[bytes, int], data: bytes) -> list[bytes]:
     if len(parts) > _FEW:
         return _merged_by_heap(ranks, parts)
     rank = ranks.get
-    pairs = [rank(a + b, _NONE) for a, b in zip(parts, parts[1:])]
+    pairs = [rank(data[i:i + 2], _NONE) for i in range(len(data) - 1)]
     while pairs and (low := min(pairs)) != _NONE:
         at = pairs.index(low)
         whole = parts[at] + parts.pop(at + 1)
@@ -163,7 +163,7 @@ def _merged_by_heap(ranks: dict[bytes, int], parts: list[bytes]) -> list[bytes]:
     return [p for p in parts if p]
 
 
-def join_tokens(ranks: Ranks, left: list[bytes], right: list[bytes]) -> list[bytes]:
+def join_tokens(ranks: Ranks, left: tuple[bytes, ...], right: tuple[bytes, ...]) -> tuple[bytes, ...]:
     """The tokens of two neighbouring pieces as one, from the tokens of each."""
     if not left or not right:
         return left or right
@@ -177,7 +177,7 @@ def join_tokens(ranks: Ranks, left: list[bytes], right: list[bytes]) -> list[byt
         i, j = i if left_done else min(2 * i, n), j if right_done else min(2 * j, len(right))
 
 
-def tree_tokens(ranks: Ranks, data: bytes, leaf: int = BYTES) -> list[bytes]:
+def tree_tokens(ranks: Ranks, data: bytes, leaf: int = BYTES) -> tuple[bytes, ...]:
     """The tokens of some bytes, by halves."""
     if len(data) <= max(leaf, 1):
         return ranks.tokens(data)
