@@ -1,11 +1,12 @@
 """Survey trips, graph projection, embeddings and models."""
 
-from pyspark.sql import functions as F
+from pyspark.sql import Window, functions as F
 
 from catalog.fixtures import ATTRS, Tables, r6, rd, rd3, rounded
+from catalog.null_queries import arith_sql, arithmetic
 from catalog.place_queries import SHARES, ice_sql, shares
 from catalog.registry import query
-from copresence.operators import embeddings, graph, models, survey
+from copresence.operators import embeddings, graph, models, nullmodel, survey
 
 TRIPTIME = """SELECT *, CAST(date AS TIMESTAMP) + to_minutes(CAST(dep AS BIGINT)) AS dep_t, CAST(date AS TIMESTAMP) + to_minutes(CAST(dep AS BIGINT)) + to_minutes(CAST(travel AS BIGINT)) AS arr_t FROM trips"""
 
@@ -134,6 +135,35 @@ def _(t: Tables):
     return graph.pair_counts(graph.walks(place_edges(t), n=10, length=20, seed=3), 20)
 
 
+# stored walks: the suppliers of an order, line by line
+SKIP = dict(
+    places="SELECT l_orderkey AS start, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_suppkey, l_quantity) - 1 AS step, l_suppkey AS node FROM lineitem",
+    nodeids="SELECT node, row_number() OVER (ORDER BY node) AS node_id FROM (SELECT DISTINCT node FROM places)",
+    couples=f"""SELECT *, row_number() OVER (PARTITION BY start ORDER BY u, i, j) - 1 AS r, count(*) OVER (PARTITION BY start) AS p FROM (
+        SELECT a.start, a.step AS i, b.step AS j, x.node_id AS target, y.node_id AS context, {arith_sql('a.start', 'a.step', 'b.step')} AS u FROM places a
+        JOIN places b ON a.start = b.start AND a.step <> b.step AND abs(a.step - b.step) <= 3 JOIN nodeids x ON x.node = a.node JOIN nodeids y ON y.node = b.node)""",
+    negative=f"""SELECT target, CAST(least(floor({arith_sql('start', 'r', 'k')}*n) + 1, n) AS BIGINT) AS context FROM (
+        SELECT *, unnest(range(0, CAST(floor(p*1.5e0) AS BIGINT)//p + CASE WHEN r < CAST(floor(p*1.5e0) AS BIGINT) % p THEN 1 ELSE 0 END)) AS k FROM couples), (SELECT count(*) AS n FROM nodeids)""",
+)
+
+
+@query("skip_gram_examples", "J7", """SELECT least(target, context) AS target, greatest(target, context) AS context, label, count(*) AS weight FROM (
+    SELECT target, context, 1 AS label FROM couples UNION ALL SELECT target, context, 0 FROM negative) WHERE target <> context GROUP BY 1, 2, 3""", **SKIP)
+def _(t: Tables):
+    line = ["l_linenumber", "l_partkey", "l_suppkey", "l_quantity"]  # an order has few lines
+    at = F.row_number().over(Window.partitionBy("l_orderkey").orderBy(*line)) - 1
+    walked = t.read("lineitem").select(F.col("l_orderkey").alias("start"), at.alias("step"), F.col("l_suppkey").alias("node"))
+    ids = graph.dense_ids(walked.select("node").distinct(), "node", "node_id").withColumn("node_id", F.col("node_id") + 1)
+    return graph.skip_gram_examples(walked, ids, 3, 1.5, arithmetic, ("start",))
+
+
+@query("walk_examples", "J6 J7")
+def _(t: Tables):
+    edges = place_edges(t)
+    ids = graph.prune_index(edges)[1].select("node", (F.col("node_id") + 1).alias("node_id"))
+    return graph.skip_gram_examples(graph.walks(edges, n=10, length=20, seed=3), ids, 10, 4, nullmodel.hashed(5))
+
+
 @query("node_vectors", "J7")
 def _(t: Tables):
     return graph.embed(graph.walks(place_edges(t), n=10, length=20, seed=3), dim=64, window=20)

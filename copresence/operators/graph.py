@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from copresence.functions import draws, indices
@@ -164,6 +166,32 @@ def pair_counts(walked: DataFrame, window: int = 5) -> DataFrame:
     return pairs.groupBy("target", "context").agg(F.count(F.lit(1)).alias("n"))
 
 
+def skip_gram_examples(walked: DataFrame, ids: DataFrame, window: int, negatives: float, pick: Callable[[list[Column]], Column],
+                       key: tuple[str, ...] = ("start", "walk")) -> DataFrame:
+    """Training pairs of node ids: target, context (the smaller id first, equal ones left out), label (1 met, 0 drawn) and weight.
+
+    Every two places of a walk within `window` steps are two couples, one from each side. A walk of P couples gets floor(P * negatives)
+    drawn pairs: its targets, shuffled by a seeded number, are gone through again and again, each time with a context drawn
+    evenly from all ids. `ids` has node and node_id, from 1 without gaps. Draws name the walk and a place in it, so partitioning changes nothing.
+    """
+    on = list(key)
+    seq = walked.join(ids, "node").select(*on, "step", "node_id")
+    shift = F.explode(F.array(*[F.lit(d) for d in range(-window, window + 1) if d]))
+    here = seq.select(*on, F.col("step").alias("i"), F.col("node_id").alias("target"), shift.alias("_d")).withColumn("step", F.col("i") + F.col("_d"))
+    couples = here.join(seq.select(*on, "step", F.col("node_id").alias("context")), [*on, "step"]).withColumnRenamed("step", "j")
+    walk = Window.partitionBy(*on)  # a walk has a fixed, short length
+    order = pick([*[F.col(c) for c in on], F.col("i"), F.col("j")])
+    couples = couples.withColumn("_u", order).withColumn("_r", F.row_number().over(walk.orderBy("_u", "i", "j")) - 1).withColumn("_p", F.count(F.lit(1)).over(walk))
+    wanted = F.floor(F.col("_p") * negatives).cast("long")
+    copies = F.floor(wanted / F.col("_p")) + (F.col("_r") < wanted % F.col("_p")).cast("long")
+    total = ids.select(F.count(F.lit(1))).scalar()
+    drawn = couples.withColumn("_n", total).withColumn("_k", F.explode(F.filter(F.sequence(F.lit(0), copies), lambda k: k < copies)))
+    drawn = drawn.withColumn("context", draws.position(pick([*[F.col(c) for c in on], F.col("_r"), F.col("_k")]), F.col("_n")))
+    both = couples.select("target", "context", F.lit(1).alias("label")).unionByName(drawn.select("target", "context", F.lit(0).alias("label")))
+    return both.where("target <> context").groupBy(F.least("target", "context").alias("target"), F.greatest("target", "context").alias("context"), "label").agg(
+        F.count(F.lit(1)).alias("weight"))
+
+
 def embed(walked: DataFrame, dim: int = 64, window: int = 5, seed: int = 0) -> DataFrame:
     """Node vectors from the walks as sentences; a walk has a fixed, short length."""
     from pyspark.ml.feature import Word2Vec
