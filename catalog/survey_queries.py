@@ -266,6 +266,20 @@ def _(t: Tables):
     return effects.join(importance, "feature")
 
 
+@query("additive_effects_by_group", "J17")
+def _(t: Tables):
+    out = models.additive_by_group(t.cases, ["grp"], ["disc", "tax", "w", "zone"], "x", bins=8, pairs=3)
+    return rounded(out, "share", "effect", "importance")
+
+
+@query("additive_cells_by_group", "J17", f"""SELECT grp, bin, {rd('count(*)/any_value(whole)')} AS share FROM (SELECT grp, CASE WHEN w <= 10 THEN 0 WHEN w <= 25 THEN 1 ELSE 2 END AS bin FROM cases)
+    JOIN (SELECT grp, count(*)*1.0e0 AS whole FROM cases GROUP BY 1) USING (grp) GROUP BY 1, 2""")
+def _(t: Tables):
+    banded = t.cases.withColumn("band", F.when(F.col("w") <= 10, 0).when(F.col("w") <= 25, 1).otherwise(2))
+    out = models.additive_by_group(banded, ["grp"], ["band", "tax"], "x", bins=20, pairs=0).where("feature = 'band'")
+    return rounded(out.select("grp", "bin", "share"), "share")
+
+
 def scored(scores, labels):
     """The labels with the silhouette of every k beside them."""
     every = scores.agg(F.map_from_entries(F.sort_array(F.collect_list(F.struct("k", F.round("silhouette", 6)))))).scalar()

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pandas as pd
 from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.classification import RandomForestClassifier
 from pyspark.ml.clustering import KMeans
@@ -10,7 +12,7 @@ from pyspark.ml.feature import PCA, Normalizer, StandardScaler, StringIndexer, V
 from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.ml.regression import GBTRegressor, GeneralizedLinearRegression
 from pyspark.ml.tuning import CrossValidator, ParamGridBuilder
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from copresence.functions import draws
 from copresence.operators.compare import _by, wavg
@@ -114,6 +116,61 @@ def additive_model(df: DataFrame, cols: list[str], y: str, bins: int = 8, pairs:
     return importance, table
 
 
+def additive_by_group(df: DataFrame, by: list[str], cols: list[str], y: str, bins: int = 8, pairs: int = 3) -> DataFrame:
+    """Additive models of binned features for all groups in one job: by, feature, bin, bin2, share, effect, importance.
+
+    The normal equations of bin indicators are counts of bin pairs and sums of y, so one aggregate holds them for every group, and each
+    group's few thousand numbers are solved apart. Effects of a feature average zero over the group's rows. Pairs of features are screened by how much
+    of the squared residual the means of their cells explain; the `pairs` best of each group enter with those means as effects
+    (`bin2` is null for single features). Importance is the mean absolute effect. Rows with a null take no part; bins are cut at quantiles of all rows.
+    """
+    k = len(cols)
+    data = cut(df.select(*by, *[F.col(c).cast("double").alias(c) for c in cols], F.col(y).cast("double").alias("_y")).dropna())
+    cuts = data.approxQuantile(cols, [i / bins for i in range(1, bins)], 0.001) if bins > 1 else [[] for _ in cols]
+    place = [sum([(F.col(c) > e).cast("int") for e in sorted(set(es))], F.lit(0)).alias(f"_b{i}") for i, (c, es) in enumerate(zip(cols, cuts))]
+    binned = cut(data.select(*by, "_y", *place))
+
+    def cells(rows: DataFrame, value: str, first: int) -> DataFrame:
+        """Counts and sums for every pair of features and of their bins."""
+        each = F.explode(F.array(*[F.struct(F.lit(i).alias("a"), F.lit(j).alias("b"), F.col(f"_b{i}").alias("p"), F.col(f"_b{j}").alias("q")) for i in range(k) for j in range(i + first, k)]))
+        return rows.select(*by, value, each.alias("c")).groupBy(*by, "c.a", "c.b", "c.p", "c.q").agg(F.count(F.lit(1)).alias("n"), F.sum(value).alias("s"))
+
+    fields = "".join(f"`{c}` {df.schema[c].dataType.simpleString()}, " for c in by)
+
+    def solve(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
+        own = rows[rows["a"] == rows["b"]].sort_values(["a", "p"])
+        at = {(f, b): i for i, (f, b) in enumerate(zip(own["a"], own["p"]))}
+        n, total = own["n"].to_numpy(float), own["s"].to_numpy(float)
+        gram = np.zeros((len(at), len(at)))
+        for r in rows.itertuples():
+            i, j = at[r.a, r.p], at[r.b, r.q]
+            gram[i, j] = gram[j, i] = r.n
+        whole = n[own["a"].to_numpy() == own["a"].iloc[0]].sum()
+        mean = total[own["a"].to_numpy() == own["a"].iloc[0]].sum() / whole
+        # a row for each feature fixes its effects to average zero
+        zero = np.array([np.where(own["a"] == f, n, 0.0) / whole for f in range(k)])
+        effect = np.linalg.lstsq(np.vstack([gram / whole, zero]), np.concatenate([(total - mean * n) / whole, np.zeros(k)]), rcond=1e-12)[0]
+        return pd.DataFrame({**dict(zip(by, key)), "a": own["a"].to_numpy(), "p": own["p"].to_numpy(), "share": n / whole, "effect": effect, "mean": mean})
+
+    single = cut(cells(binned, "_y", 0).groupBy(*by).applyInPandas(solve, f"{fields}a int, p int, share double, effect double, mean double"))
+    known = single.groupBy(*by).agg(F.first("mean").alias("_mean"), F.map_from_entries(F.collect_list(F.struct(F.struct("a", "p"), "effect"))).alias("_f"))
+    fitted = sum([F.element_at("_f", F.struct(F.lit(i).alias("a"), F.col(f"_b{i}").alias("p"))) for i in range(k)], F.col("_mean"))
+    left = _by(binned, known, by).withColumn("_r", F.col("_y") - fitted)
+    both = cut(cells(left, "_r", 1)) if pairs and k > 1 else None
+    name = F.array(*[F.lit(c) for c in cols])
+    at = lambda c: F.element_at(name, F.col(c) + 1)
+    out = single.select(*by, at("a").alias("feature"), F.col("p").alias("bin"), F.lit(None).cast("int").alias("bin2"), "share", "effect")
+    if both is not None:
+        gain = both.groupBy(*by, "a", "b").agg(F.sum(F.col("s") * F.col("s") / F.col("n")).alias("gain"), F.sum("n").alias("all"))
+        best = Window.partitionBy(*by).orderBy(F.desc("gain"), "a", "b")  # pairs of features
+        lead = gain.withColumn("nth", F.row_number().over(best)).where(F.col("nth") <= pairs).drop("nth", "gain")
+        more = both.join(lead, [*by, "a", "b"]).select(
+            *by, F.concat(at("a"), F.lit(" x "), at("b")).alias("feature"), F.col("p").alias("bin"), F.col("q").alias("bin2"), (F.col("n") / F.col("all")).alias("share"), (F.col("s") / F.col("n")).alias("effect"))
+        out = out.unionByName(more)
+    out = cut(out)
+    return out.join(out.groupBy(*by, "feature").agg(F.sum(F.abs("effect") * F.col("share")).alias("importance")), [*by, "feature"])
+
+
 def rf_cv(df: DataFrame, vec: str, label: str, folds: int = 10, trees: int = 20, depth: int = 7, seed: int = 0) -> DataFrame:
     """Cross-validated accuracy of a random forest on vectors."""
     data = cut(df.select(array_to_vector(F.col(vec)).alias("x"), F.col(label).cast("string").alias("label")))
