@@ -10,6 +10,7 @@ from copresence.functions.draws import poisson, poisson_one, uniform
 from copresence.functions.tails import t_tail
 from copresence.operators import bootstrap, cleaning, ordered, quantiles, series
 from copresence.operators.mobility import share_within
+from copresence.session import cut
 
 
 def _by(df: DataFrame, table: DataFrame, by: list[str]) -> DataFrame:
@@ -262,12 +263,12 @@ def heterogeneity(df: DataFrame, by: list[str], cats: list[str], metrics: list[s
     levels = [F.col(c).cast("string").alias(f"_{i}") for i, c in enumerate(cats)]
     names = [f"_{i}" for i in range(len(cats))]
     stacked = df.select(*by, w, *levels, value.alias("m")).select(*by, w, *names, "m.*")
-    sums = stacked.groupBy(*by, *names, "var", "value").agg(F.sum(w).alias("_w"))
+    sums = cut(stacked.groupBy(*by, *names, "var", "value").agg(F.sum(w).alias("_w")))  # read by the cuts and by every set
     sets = sums.groupingSets([[*by, n, "var", "value"] for n in names], *by, *names, "var", "value").agg(
         F.sum("_w").alias(w), *[F.grouping(n).alias(f"_g{n}") for n in names])
     own = lambda f: F.coalesce(*[F.when(F.col(f"_g{n}") == 0, f(i, n)) for i, n in enumerate(names)])
     long = sets.select(*by, own(lambda i, n: F.lit(cats[i])).alias("cate_name"), own(lambda i, n: F.col(n)).alias("cate_level"), "var", "value", w)
-    return quantiles.group_stats(long, [*by, "cate_name", "cate_level", "var"], "value", w)
+    return quantiles.group_stats(long, [*by, "cate_name", "cate_level", "var"], "value", w, ordered.split_points(sums, "value"))
 
 
 def importance_compare(a: DataFrame, b: DataFrame, name: str, score: str, top: int = 10) -> DataFrame:
