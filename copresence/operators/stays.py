@@ -132,14 +132,6 @@ def stays_from_points(points: DataFrame) -> DataFrame:
     )
 
 
-def stay_stats(stays: DataFrame, by: list[str], dur: str = "dur", over: float = 720) -> DataFrame:
-    """Range, median and share of long stays, per parameter setting."""
-    base = stays.groupBy(*by).agg(
-        F.min(dur).alias("dur_min"), F.max(dur).alias("dur_max"), F.count(F.lit(1)).alias("n"),
-        F.avg((F.col(dur) > over).cast("int")).alias("share_long"))
-    return base.join(quantiles.median(stays, by, dur, "dur_median"), by)
-
-
 def stay_times(stays: DataFrame) -> DataFrame:
     """Timestamps and duration in minutes from epoch seconds."""
     return stays.withColumns({
