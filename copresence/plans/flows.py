@@ -26,13 +26,15 @@ def stays_from_pings(pings: DataFrame, order: list[str], box: dict[str, float],
 def homes_from_stays(found: DataFrame, zones: DataFrame, zone_of: Column, least: int = 3) -> DataFrame:
     """Stays (uid, loc, h_s, dur, holiday) to detected homes with zone and trimmed person weight.
 
-    `zone_of` gives the zone of a home from its place columns.
+    `zone_of` gives the zone of a home from its place columns. Places are ranked by weights of six decimals, so that the order in
+    which a sum is taken decides no tie; ties go to the lowest place.
     """
+    six = lambda df, c: df.withColumn(c, F.round(c, 6))
     weighted = profiles.record_weights(found, ["uid"])
-    clusters = profiles.cluster_stats(weighted)
+    clusters = six(profiles.cluster_stats(weighted), "freq_wt")
     top = profiles.top_clusters(clusters).select("uid", "loc")
     tempo = profiles.tempo_weighted(weighted.join(top, ["uid", "loc"]), ["uid", "loc"])
-    picked = home.pick_home(home.home_scores(tempo))
+    picked = home.pick_home(six(home.home_scores(tempo), "home_freq"))
     seen = clusters.where("holiday = 0").select("uid", F.col("loc").alias("home"), "freq")
     reliable = home.reliable_home(picked.join(seen, ["uid", "home"]), least).withColumn("deso", zone_of)
     return reliable.join(home.device_weights(reliable, zones).select("deso", "wt_p"), "deso")

@@ -35,3 +35,11 @@ def test_spots_are_joined_once(spark):
     points = spark.range(600).select(F.col("id"), F.when(F.col("id") < 300, 0.0).otherwise(3.0).alias("x"), F.lit(0.0).alias("y"))
     got = spatial.ring_sums(points, "id", 1.0, 5.0).agg(F.count("*"), F.sum("n"), F.sum("total")).first()
     assert tuple(got) == (600, 180000, 540000.0)
+
+
+def test_noise_of_a_sum_decides_no_home(spark, monkeypatch):
+    found = spark.createDataFrame([(1, 1, 1.0, 600.0, 0), (1, 2, 12.0, 600.0, 0)], "uid int, loc int, h_s double, dur double, holiday int")
+    zones = spark.createDataFrame([(0, 10)], "deso int, pop int")
+    scores = spark.createDataFrame([(1, 1, 0.3, 50.0), (1, 2, 0.1 + 0.2, 50.0)], "uid int, loc int, home_freq double, home_share double")
+    monkeypatch.setattr(flows.home, "home_scores", lambda tempo: scores)
+    assert [r.home for r in flows.homes_from_stays(found, zones, F.lit(0), 1).collect()] == [1]
