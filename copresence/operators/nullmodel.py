@@ -14,6 +14,7 @@ from pyspark.sql import Column, DataFrame, Window, functions as F, types as T
 from copresence.functions import draws, indices
 from copresence.functions.distance import planar
 from copresence.functions.labels import tag_tier
+from copresence.session import cut
 
 Picker = Callable[[list[Column]], Column]
 
@@ -46,9 +47,16 @@ def _spots(pois: DataFrame, cols: list[str]) -> DataFrame:
 
 def _lowest_tier(pairs: DataFrame, key: list[str], what: list[str]) -> DataFrame:
     """Per key the candidates of the lowest tier present, with the number of places behind each."""
+    return _lowest(_counted(pairs, key, what), key)
+
+
+def _counted(pairs: DataFrame, key: list[str], what: list[str]) -> DataFrame:
     # a pair may share several classes; it counts once, at its lowest tier
     once = pairs.where(F.col("tier") == tag_tier(F.col("tag"), F.col("ptag")))
-    units = once.groupBy(*key, "tier", *what).agg(F.sum("places").alias("places"))
+    return once.groupBy(*key, "tier", *what).agg(F.sum("places").alias("places"))
+
+
+def _lowest(units: DataFrame, key: list[str]) -> DataFrame:
     low = units.groupBy(*key).agg(F.min("tier").alias("tier"))
     return units.join(low, [*key, "tier"])
 
@@ -64,7 +72,7 @@ def candidate_pool(origins: DataFrame, pois: DataFrame, unit: str, lo: float = 3
     left = classes(origins.select("x", "y", "tag").distinct(), "tag").withColumns(
         {"bx": F.floor(F.col("x") / hi), "by": F.floor(F.col("y") / hi)})
     right = classes(_spots(pois, ["x", "y", "tag", unit]).withColumnsRenamed({"x": "px", "y": "py", "tag": "ptag"}), "ptag")
-    right = right.withColumn("bx", around("px")).withColumn("by", around("py"))
+    right = right.withColumn("bx", around("px")).withColumn("by", around("py")).hint("merge")  # its size is not seen by statistics
     d = planar(F.col("x"), F.col("y"), F.col("px"), F.col("py"))
     pairs = left.join(right, ["bx", "by", "tier", "class"]).where((d > lo) & (d <= hi))
     return _lowest_tier(pairs, ["x", "y", "tag"], [unit])
@@ -155,16 +163,27 @@ def drawn_distances(persons: DataFrame, decay: DataFrame, key: Column, n: int =
     return persons.withColumn("_key", key.cast("long")).mapInPandas(split, schema)
 
 
-def decay_pool(wanted: DataFrame, pois: DataFrame, unit: str, key: list[str], step: float, cell: int = 10) -> DataFrame:
-    """Units at one of the wanted rounded distances from home, lowest similarity tier present.
+#: What decides a pool of wanted distances: home, tag and the distances drawn.
+RING = ["x", "y", "tag", "ds"]
+
+
+def decay_sets(wanted: DataFrame, key: list[str]) -> DataFrame:
+    """Per key its home x and y, tag and the sorted distinct wanted distances `ds`; a key has one home and one tag."""
+    return wanted.groupBy(*dict.fromkeys([*key, "x", "y", "tag"])).agg(F.sort_array(F.collect_set("d")).alias("ds"))
 
-    `wanted` has key columns, home x and y, tag and whole distance d (in steps). For every row the cells of
-    `cell` steps that its ring touches are listed, row of cells by row of cells; places join on the cell and on the
-    shared tag class, and the exact rounded distance decides.
+
+def decay_pools(sets: DataFrame, pois: DataFrame, unit: str, step: float, cell: int = 10) -> DataFrame:
+    """Units at one of the distances `ds` from a home, lowest similarity tier present: one pool per home, tag and `ds`.
+
+    Persons with one home, tag and set of distances share a pool. A ring is one home, tag and whole distance d (in steps). For every
+    ring the cells of `cell` steps that it touches are listed, row of cells by row of cells; places join on the cell and on the
+    shared tag class, and the exact rounded distance decides. A place lies on one ring of a home, so a pool is the sum of its rings.
     """
+    pools = sets.select(*RING).distinct()
     side = step * cell
     outer, inner = (F.col("d") + 0.5) * step, F.greatest((F.col("d") - 0.5) * step, F.lit(0.0))
-    rings = wanted.withColumn("cy", F.explode(F.sequence(F.floor((F.col("y") - outer) / side), F.floor((F.col("y") + outer) / side))))
+    rings = pools.select("x", "y", "tag", F.explode("ds").alias("d")).distinct()
+    rings = rings.withColumn("cy", F.explode(F.sequence(F.floor((F.col("y") - outer) / side), F.floor((F.col("y") + outer) / side))))
     top, low = (F.col("cy") + 1) * side - F.col("y"), F.col("cy") * side - F.col("y")
     far = F.greatest(F.abs(top), F.abs(low))
     near = F.when((low <= 0) & (top >= 0), 0.0).otherwise(F.least(F.abs(top), F.abs(low)))
@@ -177,8 +196,21 @@ def decay_pool(wanted: DataFrame, pois: DataFrame, unit: str, key: list[str], st
     spots = spots.withColumn("c", F.explode(tag_classes(F.col("ptag")))).select("*", "c.tier", "c.class").drop("c")
     rings = rings.withColumn("c", F.explode(tag_classes(F.col("tag")))).select("*", "c.tier", "c.class").drop("c")
     dist = F.rint(planar(F.col("x"), F.col("y"), F.col("px"), F.col("py")) / step)
-    pairs = rings.join(spots, ["cx", "cy", "tier", "class"]).where(dist == F.col("d"))
-    return _lowest_tier(pairs, key, [unit])
+    # listed sides ask for a merge join: size statistics do not see how an explode grows
+    pairs = rings.hint("merge").join(spots, ["cx", "cy", "tier", "class"]).where(dist == F.col("d"))
+    units = _counted(pairs, ["x", "y", "tag", "d"], [unit])
+    met = pools.withColumn("d", F.explode("ds")).join(units, ["x", "y", "tag", "d"])
+    return _lowest(met.groupBy(*RING, "tier", unit).agg(F.sum("places").alias("places")), RING)
+
+
+def decay_pool(wanted: DataFrame, pois: DataFrame, unit: str, key: list[str], step: float, cell: int = 10) -> DataFrame:
+    """Units at one of the wanted rounded distances from home, lowest similarity tier present, for every key.
+
+    `wanted` has key columns, home x and y, tag and whole distance d (in steps).
+    """
+    sets = cut(decay_sets(wanted, key))  # read for the pools and for the keys that share them
+    out = sets.join(decay_pools(sets, pois, unit, step, cell), RING)
+    return out.select(*key, *[c for c in ("tier", unit, "places") if c not in key])
 
 
 def shuffle_home(people: DataFrame, zones: DataFrame, n: int, pick: Picker, share_a: Column, share_b: Column) -> DataFrame:

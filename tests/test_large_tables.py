@@ -2,7 +2,7 @@
 
 from pyspark.sql import functions as F
 
-from copresence.operators import spatial
+from copresence.operators import nullmodel, spatial
 from copresence.plans import flows
 
 
@@ -43,3 +43,15 @@ def test_noise_of_a_sum_decides_no_home(spark, monkeypatch):
     scores = spark.createDataFrame([(1, 1, 0.3, 50.0), (1, 2, 0.1 + 0.2, 50.0)], "uid int, loc int, home_freq double, home_share double")
     monkeypatch.setattr(flows.home, "home_scores", lambda tempo: scores)
     assert [r.home for r in flows.homes_from_stays(found, zones, F.lit(0), 1).collect()] == [1]
+
+
+def test_persons_with_equal_rings_share_a_pool(spark):
+    homes = [(p, p % 2 * 400.0, 0.0, "Shop", d) for p in range(40) for d in (1, 2)] + [(99, 0.0, 0.0, "Shop", 1)]
+    wanted = spark.createDataFrame(homes, "uid int, x double, y double, tag string, d int")
+    pois = spark.createDataFrame([(1, 900.0, 0.0, "Shop", 7), (2, 900.0, 0.0, "Shop", 7), (3, 2100.0, 0.0, "Shop", 8), (4, 2100.0, 0.0, "Craft", 8), (5, 900.0, 0.0, "Craft", 9)],
+                                 "osm_id int, x double, y double, tag string, unit int")
+    sets = nullmodel.decay_sets(wanted, ["uid", "tag"])
+    pools = {(r.x, tuple(r.ds), r.unit): r.places for r in nullmodel.decay_pools(sets, pois, "unit", 1000.0, 2).collect()}
+    assert pools == {(0.0, (1, 2), 7): 2, (0.0, (1, 2), 8): 1, (400.0, (1, 2), 8): 1, (0.0, (1,), 7): 2}
+    got = {(r.uid, r.unit): r.places for r in nullmodel.decay_pool(wanted, pois, "unit", ["uid", "tag"], 1000.0, 2).collect()}
+    assert got == {**{(p, 7): 2 for p in range(0, 40, 2)}, **{(p, 8): 1 for p in range(40)}, (99, 7): 2}
