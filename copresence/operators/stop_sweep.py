@@ -105,14 +105,15 @@ def sweep(pings: DataFrame, order: list[str], t_max: list[int], r1: float = 30,
     stops = cut(groups.where((F.col("n") >= min_size) & (F.col("t1") - F.col("t0") >= min_stay)).withColumn("gid", F.xxhash64("first", "last", "fills")))
     # medians once for each distinct group, from the smallest setting that has it
     shown = stops.groupBy(_DEVICE, "gid").agg(F.min("t_max").alias("t_max"), F.first("first").alias("first"))
-    parts = swept.join(shown, group).select(*own, "gid", "fill", "latitude", "longitude")
-    inside = points.select(*own, "latitude", "longitude").join(parts.select(*own, "gid"), own).select(_DEVICE, "gid", "latitude", "longitude")
+    # a stored table keeps the size its plan was guessed at, without the settings it was spread over: none of these may be broadcast
+    parts = swept.join(shown.hint("merge"), group).select(*own, "gid", "fill", "latitude", "longitude")
+    inside = points.select(*own, "latitude", "longitude").join(parts.select(*own, "gid").hint("merge"), own).select(_DEVICE, "gid", "latitude", "longitude")
     inside = inside.unionByName(parts.where("fill").select(_DEVICE, "gid", "latitude", "longitude"))
     centres = quantiles.medians(inside, [_DEVICE, "gid"], ["latitude", "longitude"])
-    nodes = stops.join(centres, [_DEVICE, "gid"]).select(*group, F.col("latitude").alias("lat"), F.col("longitude").alias("lng"))
+    nodes = stops.hint("merge").join(centres, [_DEVICE, "gid"]).select(*group, F.col("latitude").alias("lat"), F.col("longitude").alias("lng"))
     labels = cut(components.link_within(cut(nodes.withColumnRenamed("first", "node")), [_DEVICE, "t_max"], "node", "lat", "lng", r2))
 
-    labelled = swept.join(labels.withColumnRenamed("node", "first"), group).withColumn("slot", F.floor(F.col("t0") / HOUR))
+    labelled = swept.hint("merge").join(labels.withColumnRenamed("node", "first"), group).withColumn("slot", F.floor(F.col("t0") / HOUR))
     chained = ordered.previous(labelled, [_DEVICE, "t_max"], "slot", ["t0", "stretch"], ["loc", "last", "rest"])
     new = (F.col("loc") != F.col("prev_loc")) | (F.col("stretch") != F.col("prev_last") + 1) | (F.col("prev_rest") >= F.col("t_max"))
     stay = ordered.running_sum(chained, [_DEVICE, "t_max"], "slot", ["t0", "stretch"], F.coalesce(new, F.lit(True)).cast("long"), "stay")

@@ -2,7 +2,7 @@
 
 from pyspark.sql import functions as F
 
-from copresence.operators import nullmodel, spatial
+from copresence.operators import components, nullmodel, spatial
 from copresence.plans import flows
 
 
@@ -55,3 +55,11 @@ def test_persons_with_equal_rings_share_a_pool(spark):
     assert pools == {(0.0, (1, 2), 7): 2, (0.0, (1, 2), 8): 1, (400.0, (1, 2), 8): 1, (0.0, (1,), 7): 2}
     got = {(r.uid, r.unit): r.places for r in nullmodel.decay_pool(wanted, pois, "unit", ["uid", "tag"], 1000.0, 2).collect()}
     assert got == {**{(p, 7): 2 for p in range(0, 40, 2)}, **{(p, 8): 1 for p in range(40)}, (99, 7): 2}
+
+
+def test_sites_listed_25_times_are_not_broadcast(spark, monkeypatch):
+    seen = []
+    monkeypatch.setattr(components, "components", lambda nodes, edges, by: seen.append(plan(edges)) or nodes.withColumn("root", F.col("v")))
+    points = spark.createDataFrame([(1, 1, 55.0, 12.0), (1, 2, 55.0001, 12.0)], "dev int, node int, lat double, lng double")
+    components.link_within(points, ["dev"], "node", "lat", "lng", 30).collect()
+    assert "SortMergeJoin" in seen[0]
