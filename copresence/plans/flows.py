@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, functions as F
 
 from copresence.functions.time_bins import explode_bins, stay_span
-from copresence.operators import cleaning, experienced, home, nullmodel, place, profiles, stays
+from copresence.operators import cleaning, experienced, home, nullmodel, place, profiles, replicates, stays
 from copresence.session import cut
 
 
@@ -59,7 +59,7 @@ def null_from_visits(visits: DataFrame, pois: DataFrame, metrics: DataFrame, uni
     """Visits at tagged places to n replicates of their destinations, and the exposure in each replicate.
 
     Visits need x, y, tag, home and the unit, and keep their half hours as a span; the metrics are those of the observed visits.
-    Both are stored once, as every replicate reads them.
+    Both are stored once, as every replicate reads them. The mean over replicates comes from vectors; rows per replicate are made when they are read.
     """
     visits, metrics = cut(visits), cut(metrics)
     moving = nullmodel.movable(visits)
@@ -68,4 +68,19 @@ def null_from_visits(visits: DataFrame, pois: DataFrame, metrics: DataFrame, uni
     kept = visits.where(~((F.col("home") == 0) & F.col("tag").isNotNull()))
     shifted = nullmodel.merge_moved(kept, drawn, unit, n)
     met = experienced.experienced_spans(shifted, metrics, unit, ["sim"])
-    return shifted, met, experienced.sim_mean(met)
+    numbers = replicates.numbered(metrics, unit)
+    vectors = near_vectors(visits, pois, unit, ids, n, pick, numbers, SPAN)
+    values = replicates.cells(metrics, numbers, unit, "ice_birth", experienced.CELL)
+    return shifted, met, replicates.vector_mean(replicates.met_vectors(vectors, values, n))
+
+
+#: What the exposure in replicates needs of a visit.
+SPAN = ["uid", "weekday", "holiday", "time_span"]
+
+
+def near_vectors(visits: DataFrame, pois: DataFrame, unit: str, ids: list[str], n: int, pick, numbers: DataFrame, more: list[str]) -> DataFrame:
+    """The visits with the numbers of their n units in the model that keeps places near, and the columns `more`."""
+    known = visits.join(numbers, unit, "left")
+    pool = nullmodel.candidate_pool(nullmodel.movable(visits), pois, unit).join(numbers, unit, "left")
+    drawn = replicates.draw_vector(nullmodel.movable(known), pool, ["x", "y", "tag"], unit, ids, n, pick, "no")
+    return replicates.moved(drawn, known.where(~((F.col("home") == 0) & F.col("tag").isNotNull())), n, more)
