@@ -224,3 +224,65 @@ def per_replicate(df: DataFrame) -> DataFrame:
     """A row per replicate: `sim` from 1 and `ice_birth`."""
     rows = df.select("*", F.posexplode("ice_birth").alias("_i", "_v")).where("_v is not null").drop("ice_birth")
     return rows.select(*[c for c in rows.columns if c not in ("_i", "_v")], (F.col("_i") + 1).alias("sim"), F.nanvl("_v", F.lit(None).cast("double")).alias("ice_birth"))
+
+
+def mix_cells(visits: DataFrame, groups: DataFrame, n: int) -> DataFrame:
+    """`place.place_mix` per half hour, replicate and place: (time_seq, sim, no, f, d, n); a person counts once in each.
+
+    Visits are dealt by person and half hour with all replicates in one row and read in order, so that a person's places of a half hour stand
+    together; a task sums what it read, and of the last person it holds the distinct places only.
+    """
+    group = F.when(F.col("grp_r") == "F", 0).when(F.col("grp_r") == "D", 1).when(F.col("grp_r") == "N", 2).otherwise(3)
+    halves = explode_bins(visits.select("uid", "time_span", "nos").join(groups.select("uid", group.alias("g"), "wt_p"), "uid"))
+    dealt = halves.select("time_seq", "uid", "g", "wt_p", "nos").repartition("uid", "time_seq").sortWithinPartitions("time_seq", "uid")
+    sums = dealt.mapInArrow(lambda batches: _mixes(batches, n), "time_seq int, sim int, no long, f double, d double, n double")
+    return stored(sums.groupBy("time_seq", "sim", "no").agg(*[F.sum(c).alias(c) for c in ("f", "d", "n")]))
+
+
+def _mixes(batches: Iterator[pa.RecordBatch], n: int) -> Iterator[pa.RecordBatch]:
+    last = None  # time_seq, uid, g and wt_p of the last person's half hour, and its distinct replicates and places
+
+    def summed(time: np.ndarray, group: np.ndarray, w: np.ndarray, sim: np.ndarray, no: np.ndarray) -> pa.RecordBatch:
+        units, code = np.unique(no, return_inverse=True)
+        cell, where = np.unique((time.astype(np.int64) * n + sim) * len(units) + code, return_inverse=True)
+        parts = [np.bincount(where, np.where(group == g, w, 0.0), len(cell)) for g in range(3)]
+        at = cell // len(units)
+        return pa.RecordBatch.from_arrays([pa.array(v) for v in ((at // n).astype(np.int32), (at % n + 1).astype(np.int32), units[cell % len(units)], *parts)],
+                                          names=["time_seq", "sim", "no", "f", "d", "n"])
+
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        time, uid, group, w = (batch.column(i).to_numpy(zero_copy_only=False) for i in range(4))
+        row = np.concatenate([[0], np.cumsum((time[1:] != time[:-1]) | (uid[1:] != uid[:-1]))])
+        first = np.flatnonzero(np.diff(row, prepend=-1))
+        no, who, sim = batch.column(4).flatten().to_numpy(zero_copy_only=False), np.repeat(row, n), np.tile(np.arange(n), len(row))
+        if last is not None and last[:2] == (time[0], uid[0]):
+            no, who, sim = np.concatenate([last[5], no]), np.concatenate([np.zeros(len(last[4]), np.int64), who]), np.concatenate([last[4], sim])
+        elif last is not None:
+            yield summed(*[np.full(len(last[4]), v) for v in (last[0], *last[2:4])], last[4], last[5])
+        units, code = np.unique(no, return_inverse=True)
+        once = np.unique((who * n + sim) * len(units) + code)
+        no, who, sim = units[once % len(units)], once // len(units) // n, once // len(units) % n
+        at, open_ = first[who], who == row[-1]
+        if not open_.all():
+            done = at[~open_]
+            yield summed(time[done], group[done], w[done], sim[~open_], no[~open_])
+        last = (time[-1], uid[-1], group[-1], w[-1], sim[open_], no[open_])
+    if last is not None:
+        yield summed(*[np.full(len(last[4]), v) for v in (last[0], *last[2:4])], last[4], last[5])
+
+
+def _apart(df: DataFrame) -> DataFrame:
+    return df.select(*[c for c in df.columns if c != "nos"], F.posexplode("nos").alias("_s", "no")).withColumn("sim", F.col("_s") + 1).drop("_s")
+
+
+def contacts(visits: DataFrame, mix: DataFrame) -> DataFrame:
+    """`experienced.person_contact` per replicate, by weight: sums of the mixes that a person meets times the strength of its links.
+
+    A link's strength is the sum of its visits' weights, so every visit adds its own share and links are not built. Visits are dealt by
+    person and day type with all replicates in one row, and summed where they are taken apart.
+    """
+    dealt = visits.select("uid", *CELL[:2], "time_span", "wt_total", "nos").repartition("uid", *CELL[:2])
+    met = _apart(explode_bins(dealt.drop(*CELL[:2]))).join(mix, ["time_seq", "sim", "no"])
+    return met.groupBy("uid", "sim").agg(*[F.sum(F.col(g) * F.col("wt_total")).alias(g) for g in ("f", "d", "n")])

@@ -5,7 +5,8 @@ import statistics
 
 from pyspark.sql import functions as F
 
-from copresence.operators import experienced, nullmodel, replicates
+from copresence.functions import time_bins
+from copresence.operators import experienced, nullmodel, place, replicates
 
 
 def pick(keys):
@@ -73,3 +74,21 @@ def test_means_of_vectors(spark):
     rows = [(1, 1, 0, 1, [1.0, 3.0, None]), (1, 1, 0, 2, [nan, 8.0, 8.0]), (2, 1, 0, 1, [None, None, None]), (3, 1, 0, 1, [nan, None, nan])]
     df = spark.createDataFrame(rows, "uid int, weekday int, holiday int, time_seq int, ice_birth array<double>")
     assert {r.uid: r.ice_birth for r in replicates.vector_mean(df).collect()} == {1: 5.0, 3: None}
+
+
+def test_contacts_of_vectors(spark):
+    """Equal to the links and mixes of the long form, with persons whose half hour runs over several batches."""
+    visits = spark.createDataFrame([(i % 3, 1, 0, (i * 7) % 5 + 1, 1.0 + i % 4, [i % 4, (i * 3) % 5]) for i in range(90)], "uid int, weekday int, holiday int, lo int, wt_total double, nos array<bigint>")
+    visits = visits.withColumn("time_span", F.array(F.struct("lo", (F.col("lo") + 1).alias("hi")))).drop("lo")
+    groups = spark.createDataFrame([(0, "F", 2.0), (1, "D", 3.0), (2, "N", 5.0)], "uid int, grp_r string, wt_p double")
+    bins = time_bins.explode_bins(visits).select("*", F.posexplode("nos").alias("s", "unit")).withColumn("sim", F.col("s") + 1)
+    links = place.links(bins, "unit", ["time_seq", "sim"])
+    mix = place.place_mix(links.join(groups, "uid"), ["unit", "time_seq", "sim"])
+    want = {(r.uid, r.sim): (r.f, r.d, r.n) for r in experienced.person_contact(links, mix, ["unit", "time_seq", "sim"], True, ["sim"]).collect()}
+    for most in (10_000, 4):
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", most)
+        try:
+            got = {(r.uid, r.sim): (r.f, r.d, r.n) for r in replicates.contacts(visits, replicates.mix_cells(visits, groups, 2)).collect()}
+        finally:
+            spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+        assert got == want and len(want) == 6
