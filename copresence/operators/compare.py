@@ -255,20 +255,16 @@ def seg_share(zones: DataFrame, area: str, ice: str, limit: float = 0.2) -> Data
 
 
 def heterogeneity(df: DataFrame, by: list[str], cats: list[str], metrics: list[str], w: str) -> DataFrame:
-    """Weighted quartiles and mean of every metric in every level of every category, stacked, in one job.
+    """Weighted quartiles and mean of every metric in every level of every category, stacked, in one plan.
 
-    Metrics are stacked and summed to distinct values of all categories first; one grouping set for each category then works on those sums.
+    Rows are taken apart where they are read and combine to (group, piece of the value range) before the shuffle; only values of the
+    pieces that hold a quartile are summed one by one.
     """
-    value = F.explode(F.array(*[F.struct(F.lit(m).alias("var"), F.col(m).cast("double").alias("value")) for m in metrics]))
-    levels = [F.col(c).cast("string").alias(f"_{i}") for i, c in enumerate(cats)]
-    names = [f"_{i}" for i in range(len(cats))]
-    stacked = df.select(*by, w, *levels, value.alias("m")).select(*by, w, *names, "m.*")
-    sums = cut(stacked.groupBy(*by, *names, "var", "value").agg(F.sum(w).alias("_w")))  # read by the cuts and by every set
-    sets = sums.groupingSets([[*by, n, "var", "value"] for n in names], *by, *names, "var", "value").agg(
-        F.sum("_w").alias(w), *[F.grouping(n).alias(f"_g{n}") for n in names])
-    own = lambda f: F.coalesce(*[F.when(F.col(f"_g{n}") == 0, f(i, n)) for i, n in enumerate(names)])
-    long = sets.select(*by, own(lambda i, n: F.lit(cats[i])).alias("cate_name"), own(lambda i, n: F.col(n)).alias("cate_level"), "var", "value", w)
-    return quantiles.group_stats(long, [*by, "cate_name", "cate_level", "var"], "value", w, ordered.split_points(sums, "value"))
+    values = F.array(*[F.struct(F.lit(m).alias("var"), F.col(m).cast("double").alias("value")) for m in metrics])
+    level = F.explode(F.array(*[F.struct(F.lit(c).alias("cate_name"), F.col(c).cast("string").alias("cate_level")) for c in cats]))
+    cuts = ordered.split_points(df.select(F.explode(values).alias("m")).select("m.value"), "value")
+    long = df.select(*by, w, level.alias("c"), values.alias("m")).select(*by, w, "c", F.explode("m").alias("m")).select(*by, "c.*", "m.*", w)
+    return quantiles.group_stats(long, [*by, "cate_name", "cate_level", "var"], "value", w, cuts, again=True)
 
 
 def importance_compare(a: DataFrame, b: DataFrame, name: str, score: str, top: int = 10) -> DataFrame:

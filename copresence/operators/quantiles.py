@@ -9,6 +9,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window, functions as F
 
 from copresence.operators.ordered import piece_of, split_points
+from copresence.session import stored
 
 
 def _group(by: list[str]):
@@ -36,14 +37,25 @@ def _located(pieces: DataFrame, by: list[str], probs: list[float]) -> DataFrame:
     )
 
 
-def wquantile_ecdf(df: DataFrame, by: list[str], x: str, w: str, probs: list[float], cuts: list[float] | None = None):
-    """Smallest value whose cumulative weight reaches p*W; on equality the mean of it and the next value."""
+def wquantile_ecdf(df: DataFrame, by: list[str], x: str, w: str, probs: list[float], cuts: list[float] | None = None, again: bool = False):
+    """Smallest value whose cumulative weight reaches p*W; on equality the mean of it and the next value.
+
+    With `again` rows are read twice: once for the sums of pieces, which combine before the shuffle, then for the values of the pieces
+    that hold a quantile; without it all values are summed once.
+    """
     cuts = split_points(df, x) if cuts is None else cuts
     keys = [*by, "_piece"]
-    values = _weighted(df, by, x, w).withColumn("_piece", piece_of(F.col("_x"), cuts)).groupBy(*keys, "_x").agg(F.sum("_w").alias("_s1"))
-    pieces = _located(values.groupBy(*keys).agg(F.sum("_s1").alias("_s"), F.min("_x").alias("_first"), F.max("_x").alias("_last")), by, probs)
+    rows = _weighted(df, by, x, w).withColumn("_piece", piece_of(F.col("_x"), cuts))
+    summed = lambda r: r.groupBy(*keys, "_x").agg(F.sum("_w").alias("_s1"))
+    parts, weight = (rows, "_w") if again else (summed(rows), "_s1")
+    pieces = _located(parts.groupBy(*keys).agg(F.sum(weight).alias("_s"), F.min("_x").alias("_first"), F.max("_x").alias("_last")), by, probs)
     starts = (F.col("_lo") < F.col("_t")) | F.col("_px").isNull()
     targets = pieces.where(starts & (F.col("_t") <= F.col("_hi"))).select(*keys, "prob", "_t", "_lo", "_nx")
+    if again:
+        targets = stored(targets)
+        values = summed(rows.join(targets.select(*keys).distinct(), keys, "left_semi"))
+    else:
+        values = parts
     win = Window.partitionBy(*keys, "prob").orderBy("_x")
     hit = (
         values.join(targets, keys)
@@ -159,8 +171,8 @@ def medians(df: DataFrame, by: list[str], cols: list[str]) -> DataFrame:
     return q.groupBy(*by).agg(*[F.max(F.when(F.col("_col") == c, F.col("value"))).alias(c) for c in cols])
 
 
-def group_stats(df: DataFrame, by: list[str], x: str, w: str, cuts: list[float] | None = None) -> DataFrame:
-    """Weighted quartiles and mean by group."""
-    q = wide(wquantile_ecdf(df, by, x, w, [0.25, 0.5, 0.75], cuts), by, {0.25: "q25", 0.5: "q50", 0.75: "q75"})
+def group_stats(df: DataFrame, by: list[str], x: str, w: str, cuts: list[float] | None = None, again: bool = False) -> DataFrame:
+    """Weighted quartiles and mean by group; `again` as in `wquantile_ecdf`."""
+    q = wide(wquantile_ecdf(df, by, x, w, [0.25, 0.5, 0.75], cuts, again), by, {0.25: "q25", 0.5: "q50", 0.75: "q75"})
     m = df.groupBy(*by).agg((F.sum(F.col(x) * F.col(w)) / F.sum(F.when(F.col(x).isNotNull(), F.col(w)))).alias("avg"))
     return q.join(m, by) if by else q.withColumn("avg", m.scalar())

@@ -15,7 +15,7 @@ from pyspark.sql import Column, DataFrame, functions as F, types as T
 from copresence.functions import draws
 from copresence.functions.time_bins import explode_bins
 from copresence.operators.experienced import CELL
-from copresence.session import cut, scratch
+from copresence.session import cut, stored
 
 #: Places of a block, as a power of two.
 BITS = 10
@@ -78,13 +78,6 @@ def looked_up(nos: Column, block: Column, values: Column) -> Column:
     return F.transform(nos, lambda i: F.when(_block(i) == block, F.get(values, _slot(i).cast("int"))))
 
 
-def stored(df: DataFrame) -> DataFrame:
-    """The rows from a file in the shared folder, whose size Spark knows when it plans joins with them."""
-    path = scratch(df.sparkSession, "cells")
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
-
-
 @F.arrow_udf(T.ArrayType(T.DoubleType()))
 def spread(slot: pa.Array, value: pa.Array) -> pa.Array:
     """Values as an array by slot, null where a slot has none."""

@@ -81,3 +81,16 @@ def test_sequences_cross_slots(spark):
     assert [num[("u", t)] for t in (1, 3, 12, 13, 45, 46, 99)] == list(range(1, 8))
     run = {(r.k, r.t): r.s for r in ordered.running_sum(df, ["k"], "slot", ["t"], F.col("t"), "s").collect()}
     assert run[("u", 46)] == 1 + 3 + 12 + 13 + 45 + 46
+
+
+def test_values_are_summed_in_wanted_pieces_only(spark, monkeypatch):
+    """Rows read twice give the same quantiles, and only the pieces that hold one are summed value by value."""
+    rows = [(g, float((i * 37) % 400) / 4, 1 + i % 3) for g in ("a", "b") for i in range(400 if g == "a" else 90)] + [("a", None, 1), ("b", float("nan"), 2), ("c", 7.0, 1)]
+    df = spark.createDataFrame(rows, "g string, x double, w int")
+    cuts = [float(c) for c in range(5, 100, 5)]
+    want = {(r.g, r.prob): r.value for r in quantiles.wquantile_ecdf(df, ["g"], "x", "w", [0.25, 0.5, 0.75], cuts).collect()}
+    seen = []
+    monkeypatch.setattr(quantiles, "stored", lambda t: seen.append(t) or t.localCheckpoint())
+    got = {(r.g, r.prob): r.value for r in quantiles.wquantile_ecdf(df, ["g"], "x", "w", [0.25, 0.5, 0.75], cuts, again=True).collect()}
+    assert got == want and len(want) == 9
+    assert seen[0].select("g", "_piece").distinct().count() == 7
