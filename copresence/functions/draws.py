@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import math
 from collections.abc import Callable
+from functools import lru_cache
 
 import numpy as np
 import pandas as pd
@@ -78,16 +79,32 @@ def _inverted(mean: np.ndarray, q: np.ndarray) -> np.ndarray:
 
 def hashed_uniform(keys: np.ndarray, n: int, seed: int) -> np.ndarray:
     """Numbers strictly between 0 and 1, a row of n for each key, from key, place and seed only."""
+    base, step = _bases(keys, n, seed)
     with np.errstate(over="ignore"):
-        base = _mixed(keys.astype(np.int64).view(np.uint64) + np.uint64(seed * 0x9E3779B97F4A7C15 % 2**64))
-        x = _mixed(base[:, None] + (np.arange(1, n + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15))[None, :])
-    return (x >> np.uint64(12)).astype(float) / _SPAN + 0.5 / _SPAN
+        x = base[:, None] + step
+        _mix(x, np.empty_like(x))
+    return _between(x)
+
+
+def _bases(keys: np.ndarray, n: int, seed: int) -> tuple[np.ndarray, np.ndarray]:
+    with np.errstate(over="ignore"):
+        base = keys.astype(np.int64).view(np.uint64) + np.uint64(seed * 0x9E3779B97F4A7C15 % 2**64)
+        _mix(base, np.empty_like(base))
+        return base, np.arange(1, n + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)
 
 
-def _mixed(x: np.ndarray) -> np.ndarray:
-    x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
-    x = (x ^ (x >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
-    return x ^ (x >> np.uint64(31))
+def _mix(x: np.ndarray, spare: np.ndarray) -> np.ndarray:
+    """Mixes the bits of x in place; returns the spare array."""
+    for shift, factor in ((30, 0xBF58476D1CE4E5B9), (27, 0x94D049BB133111EB), (31, None)):
+        np.right_shift(x, np.uint64(shift), out=spare)
+        np.bitwise_xor(x, spare, out=x)
+        if factor:
+            np.multiply(x, np.uint64(factor), out=x)
+    return spare
+
+
+def _between(x: np.ndarray) -> np.ndarray:
+    return (x >> np.uint64(12)).astype(float) / _SPAN + 0.5 / _SPAN
 
 
 def poisson_quantile(means: np.ndarray, u: np.ndarray) -> np.ndarray:
@@ -111,6 +128,44 @@ def _poisson_table(mean: float) -> tuple[int, np.ndarray]:
     return low, np.cumsum(np.exp(k * math.log(mean) - mean - logs))
 
 
+#: Leading bits of a hashed number that name its bucket, numbers hashed at once, and the largest mean that has a table of buckets.
+_BITS, _AT_ONCE, _LARGEST = 12, 32_768, 200.0
+
+
+def hashed_poisson(keys: np.ndarray, means: np.ndarray, n: int, seed: int) -> np.ndarray:
+    """The counts that `poisson_quantile` gives for the numbers of `hashed_uniform`. Most follow from a number's leading bits alone; only numbers
+    of buckets that hold a step of the running shares are compared with them."""
+    values, which = np.unique(means, return_inverse=True)
+    if not len(values) or not 0 < values[0] <= values[-1] <= _LARGEST or 2 * len(values) > len(means):
+        return poisson_quantile(means, hashed_uniform(keys, n, seed))
+    base, step = _bases(keys, n, seed)
+    out, size = np.empty((len(keys), n), np.int16), max(1, _AT_ONCE // n)
+    order = np.argsort(which, kind="stable")
+    ends = np.cumsum(np.bincount(which))
+    for mean, end, many in zip(values.tolist(), ends, np.bincount(which)):
+        buckets, low, shares = _buckets(mean)
+        for at in range(end - many, end, size):
+            rows = order[at:min(at + size, end)]
+            with np.errstate(over="ignore"):
+                x = base[rows, None] + step
+            lead = _mix(x, np.empty_like(x))
+            np.right_shift(x, np.uint64(64 - _BITS), out=lead)
+            found = np.take(buckets, lead.view(np.int64), mode="clip")
+            several = np.flatnonzero(found < 0)
+            found.reshape(-1)[several] = low + np.searchsorted(shares, _between(x.reshape(-1)[several]))
+            out[rows] = found
+    return out
+
+
+@lru_cache(1024)
+def _buckets(mean: float) -> tuple[np.ndarray, int, np.ndarray]:
+    """The count of every bucket of numbers, -1 where a bucket has several, and the table of running shares."""
+    low, shares = _poisson_table(mean)
+    lead = np.arange(1 << _BITS, dtype=np.uint64) << np.uint64(64 - _BITS)
+    first, last = (low + np.searchsorted(shares, _between(lead + np.uint64(i))) for i in (0, (1 << (64 - _BITS)) - 1))
+    return np.where(first == last, first, -1).astype(np.int16), low, shares
+
+
 def binomial_quantile(n: np.ndarray, p: float, u: np.ndarray) -> np.ndarray:
     """Counts of hits among n tries by inversion, for one chance p strictly between 0 and 1; one table serves all rows of an n."""
     out = np.zeros(len(n), np.int64)

@@ -16,23 +16,24 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, functions as F
 
-from copresence.functions.draws import hashed_uniform, poisson_quantile
+from copresence.functions.draws import hashed_poisson
 from copresence.functions.tails import normal_tail
 from copresence.operators.ordered import piece_of, split_points
-from copresence.session import cut
+from copresence.session import beside, cut
 
 #: (keys, means, replicates) to a matrix of counts, a row for each key.
 Counts = Callable[[np.ndarray, np.ndarray, int], np.ndarray]
 
-#: Cells of one piece, and cells whose counts are in memory at once.
+#: Cells of one piece, cells whose counts are in memory at once, and replicates of them that are ranked at once.
 PIECE = 20_000
 BLOCK = 500
+STRIP = 64
 
 
 def seeded(seed: int) -> Counts:
     """Poisson counts by inversion of numbers hashed from key, replicate and seed."""
     def counts(keys: np.ndarray, means: np.ndarray, n: int) -> np.ndarray:
-        return poisson_quantile(means, hashed_uniform(keys, n, seed))
+        return hashed_poisson(keys, means, n, seed)
 
     return counts
 
@@ -130,8 +131,9 @@ def medians(df: DataFrame, by: list[str], x: str, w: str, n: int = 1000, counts:
         weight, first = np.zeros(n), np.full(n, np.nan)
         for cells, drawn in _blocks(part.sort_values("_x"), counts, n, block):
             weight += cells["_w"].to_numpy() @ drawn
-            hit = (drawn > 0).any(axis=0) & np.isnan(first)
-            first[hit] = cells["_x"].to_numpy()[(drawn[:, hit] > 0).argmax(axis=0)]
+            if np.isnan(first).any():
+                hit = (drawn > 0).any(axis=0) & np.isnan(first)
+                first[hit] = cells["_x"].to_numpy()[(drawn[:, hit] > 0).argmax(axis=0)]
         return _keyed(keys, k[:-1], {"low": part["_x"].min(), "high": part["_x"].max(), "weight": weight, "first": first})
 
     def together(k: tuple, parts: pd.DataFrame) -> pd.DataFrame:
@@ -200,9 +202,8 @@ def signed_ranks(df: DataFrame, by: list[str], x: str, w: str, baseline: float,
     counts, block = counts or seeded(1), BLOCK
     rows = df.where(F.col(w) > 0)
     total = rows.groupBy(*by).agg(F.sum(w).alias("_w"), F.count(F.lit(1)).alias("_rows"))
-    beside = rows.join(total, by) if by else rows.withColumns({c: total.select(c).scalar() for c in total.columns if c not in by})
-    beside = beside.withColumn("_v", F.col(x).cast("double") - baseline).where((F.col("_v") != 0) & ~F.isnan("_v"))
-    cells = _cells(beside.withColumn("_share", F.col("_rows") * F.col(w) / F.col("_w")), by, {"_v": F.col("_v")}, F.col("_share"), key)
+    rows = beside(rows, total, by).withColumn("_v", F.col(x).cast("double") - baseline).where((F.col("_v") != 0) & ~F.isnan("_v"))
+    cells = _cells(rows.withColumn("_share", F.col("_rows") * F.col(w) / F.col("_w")), by, {"_v": F.col("_v")}, F.col("_share"), key)
     cells = _in_pieces(cells.withColumn("_a", F.abs("_v")), "_a")
     fields = _fields(df, by)
     names = ["n", "pos", "ranks", "ties"]
@@ -211,15 +212,22 @@ def signed_ranks(df: DataFrame, by: list[str], x: str, w: str, baseline: float,
         """Rank sums as if nothing lay below the piece; what does adds its count to each positive row."""
         out = {c: np.zeros(n) for c in names}
         for same in _whole_values(piece.sort_values(["_a", "_v"]), block):
-            drawn = counts(same["_key"].to_numpy(np.int64), same["_mean"].to_numpy(float), n).astype(float)
+            drawn = counts(same["_key"].to_numpy(np.int64), same["_mean"].to_numpy(float), n)
             starts = np.flatnonzero(np.append(True, np.diff(same["_a"].to_numpy()) > 0))
-            both = np.add.reduceat(drawn, starts, axis=0)
-            pos = np.add.reduceat(drawn * (same["_v"].to_numpy() > 0)[:, None], starts, axis=0)
-            before = out["n"] + np.cumsum(both, axis=0) - both
-            out["ranks"] += (pos * (before + (both + 1) / 2)).sum(axis=0)
-            out["ties"] += (both ** 3 - both).sum(axis=0)
-            out["n"] += both.sum(axis=0)
-            out["pos"] += pos.sum(axis=0)
+            positive = (same["_v"].to_numpy() > 0).astype(float)[:, None]
+            for sims in (slice(at, at + STRIP) for at in range(0, n, STRIP)):
+                both = drawn[:, sims].astype(float)
+                pos = both * positive
+                if len(starts) < len(both):
+                    both, pos = np.add.reduceat(both, starts, axis=0), np.add.reduceat(pos, starts, axis=0)
+                upto = np.cumsum(both, axis=0)
+                drawn_here, pos_here = upto[-1].copy(), pos.sum(axis=0)
+                upto += out["n"][sims]
+                # the mean rank of a value is upto - (both - 1)/2
+                out["ranks"][sims] += _dot(pos, upto) - (_dot(pos, both) - pos_here) / 2
+                out["ties"][sims] += _dot(both * both, both) - drawn_here
+                out["n"][sims] += drawn_here
+                out["pos"][sims] += pos_here
         return _keyed([*by, "_piece"], k, out)
 
     def together(k: tuple, pieces: pd.DataFrame) -> pd.DataFrame:
@@ -234,6 +242,10 @@ def signed_ranks(df: DataFrame, by: list[str], x: str, w: str, baseline: float,
     return pieces.groupBy(*by).applyInPandas(together, f"{fields}sim int, t_plus double, n long, ties double")
 
 
+def _dot(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    return np.einsum("ij,ij->j", a, b)
+
+
 def _whole_values(piece: pd.DataFrame, size: int) -> Iterator[pd.DataFrame]:
     """Blocks of cells that end between two absolute values: a value has at most two cells."""
     at, a = 0, piece["_a"].to_numpy()
@@ -269,7 +281,7 @@ def correlation_error(df: DataFrame, by: list[str], x: str, y: str, w: str, n: i
     counts, block = counts or seeded(1), BLOCK
     means = df.groupBy(*by).agg(F.avg(x).alias("_mx"), F.avg(y).alias("_my"))
     cells = _cells(df, by, {"_x": F.col(x), "_y": F.col(y), "_w": F.col(w)}, F.lit(1.0), key).where("_x is not null and _y is not null and _w > 0")
-    cells = cells.join(means, by) if by else cells.withColumns({c: means.select(c).scalar() for c in means.columns})
+    cells = beside(cells, means, by)
     shares = 1 + cells.count() // PIECE
     cells = cells.withColumn("_share", F.pmod(F.xxhash64("_key"), F.lit(shares)))
     fields = _fields(df, by)

@@ -8,6 +8,8 @@ the next slot needs. Group sizes are then bounded by the slot, and the carry tab
 
 from __future__ import annotations
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 
@@ -79,18 +81,15 @@ def split_points(df: DataFrame, col: str, parts: int = 64) -> list[float]:
 
 
 def piece_of(x: Column, cuts: list[float]) -> Column:
-    """Index of the piece a value falls in: a balanced tree of comparisons, kept inside code generation; for many cuts a search by halves."""
+    """Index of the piece a value falls in: a balanced tree of comparisons, kept inside code generation; for many cuts a search by batches."""
     if len(cuts) > 128:
-        held = F.array(*[F.lit(c) for c in cuts])
+        held = np.array(cuts)
 
-        def halve(s: Column, _: Column) -> Column:
-            mid = F.floor((s["lo"] + s["hi"]) / 2).cast("int")
-            below = x <= F.element_at(held, mid + 1)
-            moved = F.struct(F.when(below, s["lo"]).otherwise(mid + 1).alias("lo"), F.when(below, mid).otherwise(s["hi"]).alias("hi"))
-            return F.when(s["lo"] < s["hi"], moved).otherwise(s)
+        @F.pandas_udf("int")
+        def place(x: pd.Series) -> pd.Series:
+            return pd.Series(np.searchsorted(held, x.to_numpy(float)).astype(np.int32))
 
-        start = F.struct(F.lit(0).alias("lo"), F.lit(len(cuts)).alias("hi"))
-        return F.aggregate(F.sequence(F.lit(1), F.lit(len(cuts).bit_length())), start, halve, lambda s: s["lo"])
+        return place(x.cast("double"))
 
     def tree(lo: int, hi: int) -> Column:
         if lo == hi:

@@ -177,3 +177,38 @@ def test_drawn_distances(spark):
     total = {d: sum(r[3] for r in a if r[2] == d) / 300_000 for d in range(1, 5)}
     assert all(abs(total[d] - f) < 0.01 for d, f in zip(total, [0.4, 0.3, 0.2, 0.1]))
     assert nullmodel.drawn_distances(people, decay.limit(0), F.col("uid")).count() == 0
+
+
+@pytest.mark.parametrize("means", [[1.0] * 9, [0.3, 2.5, 2.5, 0.3, 40.0, 2.5, 40.0, 0.3], [1.0, 2.0, 3.0], [500.0] * 4, [0.0, 1.0, 1.0, 1.0], []])
+def test_counts_by_leading_bits(means):
+    keys, means = np.arange(len(means)) * 7919 - 5, np.array(means)
+    plain = draws.poisson_quantile(means, draws.hashed_uniform(keys, 5000, 3))
+    assert (draws.hashed_poisson(keys, means, 5000, 3) == plain).all()
+
+
+def test_counts_are_not_compared_one_by_one(monkeypatch):
+    """Of a million numbers only those in buckets with a step of the shares are looked up."""
+    looked, search = [], np.searchsorted
+    draws.hashed_poisson(np.arange(4), np.ones(4), 10, 1)  # the buckets are known
+    monkeypatch.setattr(np, "searchsorted", lambda a, v, *more: looked.append(np.size(v)) or search(a, v, *more))
+    bootstrap.seeded(1)(np.arange(1000), np.ones(1000), 1000)
+    assert 0 < sum(looked) < 20_000
+
+
+def test_groups_stay_where_they_are(spark):
+    """Rows meet the sum of their group without a shuffle by group."""
+    from copresence.session import beside
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", str(10 << 20))
+    rows = spark.range(1000).selectExpr("id % 3 g", "id x")
+    plan = beside(rows, rows.groupBy("g").agg(F.sum("x").alias("t")), ["g"])._jdf.queryExecution().executedPlan().toString()
+    assert "BroadcastHashJoin" in plan and "hashpartitioning" not in plan
+
+
+def test_many_cuts(spark):
+    from copresence.operators import ordered
+    cuts = [float(i) for i in range(0, 400, 2)]
+    rows = spark.createDataFrame([(x,) for x in (-1.0, 0.0, 0.5, 2.0, 399.0, float("nan"), None)], "x double")
+    few = rows.select(ordered.piece_of(F.col("x"), cuts[:100]).alias("p"))
+    many = rows.select(ordered.piece_of(F.col("x"), cuts).alias("p"))
+    assert [r.p for r in many.collect()] == [0, 0, 1, 1, 200, 200, 200] and [r.p for r in few.collect()] == [0, 0, 1, 1, 100, 100, 100]
+    assert "aggregate(" not in many._jdf.queryExecution().optimizedPlan().toString()
