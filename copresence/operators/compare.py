@@ -10,18 +10,12 @@ from copresence.functions.draws import poisson, poisson_one, uniform
 from copresence.functions.tails import t_tail
 from copresence.operators import bootstrap, cleaning, ordered, quantiles, series
 from copresence.operators.mobility import share_within
-from copresence.session import cut
-
-
-def _by(df: DataFrame, table: DataFrame, by: list[str]) -> DataFrame:
-    """Join a small per-group table; a one-row table is attached as scalars."""
-    if by:
-        return df.join(table, by)
-    return df.withColumns({c: table.select(c).scalar() for c in table.columns})
+from copresence.session import beside
 
 
 def _beside(a: DataFrame, b: DataFrame, by: list[str]) -> DataFrame:
-    return _by(a, b, by)
+    """Two tables of groups side by side."""
+    return a.join(b, by) if by else a.withColumns({c: b.select(c).scalar() for c in b.columns})
 
 
 def wavg(x: Column, w: Column) -> Column:
@@ -31,17 +25,16 @@ def wavg(x: Column, w: Column) -> Column:
 
 def wmoments(df: DataFrame, by: list[str], x: str, w: str, ddof: int = 1) -> DataFrame:
     """Weighted mean and standard deviation; squares are taken around the mean, in a second pass."""
-    first = df.groupBy(*by).agg(wavg(F.col(x), F.col(w)).alias("mean"), F.sum(w).alias("weight"))
-    centred = _by(df, first.select(*by, F.col("mean").alias("_m")), by)
-    second = centred.groupBy(*by).agg(F.sum(F.col(w) * F.pow(F.col(x) - F.col("_m"), 2)).alias("_ss"))
-    out = _beside(first, second, by)
+    first = df.groupBy(*by).agg(wavg(F.col(x), F.col(w)).alias("_m"), F.sum(w).alias("_sum"))
+    out = beside(df, first, by).groupBy(*by).agg(
+        F.first("_sum").alias("weight"), F.first("_m").alias("mean"), F.sum(F.col(w) * F.pow(F.col(x) - F.col("_m"), 2)).alias("_ss"))
     return out.select(*by, "weight", "mean", F.sqrt(F.col("_ss") / (F.col("weight") - ddof)).alias("std"))
 
 
 def wcorr(df: DataFrame, by: list[str], x: str, y: str, w: str) -> DataFrame:
     """Weighted Pearson correlation."""
     m = df.groupBy(*by).agg(wavg(F.col(x), F.col(w)).alias("_mx"), wavg(F.col(y), F.col(w)).alias("_my"))
-    c = _by(df, m, by)
+    c = beside(df, m, by)
     dx, dy, wt = F.col(x) - F.col("_mx"), F.col(y) - F.col("_my"), F.col(w)
     return c.groupBy(*by).agg((F.sum(wt * dx * dy) / F.sqrt(F.sum(wt * dx * dx) * F.sum(wt * dy * dy))).alias("r"))
 
@@ -126,7 +119,7 @@ def wrank_test(df: DataFrame, by: list[str], x: str, g: str, w: str) -> DataFram
     m = rows.groupBy(*by).agg(part(one, wt).alias("_w1"), part(~one, wt).alias("_w0"), F.count(F.lit(1)).alias("n"),
                               (part(one, wt * r) / part(one, wt)).alias("_m1"), (part(~one, wt * r) / part(~one, wt)).alias("_m0"))
     infl = F.when(one, wt * (r - F.col("_m1")) / F.col("_w1")).otherwise(wt * (r - F.col("_m0")) / F.col("_w0"))
-    var = _by(rows, m, by).groupBy(*by).agg(F.sum(infl * infl).alias("_ss"))
+    var = beside(rows, m, by).groupBy(*by).agg(F.sum(infl * infl).alias("_ss"))
     out = _beside(m, var, by).withColumn("estimate", F.col("_m1") - F.col("_m0"))
     t = F.col("estimate") / F.sqrt(F.col("_ss") * F.col("n") / (F.col("n") - 1))
     return out.select(*by, "n", "estimate", t.alias("t"))

@@ -198,7 +198,6 @@ def test_counts_are_not_compared_one_by_one(monkeypatch):
 def test_groups_stay_where_they_are(spark):
     """Rows meet the sum of their group without a shuffle by group."""
     from copresence.session import beside
-    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", str(10 << 20))
     rows = spark.range(1000).selectExpr("id % 3 g", "id x")
     plan = beside(rows, rows.groupBy("g").agg(F.sum("x").alias("t")), ["g"])._jdf.queryExecution().executedPlan().toString()
     assert "BroadcastHashJoin" in plan and "hashpartitioning" not in plan
@@ -212,3 +211,17 @@ def test_many_cuts(spark):
     many = rows.select(ordered.piece_of(F.col("x"), cuts).alias("p"))
     assert [r.p for r in many.collect()] == [0, 0, 1, 1, 200, 200, 200] and [r.p for r in few.collect()] == [0, 0, 1, 1, 100, 100, 100]
     assert "aggregate(" not in many._jdf.queryExecution().optimizedPlan().toString()
+
+
+@pytest.mark.parametrize("name", ["effect_size", "group_regression", "weighted_moments", "weighted_correlation"])
+def test_no_shuffle_of_rows_by_group(spark, tables, name):
+    """Only the groups' sums are shuffled: every exchange stands on a partial sum."""
+    from catalog import QUERIES
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "20000")  # lineitem is larger
+    try:
+        plan = QUERIES[name](tables)._jdf.queryExecution().executedPlan().toString()
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+    lines = plan.split("\n")
+    under = [lines[i + 1] for i, line in enumerate(lines) if "Exchange hashpartitioning" in line]
+    assert under and all("partial" in u for u in under)
