@@ -15,8 +15,8 @@ from pyspark.ml.tuning import CrossValidator, ParamGridBuilder
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from copresence.functions import draws
-from copresence.operators.compare import _by, wavg
-from copresence.session import cut
+from copresence.operators.compare import wavg
+from copresence.session import beside, cut
 
 
 def split(df: DataFrame, keys: list[str], shares: list[float], seed: int = 0) -> list[DataFrame]:
@@ -34,7 +34,7 @@ def group_regression(df: DataFrame, by: list[str], x: str, y: str, w: str) -> Da
     """Weighted straight line per group: slope, intercept and R2 from centred sums."""
     ok = df.where(F.col(x).isNotNull() & F.col(y).isNotNull())
     m = ok.groupBy(*by).agg(wavg(F.col(x), F.col(w)).alias("_mx"), wavg(F.col(y), F.col(w)).alias("_my"))
-    c = _by(ok, m, by)
+    c = beside(ok, m, by)
     dx, dy, wt = F.col(x) - F.col("_mx"), F.col(y) - F.col("_my"), F.col(w)
     s = c.groupBy(*by).agg(F.sum(wt * dx * dx).alias("sxx"), F.sum(wt * dx * dy).alias("sxy"), F.sum(wt * dy * dy).alias("syy"),
                            F.first("_mx").alias("mx"), F.first("_my").alias("my"), F.count(F.lit(1)).alias("n"))
@@ -155,7 +155,7 @@ def additive_by_group(df: DataFrame, by: list[str], cols: list[str], y: str, bin
     single = cut(cells(binned, "_y", 0).groupBy(*by).applyInPandas(solve, f"{fields}a int, p int, share double, effect double, mean double"))
     known = single.groupBy(*by).agg(F.first("mean").alias("_mean"), F.map_from_entries(F.collect_list(F.struct(F.struct("a", "p"), "effect"))).alias("_f"))
     fitted = sum([F.element_at("_f", F.struct(F.lit(i).alias("a"), F.col(f"_b{i}").alias("p"))) for i in range(k)], F.col("_mean"))
-    left = _by(binned, known, by).withColumn("_r", F.col("_y") - fitted)
+    left = beside(binned, known, by).withColumn("_r", F.col("_y") - fitted)
     both = cut(cells(left, "_r", 1)) if pairs and k > 1 else None
     name = F.array(*[F.lit(c) for c in cols])
     at = lambda c: F.element_at(name, F.col(c) + 1)
