@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from copresence.functions import draws, indices
-from copresence.session import cut
+from copresence.session import cut, stored
 
 WALKS_PER_TASK = 20_000
 
@@ -175,19 +175,22 @@ def skip_gram_examples(walked: DataFrame, ids: DataFrame, window: int, negatives
     evenly from all ids. `ids` has node and node_id, from 1 without gaps. Draws name the walk and a place in it, so partitioning changes nothing.
     """
     on = list(key)
-    seq = walked.join(ids, "node").select(*on, "step", "node_id")
-    shift = F.explode(F.array(*[F.lit(d) for d in range(-window, window + 1) if d]))
-    here = seq.select(*on, F.col("step").alias("i"), F.col("node_id").alias("target"), shift.alias("_d")).withColumn("step", F.col("i") + F.col("_d"))
-    couples = here.join(seq.select(*on, "step", F.col("node_id").alias("context")), [*on, "step"]).withColumnRenamed("step", "j")
-    walk = Window.partitionBy(*on)  # a walk has a fixed, short length
-    order = pick([*[F.col(c) for c in on], F.col("i"), F.col("j")])
-    couples = couples.withColumn("_u", order).withColumn("_r", F.row_number().over(walk.orderBy("_u", "i", "j")) - 1).withColumn("_p", F.count(F.lit(1)).over(walk))
+    keys, ids = [F.col(c) for c in on], stored(ids.select("node", "node_id"))  # the size of the ids is known: few ones come to the walks
+    lone = walked.join(ids, "node").groupBy(*on).agg(F.collect_list(F.struct("step", "node_id")).alias("_w"))  # a walk has a fixed, short length
+
+    def couples(a: Column) -> Column:
+        near = F.filter("_w", lambda b: (b["step"] != a["step"]) & (F.abs(b["step"] - a["step"]) <= window))
+        return F.transform(near, lambda b: F.struct(pick([*keys, a["step"], b["step"]]).alias("u"), a["step"].alias("i"), b["step"].alias("j"),
+                                                    a["node_id"].alias("target"), b["node_id"].alias("context")))
+
+    shuffled = lone.select(*on, F.sort_array(F.flatten(F.transform("_w", couples))).alias("_c"))
+    each = shuffled.select(*on, F.size("_c").alias("_p"), F.posexplode("_c").alias("_r", "_c")).withColumn("_n", ids.select(F.count(F.lit(1))).scalar())
     wanted = F.floor(F.col("_p") * negatives).cast("long")
     copies = F.floor(wanted / F.col("_p")) + (F.col("_r") < wanted % F.col("_p")).cast("long")
-    total = ids.select(F.count(F.lit(1))).scalar()
-    drawn = couples.withColumn("_n", total).withColumn("_k", F.explode(F.filter(F.sequence(F.lit(0), copies), lambda k: k < copies)))
-    drawn = drawn.withColumn("context", draws.position(pick([*[F.col(c) for c in on], F.col("_r"), F.col("_k")]), F.col("_n")))
-    both = couples.select("target", "context", F.lit(1).alias("label")).unionByName(drawn.select("target", "context", F.lit(0).alias("label")))
+    drawn = F.transform(F.filter(F.sequence(F.lit(0), copies), lambda k: k < copies), lambda k: F.struct(
+        draws.position(pick([*keys, F.col("_r"), k]), F.col("_n")).alias("context"), F.lit(0).alias("label")))
+    met = F.array(F.struct(F.col("_c.context").alias("context"), F.lit(1).alias("label")))
+    both = each.select(F.col("_c.target").alias("target"), F.explode(F.concat(met, drawn)).alias("_e")).select("target", "_e.*")
     return both.where("target <> context").groupBy(F.least("target", "context").alias("target"), F.greatest("target", "context").alias("context"), "label").agg(
         F.count(F.lit(1)).alias("weight"))
 

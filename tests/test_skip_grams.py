@@ -59,3 +59,12 @@ def test_share_of_negatives(spark):
             seen[r.target] += r.weight
             seen[r.context] += r.weight
     assert len(seen) == 50 and max(seen.values()) < 1.7 * min(seen.values())
+
+
+def test_one_shuffle_for_walks_and_one_for_pairs(spark):
+    """Couples are made where their walk is: no join of places with places."""
+    walked = spark.createDataFrame([(s, i, n) for s in range(4) for i, n in enumerate("abca")], "start long, step int, node string")
+    ids = spark.createDataFrame([(n, i + 1) for i, n in enumerate("abc")], "node string, node_id long")
+    plan = graph.skip_gram_examples(walked, ids, 2, 1.5, pick, ("start",))._jdf.queryExecution().executedPlan().toString()
+    main = plan.split("Subqueries")[0]
+    assert main.count("Exchange hashpartitioning") == 2 and "SortMergeJoin" not in main and "Window" not in main
