@@ -59,18 +59,16 @@ def boot_median(df: DataFrame, by: list[str], x: str, w: str, n: int = 1000, **d
     return bootstrap.median(df, by, x, w, n, **draws)
 
 
-def midranks(df: DataFrame, by: list[str], x: str, name: str) -> DataFrame:
-    """Average rank of every row inside its group."""
-    cum = ordered.cumulate(df, by, x, {"n": F.count(F.lit(1))})
-    rank = cum.select(*by, x, (F.col("n_lt") + (F.col("n") + 1) / 2).alias(name))
-    return df.join(rank, [*by, x])
-
-
 def spearman(df: DataFrame, by: list[str], x: str, y: str, gate: float | None = None) -> DataFrame:
     """Rank correlation with its t statistic and two-sided p; null where a side does not vary. With a gate only rows with p below it stay."""
     both = df.where(F.col(x).isNotNull() & F.col(y).isNotNull()).select(*by, x, y)
-    ranked = midranks(midranks(both, by, x, "_rx"), by, y, "_ry")
-    out = ranked.groupBy(*by).agg(F.try_divide(F.covar_pop("_rx", "_ry"), F.stddev_pop("_rx") * F.stddev_pop("_ry")).alias("rho"), F.count(F.lit(1)).alias("n"))
+    # ranks from their mean; x needs only sums over the rows of a value, so rows are joined for y alone, in place where y has few values
+    rank = F.col("n_lt") + (F.col("n") - F.col("n_all")) / 2
+    other = ordered.cumulate(both, by, y, {"n": F.count(F.lit(1))}).select(*by, y, rank.alias("_ry"))
+    ranked = beside(both, other, [*by, y])
+    cum = ordered.cumulate(ranked, by, x, {"n": F.count(F.lit(1)), "_s": F.sum("_ry"), "_q": F.sum(F.col("_ry") * F.col("_ry"))}, ordered.split_points(both, x))
+    out = cum.withColumn("_rx", rank).groupBy(*by).agg(
+        F.try_divide(F.sum(F.col("_rx") * F.col("_s")), F.sqrt(F.sum(F.col("_rx") * F.col("_rx") * F.col("n"))) * F.sqrt(F.sum("_q"))).alias("rho"), F.sum("n").alias("n"))
     left = 1 - F.col("rho") * F.col("rho")
     perfect = (F.col("n") > 2) & (left < 1e-15)
     t = F.when(perfect, F.signum("rho") * float("inf")).otherwise(F.col("rho") * F.sqrt(F.try_divide(F.col("n") - 2, left)))

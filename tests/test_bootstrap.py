@@ -225,3 +225,15 @@ def test_no_shuffle_of_rows_by_group(spark, tables, name):
     lines = plan.split("\n")
     under = [lines[i + 1] for i, line in enumerate(lines) if "Exchange hashpartitioning" in line]
     assert under and all("partial" in u for u in under)
+
+
+def test_rank_correlation_moves_no_rows(spark, tables):
+    """Rows are summed to values before any shuffle; they are not joined with the ranks of the many values."""
+    from catalog import QUERIES
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "20000")  # lineitem is larger
+    try:
+        plan = QUERIES["significant_rank_correlations"](tables)._jdf.queryExecution().executedPlan().toString().split("\n")
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+    starts = [i for i, line in enumerate(plan) if "Exchange hashpartitioning" in line]
+    assert starts and all("Aggregate" in next(p for p in plan[i + 1:] if "Aggregate" in p or "Scan" in p) for i in starts)
