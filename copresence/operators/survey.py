@@ -23,10 +23,10 @@ def travel_minutes(trips: DataFrame, start: str, end: str) -> DataFrame:
 
 def chain_features(trips: DataFrame, order: list[str]) -> DataFrame:
     """What the first and last trip of a person say about the day's chain."""
-    key, row = F.struct(*order), F.struct("purpose", "origin", "desti")
-    legs = trips.groupBy("sub_id", "trip_id").agg(F.count(F.lit(1)).alias("legs"))
-    last_legs = legs.groupBy("sub_id").agg(F.max_by("legs", "trip_id").alias("last_legs"))
-    ends = trips.groupBy("sub_id").agg(F.min_by(row, key).alias("a"), F.max_by(row, key).alias("b")).join(last_legs, "sub_id")
+    placed = F.struct(*order, "purpose", *[c for c in ("origin", "desti") if c not in order])
+    # one pass: the first and last row of a trip lead to those of the person
+    legs = trips.groupBy("sub_id", "trip_id").agg(F.count(F.lit(1)).alias("legs"), F.min(placed).alias("a"), F.max(placed).alias("b"))
+    ends = legs.groupBy("sub_id").agg(F.min("a").alias("a"), F.max("b").alias("b"), F.max_by("legs", "trip_id").alias("last_legs"))
     flag = lambda c: c.cast("int")
     return ends.select(
         "sub_id", flag(F.col("a.origin") == F.col("b.desti")).alias("same_zone"), flag(F.col("b.purpose") == 2).alias("comm_end"),

@@ -117,3 +117,12 @@ def test_rank_correlation_gate(spark):
     t = got["none"].rho * math.sqrt(5 / (1 - got["none"].rho ** 2))
     assert got["none"].p == pytest.approx(2 * t_tail(abs(t), 5), rel=1e-6)
     assert {r.g for r in compare.spearman(df, ["g"], "x", "y", gate=0.05).collect()} == {"up"}
+
+
+def test_chain_features_read_trips_once(spark):
+    from copresence.operators import survey
+    rows = [(1, 1, 5, 2, 7, 8), (1, 2, 9, 3, 8, 7), (1, 2, 11, 2, 7, 7), (2, 1, 4, 0, 3, 4), (3, 1, 4, 2, 3, 4), (3, 4, 2, 2, 4, 3)]
+    trips = spark.createDataFrame(rows, "sub_id long, trip_id int, dep int, purpose int, origin int, desti int")
+    out = survey.chain_features(trips, ["dep", "trip_id", "desti", "origin"])
+    assert {tuple(r) for r in out.collect()} == {(1, 1, 1, 1, 1), (2, 0, 0, 0, 1), (3, 1, 1, 0, 1)}
+    assert "Join" not in out._jdf.queryExecution().executedPlan().toString()
