@@ -93,14 +93,19 @@ def _bases(keys: np.ndarray, n: int, seed: int) -> tuple[np.ndarray, np.ndarray]
         return base, np.arange(1, n + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)
 
 
-def _mix(x: np.ndarray, spare: np.ndarray) -> np.ndarray:
-    """Mixes the bits of x in place; returns the spare array."""
-    for shift, factor in ((30, 0xBF58476D1CE4E5B9), (27, 0x94D049BB133111EB), (31, None)):
+def _mix(x: np.ndarray, spare: np.ndarray) -> None:
+    """Mixes the bits of x in place."""
+    _mix_lead(x, spare)
+    np.right_shift(x, np.uint64(31), out=spare)
+    np.bitwise_xor(x, spare, out=x)
+
+
+def _mix_lead(x: np.ndarray, spare: np.ndarray) -> None:
+    """All of `_mix` but its last step, which leaves the 31 leading bits as they are."""
+    for shift, factor in ((30, 0xBF58476D1CE4E5B9), (27, 0x94D049BB133111EB)):
         np.right_shift(x, np.uint64(shift), out=spare)
         np.bitwise_xor(x, spare, out=x)
-        if factor:
-            np.multiply(x, np.uint64(factor), out=x)
-    return spare
+        np.multiply(x, np.uint64(factor), out=x)
 
 
 def _between(x: np.ndarray) -> np.ndarray:
@@ -129,7 +134,7 @@ def _poisson_table(mean: float) -> tuple[int, np.ndarray]:
 
 
 #: Leading bits of a hashed number that name its bucket, numbers hashed at once, and the largest mean that has a table of buckets.
-_BITS, _AT_ONCE, _LARGEST = 12, 32_768, 200.0
+_BITS, _AT_ONCE, _LARGEST = 12, 65_536, 200.0
 
 
 def hashed_poisson(keys: np.ndarray, means: np.ndarray, n: int, seed: int) -> np.ndarray:
@@ -142,17 +147,22 @@ def hashed_poisson(keys: np.ndarray, means: np.ndarray, n: int, seed: int) -> np
     out, size = np.empty((len(keys), n), np.int16), max(1, _AT_ONCE // n)
     order = np.argsort(which, kind="stable")
     ends = np.cumsum(np.bincount(which))
+    # filled again for every share of the rows: fresh arrays of this size cost more than the arithmetic
+    numbers, spares = np.empty((2, size, n), np.uint64)
+    counts = np.empty((size, n), np.int16)
     for mean, end, many in zip(values.tolist(), ends, np.bincount(which)):
         buckets, low, shares = _buckets(mean)
         for at in range(end - many, end, size):
             rows = order[at:min(at + size, end)]
+            x, lead, found = numbers[:len(rows)], spares[:len(rows)], counts[:len(rows)]
             with np.errstate(over="ignore"):
-                x = base[rows, None] + step
-            lead = _mix(x, np.empty_like(x))
+                np.add(base[rows, None], step, out=x)
+                _mix_lead(x, lead)
             np.right_shift(x, np.uint64(64 - _BITS), out=lead)
-            found = np.take(buckets, lead.view(np.int64), mode="clip")
+            np.take(buckets, lead.view(np.int64), mode="clip", out=found)
             several = np.flatnonzero(found < 0)
-            found.reshape(-1)[several] = low + np.searchsorted(shares, _between(x.reshape(-1)[several]))
+            rest = x.reshape(-1)[several]
+            found.reshape(-1)[several] = low + np.searchsorted(shares, _between(rest ^ (rest >> np.uint64(31))))
             out[rows] = found
     return out
 

@@ -195,6 +195,16 @@ def test_counts_are_not_compared_one_by_one(monkeypatch):
     assert 0 < sum(looked) < 20_000
 
 
+def test_numbers_are_mixed_whole_only_where_looked_up(monkeypatch):
+    """The counts of most numbers follow from bits that the last step of mixing leaves as they are."""
+    mixed, mix = [], draws._mix
+    monkeypatch.setattr(draws, "_mix", lambda x, *more: mixed.append(x.size) or mix(x, *more))
+    keys, means = np.arange(1000), np.ones(1000)
+    found = draws.hashed_poisson(keys, means, 1000, 1)
+    assert sum(mixed) == 1000  # the keys
+    assert (found == draws.poisson_quantile(means, draws.hashed_uniform(keys, 1000, 1))).all()
+
+
 def test_groups_stay_where_they_are(spark):
     """Rows meet the sum of their group without a shuffle by group."""
     from copresence.session import beside
