@@ -56,8 +56,9 @@ STAY_STEPS = {"gap": GAP, "dense": DENSE, "runs": RUNS, "labelled": LABELLED, "i
 
 def stop_points(t: Tables):
     """Silences filled, then stops found on the denser trace."""
-    dense = stays.densify(stays.clean_pings(t.pings), PING_ORDER, T_MAX)
-    return stays.detect_stops(dense, PING_ORDER)
+    crowded = stays.crowded_devices(t.pings)
+    dense = stays.densify(stays.clean_pings(t.pings), PING_ORDER, T_MAX, crowded)
+    return stays.detect_stops(dense, PING_ORDER, crowded=crowded)
 
 
 @query("detected_stays", "W4 E1 A6", f"""SELECT device_aid, CAST(run AS BIGINT) AS interval,

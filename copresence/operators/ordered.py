@@ -4,6 +4,8 @@ A plain window over a key sorts the whole key in one task. Here each key is cut
 (an hour, a day); windows run inside (key, slot), and a small table with one row per (key, slot) carries what
 the next slot needs. Group sizes are then bounded by the slot, and the carry table by the number of slots.
 `slot` must be a function of the leading order column, so that slots follow each other in order.
+
+Where no key is crowded, `slot` may be None: a key is then one group, and steps over the same key and order share a shuffle.
 """
 
 from __future__ import annotations
@@ -12,15 +14,41 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
+from copresence.session import cut
+
+#: Rows of a key that one task may sort.
+MOST = 100_000
+
+
+def sizes(df: DataFrame, by: list[str]) -> DataFrame:
+    return df.groupBy(*by).agg(F.count(F.lit(1)).alias("size"))
+
+
+def crowded(groups: DataFrame, by: list[str], most: int = MOST) -> DataFrame | None:
+    """The keys of `groups` (by, size) with more rows than `most`, as a stored table; None where there are none."""
+    found = cut(groups.where(F.col("size") > most).select(*by))
+    return found if found.take(1) else None
+
 
 def _parts(by: list[str], slot: str, order: list[str]):
     return Window.partitionBy(*by, slot).orderBy(*order), Window.partitionBy(*by).orderBy(slot)
 
 
-def previous(df: DataFrame, by: list[str], slot: str, order: list[str], cols: list[str], prefix: str = "prev_"):
+def _whole(by: list[str], order: list[str]):
+    return Window.partitionBy(*by).orderBy(*order)
+
+
+def _beside(df: DataFrame, row: Column, cols: list[str], prefix: str) -> DataFrame:
+    out = df.withColumn("_near", row)
+    return out.withColumns({prefix + c: out["_near"][c] for c in cols}).drop("_near")
+
+
+def previous(df: DataFrame, by: list[str], slot: str | None, order: list[str], cols: list[str], prefix: str = "prev_"):
     """Values of the row before, null on the first row of a key."""
-    inner, outer = _parts(by, slot, order)
     row = F.struct(*cols)
+    if slot is None:
+        return _beside(df, F.lag(row).over(_whole(by, order)), cols, prefix)
+    inner, outer = _parts(by, slot, order)
     carry = (
         df.groupBy(*by, slot).agg(F.max_by(row, F.struct(*order)).alias("_edge"))
         .select(*by, slot, F.lag("_edge").over(outer).alias("_carry"))
@@ -30,10 +58,12 @@ def previous(df: DataFrame, by: list[str], slot: str, order: list[str], cols: li
     return out.withColumns({prefix + c: picked[c] for c in cols}).drop("_near", "_carry")
 
 
-def following(df: DataFrame, by: list[str], slot: str, order: list[str], cols: list[str], prefix: str = "next_"):
+def following(df: DataFrame, by: list[str], slot: str | None, order: list[str], cols: list[str], prefix: str = "next_"):
     """Values of the row after, null on the last row of a key."""
-    inner, outer = _parts(by, slot, order)
     row = F.struct(*cols)
+    if slot is None:
+        return _beside(df, F.lead(row).over(_whole(by, order)), cols, prefix)
+    inner, outer = _parts(by, slot, order)
     carry = (
         df.groupBy(*by, slot).agg(F.min_by(row, F.struct(*order)).alias("_edge"))
         .select(*by, slot, F.lead("_edge").over(outer).alias("_carry"))
@@ -43,8 +73,10 @@ def following(df: DataFrame, by: list[str], slot: str, order: list[str], cols: l
     return out.withColumns({prefix + c: picked[c] for c in cols}).drop("_near", "_carry")
 
 
-def running_sum(df: DataFrame, by: list[str], slot: str, order: list[str], value: Column, name: str) -> DataFrame:
+def running_sum(df: DataFrame, by: list[str], slot: str | None, order: list[str], value: Column, name: str) -> DataFrame:
     """Running total of `value`, this row included."""
+    if slot is None:
+        return df.withColumn(name, F.sum(value).over(_whole(by, order).rowsBetween(Window.unboundedPreceding, 0)))
     inner, outer = _parts(by, slot, order)
     df = df.withColumn("_v", value)
     before = outer.rowsBetween(Window.unboundedPreceding, -1)
@@ -57,8 +89,10 @@ def running_sum(df: DataFrame, by: list[str], slot: str, order: list[str], value
     return out.withColumn(name, F.col("_near") + F.col("_carry")).drop("_v", "_near", "_carry")
 
 
-def number(df: DataFrame, by: list[str], slot: str, order: list[str], name: str = "seq") -> DataFrame:
+def number(df: DataFrame, by: list[str], slot: str | None, order: list[str], name: str = "seq") -> DataFrame:
     """1-based position inside the key."""
+    if slot is None:
+        return df.withColumn(name, F.row_number().over(_whole(by, order)).cast("long"))
     inner, outer = _parts(by, slot, order)
     before = outer.rowsBetween(Window.unboundedPreceding, -1)
     carry = (

@@ -6,12 +6,16 @@ quantile from those sums; step 3 looks only at the rows of that piece. The group
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window, functions as F
+from pyspark.sql import Column, DataFrame, Window, functions as F
 
-from copresence.operators.ordered import piece_of, split_points
+from copresence.operators.ordered import crowded, piece_of, sizes, split_points
 from copresence.session import stored
 
 
+#: Rows of a group whose values may stand in one array.
+FEW = 10_000
+
+
 def _group(by: list[str]):
     return Window.partitionBy(*by) if by else Window.partitionBy(F.lit(0))
 
@@ -163,8 +167,31 @@ def median(df: DataFrame, by: list[str], x: str, name: str, cuts: list[float] |
     return quantiles(df, by, x, [0.5], cuts).select(*by, F.col("value").alias(name))
 
 
-def medians(df: DataFrame, by: list[str], cols: list[str]) -> DataFrame:
-    """Plain medians of several columns in one pass."""
+def medians(df: DataFrame, by: list[str], cols: list[str], counted: DataFrame | None = None) -> DataFrame:
+    """Plain medians of several columns in one pass.
+
+    A group of few rows is sorted as an array, the others by pieces of the value range. `counted` has the rows of each group
+    as `size`, where that is known already.
+    """
+    many = crowded(sizes(df, by) if counted is None else counted, by, FEW)
+    few = _array_medians(df if many is None else df.join(many, by, "left_anti"), by, cols)
+    return few if many is None else few.unionByName(medians_by_pieces(df.join(many, by, "left_semi"), by, cols))
+
+
+def _array_medians(df: DataFrame, by: list[str], cols: list[str]) -> DataFrame:
+    valid = lambda x: F.when(~F.isnan(x), x)
+    lists = df.groupBy(*by).agg(*[F.sort_array(F.collect_list(valid(F.col(c).cast("double")))).alias(c) for c in cols])
+
+    def middle(v: Column) -> Column:
+        at = 0.5 * (F.size(v) - 1)
+        x = F.get(v, F.floor(at).cast("int"))
+        return x + (at - F.floor(at)) * (F.coalesce(F.get(v, F.floor(at).cast("int") + 1), x) - x)
+
+    return lists.where(sum(F.size(c) for c in cols) > 0).select(*by, *[middle(F.col(c)).alias(c) for c in cols])
+
+
+def medians_by_pieces(df: DataFrame, by: list[str], cols: list[str]) -> DataFrame:
+    """Plain medians of several columns, for groups of any length."""
     stacked = F.explode(F.array(*[F.struct(F.lit(c).alias("_col"), F.col(c).cast("double").alias("_val")) for c in cols]))
     long = df.select(*by, stacked.alias("_s")).select(*by, "_s.*")
     q = quantiles(long, [*by, "_col"], "_val", [0.5], split_points(long, "_val", 32 * len(cols)))

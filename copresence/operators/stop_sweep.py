@@ -20,7 +20,7 @@ from pyspark.sql import Column, DataFrame, functions as F, types as T
 
 from copresence.functions.distance import haversine
 from copresence.operators import components, ordered, quantiles
-from copresence.operators.stays import EARTH_METRES, HOUR, runs, with_slot
+from copresence.operators.stays import EARTH_METRES, HOUR, crowded_devices, runs, slotted
 from copresence.session import cut
 
 _DEVICE = "device_aid"
@@ -78,15 +78,17 @@ def _metres(lng_a: float, lat_a: float, lng_b: float, lat_b: float) -> float:
 def sweep(pings: DataFrame, order: list[str], t_max: list[int], r1: float = 30, r2: float = 30, min_stay: int = 900, min_size: int = 2) -> DataFrame:
     """Stays under every setting: device_aid, t_max (seconds), loc, start, end, size. Equal, setting by setting, to filling
     silences with `densify`, `detect_stops` and `stays_from_points`; pings must be clean."""
-    ahead = ordered.following(with_slot(pings.select(_DEVICE, *order, "latitude", "longitude")), [_DEVICE], "slot", order, ["timestamp"])
+    crowded = crowded_devices(pings)
+    ahead, slot = slotted(pings.select(_DEVICE, *order, "latitude", "longitude"), crowded)
+    ahead = ordered.following(ahead, [_DEVICE], slot, order, ["timestamp"])
     # of pings with one time the last stays, as in `densify`
     ahead = ahead.withColumn("silence", F.col("next_timestamp") - F.col("timestamp")).drop("next_timestamp").where("silence is null or silence > 0")
-    ahead = ordered.number(ahead, [_DEVICE], "slot", order, "seq").drop("slot")
+    ahead = ordered.number(ahead, [_DEVICE], slot, order, "seq").drop("slot")
     moved = haversine(F.col("prev_longitude"), F.col("prev_latitude"), F.col("longitude"), F.col("latitude")) * 1000
     gap = F.col("timestamp") - F.col("prev_timestamp")
     # beyond twice the largest setting the fill is too far from the next ping for every setting
     breaks = (moved > 2 * r1) | (gap > 2 * max(t_max) - 1)
-    pieces = runs(ahead, [_DEVICE], order, breaks, ["latitude", "longitude", "timestamp"], "piece")
+    pieces = runs(ahead, order, breaks, ["latitude", "longitude", "timestamp"], "piece", crowded)
     points = cut(class_steps(pieces.select(_DEVICE, "piece", "seq", "timestamp", "latitude", "longitude", "silence"), t_max, r1))
 
     own = [_DEVICE, "mask", "first", "stretch"]
@@ -109,7 +111,7 @@ def sweep(pings: DataFrame, order: list[str], t_max: list[int], r1: float = 30,
     parts = swept.join(shown.hint("merge"), group).select(*own, "gid", "fill", "latitude", "longitude")
     inside = points.select(*own, "latitude", "longitude").join(parts.select(*own, "gid").hint("merge"), own).select(_DEVICE, "gid", "latitude", "longitude")
     inside = inside.unionByName(parts.where("fill").select(_DEVICE, "gid", "latitude", "longitude"))
-    centres = quantiles.medians(inside, [_DEVICE, "gid"], ["latitude", "longitude"])
+    centres = quantiles.medians(inside, [_DEVICE, "gid"], ["latitude", "longitude"], stops.groupBy(_DEVICE, "gid").agg(F.max("n").alias("size")))
     nodes = stops.hint("merge").join(centres, [_DEVICE, "gid"]).select(*group, F.col("latitude").alias("lat"), F.col("longitude").alias("lng"))
     labels = cut(components.link_within(cut(nodes.withColumnRenamed("first", "node")), [_DEVICE, "t_max"], "node", "lat", "lng", r2))
 
@@ -132,5 +134,5 @@ def sweep_stats(stays: DataFrame) -> DataFrame:
         return [F.min(c).alias(f"{c}_min"), F.max(c).alias(f"{c}_max"), F.avg(share.cast("int")).alias(name)]
 
     base = timed.groupBy("hours").agg(F.count(F.lit(1)).alias("stays"), *summary("dur", F.col("dur") >= F.col("hours") * 60, "dur_thre"), *summary("sfre", F.col("sfre") >= 1, "sfre_one"))
-    middle = quantiles.medians(timed, ["hours"], ["dur", "sfre"]).withColumnsRenamed({"dur": "dur_med", "sfre": "sfre_med"})
+    middle = quantiles.medians_by_pieces(timed, ["hours"], ["dur", "sfre"]).withColumnsRenamed({"dur": "dur_med", "sfre": "sfre_med"})
     return base.join(middle, "hours")

@@ -13,14 +13,15 @@ def stays_from_pings(pings: DataFrame, order: list[str], box: dict[str, float],
                      seasons: list[tuple[str, str | None]], abnormal: DataFrame | None = None,
                      polygons: DataFrame | None = None, t_max: int = 3 * 3600) -> DataFrame:
     """Raw pings to clean stays in local time."""
-    points = stays.detect_stops(stays.densify(stays.clean_pings(pings), order, t_max), order, t_max=t_max)
+    crowded = stays.crowded_devices(pings)
+    points = stays.detect_stops(stays.densify(stays.clean_pings(pings), order, t_max, crowded), order, t_max=t_max, crowded=crowded)
     found = stays.stays_from_points(points).withColumnsRenamed({"device_aid": "uid", "latitude": "lat", "longitude": "lng"})
     if abnormal is not None:
         found = cleaning.drop_points(found, abnormal, ["lat", "lng"])
     timed = stays.zone_names(stays.stay_times(found), box, home_zone, polygons)
     local = stays.to_local(stays.to_local(timed, "datetime", "tzname", "localtime"), "leaving_datetime", "tzname", "leaving_localtime")
     rich = stays.add_dates(stays.enrich_time(local, seasons))
-    return stays.add_seq(rich, "date", ["start", "interval"])
+    return stays.add_seq(rich, None if crowded is None else "date", ["start", "interval"])
 
 
 def homes_from_stays(found: DataFrame, zones: DataFrame, zone_of: Column, least: int = 3) -> DataFrame:
