@@ -57,16 +57,29 @@ def _rmse(model: PipelineModel, parts: dict[str, DataFrame], y: str) -> list[tup
 
 
 def gbt_baseline(df: DataFrame, keys: list[str], cols: list[str], y: str, pca: int | None = None, iters: int = 10, seed: int = 0):
-    """Assemble, scale rows to L1 norm 1, optionally reduce, boost; error on both parts of a 90/10 split."""
-    train, test = split(cut(df.select(*dict.fromkeys([*keys, *cols, y])).dropna()), keys, [0.9, 0.1], seed)
+    """Assemble, scale rows to L1 norm 1, optionally reduce, boost; error on both parts of a 90/10 split.
+
+    Rows with equal features are one case with their number as weight and their mean as label: under squared error the gain of a split
+    and the value of a leaf depend on these only, and the error adds the spread inside a case. Components are those of the rows.
+    """
+    train, test = split(df.select(*dict.fromkeys([*keys, *cols, y])).dropna(), keys, [0.9, 0.1], seed)
     stages = [VectorAssembler(inputCols=cols, outputCol="raw"), Normalizer(inputCol="raw", outputCol="norm", p=1.0)]
     features = "norm"
     if pca:
         stages.append(PCA(k=pca, inputCol="norm", outputCol="pca"))
         features = "pca"
-    stages.append(GBTRegressor(featuresCol=features, labelCol=y, maxIter=iters, seed=seed))
-    model = Pipeline(stages=stages).fit(train)
-    return model, df.sparkSession.createDataFrame(_rmse(model, {"train": train, "test": test}, y), "part string, rmse double")
+    prepared = Pipeline(stages=stages).fit(train)
+    cases = {part: cut(_cases(rows, cols, y)) for part, rows in (("train", train), ("test", test))}
+    boosted = GBTRegressor(featuresCol=features, labelCol=y, weightCol="_n", maxIter=iters, seed=seed).fit(prepared.transform(cases["train"]))
+    model = PipelineModel([*prepared.stages, boosted])
+    off = F.col("_n") * (F.pow(F.col("prediction") - F.col(y), 2) + F.col("_spread"))
+    errors = [(part, model.transform(c).select(F.sqrt(F.sum(off) / F.sum("_n"))).first()[0]) for part, c in cases.items()]
+    return model, df.sparkSession.createDataFrame(errors, "part string, rmse double")
+
+
+def _cases(rows: DataFrame, cols: list[str], y: str) -> DataFrame:
+    """Rows with equal features as one: their number, mean label and its variance."""
+    return rows.groupBy(*cols).agg(F.count(F.lit(1)).cast("double").alias("_n"), F.avg(y).alias(y), F.var_pop(y).alias("_spread"))
 
 
 def feature_regression(df: DataFrame, keys: list[str], cols: list[str], y: str, seed: int = 0):
