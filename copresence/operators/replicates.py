@@ -53,6 +53,18 @@ def draw_vector(stops: DataFrame, pool: DataFrame, key: list[str], unit: str, id
     return out.withColumn("nos", F.when(F.col("_size").isNotNull(), given)).drop("_size", "_pool", "_slot")
 
 
+def each_draw(drawn: DataFrame, unit: str, n: int) -> DataFrame:
+    """`nullmodel.draw` from its vectors: a row for each stop and replicate, made where the stop is."""
+    nos = F.coalesce("nos", F.array_repeat(F.lit(None).cast(drawn.schema["nos"].dataType.elementType), n))
+    return drawn.select("*", F.posexplode(nos).alias("_at", f"{unit}_s")).withColumn("sim", F.col("_at") + 1).drop("nos", "_at")
+
+
+def draw_counts(drawn: DataFrame, ids: list[str], unit: str) -> DataFrame:
+    """`nullmodel.draw_counts` from vectors: the draws of a stop are counted before they are shuffled."""
+    each = drawn.select(*ids, F.explode("nos").alias(f"{unit}_s")).where(F.col(f"{unit}_s").isNotNull())
+    return each.groupBy(*ids, f"{unit}_s").agg(F.count(F.lit(1)).alias("n"))
+
+
 def numbered(units: DataFrame, unit: str) -> DataFrame:
     """The distinct units with a number `no` each; the numbers of a block of units share all but their last bits."""
     units = units.select(unit).where(F.col(unit).isNotNull()).distinct()

@@ -24,6 +24,17 @@ def test_vectors_hold_the_draws(spark):
     assert got[3] is None
 
 
+def test_counted_and_single_draws_of_vectors(spark):
+    stops = spark.createDataFrame([(i, i % 4, 100 + i) for i in range(60)], "sid int, k int, home int")
+    pool = spark.createDataFrame([(k, u, 1 + (k * u) % 3) for k in range(3) for u in range(1, 9)], "k int, unit int, places long")
+    long = nullmodel.draw(stops, pool, ["k"], "unit", ["sid"], 7, pick)
+    vectors = replicates.draw_vector(stops, pool, ["k"], "unit", ["sid"], 7, pick)
+    single = replicates.each_draw(vectors, "unit", 7)
+    assert sorted(((r.sid, r.sim, r.unit_s, r.home) for r in single.collect()), key=repr) == sorted(((r.sid, r.sim, r.unit_s, r.home) for r in long.collect()), key=repr)
+    counts = [sorted(map(tuple, f(d, ["sid"], "unit").collect())) for f, d in ((nullmodel.draw_counts, long), (replicates.draw_counts, vectors))]
+    assert counts[0] == counts[1] and counts[0]
+
+
 def test_medians_of_small_and_of_counted_keys(spark, monkeypatch):
     nan = float("nan")
     rows = [(k, [None if (k + i) % 5 == 0 else nan if (k + i) % 7 == 0 else float((i * 37 + s * k) % 11) for s in range(3)]) for k in range(9) for i in range(1 + 4 * k)]
