@@ -123,6 +123,16 @@ def _middle(block: np.ndarray) -> np.ndarray:
     return (pick(np.maximum(held - 1, 0) // 2) + pick(np.minimum(held // 2, block.shape[1] - 1))) / 2
 
 
+def _starts(batch: pa.RecordBatch, keys: int) -> np.ndarray:
+    """First rows of the runs of equal keys, the first columns of a batch with rows."""
+    new = np.zeros(batch.num_rows, bool)
+    for i in range(keys):
+        filled = batch.column(i).dictionary_encode(null_encoding="encode").indices.to_numpy(zero_copy_only=False)
+        new[1:] |= filled[1:] != filled[:-1]
+    new[0] = True
+    return np.flatnonzero(new)
+
+
 class _Counted:
     """Rows of one key too many to hold: the counts of each replicate's distinct values."""
 
@@ -182,12 +192,7 @@ def medians(rows: DataFrame, keys: list[str], n: int, values: str = "values") ->
                 batch = pa.Table.from_batches([rest, batch]).combine_chunks().to_batches()[0]
             if not batch.num_rows:
                 continue
-            new = np.zeros(batch.num_rows, bool)
-            for i in range(len(keys)):
-                filled = batch.column(i).dictionary_encode(null_encoding="encode").indices.to_numpy(zero_copy_only=False)
-                new[1:] |= filled[1:] != filled[:-1]
-            new[0] = True
-            starts = np.flatnonzero(new)
+            starts = _starts(batch, len(keys))
             if starts[-1]:
                 yield closed(batch.slice(0, starts[-1]), starts[:-1])
             rest = batch.slice(starts[-1])
@@ -231,6 +236,57 @@ def per_replicate(df: DataFrame) -> DataFrame:
     return rows.select(*[c for c in rows.columns if c not in ("_i", "_v")], (F.col("_i") + 1).alias("sim"), F.nanvl("_v", F.lit(None).cast("double")).alias("ice_birth"))
 
 
+def series_per_replicate(df: DataFrame, keys: list[str]) -> DataFrame:
+    """`per_replicate` with the values of a key in one array: a row per key and replicate, made where the key's vectors lie.
+
+    Vectors are dealt by key and read in order; a key has a vector for each of its half hours, and those of the last key are held only.
+    """
+    rows = df.select(*keys, "ice_birth")
+    schema = T.StructType([*rows.schema.fields[:-1], T.StructField("sim", T.IntegerType()), T.StructField("ice_birth", T.ArrayType(T.DoubleType()))])
+
+    def apart(batch: pa.RecordBatch, starts: np.ndarray) -> Iterator[pa.RecordBatch]:
+        vectors = batch.column(len(keys))
+        length = vectors.value_lengths().fill_null(0).to_numpy(zero_copy_only=False)
+        n = int(length.max(initial=0))
+        key = np.repeat(np.arange(len(starts)), np.diff(np.append(starts, batch.num_rows)))
+        flat = vectors.flatten()
+        known, value = flat.is_valid().to_numpy(zero_copy_only=False), flat.to_numpy(zero_copy_only=False).astype(float)
+        place = np.repeat(key * n, length) + np.arange(len(value)) - np.repeat(np.cumsum(length) - length, length)  # number of its key and replicate
+        place, value = place[known], value[known]
+        value = value[np.argsort(place, kind="stable")]
+        size = np.bincount(place, minlength=len(starts) * n)
+        held = np.flatnonzero(size)
+        lists = _lists(np.concatenate([[0], np.cumsum(size[held])]), pa.array(value, mask=np.isnan(value)))
+        at, sim = np.divmod(held, max(n, 1))
+        heads = [batch.column(i).take(pa.array(starts[at])) for i in range(len(keys))]
+        yield pa.RecordBatch.from_arrays([*heads, pa.array((sim + 1).astype(np.int32)), lists], names=schema.names)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        rest = None  # the last key's vectors, whose end is not seen yet
+        for batch in batches:
+            if rest is not None:
+                batch = pa.Table.from_batches([rest, batch]).combine_chunks().to_batches()[0]
+            if not batch.num_rows:
+                continue
+            starts = _starts(batch, len(keys))
+            if starts[-1]:
+                yield from apart(batch.slice(0, starts[-1]), starts[:-1])
+            rest = batch.slice(starts[-1])
+        if rest is not None:
+            yield from apart(rest, np.zeros(1, np.int64))
+
+    return rows.repartition(*keys).sortWithinPartitions(*keys).mapInArrow(run, schema)
+
+
+@F.arrow_udf(T.DoubleType())
+def list_mean(lists: pa.Array) -> pa.Array:
+    """Mean of the values of each list; null where there is none."""
+    value = lists.flatten().to_numpy(zero_copy_only=False).astype(float)
+    row, known = np.repeat(np.arange(len(lists)), np.diff(_offsets(lists))), ~np.isnan(value)
+    n = np.bincount(row[known], minlength=len(lists))
+    return pa.array(np.bincount(row[known], value[known], len(lists)) / np.maximum(n, 1), mask=n == 0)
+
+
 def mix_cells(visits: DataFrame, groups: DataFrame, n: int) -> DataFrame:
     """`place.place_mix` per half hour, replicate and place: (time_seq, sim, no, f, d, n); a person counts once in each.
 

@@ -1,20 +1,21 @@
-"""Class of a series of values against a band, by tests over sorted arrays inside Spark's expressions.
+"""Class of a series of values against a band, by tests over sorted arrays.
 
-A series is one sorted array. What depends on its length only (order-statistic coefficients of the normality test, tail of the exact
-signed-rank distribution) is worked out once for each length that occurs and joined; all else is array expressions, so no series goes through Python.
+A series is one array. Series of one length are the rows of a matrix and are tested together, a batch at a time, so that no step is taken for each
+series by itself. What depends on the length only (order-statistic coefficients of the normality test, tail of the exact signed-rank distribution) is
+worked out once for each length.
 """
 
 from __future__ import annotations
 
 import math
-from collections.abc import Iterator
+from functools import lru_cache
 from statistics import NormalDist
 
 import numpy as np
-import pandas as pd
-from pyspark.sql import Column, DataFrame, functions as F
+import pyarrow as pa
+from pyspark.sql import DataFrame, functions as F, types as T
 
-from copresence.functions.tails import normal_tail, t_tail
+from copresence.functions.tails import normal_tail_of, t_tail_of
 from copresence.session import cut
 
 #: Longest series with an exact signed-rank tail, and longest one that the normality test's approximation holds for.
@@ -50,108 +51,143 @@ def signed_rank_tails(n: int) -> np.ndarray:
     return np.cumsum(share[::-1])[::-1]
 
 
-def _by_length(series: DataFrame) -> DataFrame:
-    """One row for each length that occurs: `n`, `weights`, `tails`. At most LONGEST rows."""
-    def tables(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for frame in frames:
-            for n in frame["n"].tolist():
-                yield pd.DataFrame({"n": [n], "weights": [normal_weights(n) if n >= 3 else np.zeros(0)],
-                                    "tails": [signed_rank_tails(n) if n <= EXACT else np.zeros(0)]})
+#: Numbers of series that are tested at once.
+AT_ONCE = 500_000
+#: Columns of a tested series.
+TESTED = ("mean", "normal_p", "t_greater", "t_less", "w_greater", "w_less", "rank_greater", "rank_less")
 
-    lengths = series.select("n").distinct().where(F.col("n").between(1, LONGEST))
-    return lengths.mapInPandas(tables, "n int, weights array<double>, tails array<double>")
+# what depends on the length only is worked out once for each length that a worker meets
+_weights, _tails = lru_cache(LONGEST)(normal_weights), lru_cache(EXACT)(signed_rank_tails)
 
 
-def _sum(a: Column) -> Column:
-    return F.aggregate(a, F.lit(0.0), lambda s, v: s + v)
+def _sum(a: np.ndarray) -> np.ndarray:
+    """Sums along rows, from the first value to the last."""
+    return np.add.accumulate(a, axis=1)[:, -1]
 
 
-def _poly(x: Column, powers: list[float]) -> Column:
-    out = F.lit(powers[0])
+def _poly(x: np.ndarray, powers: list[float]) -> np.ndarray:
+    out = np.full(len(x), powers[0])
     for c in powers[1:]:
         out = out * x + c
     return out
 
 
-def normal_p(w: Column, n: Column) -> Column:
-    """p of the normality statistic W for n values, by the published approximation."""
-    n = n.cast("double")
-    y, ln = F.log(F.greatest(1 - w, F.lit(1e-300))), F.log(n)
-    three = F.greatest(6 / math.pi * (F.asin(F.sqrt(w)) - math.asin(math.sqrt(0.75))), F.lit(0.0))
+def normal_p(w: np.ndarray, n: np.ndarray) -> np.ndarray:
+    """p of the normality statistic W for n values (3 or more), by the published approximation; not-a-number where W is."""
+    n = n.astype(float)
+    y, ln = np.log(np.maximum(1 - w, 1e-300)), np.log(n)
+    three = np.maximum(6 / math.pi * (np.arcsin(np.sqrt(w)) - math.asin(math.sqrt(0.75))), 0.0)
     # fixed values: polynomials of mean and deviation of the transformed statistic, highest power first
     gamma = 0.459 * n - 2.273
-    few = normal_tail((-F.log(gamma - y) - _poly(n, [-0.0006714, 0.025054, -0.39978, 0.5440])) / F.exp(_poly(n, [-0.0020322, 0.062767, -0.77857, 1.3822])))
-    many = normal_tail((y - _poly(ln, [0.0038915, -0.083751, -0.31082, -1.5861])) / F.exp(_poly(ln, [0.0030302, -0.082676, -0.4803])))
-    return F.when(n == 3, three).when((n <= 11) & (y >= gamma), 0.0).when(n <= 11, few).otherwise(many)
-
-
-def _signed_ranks(d: Column) -> Column:
-    """T+, the number of values, and the sum of t**3 - t over ties, of differences; zeros are left out. One pass over the sorted sizes:
-    a run of equal ones takes the middle of its ranks when it ends."""
-    sized = F.array_sort(F.transform(F.filter(d, lambda v: v != 0), lambda v: F.struct(F.abs(v).alias("a"), F.when(v > 0, 1.0).otherwise(0.0).alias("up"))))
-    names = ("a", "run", "up", "before", "plus", "ties")
-    state = lambda *v: F.struct(*[c.alias(n) for n, c in zip(names, v)])
-    zero = F.lit(0.0)
-
-    def closed(s: Column) -> tuple[Column, Column]:
-        return s["plus"] + s["up"] * (s["before"] + (s["run"] + 1) / 2), s["ties"] + s["run"] * (s["run"] * s["run"] - 1)
-
-    def step(s: Column, v: Column) -> Column:
-        plus, ties = closed(s)
-        return F.when(v["a"] == s["a"], state(s["a"], s["run"] + 1, s["up"] + v["up"], s["before"], s["plus"], s["ties"])).otherwise(
-            state(v["a"], F.lit(1.0), v["up"], s["before"] + s["run"], plus, ties))
-
-    def end(s: Column) -> Column:
-        plus, ties = closed(s)
-        return F.struct(plus.alias("plus"), (s["before"] + s["run"]).cast("int").alias("n"), ties.alias("ties"))
-
-    return F.aggregate(sized, state(F.lit(-1.0), zero, zero, zero, zero, zero), step, end)
+    few = (-np.log(gamma - y) - _poly(n, [-0.0006714, 0.025054, -0.39978, 0.5440])) / np.exp(_poly(n, [-0.0020322, 0.062767, -0.77857, 1.3822]))
+    many = (y - _poly(ln, [0.0038915, -0.083751, -0.31082, -1.5861])) / np.exp(_poly(ln, [0.0030302, -0.082676, -0.4803]))
+    tail = normal_tail_of(np.where(n <= 11, few, many))
+    return np.where(n == 3, three, np.where((n <= 11) & (y >= gamma), 0.0, tail))
+
+
+def _signed_ranks(d: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """T+, the number of values, and the sum of t**3 - t over ties, of each row of differences; zeros are left out and a run of equal sizes
+    takes the middle of its ranks."""
+    a = np.abs(d)
+    order = np.argsort(a, axis=1, kind="stable")
+    a, up = np.take_along_axis(a, order, 1), np.take_along_axis(d, order, 1) > 0
+    zeros = (a == 0).sum(axis=1)
+    new = np.ones(a.shape, bool)
+    new[:, 1:] = a[:, 1:] != a[:, :-1]
+    first = np.flatnonzero(new)
+    row, at = np.divmod(first, a.shape[1])
+    run = np.diff(np.append(first, a.size))
+    rank = np.repeat(at - zeros[row] + (run + 1) / 2, run).reshape(a.shape)
+    ties = np.bincount(row, np.where(a.ravel()[first] != 0, run * (run.astype(float) ** 2 - 1), 0.0), len(a))
+    return np.where(up, rank, 0.0).sum(axis=1), a.shape[1] - zeros, ties
+
+
+def _rank_tail(plus: np.ndarray, n: np.ndarray, ties: np.ndarray, whole: int) -> np.ndarray:
+    """P(T+ at least as large): exact where no value is zero or tied and few are there, else the tie-corrected normal score."""
+    size = n.astype(float)
+    out = normal_tail_of((plus - size * (size + 1) / 4) / np.sqrt(size * (size + 1) * (2 * size + 1) / 24 - ties / 48))
+    if whole <= EXACT:
+        exact = (n == whole) & (ties == 0)
+        out[exact] = _tails(whole)[plus[exact].astype(int)]
+    return np.where(n == 0, 1.0, out)
+
+
+def _tested(v: np.ndarray, threshold: float) -> dict[str, np.ndarray]:
+    """The columns of rows of one length, without the tails that are taken for all lengths at once."""
+    n = v.shape[1]
+    v = np.sort(v, axis=1)
+    mean = _sum(v) / n
+    ss = _sum((v - mean[:, None]) ** 2)
+    flat = v[:, -1] - v[:, 0] < 1e-12
+    w = np.full(len(v), np.nan)
+    if 3 <= n <= LONGEST:
+        w = np.where(flat, np.nan, np.fmin(1.0, _sum(_weights(n) * v) ** 2 / ss))
+    out = {"mean": mean, "normal_p": np.where(flat & (n >= 3), 1.0, np.nan), "w": w}
+    for side, d in (("greater", v - threshold), ("less", -(v + threshold))):
+        gap = mean - threshold if side == "greater" else -(mean + threshold)
+        far = np.where(np.abs(gap) >= 1e-12, np.sign(gap) * np.inf, np.nan)
+        out[f"t_{side}"] = np.where(flat, far, gap / (np.sqrt(ss / (n - 1)) / math.sqrt(n))) if n > 1 else np.full(len(v), np.nan)
+        plus, held, ties = _signed_ranks(d)
+        out[f"w_{side}"], out[f"rank_{side}"] = plus, _rank_tail(plus, held, ties, n)
+    return out
 
 
-def _rank_tail(s: Column, whole: Column, tails: Column) -> Column:
-    """P(T+ at least as large): exact where no value is zero or tied and few are there, else the tie-corrected normal score."""
-    n = s["n"].cast("double")
-    score = F.try_divide(s["plus"] - n * (n + 1) / 4, F.sqrt(n * (n + 1) * (2 * n + 1) / 24 - s["ties"] / 48))
-    exact = (s["n"] == whole) & (s["ties"] == 0) & (s["n"] <= EXACT)
-    return F.when(s["n"] == 0, 1.0).when(exact, F.element_at(tails, s["plus"].cast("int") + 1)).otherwise(normal_tail(score))
+def _test(threshold: float):
+    """The tests of lists of numbers, batch by batch; nulls and not-a-numbers of a list are left out."""
+    kind = T.StructType([T.StructField("n", T.IntegerType()), *[T.StructField(c, T.DoubleType()) for c in TESTED]])
+
+    @F.arrow_udf(kind)
+    def run(lists: pa.Array) -> pa.Array:
+        flat = lists.flatten().to_numpy(zero_copy_only=False).astype(float)  # a null is not a number then
+        sizes, known = lists.value_lengths().fill_null(0).to_numpy(zero_copy_only=False), ~np.isnan(flat)
+        n = np.bincount(np.repeat(np.arange(len(lists)), sizes)[known], minlength=len(lists))
+        flat, starts = flat[known], np.cumsum(n) - n
+        out = {c: np.full(len(lists), np.nan) for c in (*TESTED, "w")}
+        with np.errstate(all="ignore"):
+            for size in np.unique(n[n > 0]):
+                rows, step = np.flatnonzero(n == size), max(1, AT_ONCE // size)
+                for some in (rows[i:i + step] for i in range(0, len(rows), step)):
+                    for c, got in _tested(flat[starts[some][:, None] + np.arange(size)], threshold).items():
+                        out[c][some] = got
+            tested = ~np.isnan(out["w"])
+            out["normal_p"][tested] = normal_p(out["w"][tested], n[tested])
+            for c in ("t_greater", "t_less"):
+                out[c] = t_tail_of(out[c], n - 1)
+        for c in ("w_greater", "w_less"):
+            out[c][n == 0] = 0.0
+        for c in ("rank_greater", "rank_less"):
+            out[c][n == 0] = 1.0
+        null = {c: n == 0 if c == "mean" else np.isnan(out[c]) for c in TESTED}
+        return pa.StructArray.from_arrays([pa.array(n.astype(np.int32)), *[pa.array(out[c], mask=null[c]) for c in TESTED]], names=["n", *TESTED])
+
+    return run
+
+
+def _series(df: DataFrame, by: list[str], x: str, threshold: float) -> DataFrame:
+    if isinstance(df.schema[x].dataType, T.ArrayType):
+        series = df.select(*by, F.col(x).cast("array<double>").alias("v"))
+    else:
+        value = F.when(~F.isnan(F.col(x).cast("double")), F.col(x).cast("double"))
+        series = df.groupBy(*by).agg(F.collect_list(value).alias("v"))
+    return series.select(*by, _test(threshold)("v").alias("r")).select(*by, "r.*")
 
 
 def tests(df: DataFrame, by: list[str], x: str, threshold: float) -> DataFrame:
     """Per series: by, n, mean, normal_p, t_greater (mean above the threshold), t_less (below its negative), and the same by signed
     ranks (rank_greater, rank_less, w_greater, w_less). Null and not-a-number are left out; a constant series counts as normal, and
-    on the threshold itself it has no t test (null). The statistics of too short a series are null."""
-    value = F.when(~F.isnan(F.col(x).cast("double")), F.col(x).cast("double"))
-    series = df.groupBy(*by).agg(F.array_sort(F.collect_list(value)).alias("v")).withColumn("n", F.size("v"))
-    series = cut(series)
-    v, n = F.col("v"), F.col("n")
-    known = series.join(F.broadcast(_by_length(series)), "n", "left").withColumn("mean", F.try_divide(_sum(v), n))
-    known = known.withColumn("ss", _sum(F.transform(v, lambda a: F.pow(a - F.col("mean"), F.lit(2)))))
-    flat = F.element_at(v, -1) - F.element_at(v, 1) < 1e-12
-    known = known.withColumn("flat", F.when(n > 0, flat)).withColumns({
-        "up": _signed_ranks(F.transform(v, lambda a: a - threshold)), "down": _signed_ranks(F.transform(v, lambda a: -(a + threshold)))})
-    w = F.least(F.lit(1.0), F.try_divide(F.pow(_sum(F.zip_with("weights", "v", lambda a, b: a * b)), F.lit(2)), F.col("ss")))
-    known = known.withColumn("w", F.when((n >= 3) & ~F.col("flat"), w))
-    error = F.sqrt(F.try_divide(F.col("ss"), n - 1)) / F.sqrt(n)
-
-    def t(gap: Column) -> Column:
-        side = F.when(gap > 0, float("inf")).when(gap < 0, float("-inf"))
-        return F.when(n > 1, F.when(F.col("flat"), F.when(F.abs(gap) >= 1e-12, side)).otherwise(gap / error))
-
-    # stored, as a filter on a class would otherwise be moved below all steps with their expressions written out in it
-    return cut(known.select(
-        *by, "n", "mean", F.when(n >= 3, F.when(F.col("flat"), 1.0).otherwise(normal_p(F.col("w"), n))).alias("normal_p"),
-        t_tail(t(F.col("mean") - threshold), n - 1).alias("t_greater"), t_tail(t(-(F.col("mean") + threshold)), n - 1).alias("t_less"),
-        F.col("up.plus").alias("w_greater"), F.col("down.plus").alias("w_less"),
-        _rank_tail(F.col("up"), n, F.col("tails")).alias("rank_greater"), _rank_tail(F.col("down"), n, F.col("tails")).alias("rank_less")))
+    on the threshold itself it has no t test (null). The statistics of too short a series are null. Where x is an array, a row is a series."""
+    # stored, as a filter on a statistic would otherwise run the tests once more
+    return cut(_series(df, by, x, threshold))
 
 
 def classes(df: DataFrame, by: list[str], x: str, threshold: float = 0.2, least: int = 4, name: str = "grp", level: float = 0.05) -> DataFrame:
     """D above the threshold, F below its negative, N between, NN for fewer than `least` values (3 at least are needed)."""
-    got = tests(df, by, x, threshold)
+    got = _series(df, by, x, threshold)
     normal = F.col("normal_p") > level
     above = F.when(normal, F.col("t_greater")).otherwise(F.col("rank_greater")) < level
     below = F.when(normal, F.col("t_less")).otherwise(F.col("rank_less")) < level
-    return got.select(*by, F.when(F.col("n") < max(least, 3), "NN").when(above, "D").when(below, "F").otherwise("N").alias(name))
+    # stored, as a filter on the class would otherwise run the tests once more
+    return cut(got.select(*by, F.when(F.col("n") < max(least, 3), "NN").when(above, "D").when(below, "F").otherwise("N").alias(name)))
 
 
 def place_classes(metrics: DataFrame, place: str, x: str, attributes: list[str], threshold: float = 0.2, least: int = 3, name: str = "grp") -> DataFrame:

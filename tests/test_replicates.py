@@ -103,3 +103,39 @@ def test_contacts_of_vectors(spark):
         finally:
             spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
         assert got == want and len(want) == 6
+
+
+def test_series_of_persons_and_their_classes(spark):
+    """A person's vectors taken apart to one array for each replicate, also from batch to batch, hold what the long form holds; classes agree."""
+    from copresence.operators import series
+    nan = float("nan")
+    value = lambda u, h, s: None if (u + s) % 4 == 0 or s == 2 and u % 2 else nan if (u * h + s) % 9 == 0 else ((h * 37 + s * 11 + u * 5) % 23 - 9) / 20
+    rows = [(u, [value(u or 0, h, s) for s in range(6)]) for u in (*range(12), None) for h in range(1 + 3 * (u or 7))]
+    df = spark.createDataFrame(rows, "uid int, ice_birth array<double>")
+    long = replicates.per_replicate(df)
+    want = {}
+    for r in long.collect():
+        want.setdefault((r.uid, r.sim), []).append(r.ice_birth)
+    ordered_by = lambda v: sorted(v, key=repr)
+    for batch in (10_000, 5):
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", batch)
+        try:
+            whole = replicates.series_per_replicate(df, ["uid"]).withColumn("average", replicates.list_mean("ice_birth"))
+            got = {(r.uid, r.sim): r for r in whole.collect()}
+            classes = {(r.uid, r.sim): r.grp for r in series.classes(whole, ["uid", "sim", "average"], "ice_birth", 0.0).collect()}
+        finally:
+            spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+        assert set(got) == set(want) and len(want) > 40
+        for k, values in want.items():
+            real = [v for v in values if v is not None]
+            assert ordered_by(got[k].ice_birth) == ordered_by(values)
+            assert got[k].average is None if not real else math.isclose(got[k].average, statistics.mean(real), abs_tol=1e-12)
+        assert classes == {(r.uid, r.sim): r.grp for r in series.classes(long, ["uid", "sim"], "ice_birth", 0.0).collect()}
+        assert len(set(classes.values())) > 2
+
+
+def test_person_table_makes_no_row_per_half_hour(tables, monkeypatch):
+    """The series of a person and replicate stay in one array from the vectors to their class."""
+    from catalog import QUERIES
+    monkeypatch.setattr(replicates, "per_replicate", lambda df: 1 / 0)
+    assert QUERIES["replicate_person_table"](tables).where("sim = 50").count() > 0
