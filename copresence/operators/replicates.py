@@ -14,6 +14,7 @@ from pyspark.sql import Column, DataFrame, functions as F, types as T
 
 from copresence.functions import draws
 from copresence.functions.time_bins import explode_bins
+from copresence.operators.batches import starts as starts_of, whole_keys
 from copresence.operators.experienced import CELL
 from copresence.session import cut, stored
 
@@ -123,16 +124,6 @@ def _middle(block: np.ndarray) -> np.ndarray:
     return (pick(np.maximum(held - 1, 0) // 2) + pick(np.minimum(held // 2, block.shape[1] - 1))) / 2
 
 
-def _starts(batch: pa.RecordBatch, keys: int) -> np.ndarray:
-    """First rows of the runs of equal keys, the first columns of a batch with rows."""
-    new = np.zeros(batch.num_rows, bool)
-    for i in range(keys):
-        filled = batch.column(i).dictionary_encode(null_encoding="encode").indices.to_numpy(zero_copy_only=False)
-        new[1:] |= filled[1:] != filled[:-1]
-    new[0] = True
-    return np.flatnonzero(new)
-
-
 class _Counted:
     """Rows of one key too many to hold: the counts of each replicate's distinct values."""
 
@@ -192,7 +183,7 @@ def medians(rows: DataFrame, keys: list[str], n: int, values: str = "values") ->
                 batch = pa.Table.from_batches([rest, batch]).combine_chunks().to_batches()[0]
             if not batch.num_rows:
                 continue
-            starts = _starts(batch, len(keys))
+            starts = starts_of(batch, len(keys))
             if starts[-1]:
                 yield closed(batch.slice(0, starts[-1]), starts[:-1])
             rest = batch.slice(starts[-1])
@@ -244,7 +235,7 @@ def series_per_replicate(df: DataFrame, keys: list[str]) -> DataFrame:
     rows = df.select(*keys, "ice_birth")
     schema = T.StructType([*rows.schema.fields[:-1], T.StructField("sim", T.IntegerType()), T.StructField("ice_birth", T.ArrayType(T.DoubleType()))])
 
-    def apart(batch: pa.RecordBatch, starts: np.ndarray) -> Iterator[pa.RecordBatch]:
+    def apart(batch: pa.RecordBatch, starts: np.ndarray) -> pa.RecordBatch:
         vectors = batch.column(len(keys))
         length = vectors.value_lengths().fill_null(0).to_numpy(zero_copy_only=False)
         n = int(length.max(initial=0))
@@ -259,21 +250,11 @@ def series_per_replicate(df: DataFrame, keys: list[str]) -> DataFrame:
         lists = _lists(np.concatenate([[0], np.cumsum(size[held])]), pa.array(value, mask=np.isnan(value)))
         at, sim = np.divmod(held, max(n, 1))
         heads = [batch.column(i).take(pa.array(starts[at])) for i in range(len(keys))]
-        yield pa.RecordBatch.from_arrays([*heads, pa.array((sim + 1).astype(np.int32)), lists], names=schema.names)
+        return pa.RecordBatch.from_arrays([*heads, pa.array((sim + 1).astype(np.int32)), lists], names=schema.names)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        rest = None  # the last key's vectors, whose end is not seen yet
-        for batch in batches:
-            if rest is not None:
-                batch = pa.Table.from_batches([rest, batch]).combine_chunks().to_batches()[0]
-            if not batch.num_rows:
-                continue
-            starts = _starts(batch, len(keys))
-            if starts[-1]:
-                yield from apart(batch.slice(0, starts[-1]), starts[:-1])
-            rest = batch.slice(starts[-1])
-        if rest is not None:
-            yield from apart(rest, np.zeros(1, np.int64))
+        for batch, starts in whole_keys(batches, len(keys)):
+            yield apart(batch, starts)
 
     return rows.repartition(*keys).sortWithinPartitions(*keys).mapInArrow(run, schema)
 

@@ -8,6 +8,9 @@ settings that are alike; classes part at gaps and merge at steps (as a rule ther
 The pass labels points. What follows works on stretches, runs of points of one class and group without a gap that concerns any setting:
 sizes and spans of groups, their fills, and stays are sums over stretches, and medians are taken once for each distinct group,
 whichever settings it belongs to.
+
+Every step stays inside a device. Devices of few pings are dealt once and go through all steps where they lie, so that nothing but pings is
+shuffled; crowded ones take the same steps as tables.
 """
 
 from __future__ import annotations
@@ -15,13 +18,17 @@ from __future__ import annotations
 import math
 from collections.abc import Iterator
 
+import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F, types as T
 
 from copresence.functions.distance import haversine
 from copresence.operators import components, ordered, quantiles
+from copresence.operators.batches import whole_keys
+from copresence.operators.components import METRES_PER_DEGREE
 from copresence.operators.stays import EARTH_METRES, HOUR, crowded_devices, runs, slotted
-from copresence.session import cut
+from copresence.session import cut, stored
 
 _DEVICE = "device_aid"
 
@@ -75,10 +82,153 @@ def _metres(lng_a: float, lat_a: float, lng_b: float, lat_b: float) -> float:
     return 2 * EARTH_METRES * math.asin(min(1.0, math.sqrt(h)))
 
 
+def _metres_of(lng_a: np.ndarray, lat_a: np.ndarray, lng_b: np.ndarray, lat_b: np.ndarray) -> np.ndarray:
+    a, b = np.radians(lat_a), np.radians(lat_b)
+    h = np.sin((b - a) / 2) ** 2 + np.cos(a) * np.cos(b) * np.sin(np.radians(lng_b - lng_a) / 2) ** 2
+    return 2 * EARTH_METRES * np.arcsin(np.minimum(1.0, np.sqrt(h)))
+
+
+def _stretches(ts: np.ndarray, lat: np.ndarray, lng: np.ndarray, t_max: np.ndarray, r1: float) -> np.ndarray:
+    """`class_steps` for one device: rows of mask, first point of the group, first and last point of the stretch, in order of their starts."""
+    gap, bits = np.append(0, np.diff(ts))[:, None], 1 << np.arange(len(t_max))
+    reset = ((gap > 2 * t_max - 1) * bits).sum(axis=1)
+    filled = ((gap >= t_max) * bits).sum(axis=1) & ~reset
+    moved = _metres_of(lng[:-1], lat[:-1], lng[1:], lat[1:]) > 2 * r1
+    fresh = np.append(True, moved | (gap[1:, 0] > 2 * t_max.max() - 1))
+    apart, every = gap[:, 0] >= t_max.min(), int(bits.sum())
+    classes, found, y0, x0 = [], {}, 0.0, 0.0
+    for seq, (new, gone, fills, cut_here, y, x) in enumerate(zip(*(c.tolist() for c in (fresh, reset, filled, apart, lat, lng)))):
+        opened, now = every if new else 0, []
+        for mask, first, stretch, n, sy, sx in () if new else classes:
+            opened |= mask & gone
+            for part, extra in ((mask & ~gone & ~fills, 0), (mask & fills, 1)):
+                if not part:
+                    continue
+                m, ty, tx = n + extra, sy + extra * y0, sx + extra * x0
+                if _metres(tx / m, ty / m, x, y) > r1:
+                    opened |= part
+                else:
+                    now.append((part, first, seq if cut_here or part != mask else stretch, m + 1, ty + y, tx + x))
+        if opened:
+            now.append((opened, seq, seq, 1, y, x))
+        classes, y0, x0 = now, y, x
+        for c in now:
+            found[c[:3]] = seq
+    return np.array([(*k, last) for k, last in found.items()], np.int64)
+
+
+def _middle(v: np.ndarray) -> float:
+    v, k = np.sort(v), (len(v) - 1) // 2
+    return v[k] if len(v) % 2 else v[k] + 0.5 * (v[k + 1] - v[k])
+
+
+def _linked(setting: np.ndarray, lat: np.ndarray, lng: np.ndarray, metres: float) -> np.ndarray:
+    """`components.link_within` for one device's groups, in order of setting and first point: their number in the setting."""
+    step = 0.7 * metres / METRES_PER_DEGREE
+    _, at, site = np.unique(lat + 1j * lng, return_index=True, return_inverse=True)
+    ys, xs = lat[at], lng[at]
+    cy = np.floor(ys / step).astype(np.int64)
+    column = [np.floor(xs / (step / np.cos(np.radians((cy + up + 0.5) * step)))).astype(np.int64).tolist() for up in (0, 1, 2)]
+    cells: dict[tuple[int, int], list[int]] = {}
+    rows = cy.tolist()
+    for i, c in enumerate(zip(rows, column[0])):
+        cells.setdefault(c, []).append(i)
+    number = {c: k for k, c in enumerate(cells)}
+    pairs = []
+    for i, (row, col) in enumerate(zip(rows, column[0])):
+        for up in (0, 1, 2):
+            for c in range(column[up][i] - 2, column[up][i] + 3):
+                if (up or c > col) and (row + up, c) in cells:
+                    pairs += [(i, j) for j in cells[row + up, c] if _metres(xs[i], ys[i], xs[j], ys[j]) <= metres]
+    of_site = np.array([number[c] for c in zip(rows, column[0])], np.int64)
+    key = setting * len(cells) + of_site[site]
+    if pairs:  # cells that are linked under a setting take the number of one of them
+        root = {k: k for k in key.tolist()}
+
+        def top(k: int) -> int:
+            while root[k] != k:
+                root[k] = k = root[root[k]]
+            return k
+
+        present = set((setting * len(ys) + site).tolist())
+        for s in np.unique(setting).tolist():
+            for i, j in pairs:
+                if s * len(ys) + i in present and s * len(ys) + j in present:
+                    root[top(s * len(cells) + int(of_site[i]))] = top(s * len(cells) + int(of_site[j]))
+        key = np.array([top(k) for k in key.tolist()], np.int64)
+    _, at, place = np.unique(key, return_index=True, return_inverse=True)
+    order = np.argsort(at)  # places in order of setting and first group
+    rank = np.empty(len(at), np.int64)
+    rank[order] = np.arange(len(at))
+    before = np.searchsorted(setting[at[order]], setting)  # places of earlier settings
+    return rank[place] - before + 1
+
+
+def device_stays(ts: np.ndarray, lat: np.ndarray, lng: np.ndarray, t_max: np.ndarray, r1: float, r2: float, min_stay: int, min_size: int) -> list[np.ndarray]:
+    """All steps of the sweep for the pings of one device, in order: t_max, loc, start, end and size of its stays."""
+    keep = np.append(ts[1:] != ts[:-1], True)  # of pings with one time the last stays, as in `densify`
+    ts, lat, lng = ts[keep], lat[keep], lng[keep]
+    silence = np.append(np.diff(ts), -1)
+    mask, first, a, b = _stretches(ts, lat, lng, t_max, r1).T
+    setting, s = np.nonzero((mask >> np.arange(len(t_max))[:, None]) & 1)  # by setting, then by start
+    t, first, a, b = t_max[setting], first[s], a[s], b[s]
+    fill = silence[b] >= t
+    more = np.where(fill, t - 1, 0)
+    n, t0, t1, rest = b - a + 1 + fill, ts[a], ts[b] + more, silence[b] - more
+    new = np.append(True, (setting[1:] != setting[:-1]) | (first[1:] != first[:-1]))
+    starts = np.flatnonzero(new)
+    ends = np.append(starts[1:], len(s))
+    good = (np.add.reduceat(n, starts) >= min_size) & (np.maximum.reduceat(t1, starts) - t0[starts] >= min_stay)
+    starts, ends = starts[good], ends[good]
+    if not len(starts):
+        return [np.zeros(0, np.int64)] * 5
+    y, x, known = lat[first[starts]], lng[first[starts]], {}
+    for g in np.flatnonzero(b[ends - 1] > first[starts]).tolist():  # the others have copies of one point only
+        u, v = starts[g], ends[g]
+        copies = b[u:v][fill[u:v]]
+        name = (first[u], b[v - 1], copies.tobytes())
+        if name not in known:  # once for each distinct group
+            known[name] = [_middle(np.append(c[first[u]:b[v - 1] + 1], c[copies])) for c in (lat, lng)]
+        y[g], x[g] = known[name]
+    loc = _linked(setting[starts], y, x, r2)
+    held = np.repeat(good, np.diff(np.append(np.flatnonzero(new), len(s))))
+    loc = np.repeat(loc, ends - starts)
+    setting, t, a, b, n, t0, t1, rest = (c[held] for c in (setting, t, a, b, n, t0, t1, rest))
+    turn = (setting[1:] != setting[:-1]) | (loc[1:] != loc[:-1]) | (a[1:] != b[:-1] + 1) | (rest[:-1] >= t[:-1])
+    at = np.flatnonzero(np.append(True, turn))
+    return [t[at], loc[at], t0[at], np.maximum.reduceat(t1, at), np.add.reduceat(n, at)]
+
+
+def _sweep_devices(pings: DataFrame, order: list[str], t_max: list[int], *limits: float) -> DataFrame:
+    """The sweep of devices that one task can hold: a device's pings are dealt once, and its stays come out of the same task."""
+    settings = np.array(t_max, np.int64)
+    rows = pings.select(_DEVICE, F.col("timestamp").cast("long").alias("_t"), *[F.col(c).cast("double").alias(c) for c in ("latitude", "longitude")], *[F.col(c).alias(f"_o{i}") for i, c in enumerate(order)])
+    dealt = rows.repartition(_DEVICE).sortWithinPartitions(_DEVICE, *[f"_o{i}" for i in range(len(order))]).select(_DEVICE, "_t", "latitude", "longitude")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch, starts in whole_keys(batches, 1):
+            ts, lat, lng = (batch.column(i).to_numpy(zero_copy_only=False) for i in (1, 2, 3))
+            found = [device_stays(ts[u:v], lat[u:v], lng[u:v], settings, *limits) for u, v in zip(starts, np.append(starts[1:], batch.num_rows))]
+            device = batch.column(0).take(pa.array(np.repeat(starts, [len(f[0]) for f in found])))
+            t, loc, *others = (np.concatenate(c) for c in zip(*found))
+            yield pa.RecordBatch.from_arrays([device, pa.array(t), pa.array(loc.astype(np.int32)), *map(pa.array, others)], names=[_DEVICE, "t_max", "loc", "start", "end", "size"])
+
+    fields = [T.StructField(c, T.IntegerType() if c == "loc" else T.LongType()) for c in ("t_max", "loc", "start", "end", "size")]
+    return dealt.mapInArrow(run, T.StructType([rows.schema[_DEVICE], *fields]))
+
+
 def sweep(pings: DataFrame, order: list[str], t_max: list[int], r1: float = 30, r2: float = 30, min_stay: int = 900, min_size: int = 2) -> DataFrame:
     """Stays under every setting: device_aid, t_max (seconds), loc, start, end, size. Equal, setting by setting, to filling
     silences with `densify`, `detect_stops` and `stays_from_points`; pings must be clean."""
-    crowded = crowded_devices(pings)
+    crowded, limits = crowded_devices(pings), (r1, r2, min_stay, min_size)
+    if crowded is None:
+        return _sweep_devices(pings, order, t_max, *limits)
+    few, many = (pings.join(F.broadcast(crowded), _DEVICE, how) for how in ("left_anti", "left_semi"))
+    return _sweep_devices(few, order, t_max, *limits).unionByName(_sweep_crowded(many, order, t_max, *limits, crowded))
+
+
+def _sweep_crowded(pings: DataFrame, order: list[str], t_max: list[int], r1: float, r2: float, min_stay: int, min_size: int, crowded: DataFrame) -> DataFrame:
+    """The sweep of devices with more pings than one task may hold."""
     ahead, slot = slotted(pings.select(_DEVICE, *order, "latitude", "longitude"), crowded)
     ahead = ordered.following(ahead, [_DEVICE], slot, order, ["timestamp"])
     # of pings with one time the last stays, as in `densify`
@@ -128,7 +278,7 @@ def sweep_stats(stays: DataFrame) -> DataFrame:
     hour, with the share at 1 or more (`sfre_`)."""
     minutes = (F.col("end") - F.col("start")) / 60
     rate = F.when(F.col("end") > F.col("start"), F.col("size") / (minutes / 60)).otherwise(float("inf"))
-    timed = cut(stays.select((F.col("t_max") / HOUR).cast("int").alias("hours"), minutes.alias("dur"), rate.alias("sfre")))
+    timed = stored(stays.select((F.col("t_max") / HOUR).cast("int").alias("hours"), minutes.alias("dur"), rate.alias("sfre")))
 
     def summary(c: str, share: Column, name: str) -> list[Column]:
         return [F.min(c).alias(f"{c}_min"), F.max(c).alias(f"{c}_max"), F.avg(share.cast("int")).alias(name)]

@@ -3,7 +3,7 @@
 import numpy as np
 import pytest
 
-from copresence.operators import stays, stop_sweep
+from copresence.operators import ordered, stays, stop_sweep
 
 NORTH = 1 / 111_195  # degrees of a metre
 HOURS = [1, 2, 3, 5, 8, 12]
@@ -36,6 +36,31 @@ def test_equals_single_runs(spark, step):
         assert sorted((r.device_aid, r.start, r.end, r.size, r.loc) for r in out if r.t_max == t) == want and len(want) > 5
 
 
+@pytest.mark.parametrize("step", [3, 14])
+def test_crowded_devices_have_the_same_stays(spark, monkeypatch, step):
+    """The steps of a device in one task and as tables; a device that spans batches; places that are linked over cells."""
+    rows = trace(1, "a", 300, step) + trace(2, "b", 60, step) + trace(3, "c", 60, 25) + [("d", 5, 59.0, 18.0)]
+    rows += [("e", i * 1000 + j * 100, 59 + (i * 25 + j % 2) * NORTH, 18.0) for i in range(6) for j in range(10)] + [("e", 900, 58.0, 18.0)]
+    pings = stays.clean_pings(spark.createDataFrame([(*r, i) for i, r in enumerate(rows)], "device_aid string, timestamp long, latitude double, longitude double, pid long"))
+    order, t_max = ["timestamp", "pid"], [h * 3600 for h in HOURS]
+    found = lambda: sorted(map(tuple, stop_sweep.sweep(pings, order, t_max).collect()))
+    plain = found()
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", 7)
+    try:
+        assert found() == plain
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+    for most in (100, 0):  # the first device, and all devices
+        monkeypatch.setattr(ordered.crowded, "__defaults__", (most,))
+        assert found() == plain and len(plain) > 100
+
+
+def test_devices_of_few_pings_are_shuffled_once(spark):
+    pings = spark.createDataFrame(trace(2, "b", 60, 3), "device_aid string, timestamp long, latitude double, longitude double")
+    plan = stop_sweep.sweep(pings, ["timestamp"], [3600, 7200])._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange") == 1 and "Join" not in plan
+
+
 def test_stats(spark):
     rows = [("a", 3600, 1, 0, 3600, 4), ("a", 3600, 1, 0, 1800, 3), ("b", 3600, 2, 0, 7200, 1), ("a", 7200, 1, 0, 7200, 10)]
     df = spark.createDataFrame(rows, "device_aid string, t_max long, loc int, start long, end long, size long")
